@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, functions as F
 
 from wayline.functions.rotation import Vector, mat_vec, transpose
 
@@ -49,33 +51,57 @@ def enu_to_ecef(enu: Vector, ref: Vector) -> list[Column]:
     return [a + b for a, b in zip(turned, wgs84_to_ecef(*ref))]
 
 
-def ecef_to_wgs84(x: Column, y: Column, z: Column) -> list[Column]:
-    """Closed-form inverse (Heikkinen): latitude, longitude in degrees, height."""
+def with_wgs84(df: DataFrame, xyz: Vector, names: Sequence[str] = ("lat", "lon", "height")) -> DataFrame:
+    """Add latitude, longitude (degrees) and height of earth-centred points (Heikkinen's closed form).
+
+    Each step is a column of its own, so that no subexpression is written out twice.
+    """
     a, b = SEMI_MAJOR, SEMI_MAJOR * (1 - FLATTENING)
     second_e2 = (a * a - b * b) / (b * b)
-    r2 = x * x + y * y
-    r = F.sqrt(r2)
-    big_f = 54 * b * b * z * z
-    big_g = r2 + (1 - E2) * z * z - E2 * (a * a - b * b)
-    c = E2 * E2 * big_f * r2 / (big_g * big_g * big_g)
-    s = F.cbrt(1 + c + F.sqrt(c * c + 2 * c))
-    k = s + 1 / s + 1
-    p = big_f / (3 * k * k * big_g * big_g)
-    q = F.sqrt(1 + 2 * E2 * E2 * p)
-    under = a * a / 2 * (1 + 1 / q) - (1 - E2) * p * z * z / (q * (1 + q)) - p * r2 / 2
-    r0 = F.sqrt(under) - p * E2 * r / (1 + q)
-    d = r - E2 * r0
-    u, v = F.sqrt(d * d + z * z), F.sqrt(d * d + (1 - E2) * z * z)
-    near = b * b / (a * v)
-    return [F.degrees(F.atan((z + second_e2 * near * z) / r)), F.degrees(F.atan2(y, x)), u * (1 - near)]
+    c = {n: F.col(f"_g_{n}") for n in ("x", "y", "z", "z2", "r2", "r", "ff", "gg", "c", "s", "k", "p", "q", "r0", "d", "u", "v", "w")}
+    steps = [
+        {"x": xyz[0], "y": xyz[1], "z": xyz[2]},
+        {"r2": c["x"] * c["x"] + c["y"] * c["y"], "z2": c["z"] * c["z"]},
+        {
+            "r": F.sqrt(c["r2"]),
+            "ff": 54 * b * b * c["z2"],
+            "gg": c["r2"] + (1 - E2) * c["z2"] - E2 * (a * a - b * b),
+        },
+        {"c": E2 * E2 * c["ff"] * c["r2"] / (c["gg"] * c["gg"] * c["gg"])},
+        {"s": F.cbrt(1 + c["c"] + F.sqrt(c["c"] * c["c"] + 2 * c["c"]))},
+        {"k": c["s"] + 1 / c["s"] + 1},
+        {"p": c["ff"] / (3 * c["k"] * c["k"] * c["gg"] * c["gg"])},
+        {"q": F.sqrt(1 + 2 * E2 * E2 * c["p"])},
+        {
+            "r0": F.sqrt(
+                a * a / 2 * (1 + 1 / c["q"]) - (1 - E2) * c["p"] * c["z2"] / (c["q"] * (1 + c["q"])) - c["p"] * c["r2"] / 2
+            )
+            - c["p"] * E2 * c["r"] / (1 + c["q"])
+        },
+        {"d": c["r"] - E2 * c["r0"]},
+        {"u": F.sqrt(c["d"] * c["d"] + c["z2"]), "v": F.sqrt(c["d"] * c["d"] + (1 - E2) * c["z2"])},
+        {"w": b * b / (a * c["v"])},
+    ]
+    out = df
+    for step in steps:
+        out = out.withColumns({f"_g_{n}": e for n, e in step.items()})
+    lat, lon, height = names
+    out = out.withColumns(
+        {
+            lat: F.degrees(F.atan((c["z"] + second_e2 * c["w"] * c["z"]) / c["r"])),
+            lon: F.degrees(F.atan2(c["y"], c["x"])),
+            height: c["u"] * (1 - c["w"]),
+        }
+    )
+    return out.drop(*[f"_g_{n}" for n in c])
 
 
 def wgs84_to_enu(lat: Column, lon: Column, height: Column, ref: Vector) -> list[Column]:
     return ecef_to_enu(wgs84_to_ecef(lat, lon, height), ref)
 
 
-def enu_to_wgs84(enu: Vector, ref: Vector) -> list[Column]:
-    return ecef_to_wgs84(*enu_to_ecef(enu, ref))
+def with_enu_to_wgs84(df: DataFrame, enu: Vector, ref: Vector, names: Sequence[str] = ("lat", "lon", "height")) -> DataFrame:
+    return with_wgs84(df, enu_to_ecef(enu, ref), names)
 
 
 def wgs84_to_enu_series(lat: Column, lon: Column, height: Column, ref: Vector) -> list[Column]:

@@ -192,7 +192,7 @@ def azimuth_sweeps(spark, sf):
 @query(
     "message_groups",
     f"""WITH {POSES}, d AS (SELECT run_id, idx, t_us, kind, last(CASE WHEN kind = 'signup' THEN idx END IGNORE NULLS) OVER (PARTITION BY run_id ORDER BY t_us, idx) AS header_idx FROM poses)
-SELECT run_id, header_idx, string_agg(CAST(idx AS VARCHAR), ',' ORDER BY idx) AS members, CAST(count(*) AS BIGINT) AS n
+SELECT run_id, header_idx, min(idx) AS first_member, max(idx) AS last_member, CAST(count(*) AS BIGINT) AS n
 FROM d WHERE header_idx IS NOT NULL AND kind <> 'signup' AND idx % 8 <= header_idx % 8 GROUP BY run_id, header_idx""",
 )
 def message_groups(spark, sf):
@@ -203,8 +203,7 @@ def message_groups(spark, sf):
         d.where(inside)
         .groupBy("run_id", F.col("header.idx").alias("header_idx"))
         .agg(
-            F.concat_ws(",", F.transform(F.array_sort(F.collect_list("idx")), lambda i: i.cast("string"))).alias("members"),
-            F.count("*").alias("n"),
+            F.min("idx").alias("first_member"), F.max("idx").alias("last_member"), F.count("*").alias("n")
         )
     )
 
