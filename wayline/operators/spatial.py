@@ -49,25 +49,28 @@ def nearest_within(
     target_id: str,
     levels: Sequence[int] = (8, 1),
     strict: bool = True,
+    extra: Sequence[str] = (),
 ) -> DataFrame:
     """Nearest target of every source row, if nearer than ``tolerance``: columns target_id and ``dist``.
 
     Exact: a target within the cell size of a level lies in the cells around
     the probe, so a hit within that size is the nearest one overall. Ties go to
-    the smallest target id.
+    the smallest target id. ``extra`` columns count in the distance but not in
+    the grid, which stays exact, as the distance can only grow by them.
     """
-    keys, coords = list(keys), list(coords)
-    names = cell_names(coords)
+    keys, grid = list(keys), list(coords)
+    names = cell_names(grid)
+    coords = [*grid, *extra]
     t_names = [f"_t_{c}" for c in coords]
     places = target.groupBy(*keys, *coords).agg(F.min(target_id).alias(target_id))
     open_ = source.select(*keys, *coords).distinct()
     found = None
     for i, level in enumerate(levels):
         size = tolerance / level
-        cells = with_cell(places, coords, size).select(
+        cells = with_cell(places, grid, size).select(
             *keys, *names, target_id, *[F.col(c).alias(t) for c, t in zip(coords, t_names)]
         )
-        probes = with_neighbour_cells(open_, coords, size)
+        probes = with_neighbour_cells(open_, grid, size)
         d2 = dist2([F.col(c) for c in coords], [F.col(t) for t in t_names])
         last = i == len(levels) - 1
         near = F.col("_d2") < size * size if last and strict else F.col("_d2") <= size * size
