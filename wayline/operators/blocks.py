@@ -132,3 +132,22 @@ def grouped_median(
         .agg(((F.min("_x") + F.max("_x")) / 2).alias("_m"))
     )
     return mid.groupBy(*keys).agg(*[F.max(F.when(F.col("_name") == v, F.col("_m"))).alias(v) for v in values])
+
+
+def halo_blocks(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], width: float, block_rows: int, halo: int
+) -> DataFrame:
+    """Cut each key into blocks of ``block_rows`` consecutive rows, with ``halo`` rows of both neighbours added.
+
+    Adds ``block``, ``pos`` (row position in the key from 0) and ``own``. For
+    recursions whose memory fades, a solver run on a block and its halo gives
+    the rows of the block to double precision, and no task holds a whole key.
+    """
+    if halo > block_rows:
+        raise ValueError("the halo must fit into one block")
+    d = row_index(df, keys, order, width, "_rn").withColumn("pos", F.col("_rn") - 1).drop("_rn")
+    home = F.floor(F.col("pos") / block_rows)
+    near = F.array_distinct(
+        F.array(home, F.floor((F.col("pos") + halo) / block_rows), F.floor(F.greatest(F.col("pos") - halo, F.lit(0)) / block_rows))
+    )
+    return d.withColumn("_home", home).withColumn("block", F.explode(near)).withColumn("own", F.col("block") == F.col("_home")).drop("_home")

@@ -41,3 +41,275 @@ def normals(points: DataFrame, coords: Sequence[str], ident: str, k: int = 30, s
 
     id_type = dict(points.dtypes)[ident]
     return cov.mapInPandas(solve, f"{ident} {id_type}, nx double, ny double, nz double, curvature double")
+
+
+XYZ = ["x", "y", "z"]
+
+
+def _three_by_three(df: DataFrame, keys: Sequence[str], fields: Sequence[str], solve, names: Sequence[str]) -> DataFrame:
+    """Run ``solve`` on batches of per-group sums; one small row per group."""
+    keys = list(keys)
+    types = dict(df.dtypes)
+    schema = ", ".join([*[f"{k} {types[k]}" for k in keys], *[f"{n} double" for n in names]])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            got = solve(b[list(fields)].to_numpy(float)) if len(b) else np.empty((0, len(names)))
+            yield pd.concat([b[keys].reset_index(drop=True), pd.DataFrame(got, columns=list(names))], axis=1)
+
+    return df.select(*keys, *fields).mapInPandas(run, schema)
+
+
+def fit_planes(points: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Least-squares plane per key: normal (up), mean point, root error over n, n."""
+    keys = list(keys)
+    centre = points.groupBy(*keys).agg(*[F.avg(c).alias(f"p{c}") for c in XYZ], F.count("*").alias("n_fit"))
+    d = points.join(centre, keys).withColumns({f"_d{c}": F.col(c) - F.col(f"p{c}") for c in XYZ})
+    pairs = [(i, j) for i in range(3) for j in range(i, 3)]
+    sums = d.groupBy(*keys).agg(*[F.sum(F.col(f"_d{XYZ[i]}") * F.col(f"_d{XYZ[j]}")).alias(f"_s{i}{j}") for i, j in pairs])
+
+    def solve(v):
+        m = np.empty((len(v), 3, 3))
+        for k, (i, j) in enumerate(pairs):
+            m[:, i, j] = m[:, j, i] = v[:, k]
+        values, vectors = np.linalg.eigh(m)
+        n = vectors[:, :, 0] * np.where(vectors[:, 2:3, 0] < 0, -1.0, 1.0)
+        return np.column_stack([n, np.sqrt(np.maximum(values[:, 0], 0.0))])
+
+    normal = _three_by_three(sums, keys, [f"_s{i}{j}" for i, j in pairs], solve, ["nx", "ny", "nz", "_root"])
+    out = normal.join(centre, keys)
+    return out.withColumn("error", F.col("_root") / F.col("n_fit")).drop("_root")
+
+
+def ransac_planes(
+    points: DataFrame, keys: Sequence[str], ident: str, threshold: float = 0.05, tries: int = 10, min_points: int = 10,
+    up: tuple[float, float, float] | None = None, max_tilt_deg: float | None = None, seed: int = 0,
+) -> DataFrame:
+    """Best of ``tries`` three-point planes per key, refitted to its inliers.
+
+    The three points of a try are those with the smallest hash of (id, try,
+    slot), found by partial aggregation, so the draw is the same on every run
+    and no group is gathered. Keys with too few points or inliers drop out.
+    """
+    keys = list(keys)
+
+    def draw(i, j):
+        return F.min_by(F.struct(*XYZ), F.xxhash64(F.lit(seed), F.lit(i), F.lit(j), *keys, ident)).alias(f"_p{i}_{j}")
+
+    drawn = points.groupBy(*keys).agg(F.count("*").alias("_n"), *[draw(i, j) for i in range(tries) for j in range(3)]).where(
+        F.col("_n") >= min_points
+    )
+    planes = F.array(
+        *[F.struct(F.lit(i).alias("i"), *[F.col(f"_p{i}_{j}").alias(f"p{j}") for j in range(3)]) for i in range(tries)]
+    )
+    models = drawn.select(*keys, F.explode(planes).alias("_m"))
+    a, b, c = ([F.col(f"_m.p{j}")[x] for x in XYZ] for j in range(3))
+    u, v = [q - p for p, q in zip(a, b)], [q - p for p, q in zip(a, c)]
+    normal = [u[1] * v[2] - u[2] * v[1], u[2] * v[0] - u[0] * v[2], u[0] * v[1] - u[1] * v[0]]
+    models = models.select(*keys, F.col("_m.i").alias("_i"), *[n.alias(f"_n{x}") for n, x in zip(normal, XYZ)], *[F.col("_m.p0")[x].alias(f"_q{x}") for x in XYZ])
+    size = F.sqrt(sum((F.col(f"_n{x}") * F.col(f"_n{x}") for x in "yz"), F.col("_nx") * F.col("_nx")))
+    models = models.withColumn("_size", size).where("_size > 1e-12").withColumns({f"_n{x}": F.col(f"_n{x}") / F.col("_size") for x in XYZ})
+    if up is not None and max_tilt_deg is not None:
+        cosine = F.abs(sum((F.col(f"_n{x}") * g for x, g in zip("yz", up[1:])), F.col("_nx") * up[0]))
+        models = models.where(cosine >= float(np.cos(np.radians(max_tilt_deg))))
+    models = models.drop("_size")
+    # a key has at most ``tries`` models, so every point meets a constant number of them
+    off = sum(((F.col(x) - F.col(f"_q{x}")) * F.col(f"_n{x}") for x in "yz"), (F.col("x") - F.col("_qx")) * F.col("_nx"))
+    tried = points.join(models, keys).where(F.abs(off) < threshold)
+    votes = tried.groupBy(*keys, "_i").agg(F.count("*").alias("n_inliers"))
+    best = votes.groupBy(*keys).agg(F.max(F.struct("n_inliers", (-F.col("_i")).alias("_neg"))).alias("_b"))
+    best = best.select(*keys, (-F.col("_b._neg")).alias("_i"), F.col("_b.n_inliers").alias("n_inliers")).where(F.col("n_inliers") >= min(min_points, 3))
+    inliers = points.join(best.join(models, [*keys, "_i"]), keys).where(F.abs(off) < threshold)
+    return fit_planes(inliers.select(*keys, *XYZ), keys).join(best.drop("_i"), keys)
+
+
+def ground_planes(
+    poses: DataFrame, ground: DataFrame, keys: Sequence[str], pose: str, ident: str, radius: float = 25.0, threshold: float = 0.05, tries: int = 10, min_points: int = 10
+) -> DataFrame:
+    """Ground plane around each pose from the points within ``radius`` and between the outer lanes.
+
+    ``poses`` holds x, y, z and, if the lanes are known, their distances y_left
+    and y_right with the pose's sideways axis (lx, ly, lz).
+    """
+    from wayline.operators import spatial
+
+    near = spatial.radius_join(poses, ground, keys, XYZ, radius, prefix="c_")
+    if "y_left" in poses.columns:
+        side = sum(((F.col(c) - F.col(f"c_{c}")) * F.col(f"c_l{c}") for c in "yz"), (F.col("x") - F.col("c_x")) * F.col("c_lx"))
+        near = near.where((side < F.col("c_y_left")) & (side > F.col("c_y_right")))
+    near = near.select(*keys, F.col(f"c_{pose}").alias(pose), ident, *XYZ)
+    return ransac_planes(near, [*keys, pose], ident, threshold, tries, min_points)
+
+
+def support_planes(
+    points: DataFrame, keys: Sequence[str], ident: str, threshold: float = 0.2, rounds: int = 3, min_points: int = 100,
+    up: tuple[float, float, float] = (0.0, 0.0, 1.0), max_tilt_deg: float = 10.0, highest: bool = False, tries: int = 16,
+) -> DataFrame:
+    """Support plane per scan: planes are found one after the other among the points not yet explained.
+
+    The first one counts, or with ``highest`` the one whose points lie highest.
+    """
+    from wayline.session import cut_lineage
+
+    keys = list(keys)
+    rest, found = points.select(*keys, ident, *XYZ), None
+    for r in range(rounds if highest else 1):
+        plane = ransac_planes(rest, keys, ident, threshold, tries, min_points, up, max_tilt_deg, seed=r)
+        plane = cut_lineage(plane.where(F.col("n_inliers") >= min_points).withColumn("round", F.lit(r)))
+        found = plane if found is None else found.unionByName(plane)
+        rest = rest.join(plane, keys).where(F.abs(plane_offset()) >= threshold).select(*keys, ident, *XYZ)
+    height = sum((F.col(f"p{c}") * g for c, g in zip("yz", up[1:])), F.col("px") * up[0])
+    rank = F.struct(height, -F.col("round")) if highest else F.struct(-F.col("round"))
+    cols = [c for c in found.columns if c not in keys]
+    best = found.groupBy(*keys).agg(F.max_by(F.struct(*cols), rank).alias("_b"))
+    return best.select(*keys, "_b.*")
+
+
+def plane_offset():
+    """Signed distance of a point (x, y, z) from the plane nx..nz through px..pz."""
+    return sum(((F.col(c) - F.col(f"p{c}")) * F.col(f"n{c}") for c in "yz"), (F.col("x") - F.col("px")) * F.col("nx"))
+
+
+def objects_above_plane(
+    points: DataFrame, planes: DataFrame, keys: Sequence[str], ident: str, low: float, high: float, eps: float = 0.75, min_size: int = 50, max_size: int = 5000
+) -> DataFrame:
+    """Boxes of the clusters that stand in a height band above the plane; their lower side is put on the plane."""
+    from wayline.operators import clustering
+
+    d = points.join(planes, list(keys)).withColumn("above", plane_offset()).where(F.col("above").between(low, high))
+    d = clustering.euclidean_clusters(d.select(*keys, ident, *XYZ, "above"), keys, XYZ, ident, eps, min_size, max_size)
+    return d.groupBy(*keys, "cluster").agg(
+        *[F.min(c).alias(f"{c}_min") for c in "xy"], *[F.max(c).alias(f"{c}_max") for c in XYZ],
+        F.min(F.col("z") - F.col("above")).alias("z_min"), F.count("*").alias("n_points"),
+    )
+
+
+def align_chunks(
+    source: DataFrame, target: DataFrame, chunk: str, ident: str, target_id: str, features: dict[str, float],
+    max_dist: float, max_rounds: int = 100, tolerance: float = 0.001, final_dist: float = 0.1, median_width: float | None = None,
+) -> DataFrame:
+    """Rigid alignment of source chunks onto target chunks: r00..r22, tx, ty, tz and the mean error.
+
+    All chunks go through the rounds together: nearest match in the weighted
+    space, then a shift by the upper median of each axis, until every chunk
+    moves less than ``tolerance``. A turn about the centre is fitted last from
+    sums over the matches within ``final_dist``. ``features`` maps columns to
+    their weights; x, y and z come first.
+    """
+    from wayline.operators import blocks, spatial
+    from wayline.session import cut_lineage
+
+    w = {c: F.col(c) * F.lit(float(k)) for c, k in features.items()}
+    names = [f"w_{c}" for c in features]
+    width = median_width or max_dist / 16
+    tgt = cut_lineage(target.select(chunk, target_id, *[F.col(c).alias(f"t_{c}") for c in XYZ], *[w[c].alias(n) for c, n in zip(features, names)]))
+    shifts = source.select(chunk).distinct().select(chunk, *[F.lit(0.0).alias(f"s{c}") for c in XYZ], F.lit(False).alias("done"))
+    src = cut_lineage(source.select(chunk, ident, *features))
+
+    def matches(moved, limit):
+        weighted = moved.select(chunk, ident, *XYZ, *[(F.col(c) * F.lit(float(k))).alias(n) for (c, k), n in zip(features.items(), names)])
+        near = spatial.nearest_within(weighted, tgt, [chunk], names[:3], limit, target_id, strict=False, extra=names[3:])
+        return near.join(tgt.select(chunk, target_id, *[f"t_{c}" for c in XYZ]), [chunk, target_id])
+
+    def moved_by(s):
+        return src.join(s, chunk).withColumns({c: F.col(c) + F.col(f"s{c}") for c in XYZ})
+
+    for _ in range(max_rounds):
+        near = matches(moved_by(shifts).where("NOT done").drop("done"), max_dist)
+        steps = near.select(chunk, *[(F.col(f"t_{c}") - F.col(c)).alias(f"d{c}") for c in XYZ])
+        med = blocks.grouped_median(steps, [chunk], [f"d{c}" for c in XYZ], width, upper=True)
+        small = F.greatest(*[F.abs(f"d{c}") for c in XYZ]) < tolerance
+        new = shifts.join(med, chunk, "left").select(
+            chunk,
+            *[(F.col(f"s{c}") + F.coalesce(f"d{c}", F.lit(0.0))).alias(f"s{c}") for c in XYZ],
+            (F.col("done") | F.coalesce(small, F.lit(True))).alias("done"),
+        )
+        shifts = cut_lineage(new)
+        if shifts.where("NOT done").isEmpty():
+            break
+    moved = moved_by(shifts).drop("done")
+    error = matches(moved, max_dist).groupBy(chunk).agg(
+        F.avg(F.sqrt(spatial.dist2([F.col(c) for c in XYZ], [F.col(f"t_{c}") for c in XYZ]))).alias("error")
+    )
+    near = matches(moved, final_dist)
+    k = near.groupBy(chunk).agg(
+        *[F.avg(c).alias(f"_a{c}") for c in XYZ], *[F.avg(f"t_{c}").alias(f"_b{c}") for c in XYZ],
+        *[F.avg(F.col(p) * F.col(f"t_{r}")).alias(f"_h{p}{r}") for p in XYZ for r in XYZ],
+    )
+    cross = [(F.col(f"_h{p}{r}") - F.col(f"_a{p}") * F.col(f"_b{r}")).alias(f"_k{p}{r}") for p in XYZ for r in XYZ]
+    k = k.select(chunk, *cross, *[(F.col(f"_b{c}") - F.col(f"_a{c}")).alias(f"_m{c}") for c in XYZ])
+
+    def rotate(v):
+        u, _, vt = np.linalg.svd(v[:, :9].reshape(-1, 3, 3))
+        sign = np.sign(np.linalg.det(u) * np.linalg.det(vt))
+        flip = np.tile(np.eye(3), (len(v), 1, 1))
+        flip[:, 2, 2] = np.where(sign == 0, 1.0, sign)
+        r = vt.transpose(0, 2, 1) @ flip @ u.transpose(0, 2, 1)
+        return np.column_stack([r.reshape(-1, 9), v[:, 9:]])
+
+    r_names = [f"r{i}{j}" for i in range(3) for j in range(3)]
+    rot = _three_by_three(
+        k, [chunk], [*[f"_k{p}{r}" for p in XYZ for r in XYZ], *[f"_m{c}" for c in XYZ]], rotate, [*r_names, "_mx", "_my", "_mz"]
+    )
+    out = shifts.join(rot, chunk, "left").join(error, chunk, "left")
+    one = {f"r{i}{j}": F.coalesce(f"r{i}{j}", F.lit(1.0 if i == j else 0.0)) for i in range(3) for j in range(3)}
+    return out.withColumns(one).select(
+        chunk, *r_names, *[(F.col(f"s{c}") + F.coalesce(f"_m{c}", F.lit(0.0))).alias(f"t{c}") for c in XYZ], "error"
+    )
+
+
+def score_calibration(
+    points: DataFrame, edges: DataFrame, keys: Sequence[str], focal, centre, image: tuple[int, int], angles=(0.0, 0.0, 0.0), step: float = 0.003, margin: int = 4
+) -> DataFrame:
+    """Edge strength under the projected points for 27 small turns about the current angles.
+
+    ``points`` are camera-frame x, y, z; ``edges`` hold u, v, strength. Returns
+    one row per candidate with ``score``, and ``accepted`` on the best one when
+    at least 13 candidates beat the unchanged one, else on the unchanged one.
+    """
+    from itertools import product
+
+    from wayline.functions import rotation
+
+    turns = list(product((-1, 0, 1), repeat=3))
+    tries = F.array(*[F.struct(F.lit(i).alias("candidate"), *[F.lit(a + step * d).alias(n) for a, d, n in zip(angles, t, ("rx", "ry", "rz"))]) for i, t in enumerate(turns)])
+    d = points.withColumn("_c", F.explode(tries)).select(*keys, *XYZ, "_c.*")
+    m = rotation.euler_matrix([F.col("rx"), F.col("ry"), F.col("rz")], (0, 1, 2))
+    p = [rotation.as_column(c) for c in rotation.mat_vec(m, [F.col(c) for c in XYZ])]
+    d = d.withColumns({f"_p{c}": v for c, v in zip(XYZ, p)}).where("_pz > 0")
+    d = d.withColumns({n: F.rint(f * F.col(f"_p{c}") / F.col("_pz") + o).cast("bigint") for n, f, c, o in zip(("u", "v"), focal, "xy", centre)})
+    d = d.where((F.col("u") > margin) & (F.col("v") > margin) & (F.col("u") < image[0] - margin) & (F.col("v") < image[1] - margin))
+    # points that fall on one pixel are counted before the join
+    d = d.groupBy(*keys, "candidate", "u", "v").agg(F.count("*").alias("_n"))
+    scores = d.join(edges, [*keys, "u", "v"]).groupBy("candidate").agg(F.sum(F.col("_n") * F.col("strength")).alias("score"))
+    every = points.sparkSession.range(len(turns)).select(F.col("id").cast("int").alias("candidate"))
+    scores = every.join(scores, "candidate", "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+    unchanged = turns.index((0, 0, 0))
+    pick = scores.agg(
+        F.max(F.when(F.col("candidate") == unchanged, F.col("score"))).alias("_now"),
+        F.max(F.struct("score", (-F.col("candidate")).alias("neg"))).alias("_best"),
+        F.array_agg("score").alias("_all"),  # 27 numbers
+    )
+    better = F.size(F.filter("_all", lambda s: s > F.col("_now")))
+    chosen = pick.select(F.when(better >= len(turns) // 2, -F.col("_best.neg")).otherwise(F.lit(unchanged)).alias("_pick"))
+    return scores.join(F.broadcast(chosen)).select("candidate", "score", (F.col("candidate") == F.col("_pick")).alias("accepted"))
+
+
+def colour_points(
+    points: DataFrame, frames: DataFrame, pixels: DataFrame, keys: Sequence[str], ident: str, point_frame: str, frame: str,
+    window: int, to_pixel, first_wins: bool = False,
+) -> DataFrame:
+    """Colour of each point from the frames that see it in the ``window`` frames before its own; null if none.
+
+    ``to_pixel(df)`` adds whole-number u, v to (point, frame) rows and drops
+    hidden ones. The last frame wins, or the first.
+    """
+    from wayline.operators import timejoin
+
+    keys = list(keys)
+    pairs = timejoin.window_join(points, frames, keys, point_frame, frame, window - 1, -1)
+    seen = to_pixel(pairs).join(pixels, [*keys, frame, "u", "v"])
+    pick = F.min_by if first_wins else F.max_by
+    colour = seen.groupBy(*keys, ident).agg(pick(F.struct("r", "g", "b"), frame).alias("_c"))
+    out = points.join(colour, [*keys, ident], "left")
+    return out.select(*points.columns, *[F.col("_c")[c].alias(c) for c in ("r", "g", "b")])

@@ -116,3 +116,125 @@ def catalogue_filter(runs: DataFrame, name: str, labels: str, freeway: str, firs
     return runs.withColumn("run_date", date).where(
         F.col("run_date").between(first, last) & F.array_contains(F.split(labels, r"\+"), freeway)
     )
+
+
+def overlap_share(coords: Sequence[str], a: str, b: str) -> Column:
+    """Twice the shared volume of two bounding boxes over the sum of their volumes."""
+    shared = volume_a = volume_b = None
+    for c in coords:
+        lo_a, hi_a, lo_b, hi_b = (F.col(p + c + e) for p in (a, b) for e in ("_min", "_max"))
+        side = F.greatest(F.least(hi_a, hi_b) - F.greatest(lo_a, lo_b), F.lit(0.0))
+        shared = side if shared is None else shared * side
+        volume_a = (hi_a - lo_a) if volume_a is None else volume_a * (hi_a - lo_a)
+        volume_b = (hi_b - lo_b) if volume_b is None else volume_b * (hi_b - lo_b)
+    return F.try_divide(2 * shared, volume_a + volume_b)
+
+
+def overlapping_traces(a: DataFrame, b: DataFrame, run: str, coords: Sequence[str], min_share: float) -> DataFrame:
+    """Pairs of runs of the two summaries with overlap share of at least ``min_share``: columns ``a_``, ``b_``, share.
+
+    A share that large bounds how much the extents can differ, so a run only
+    looks at runs of a few size classes, in the cells its box touches.
+    """
+    x, y = coords[0], coords[1]
+    span = F.greatest(F.col(f"{x}_max") - F.col(f"{x}_min"), F.col(f"{y}_max") - F.col(f"{y}_min"))
+    size_class = F.when(span > 0, F.ceil(F.log2(span))).otherwise(F.lit(-30)).cast("int")
+    import math
+
+    steps = math.ceil(math.log2(2.0 / min_share))
+
+    def prefixed(df, p):
+        return df.select(*[F.col(c).alias(p + c) for c in df.columns], size_class.alias("_class"))
+
+    def with_cells(df, p):
+        size = F.pow(F.lit(2.0), F.col("_class"))
+        for c in (x, y):
+            low, high = (F.floor(F.col(p + c + e) / size) for e in ("_min", "_max"))
+            df = df.withColumn(f"_cell_{c}", F.explode(F.sequence(low, high)))
+        return df
+
+    left = prefixed(a, "a_").withColumn("_class", F.explode(F.sequence(F.col("_class") - steps, F.col("_class") + steps)))
+    pairs = with_cells(left, "a_").join(with_cells(prefixed(b, "b_"), "b_"), ["_class", f"_cell_{x}", f"_cell_{y}"])
+    pairs = pairs.where(F.col("a_" + run) != F.col("b_" + run)).withColumn("share", overlap_share(coords, "a_", "b_"))
+    # a pair may share several cells; it counts in the cell of its overlap's lower corner
+    size = F.pow(F.lit(2.0), F.col("_class"))
+    for c in (x, y):
+        corner = F.floor(F.greatest(f"a_{c}_min", f"b_{c}_min") / size)
+        pairs = pairs.where(F.col(f"_cell_{c}") == corner)
+    return pairs.where(F.col("share") >= min_share).drop("_class", f"_cell_{x}", f"_cell_{y}")
+
+
+def same_direction(coords: Sequence[str]) -> Column:
+    """At most 90 degrees between the two directions."""
+    dot = None
+    for c in coords:
+        term = F.col(f"a_dir_{c}") * F.col(f"b_dir_{c}")
+        dot = term if dot is None else dot + term
+    return dot >= 0
+
+
+def best_overlaps(summaries: DataFrame, run: str, coords: Sequence[str], min_share: float = 0.25) -> DataFrame:
+    """Run pairs (run1 < run2): each run with its best-overlapping other run, if that one goes the same way."""
+    pairs = overlapping_traces(summaries, summaries, run, coords, min_share).withColumn("_same", same_direction(coords))
+    best = pairs.groupBy(F.col("a_" + run).alias("_a")).agg(
+        F.max(F.struct("share", (-F.col("b_" + run)).alias("_neg"), "_same")).alias("_m")
+    )
+    best = best.where("_m._same").select(
+        F.least("_a", -F.col("_m._neg")).alias("run1"), F.greatest("_a", -F.col("_m._neg")).alias("run2"), F.col("_m.share").alias("share")
+    )
+    return best.distinct()
+
+
+def propagate_labels(
+    summaries: DataFrame, labels: DataFrame, run: str, coords: Sequence[str], label: str, min_share: float = 0.25
+) -> DataFrame:
+    """Label of the best-overlapping labelled run in the same direction for every unlabelled run, else ``none``."""
+    open_ = summaries.join(labels, run, "left_anti")
+    known = summaries.join(labels, run)
+    pairs = overlapping_traces(open_, known, run, coords, min_share).where((F.col("share") > min_share) & same_direction(coords))
+    best = pairs.groupBy(F.col("a_" + run).alias(run)).agg(
+        F.max_by("b_" + label, F.struct("share", -F.col("b_" + run))).alias(label)
+    )
+    return open_.select(run).join(best, run, "left").withColumn(label, F.coalesce(label, F.lit("none")))
+
+
+def apply_alignment(
+    points: DataFrame, chunks: DataFrame, keys: Sequence[str], frame: str, coords: Sequence[str], width: float
+) -> DataFrame:
+    """Turn and shift each chunk of frames about its own mean.
+
+    ``chunks`` holds start and end frame (end exclusive), r00..r22 and tx, ty, tz.
+    Frames outside every chunk stay as they are.
+    """
+    from wayline.operators import timejoin
+
+    keys = list(keys)
+    take = ["start", "end", *[f"r{i}{j}" for i in range(3) for j in range(3)], "tx", "ty", "tz"]
+    c = chunks.select(*keys, F.col("start").alias("_at"), *take)
+    d = timejoin.asof_backward(points, c, keys, frame, "_at", take, width, how="left")
+    inside = F.col(frame) < F.col("end")
+    d = d.withColumn("start", F.when(inside, F.col("start")))
+    means = d.where("start IS NOT NULL").groupBy(*keys, "start").agg(*[F.avg(x).alias(f"_m_{x}") for x in coords])
+    d = d.join(means, [*keys, "start"], "left")
+    m = [[F.col(f"r{i}{j}") for j in range(3)] for i in range(3)]
+    moved = rotation.about_point(m, [F.col(f"_m_{x}") for x in coords], [F.col(t) for t in ("tx", "ty", "tz")], [F.col(x) for x in coords])
+    out = d.withColumns({f"_new_{x}": F.when(F.col("start").isNotNull(), v).otherwise(F.col(x)) for x, v in zip(coords, moved)})
+    return out.select(*[F.col(f"_new_{x}").alias(x) if x in coords else F.col(x) for x in points.columns])
+
+
+def alignment_score(source: DataFrame, target: DataFrame, keys: Sequence[str], coords: Sequence[str], target_id: str, tolerance: float = 2.0) -> DataFrame:
+    """Mean and median distance of nearest centres per key, in space and with heights set to 0."""
+    from wayline.operators import spatial
+
+    keys = list(keys)
+    out = None
+    for tag, flat in (("", False), ("_flat", True)):
+        def level(df):
+            return df.withColumn(coords[2], F.lit(0.0)) if flat else df
+
+        near = spatial.nearest_within(level(source), level(target), keys, coords, tolerance, target_id)
+        mean = near.groupBy(*keys).agg(F.avg("dist").alias(f"mean{tag}"), F.count("*").alias(f"n{tag}"))
+        median = blocks.grouped_median(near, keys, ["dist"], tolerance / 16).withColumnRenamed("dist", f"median{tag}")
+        part = mean.join(median, keys)
+        out = part if out is None else out.join(part, keys, "full")
+    return out

@@ -264,8 +264,8 @@ def _modal_sql(source: str, out: str, bins: int | None) -> str:
     return f"""{out}_r AS (SELECT box, min(x_b - x_a) AS xlo, max(x_b - x_a) AS xhi, min(y_b - y_a) AS ylo, max(y_b - y_a) AS yhi FROM {source} GROUP BY box),
  {out}_q AS (SELECT box, {lo['x']} AS xl, {w['x']} AS xw, {lo['y']} AS yl, {w['y']} AS yw FROM {out}_r),
  {out}_d AS (SELECT s.*, x_b - x_a AS dx, y_b - y_a AS dy, xl, xw, yl, yw FROM {source} s JOIN {out}_q USING (box)),
- {out}_x AS (SELECT box, {bin_('x')} AS bin FROM {out}_d GROUP BY ALL QUALIFY row_number() OVER (PARTITION BY box ORDER BY count(*) DESC, bin) = 1),
- {out}_y AS (SELECT box, {bin_('y')} AS bin FROM {out}_d GROUP BY ALL QUALIFY row_number() OVER (PARTITION BY box ORDER BY count(*) DESC, bin) = 1),
+ {out}_x AS (SELECT box, bin FROM (SELECT box, bin, count(*) AS n FROM (SELECT box, {bin_('x')} AS bin FROM {out}_d) GROUP BY box, bin) QUALIFY row_number() OVER (PARTITION BY box ORDER BY n DESC, bin) = 1),
+ {out}_y AS (SELECT box, bin FROM (SELECT box, bin, count(*) AS n FROM (SELECT box, {bin_('y')} AS bin FROM {out}_d) GROUP BY box, bin) QUALIFY row_number() OVER (PARTITION BY box ORDER BY n DESC, bin) = 1),
  {out} AS (SELECT d.box, x_a, y_a, x_b, y_b, row_id FROM {out}_d d JOIN {out}_x x ON d.box = x.box JOIN {out}_y y ON d.box = y.box
   WHERE dx BETWEEN xl + x.bin * xw - greatest(xw, 2e0) AND xl + x.bin * xw + greatest(xw, 2e0) AND dy BETWEEN yl + y.bin * yw - greatest(yw, 2e0) AND yl + y.bin * yw + greatest(yw, 2e0))"""
 
