@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from wayline.functions import boxes as bx
 from wayline.functions import text
 from wayline.operators import blocks, spatial, timejoin
+from wayline.session import cut_lineage
 
 C = list(bx.CORNERS)
 
@@ -240,10 +241,14 @@ def modal_motion(matches: DataFrame, group: Sequence[str], bins: int | None = 10
     for c in ("_dx", "_dy"):
         no = F.floor((F.col(c) - F.col(f"{c}_lo")) / F.col(f"{c}_w"))
         d = d.withColumn(f"{c}_bin", no if bins is None else F.least(no, F.lit(bins - 1)))
-    for c in ("_dx", "_dy"):
-        counts = d.groupBy(*group, f"{c}_bin").agg(F.count("*").alias("_n"))
-        mode = counts.groupBy(*group).agg(F.max_by(f"{c}_bin", F.struct("_n", -F.col(f"{c}_bin"))).alias(f"{c}_mode"))
-        d = d.join(mode, group)
+    axes = F.array(*[F.struct(F.lit(c).alias("axis"), F.col(f"{c}_bin").alias("bin")) for c in ("_dx", "_dy")])
+    counts = d.select(*group, F.explode(axes).alias("_a")).groupBy(*group, "_a.axis", "_a.bin").agg(F.count("*").alias("_n"))
+
+    def fullest(axis):
+        rank = F.struct("_n", (-F.col("bin")).alias("neg"))
+        return F.max_by("bin", F.when(F.col("axis") == axis, rank)).alias(f"{axis}_mode")
+
+    d = d.join(counts.groupBy(*group).agg(fullest("_dx"), fullest("_dy")), group)
     keep = F.lit(True)
     for c in ("_dx", "_dy"):
         edge = F.col(f"{c}_lo") + F.col(f"{c}_mode") * F.col(f"{c}_w")
@@ -274,8 +279,8 @@ def similarity_motion(matches: DataFrame, group: Sequence[str]) -> DataFrame:
 def robust_motion(matches: DataFrame, group: Sequence[str]) -> DataFrame:
     """Motion after both outlier filters; the finer one counts where it keeps more than 80 %."""
     group = list(group)
-    coarse = modal_motion(matches, group, 10)
-    fine = modal_motion(coarse, group, None)
+    coarse = cut_lineage(modal_motion(matches, group, 10))
+    fine = cut_lineage(modal_motion(coarse, group, None))
     n = coarse.groupBy(*group).agg(F.count("*").alias("_n")).join(fine.groupBy(*group).agg(F.count("*").alias("_k")), group)
     trusted = n.where(F.col("_k") > 0.8 * F.col("_n")).select(*group)
     used = fine.join(trusted, group, "left_semi").unionByName(coarse.join(trusted, group, "left_anti"))

@@ -9,9 +9,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from wayline.operators import blocks
 
 
-def follow_marker(lines: DataFrame, keys: Sequence[str], order: str, text: str, marker: str, width: float) -> DataFrame:
+def follow_marker(lines: DataFrame, keys: Sequence[str], order: Sequence[str], text: str, marker: str, width: float) -> DataFrame:
     """Records that come right after a line containing ``marker``."""
-    d = blocks.previous_row(lines, keys, [order], [text], width, "_before")
+    d = blocks.previous_row(lines, keys, order, [text], width, "_before")
     return d.where(F.col("_before")[text].contains(marker)).drop("_before")
 
 
