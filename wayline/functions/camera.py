@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from wayline.functions.rotation import Matrix, Vector, as_column, dot, mat_vec
 
@@ -14,27 +14,31 @@ def shift_then_rotate(p: Vector, shift: Vector, turn: Matrix) -> list[Column]:
     return mat_vec(turn, [a + b for a, b in zip(p, shift)])
 
 
-def project(p: Vector, focal: Vector, centre: Vector, distort: Sequence[float]) -> list[Column]:
-    """Pixel of a camera-frame point under radial (k1, k2, k3) and tangential (p1, p2) distortion.
+def with_pixels(df: DataFrame, p: Vector, focal: Vector, centre: Vector, distort: Sequence[float]) -> DataFrame:
+    """Add pixels u, v of camera-frame points under radial (k1, k2, k3) and tangential (p1, p2) distortion.
 
-    Null where the point lies in or behind the image plane.
+    Points in or behind the image plane drop out; cam_x, cam_y, cam_z are kept.
+    The one-element explode keeps a later filter on u or v above the projection,
+    where it would otherwise be pushed down with the whole formula written out.
     """
     k1, k2, p1, p2, k3 = distort
-    ahead = F.when(p[2] > 0, p[2])
-    x, y = p[0] / ahead, p[1] / ahead
-    r2 = x * x + y * y
-    radial = 1 + r2 * (k1 + r2 * (k2 + r2 * k3))
-    u = x * radial + 2 * p1 * x * y + p2 * (r2 + 2 * x * x)
-    v = y * radial + p1 * (r2 + 2 * y * y) + 2 * p2 * x * y
-    return [focal[0] * u + centre[0], focal[1] * v + centre[1]]
-
-
-def visible(pixel: Vector, p: Vector, width: int, height: int, margin: int = 2, min_dist2: float = 3.0) -> Column:
-    """Pixel inside the image by ``margin``, point ahead and not too near."""
-    inside = [
-        (c > margin) & (c < size - 1 - margin) for c, size in zip(pixel, (width, height))
-    ]
-    return inside[0] & inside[1] & (p[2] > 0) & (as_column(dot(p, p)) > min_dist2)
+    cam = ["cam_x", "cam_y", "cam_z"]
+    d = df.withColumns({n: as_column(c) for n, c in zip(cam, p)}).where("cam_z > 0")
+    d = d.withColumns({"_x": F.col("cam_x") / F.col("cam_z"), "_y": F.col("cam_y") / F.col("cam_z")})
+    x, y, r2 = F.col("_x"), F.col("_y"), F.col("_r2")
+    d = d.withColumn("_r2", x * x + y * y).withColumn("_radial", 1 + r2 * (k1 + r2 * (k2 + r2 * k3)))
+    u = x * F.col("_radial") + 2 * p1 * x * y + p2 * (r2 + 2 * x * x)
+    v = y * F.col("_radial") + p1 * (r2 + 2 * y * y) + 2 * p2 * x * y
+    pixel = F.struct((focal[0] * u + centre[0]).alias("u"), (focal[1] * v + centre[1]).alias("v"))
+    d = d.withColumn("_pixel", F.explode(F.array(pixel)))
+    return d.withColumns({"u": F.col("_pixel.u"), "v": F.col("_pixel.v")}).drop("_x", "_y", "_r2", "_radial", "_pixel")
+
+
+def visible(width: int, height: int, margin: int = 2, min_dist2: float = 3.0) -> Column:
+    """Pixel of :func:`with_pixels` inside the image by ``margin`` and point not too near."""
+    inside = [(F.col(c) > margin) & (F.col(c) < size - 1 - margin) for c, size in (("u", width), ("v", height))]
+    p = [F.col(c) for c in ("cam_x", "cam_y", "cam_z")]
+    return inside[0] & inside[1] & (as_column(dot(p, p)) > min_dist2)
 
 
 def pixel_ray(u: Column, v: Column, focal: Vector, centre: Vector) -> list[Column]:

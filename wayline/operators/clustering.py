@@ -48,28 +48,28 @@ def density_clusters(
 ) -> DataFrame:
     """Density clustering with noise dropped; ``cluster`` is the smallest id of a core point in it.
 
-    Cells are small enough that all points of one lie within ``eps``. A cell
-    with ``min_points`` is core as a whole and forms no pairs inside; only
-    points of thinner cells look at single neighbours. Cells are then linked
-    by the distance of their bounding boxes, and by points only where the boxes
-    leave it open. Components are found on cells, not on points.
-    A border point joins the smallest core cluster within reach.
+    Cells are small enough that all points of one lie within ``eps``. A crowded
+    cell (at least ``min_points``, and 16) is core as a whole and forms no pairs
+    inside; only points of thinner cells look at single neighbours. Crowded
+    cells are then linked by the distance of their bounding boxes, and by points
+    only where the boxes leave it open. Components are found on cells, not on
+    points. A border point joins the smallest core cluster within reach.
     """
     keys, coords = list(keys), list(coords)
-    dims = len(coords)
-    side = eps / math.sqrt(dims)
+    side = eps / math.sqrt(len(coords))
     names = spatial.cell_names(coords)
-    other = [f"_o{n}" for n in names]
+    crowd = max(min_points, 16)
     places = spatial.with_cell(points.groupBy(*keys, *coords).agg(F.min(ident).alias("_id"), F.count("*").alias("_n")), coords, side)
     sizes = places.groupBy(*keys, *names).agg(F.sum("_n").alias("_cell_n"))
     places = cut_lineage(places.join(sizes, [*keys, *names]))
-    dense = places.where(F.col("_cell_n") >= min_points)
-    thin = places.where(F.col("_cell_n") < min_points)
+    dense = places.where(F.col("_cell_n") >= crowd)
+    thin = places.where(F.col("_cell_n") < crowd)
 
     # single neighbours of points in thin cells
     q_names = [f"_q_{c}" for c in coords]
-    probes = spatial.with_neighbour_cells(thin.drop(*names), coords, side, reach=2)
-    seen = places.select(*keys, *names, F.col("_id").alias("_q"), F.col("_n").alias("_qn"), *[F.col(c).alias(n) for c, n in zip(coords, q_names)])
+    probes = spatial.with_cells_in_reach(thin.select(*keys, "_id", *coords), coords, 2 * eps, eps)
+    seen = spatial.with_cell(places.select(*keys, "_id", "_n", *coords), coords, 2 * eps)
+    seen = seen.select(*keys, *names, F.col("_id").alias("_q"), F.col("_n").alias("_qn"), *[F.col(c).alias(n) for c, n in zip(coords, q_names)])
     d2 = spatial.dist2([F.col(c) for c in coords], [F.col(n) for n in q_names])
     near = cut_lineage(probes.join(seen, [*keys, *names]).where(d2 <= eps * eps).select(*keys, "_id", "_q", "_qn"))
     thin_core = near.groupBy(*keys, "_id").agg(F.sum("_qn").alias("_reach")).where(F.col("_reach") >= min_points).select(*keys, "_id")
@@ -83,7 +83,7 @@ def density_clusters(
         .join(of.select(*keys, F.col("_id").alias("_q"), F.col("_node").alias("b")), [*keys, "_q"])
         .select("a", "b")
     )
-    links = thin_links.unionByName(_dense_links(core.where(F.col("_cell_n") >= min_points), keys, coords, side, eps))
+    links = thin_links.unionByName(_dense_links(core.where(F.col("_cell_n") >= crowd), keys, coords, side, eps))
     roots = connected_components(links.where("a <> b"))
     labelled = core.join(roots, core["_node"] == roots["node"], "left").select(*keys, "_id", F.coalesce("root", "_node").alias("cluster"))
     labelled = cut_lineage(labelled)

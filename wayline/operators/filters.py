@@ -65,12 +65,15 @@ def pass_through(limits: Mapping[str, tuple[float, float]]) -> Column:
 
 def radar_box_corners(radar: DataFrame, dist: str, lat: str, length: str, width: str) -> DataFrame:
     """Four rows per object: front then back, each right (+) then left; columns corner, cx, cy."""
-    d, y, l, w = F.col(dist), F.col(lat), F.col(length), F.col(width)
-    corner = [
-        F.struct(F.lit(i).alias("corner"), (d + l if front else d).alias("cx"), (y + w / 2 if right else y - w / 2).alias("cy"))
-        for i, (front, right) in enumerate([(True, True), (True, False), (False, True), (False, False)])
-    ]
-    return radar.withColumn("_corner", F.explode(F.array(*corner))).select("*", "_corner.*").drop("_corner")
+    out = radar.withColumn("corner", F.explode(F.array(*[F.lit(i) for i in range(4)])))
+    front, right = F.col("corner") < 2, F.col("corner") % 2 == 0
+    half = F.col(width) / 2
+    return out.withColumns(
+        {
+            "cx": F.when(front, F.col(dist) + F.col(length)).otherwise(F.col(dist)),
+            "cy": F.when(right, F.col(lat) + half).otherwise(F.col(lat) - half),
+        }
+    )
 
 
 def sample_lanes(lanes: DataFrame, per_metre: int = 3) -> DataFrame:

@@ -1,7 +1,7 @@
 """Spatial joins on grid cells: nearest neighbour, radius and k nearest.
 
 Space is cut into cells, and a search becomes an equi-join on (key, cell) with
-the cells around each probe. Equal positions are merged before any join. Where
+the cells in reach of each probe. Equal positions are merged before any join. Where
 only the nearest is asked for, small cells are searched first and only probes
 that find nothing go on to larger ones, so dense places never form all pairs.
 """
@@ -23,12 +23,16 @@ def with_cell(df: DataFrame, coords: Sequence[str], size: float) -> DataFrame:
     return df.withColumns({n: F.floor(F.col(c) / F.lit(float(size))) for n, c in zip(cell_names(coords), coords)})
 
 
-def with_neighbour_cells(df: DataFrame, coords: Sequence[str], size: float, reach: int = 1) -> DataFrame:
-    """One row per cell within ``reach`` of the row's own."""
+def with_cells_in_reach(df: DataFrame, coords: Sequence[str], size: float, radius: float) -> DataFrame:
+    """One row per cell that a box of ``radius`` around the row touches.
+
+    With cells of twice the radius these are two per axis: 8 probes in space,
+    where cells of one radius would need 27.
+    """
     out = df
     for n, c in zip(cell_names(coords), coords):
-        own = F.floor(F.col(c) / F.lit(float(size)))
-        out = out.withColumn(n, F.explode(F.sequence(own - reach, own + reach)))
+        low, high = (F.floor(e / F.lit(float(size))) for e in (F.col(c) - radius, F.col(c) + radius))
+        out = out.withColumn(n, F.explode(F.sequence(low, high)))
     return out
 
 
@@ -53,8 +57,8 @@ def nearest_within(
 ) -> DataFrame:
     """Nearest target of every source row, if nearer than ``tolerance``: columns target_id and ``dist``.
 
-    Exact: a target within the cell size of a level lies in the cells around
-    the probe, so a hit within that size is the nearest one overall. Ties go to
+    Exact: all targets within the radius of a level lie in the cells the probe
+    looks at, so a hit within that radius is the nearest one overall. Ties go to
     the smallest target id. ``extra`` columns count in the distance but not in
     the grid, which stays exact, as the distance can only grow by them.
     """
@@ -67,10 +71,10 @@ def nearest_within(
     found = None
     for i, level in enumerate(levels):
         size = tolerance / level
-        cells = with_cell(places, grid, size).select(
+        cells = with_cell(places, grid, 2 * size).select(
             *keys, *names, target_id, *[F.col(c).alias(t) for c, t in zip(coords, t_names)]
         )
-        probes = with_neighbour_cells(open_, grid, size)
+        probes = with_cells_in_reach(open_, grid, 2 * size, size)
         d2 = dist2([F.col(c) for c in coords], [F.col(t) for t in t_names])
         last = i == len(levels) - 1
         near = F.col("_d2") < size * size if last and strict else F.col("_d2") <= size * size
@@ -98,9 +102,9 @@ def radius_join(
     """
     keys, coords = list(keys), list(coords)
     names = cell_names(coords)
-    probes = with_neighbour_cells(centres, coords, radius)
+    probes = with_cells_in_reach(centres, coords, 2 * radius, radius)
     probes = probes.select(*keys, *names, *[F.col(c).alias(prefix + c) for c in centres.columns if c not in keys])
-    cells = with_cell(points, coords, radius)
+    cells = with_cell(points, coords, 2 * radius)
     d2 = dist2([F.col(prefix + c) for c in coords], [F.col(c) for c in coords])
     return (
         probes.join(cells, [*keys, *names]).withColumn("dist", F.sqrt(d2)).where(F.col("dist") <= radius).drop(*names)
@@ -110,9 +114,9 @@ def radius_join(
 def k_nearest(points: DataFrame, coords: Sequence[str], ident: str, k: int, start: float) -> DataFrame:
     """The k nearest points of each point (itself included): ident, ``rank`` and the neighbour's ``n_<coord>``.
 
-    Cell sizes grow from ``start`` by doubling; a point is done at the first
-    size that holds k neighbours within it, so the pairs per point stay near k.
-    The last size covers the whole extent, which settles every point.
+    Radii grow from ``start`` by doubling; a point is done at the first radius
+    that holds k neighbours, so the pairs per point stay near k. The last
+    radius covers the whole extent, which settles every point.
     """
     coords = list(coords)
     names, n_names = cell_names(coords), [f"n_{c}" for c in coords]
@@ -125,10 +129,10 @@ def k_nearest(points: DataFrame, coords: Sequence[str], ident: str, k: int, star
     open_, done, size = everything, None, float(start)
     while True:
         whole = size > (extent or 0.0) * len(coords)
-        cells = with_cell(everything, coords, size).select(*names, F.col(ident).alias("_n"), *[F.col(c).alias(n) for c, n in zip(coords, n_names)])
+        cells = with_cell(everything, coords, 2 * size).select(*names, F.col(ident).alias("_n"), *[F.col(c).alias(n) for c, n in zip(coords, n_names)])
         d2 = dist2([F.col(c) for c in coords], [F.col(n) for n in n_names])
         near = (
-            with_neighbour_cells(open_, coords, size)
+            with_cells_in_reach(open_, coords, 2 * size, size)
             .join(cells, names)
             .withColumn("_d2", d2)
             .where(F.col("_d2") <= size * size)

@@ -22,33 +22,32 @@ def downsample(points: DataFrame, size: float, fields: Sequence[str], keys: Sequ
     return with_voxel(points, size).groupBy(*keys, *VOXEL).agg(*[F.avg(f).alias(f) for f in fields], F.count("*").alias("n_points"))
 
 
-def ray_voxels(origin: Sequence[Column], end: Sequence[Column], size: float) -> Column:
-    """Voxels a ray passes through, without the one it ends in, as an array of structs.
+def explode_rays(df: DataFrame, origin: Sequence[Column], keep: Sequence[str], size: float) -> DataFrame:
+    """Voxels each ray from ``origin`` to x, y, z passes through, without the one it ends in: ``keep`` and vx, vy, vz.
 
     The ray is cut where it crosses a voxel face; the middle of each piece
-    names the voxel.
+    names the voxel. Every step is a column of its own, so nothing is computed twice.
     """
-    def crossings(o: Column, e: Column) -> Column:
-        a, b = F.floor(o / F.lit(float(size))), F.floor(e / F.lit(float(size)))
-        low, high = F.least(a, b) + 1, F.greatest(a, b)
+    names = [f"_o{a}" for a in AXES]
+    d = df.select(*dict.fromkeys([*keep, *AXES]), *[o.alias(n) for o, n in zip(origin, names)])
+    for a, n in zip(AXES, names):
+        lo, hi = F.floor(F.col(n) / F.lit(float(size))), F.floor(F.col(a) / F.lit(float(size)))
+        d = d.withColumns({f"_a{a}": F.least(lo, hi) + 1, f"_b{a}": F.greatest(lo, hi), f"_e{a}": hi, f"_d{a}": F.col(a) - F.col(n)})
+
+    def crossings(a: str, n: str) -> Column:
+        low, high = F.col(f"_a{a}"), F.col(f"_b{a}")
         faces = F.when(low <= high, F.sequence(low, F.greatest(high, low))).otherwise(F.array().cast("array<bigint>"))
-        return F.transform(faces, lambda k: (k * F.lit(float(size)) - o) / (e - o))
-
-    cuts = [F.array(F.lit(0.0), F.lit(1.0)), *[crossings(o, e) for o, e in zip(origin, end)]]
-    ts = F.array_sort(F.concat(*cuts))
-    pieces = F.zip_with(F.slice(ts, 1, F.size(ts) - 1), F.slice(ts, 2, F.size(ts) - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-    pieces = F.filter(pieces, lambda p: p["b"] - p["a"] > 1e-12)
-    crossed = F.transform(
-        pieces,
-        lambda p: F.struct(
-            *[
-                F.floor((o + (p["a"] + p["b"]) / 2 * (e - o)) / F.lit(float(size))).alias(v)
-                for v, o, e in zip(VOXEL, origin, end)
-            ]
-        ),
-    )
-    last = F.struct(*[F.floor(e / F.lit(float(size))).alias(v) for v, e in zip(VOXEL, end)])
-    return F.filter(crossed, lambda c: c != last)
+        return F.transform(faces, lambda k: (k * F.lit(float(size)) - F.col(n)) / F.col(f"_d{a}"))
+
+    cuts = F.concat(F.array(F.lit(0.0), F.lit(1.0)), *[crossings(a, n) for a, n in zip(AXES, names)])
+    d = d.withColumn("_ts", F.sort_array(cuts)).drop(*[f"_{p}{a}" for a in AXES for p in "ab"])
+    n = F.size("_ts") - 1
+    pairs = F.arrays_zip(F.slice("_ts", 1, n).alias("a"), F.slice("_ts", 2, n).alias("b"))
+    d = d.withColumn("_p", F.explode(pairs)).where(F.col("_p.b") - F.col("_p.a") > 1e-12)
+    middle = (F.col("_p.a") + F.col("_p.b")) / 2
+    d = d.withColumns({v: F.floor((F.col(o) + middle * F.col(f"_d{a}")) / F.lit(float(size))) for v, o, a in zip(VOXEL, names, AXES)})
+    own = (F.col("vx") == F.col("_ex")) & (F.col("vy") == F.col("_ey")) & (F.col("vz") == F.col("_ez"))
+    return d.where(~own).select(*keep, *VOXEL)
 
 
 def _clamp(value: Column, low: Column, high: Column) -> Column:
@@ -58,9 +57,7 @@ def _clamp(value: Column, low: Column, high: Column) -> Column:
 def scan_voxels(points: DataFrame, scan: str, origin: Sequence[Column], size: float) -> DataFrame:
     """One row per scan and voxel: ``hit`` where a return lies in it, else crossed by a ray only."""
     ends = with_voxel(points, size).select(scan, *VOXEL, F.lit(1).alias("_hit"))
-    crossed = points.select(scan, F.explode(ray_voxels(origin, [F.col(c) for c in AXES], size)).alias("_c")).select(
-        scan, *[F.col("_c")[v].alias(v) for v in VOXEL], F.lit(0).alias("_hit")
-    )
+    crossed = explode_rays(points, origin, [scan], size).withColumn("_hit", F.lit(0))
     return ends.unionByName(crossed).groupBy(scan, *VOXEL).agg((F.max("_hit") == 1).alias("hit"))
 
 
@@ -142,9 +139,7 @@ def split_static(points: DataFrame, voxels: DataFrame, size: float, static: bool
 def hide_occluded(samples: DataFrame, voxels: DataFrame, origin: Sequence[Column], size: float, ident: Sequence[str], gap: float = 3.0) -> DataFrame:
     """Drop samples whose ray from the camera meets an occupied voxel more than ``gap`` before the point."""
     occupied = voxels.where("log_odds > 0").select(*VOXEL)
-    path = samples.select(*ident, *AXES, F.explode(ray_voxels(origin, [F.col(c) for c in AXES], size)).alias("_c")).select(
-        *ident, *AXES, *[F.col("_c")[v].alias(v) for v in VOXEL]
-    )
+    path = explode_rays(samples, origin, [*ident, *AXES], size)
     away = [(F.col(v) + 0.5) * F.lit(float(size)) - F.col(a) for v, a in zip(VOXEL, AXES)]
     far = F.sqrt(away[0] * away[0] + away[1] * away[1] + away[2] * away[2]) > gap
     hidden = path.where(far).join(occupied, VOXEL, "left_semi").select(*ident).distinct()

@@ -210,12 +210,8 @@ SELECT point_id, sweep, {select_sql([('u', 'u'), ('v', 'v')], 3)} FROM e WHERE {
 )
 def camera_projection(spark, sf):
     p = rotation.mat_vec(TO_CAMERA, [F.col("x") - 2, F.col("y") - 50, F.col("z") - 5])
-    p = [rotation.as_column(c) for c in p]
-    pix = camera.project(p, FOCAL, CENTRE, DISTORT)
-    d = points(spark, sf).withColumns({"u": pix[0], "v": pix[1]})
-    return d.where(camera.visible([F.col("u"), F.col("v")], p, *IMAGE)).select(
-        "point_id", "sweep", *cols([("u", F.col("u")), ("v", F.col("v"))], 3)
-    )
+    d = camera.with_pixels(points(spark, sf).select("point_id", "sweep", "x", "y", "z"), p, FOCAL, CENTRE, DISTORT)
+    return d.where(camera.visible(*IMAGE)).select("point_id", "sweep", *cols([("u", F.col("u")), ("v", F.col("v"))], 3))
 
 
 PIXELS = ["(l_orderkey * 37) % 1280 AS u", "500 + (l_suppkey * 53 + l_linenumber) % 460 AS v"]
@@ -360,11 +356,9 @@ SELECT point_id, sweep, corner, {select_sql([('u', 'u'), ('v', 'v')], 2)} FROM e
 def radar_corners(spark, sf):
     r = points(spark, sf).selectExpr("point_id", "sweep", "x + 5 AS dist", "y - 50 AS lat", "z AS l", "intensity / 20 AS w")
     d = filters.radar_box_corners(r, "dist", "lat", "l", "w")
-    p = [rotation.as_column(c) for c in rotation.mat_vec(TO_CAMERA, [F.col("cx"), F.col("cy"), F.lit(-1.64)])]
-    pix = camera.project(p, FOCAL, CENTRE, DISTORT)
-    return d.withColumns({"u": pix[0], "v": pix[1]}).where(camera.visible([F.col("u"), F.col("v")], p, *IMAGE)).select(
-        "point_id", "sweep", "corner", *cols([("u", F.col("u")), ("v", F.col("v"))], 2)
-    )
+    p = rotation.mat_vec(TO_CAMERA, [F.col("cx"), F.col("cy"), F.lit(-1.64)])
+    d = camera.with_pixels(d, p, FOCAL, CENTRE, DISTORT).where(camera.visible(*IMAGE))
+    return d.select("point_id", "sweep", "corner", *cols([("u", F.col("u")), ("v", F.col("v"))], 2))
 
 
 @query(

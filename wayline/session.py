@@ -8,7 +8,9 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 
-def build_session(app: str = "wayline", master: str | None = None, shuffle_partitions: int | None = None) -> SparkSession:
+def build_session(
+    app: str = "wayline", master: str | None = None, shuffle_partitions: int | None = None, driver_memory: str | None = None
+) -> SparkSession:
     """A session with adaptive execution and UTC times; cluster settings win over these defaults."""
     builder = (
         SparkSession.builder.appName(app)
@@ -19,6 +21,8 @@ def build_session(app: str = "wayline", master: str | None = None, shuffle_parti
     )
     if master:
         builder = builder.master(master)
+    if driver_memory:  # takes effect only where this call starts the JVM (local runs)
+        builder = builder.config("spark.driver.memory", driver_memory)
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     return builder.getOrCreate()
