@@ -246,7 +246,7 @@ def labels_ahead(
     poses: DataFrame, lanes: DataFrame, keys: Sequence[str], frame: str, step: str, width: float,
     marks: Sequence[float] = tuple(range(10, 90, 10)), offset: float = 2.0, reach: int = 50,
 ) -> DataFrame:
-    """Future poses and the lane points beside them, in the frame of each pose: frame, mark, what, x, y, z.
+    """Future poses, the lane points beside them and their sideways vectors, in the frame of each pose: frame, mark, what, x, y, z.
 
     ``poses`` holds x, y, z, the rotation r00..r22 and the sideways vector. The
     lane point beside a pose is found once per pose, however many frames look at it.
@@ -260,11 +260,18 @@ def labels_ahead(
     d = d.join(own, [*keys, frame])
     m = [[F.col(f"r{i}{j}") for j in range(3)] for i in range(3)]
     seen = rotation.rigid_inverse(m, [F.col("o" + c) for c in XYZ], [F.col(c) for c in XYZ])
-    return d.select(*keys, frame, "mark", "what", *[rotation.as_column(s).alias(c) for s, c in zip(seen, XYZ)])
+    points = d.select(*keys, frame, "mark", "what", *[rotation.as_column(s).alias(c) for s, c in zip(seen, XYZ)])
+    across = poses.select(*keys, F.col(frame).alias("ahead"), "sx", "sy", "sz")
+    turned = rotation.mat_vec(rotation.transpose(m), [F.col("sx"), F.col("sy"), F.col("sz")])
+    v = ahead.join(across, [*keys, "ahead"]).join(own, [*keys, frame])
+    v = v.select(*keys, frame, "mark", F.lit("sideways").alias("what"), *[rotation.as_column(t).alias(c) for t, c in zip(turned, XYZ)])
+    return points.unionByName(v)
 
 
-def label_vectors(labels: DataFrame, keys: Sequence[str], frame: str, marks: Sequence[float], parts: Sequence[str] = ("left", "centre", "right")) -> DataFrame:
-    """One flat array per frame: left, centre and right x, y, z at each mark, in that order.
+def label_vectors(
+    labels: DataFrame, keys: Sequence[str], frame: str, marks: Sequence[float], parts: Sequence[str] = ("left", "centre", "right", "sideways")
+) -> DataFrame:
+    """One flat array per frame: left, centre, right and sideways x, y, z at each mark, in that order.
 
     The slots are fixed, so each is a plain maximum; no list is gathered.
     """
@@ -353,6 +360,8 @@ def resample_lanes(lanes: DataFrame, keys: Sequence[str], time: str, width: floa
         pdf = pdf.sort_values("pos")
         t, t0 = pdf[time].to_numpy(np.int64), int(pdf["_t0"].iloc[0])
         own = pdf["own"].to_numpy()
+        if not own.any():  # the halo past a lane's end
+            return pd.DataFrame(columns=[*keys, "seq", time, *XYZ])
         lo = t[own][0]
         after = t[np.flatnonzero(own)[-1] + 1 :]
         hi = after[0] if len(after) else t[-1] + 1  # up to the next block's first knot
@@ -427,3 +436,30 @@ def lane_error(lanes: DataFrame, measured: DataFrame, keys: Sequence[str], lane_
     own = lanes.select(*dict.fromkeys([*keys, *lane_keys]), *[F.col(c).alias(x) for c, x in zip(coords, XYZ)])
     near = spatial.nearest_within(own, measured, keys, XYZ, tolerance, ident)
     return blocks.grouped_median(near, lane_keys, ["dist"], tolerance / 16).withColumnRenamed("dist", "median_error")
+
+
+def rays_to_planes(
+    rays: DataFrame, planes: DataFrame, keys: Sequence[str], ray: str, plane: str, reach: float = 5.0, length: float = 100.0
+) -> DataFrame:
+    """Image rays (ox..oz, dx..dz) on the plane whose point lies nearest to the hit: ray, plane, x, y, z, dist.
+
+    Hits within ``length`` along the ray and ``reach`` of the plane's point
+    count. The ray is sampled every ``reach``; each sample looks at the cells
+    in which such a plane's point can lie.
+    """
+    keys = list(keys)
+    size = rotation.norm([F.col("d" + c) for c in XYZ])
+    r = rays.select(*keys, ray, *["o" + c for c in XYZ], *[(F.col("d" + c) / size).alias("d" + c) for c in XYZ])
+    steps = int(length // reach) + 1
+    s = r.withColumn("_step", F.explode(F.sequence(F.lit(0), F.lit(steps)))).withColumn("_at", F.col("_step") * F.lit(float(reach)))
+    s = s.withColumns({c: F.col("o" + c) + F.col("_at") * F.col("d" + c) for c in XYZ})
+    wide = 1.5 * reach
+    probes = spatial.with_cells_in_reach(s, XYZ, 2 * wide, wide).select(*r.columns, *spatial.cell_names(XYZ)).distinct()
+    at = spatial.with_cell(planes.select(*keys, plane, *["n" + c for c in XYZ], *[F.col("p" + c).alias(c) for c in XYZ]), XYZ, 2 * wide)
+    d = probes.join(at, [*keys, *spatial.cell_names(XYZ)])
+    gap = rotation.dot([F.col(c) - F.col("o" + c) for c in XYZ], [F.col("n" + c) for c in XYZ])
+    d = d.withColumn("_t", F.try_divide(gap, rotation.dot([F.col("d" + c) for c in XYZ], [F.col("n" + c) for c in XYZ])))
+    d = d.where(F.col("_t").between(0.0, length)).withColumns({f"_h{c}": F.col("o" + c) + F.col("_t") * F.col("d" + c) for c in XYZ})
+    d = d.withColumn("_d", F.sqrt(spatial.dist2([F.col(f"_h{c}") for c in XYZ], [F.col(c) for c in XYZ]))).where(F.col("_d") <= reach)
+    best = d.groupBy(*keys, ray).agg(F.min(F.struct("_d", plane, *[F.col(f"_h{c}").alias(c) for c in XYZ])).alias("_b"))
+    return best.select(*keys, ray, *[F.col("_b")[c].alias(c) for c in (plane, *XYZ)], F.col("_b._d").alias("dist"))

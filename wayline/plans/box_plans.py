@@ -210,9 +210,6 @@ def recall_by_width(spark, sf):
     return matching.recall_by_width(side(spark, sf, "F"), side(spark, sf, "O"), FRAME, "box_id")
 
 
-RADAR_SQL = "boxes WHERE side = 'O'"
-
-
 @query(
     "radar_association",
     f"""WITH {BOXES}, b AS (SELECT frame, box_id, box_id % 20 AS track, frame // 50 AS block, (x1 + x2) / 2 AS u, y2 AS v FROM boxes WHERE side = 'F'),
@@ -247,6 +244,20 @@ def miss_rates(spark, sf):
     return ops.miss_rates(d, "w", F.col("_seen").isNull(), 20).select("bin", "n", "n_missing", q(F.col("miss_rate"), 6).alias("miss_rate"))
 
 
+@query(
+    "radar_miss_rates",
+    f"""WITH {BOXES}, d AS (SELECT score AS w, EXISTS (SELECT 1 FROM boxes b WHERE b.frame = a.frame AND b.side = 'F' AND b.box_id % 7 = a.track_id % 7) AS found FROM boxes a WHERE side = 'O'),
+l AS (SELECT min(w) AS lo, max(w) AS hi FROM d), e AS (SELECT least(CAST(floor((w - lo) / (hi - lo) * 10) AS BIGINT) + 1, 10) AS bin, found FROM d, l)
+SELECT bin, CAST(count(*) AS BIGINT) AS n, CAST(count_if(NOT found) AS BIGINT) AS n_missing, {qs('count_if(NOT found) / count(*)', 6)} AS miss_rate FROM e GROUP BY bin""",
+)
+def radar_miss_rates(spark, sf):
+    """The other way round: radar objects without a box, by distance."""
+    r = side(spark, sf, "O").select("frame", (F.col("track_id") % 7).alias("radar_id"), F.col("score").alias("dist"))
+    b = side(spark, sf, "F").select("frame", (F.col("box_id") % 7).alias("radar_id"), F.lit(True).alias("_seen")).distinct()
+    d = r.join(b, ["frame", "radar_id"], "left")
+    return ops.miss_rates(d, "dist", F.col("_seen").isNull(), 10).select("bin", "n", "n_missing", q(F.col("miss_rate"), 6).alias("miss_rate"))
+
+
 MATCHES = ["l_suppkey AS box", "l_quantity AS x_a", "l_discount * 100 AS y_a", "l_quantity * 1.1e0 + l_tax * 400 AS x_b", "l_discount * 110 + l_linenumber AS y_b", "l_orderkey AS row_id"]
 MATCH_CTE = f"m AS (SELECT {', '.join(MATCHES)} FROM lineitem)"
 
@@ -297,7 +308,6 @@ def similarity_motion(spark, sf):
     return d.select("box", "n", *[q(F.col(c), 5).alias(c) for c in ("scale", "shift_x", "shift_y")])
 
 
-TRACKED = ["l_suppkey AS seq", "l_partkey % 400 AS frame", "l_linenumber AS track", "l_linestatus AS side"]
 TRACK_BOX = BOXES.replace("l_partkey AS frame", "l_suppkey % 10 AS seq, l_partkey % 500 AS frame").replace("l_orderkey AS track_id", "l_suppkey % 7 AS track_id")
 
 
@@ -344,12 +354,12 @@ def track_ids(spark, sf):
     return matching.assign_track_ids(t, ["seq"], "frame", "box_id").select("seq", "frame", "box_id", "track_id")
 
 
-LANE_PIX = "lane AS (SELECT l_partkey AS frame, l_linenumber % 2 AS side, (l_orderkey * 8 + l_linenumber) * 100000 + l_suppkey AS seq, l_quantity * 10 AS u, l_extendedprice / 100 AS v, 5 + l_discount * 500 AS z FROM lineitem WHERE l_linestatus = 'O')"
+LANE_PIX = "lane AS (SELECT l_partkey AS frame, l_linenumber % 2 AS side, ((l_orderkey * 8 + l_linenumber) * 2000 + l_suppkey) * 64 + CAST(l_quantity AS BIGINT) AS seq, l_quantity * 10 AS u, l_extendedprice / 100 AS v, 5 + l_discount * 500 AS z FROM lineitem WHERE l_linestatus = 'O')"
 
 
 def lane_pixels(spark, sf):
     return table(spark, sf, "lineitem").where("l_linestatus = 'O'").selectExpr(
-        "l_partkey AS frame", "l_linenumber % 2 AS side", "(l_orderkey * 8 + l_linenumber) * 100000 + l_suppkey AS seq",
+        "l_partkey AS frame", "l_linenumber % 2 AS side", "((l_orderkey * 8 + l_linenumber) * 2000 + l_suppkey) * 64 + CAST(l_quantity AS BIGINT) AS seq",
         "l_quantity * 10 AS u", "l_extendedprice / 100 AS v", "5 + l_discount * 500 AS z",
     )
 

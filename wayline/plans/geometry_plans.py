@@ -215,7 +215,7 @@ def camera_projection(spark, sf):
 
 
 PIXELS = ["(l_orderkey * 37) % 1280 AS u", "500 + (l_suppkey * 53 + l_linenumber) % 460 AS v"]
-LINE_ID = "(l_orderkey * 8 + l_linenumber) * 100000 + l_suppkey AS point_id"
+LINE_ID = "((l_orderkey * 8 + l_linenumber) * 2000 + l_suppkey) * 64 + CAST(l_quantity AS BIGINT) AS point_id"
 
 
 @query(

@@ -30,7 +30,7 @@ POSE_COLUMNS = [
 # boxes: a part is a frame, 'F' lines are truths and 'O' lines detections
 BOX_COLUMNS = [
     "l_partkey AS frame",
-    "(l_orderkey * 8 + l_linenumber) * 100000 + l_suppkey AS box_id",
+    "((l_orderkey * 8 + l_linenumber) * 2000 + l_suppkey) * 64 + CAST(l_quantity AS BIGINT) AS box_id",
     "l_linestatus AS side",
     "l_quantity * 10 AS x1",
     "l_extendedprice / 100 AS y1",
@@ -44,7 +44,7 @@ BOX_COLUMNS = [
 # points of a cloud: a part is a sweep, an order line a return
 POINT_COLUMNS = [
     "l_partkey AS sweep",
-    "(l_orderkey * 8 + l_linenumber) * 100000 + l_suppkey AS point_id",
+    "((l_orderkey * 8 + l_linenumber) * 2000 + l_suppkey) * 64 + CAST(l_quantity AS BIGINT) AS point_id",
     "l_quantity AS x",
     "l_extendedprice / 1000 AS y",
     "l_discount * 100 AS z",

@@ -248,6 +248,29 @@ def plane_snapping(spark, sf):
     return d.select("run_id", "idx", "plane", *[q(F.col(c)).alias(c) for c in ("offset", "x_flat", "y_flat", "z_flat")])
 
 
+@query(
+    "rays_on_planes",
+    f"""WITH {LANES}, pl AS (SELECT seq AS plane, run_id, x, y, z, 0.6e0 AS nx, 0e0 AS ny, 0.8e0 AS nz FROM lane),
+r0 AS (SELECT run_id, idx, x AS ox, y AS oy, z + 20 AS oz, (idx % 13 - 6) / 10e0 AS a, (idx % 11 - 5) / 10e0 AS b, -1e0 AS c FROM pts),
+r AS (SELECT run_id, idx, ox, oy, oz, a / sqrt(a * a + b * b + c * c) AS dx, b / sqrt(a * a + b * b + c * c) AS dy, c / sqrt(a * a + b * b + c * c) AS dz FROM r0),
+t AS (SELECT r.*, pl.plane, pl.x, pl.y, pl.z, ((pl.x - ox) * nx + (pl.y - oy) * ny + (pl.z - oz) * nz) / nullif(dx * nx + dy * ny + dz * nz, 0) AS t FROM r JOIN pl ON r.run_id = pl.run_id),
+h AS (SELECT *, sqrt((ox + t * dx - x) * (ox + t * dx - x) + (oy + t * dy - y) * (oy + t * dy - y) + (oz + t * dz - z) * (oz + t * dz - z)) AS d FROM t WHERE t BETWEEN 0 AND 60)
+SELECT run_id, idx, plane, {select_sql([('x', 'ox + t * dx'), ('y', 'oy + t * dy'), ('z', 'oz + t * dz'), ('dist', 'd')])} FROM h WHERE d <= 12 QUALIFY row_number() OVER (PARTITION BY idx ORDER BY d, plane) = 1""",
+)
+def rays_on_planes(spark, sf):
+    lane, pts = lane_tables(spark, sf)
+    planes = lane.select(
+        F.col("seq").alias("plane"), "run_id", *[F.col(c).alias("p" + c) for c in XYZ],
+        F.lit(0.6).alias("nx"), F.lit(0.0).alias("ny"), F.lit(0.8).alias("nz"),
+    )
+    rays = pts.select(
+        "run_id", "idx", F.col("x").alias("ox"), F.col("y").alias("oy"), (F.col("z") + 20).alias("oz"),
+        ((F.col("idx") % 13 - 6) / F.lit(10.0)).alias("dx"), ((F.col("idx") % 11 - 5) / F.lit(10.0)).alias("dy"), F.lit(-1.0).alias("dz"),
+    )
+    d = lanes.rays_to_planes(rays, planes, ["run_id"], "idx", "plane", 12.0, 60.0)
+    return d.select("run_id", "idx", "plane", *[q(F.col(c)).alias(c) for c in (*XYZ, "dist")])
+
+
 HALF = 2 * DAY_US
 
 
@@ -343,7 +366,8 @@ ahead AS (SELECT * FROM ahead0 QUALIFY count(*) OVER (PARTITION BY run_id, frame
 lanes2 AS (SELECT run_id, frame, unnest(['left', 'right']) AS side, x + unnest([3e0, -3e0]) AS x, y, z FROM pose1),
 beside AS (SELECT a.run_id, a.frame, b.side, b.x, b.y, b.z FROM pose1 a JOIN lanes2 b ON a.run_id = b.run_id AND b.frame >= a.frame - 5 AND b.frame < a.frame + 5 QUALIFY row_number() OVER (PARTITION BY a.run_id, a.frame, b.side ORDER BY {LINE_D}, b.frame) = 1),
 goal AS (SELECT run_id, frame, side AS what, x, y, z FROM beside UNION ALL SELECT run_id, frame, 'centre', x, y, z FROM pose1),
-labels AS (SELECT h.run_id, h.frame, h.mark, g.what, {', '.join(f'o.r0{i} * (g.x - o.x) + o.r1{i} * (g.y - o.y) + o.r2{i} * (g.z - o.z) AS {c}' for i, c in enumerate(XYZ))} FROM ahead h JOIN goal g ON h.run_id = g.run_id AND h.ahead = g.frame JOIN pose1 o ON o.run_id = h.run_id AND o.frame = h.frame)"""
+labels AS (SELECT h.run_id, h.frame, h.mark, g.what, {', '.join(f'o.r0{i} * (g.x - o.x) + o.r1{i} * (g.y - o.y) + o.r2{i} * (g.z - o.z) AS {c}' for i, c in enumerate(XYZ))} FROM ahead h JOIN goal g ON h.run_id = g.run_id AND h.ahead = g.frame JOIN pose1 o ON o.run_id = h.run_id AND o.frame = h.frame
+ UNION ALL SELECT h.run_id, h.frame, h.mark, 'sideways', {', '.join(f'o.r0{i} * g.sx + o.r1{i} * g.sy + o.r2{i} * g.sz' for i in range(3))} FROM ahead h JOIN pose1 g ON h.run_id = g.run_id AND h.ahead = g.frame JOIN pose1 o ON o.run_id = h.run_id AND o.frame = h.frame)"""
 MARKS = (10.0, 20.0, 30.0)
 
 
@@ -369,12 +393,12 @@ def labels_ahead(spark, sf):
 
 @query(
     "label_vectors",
-    f"""WITH {AHEAD}, v AS (SELECT run_id, frame, count(*) AS n, {', '.join(f"max(CASE WHEN what = '{w}' AND mark = {m}e0 THEN {c} END) AS s{i}" for i, (w, m, c) in enumerate((w, m, c) for w in ('left', 'centre', 'right') for m in (10, 20, 30) for c in XYZ))} FROM labels GROUP BY ALL)
-SELECT run_id, frame, CAST(27 AS INTEGER) AS size, {qs('s0')} AS first_value, {qs('s13')} AS middle_value, {qs('s26')} AS last_value FROM v""",
+    f"""WITH {AHEAD}, v AS (SELECT run_id, frame, count(*) AS n, {', '.join(f"max(CASE WHEN what = '{w}' AND mark = {m}e0 THEN {c} END) AS s{i}" for i, (w, m, c) in enumerate((w, m, c) for w in ('left', 'centre', 'right', 'sideways') for m in (10, 20, 30) for c in XYZ))} FROM labels GROUP BY ALL)
+SELECT run_id, frame, CAST(36 AS INTEGER) AS size, {qs('s0')} AS first_value, {qs('s13')} AS middle_value, {qs('s35')} AS last_value FROM v""",
 )
 def label_vectors(spark, sf):
     d = lanes.label_vectors(ahead_labels(spark, sf), ["run_id"], "frame", MARKS)
-    at = {"first_value": 1, "middle_value": 14, "last_value": 27}
+    at = {"first_value": 1, "middle_value": 14, "last_value": 36}
     return d.select("run_id", "frame", F.size("label").alias("size"), *[q(F.element_at("label", i)).alias(n) for n, i in at.items()])
 
 
