@@ -57,39 +57,46 @@ def row_index(df: DataFrame, keys: Sequence[str], order: Sequence[str], width: f
     return running_sum(df, keys, order, {name: F.lit(1).cast("bigint")}, width)
 
 
-def _fill(df, keys, order, values, width, include_current, forward):
+def fill_around(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    width: float,
+    last: Mapping[str, Column] | None = None,
+    following: Mapping[str, Column] | None = None,
+    include_current: bool = True,
+) -> DataFrame:
+    """Nearest non-null values before (``last``) and after (``following``) each row, in one pass over the blocks."""
     keys, order = list(keys), list(order)
+    last, following = dict(last or {}), dict(following or {})
+    values = {**last, **following}
     over_blocks, in_block = _windows(keys, order)
-    near = 0 if include_current else (-1 if forward else 1)
-    if forward:
-        pick, edge = F.last, F.max_by
-        inside = in_block.rowsBetween(W.unboundedPreceding, near)
-        outside = over_blocks.rowsBetween(W.unboundedPreceding, -1)
-    else:
-        pick, edge = F.first, F.min_by
-        inside = in_block.rowsBetween(near, W.unboundedFollowing)
-        outside = over_blocks.rowsBetween(1, W.unboundedFollowing)
-    d = with_block(df, order[0], width).withColumns({f"_v_{n}": c for n, c in values.items()})
+    near = 0 if include_current else 1
     rank = F.struct(*order)
+    # per direction: picker, edge row of a block, frame inside the block, frame over the other blocks
+    back = (F.last, F.max_by, in_block.rowsBetween(W.unboundedPreceding, -near), over_blocks.rowsBetween(W.unboundedPreceding, -1))
+    ahead = (F.first, F.min_by, in_block.rowsBetween(near, W.unboundedFollowing), over_blocks.rowsBetween(1, W.unboundedFollowing))
+    way = {n: back if n in last else ahead for n in values}
+    d = with_block(df, order[0], width).withColumns({f"_v_{n}": c for n, c in values.items()})
     carried = (
         d.groupBy(*keys, BLOCK)
-        .agg(*[edge(F.col(f"_v_{n}"), F.when(F.col(f"_v_{n}").isNotNull(), rank)).alias(f"_e_{n}") for n in values])
-        .select(*keys, BLOCK, *[pick(f"_e_{n}", ignorenulls=True).over(outside).alias(f"_o_{n}") for n in values])
+        .agg(*[way[n][1](F.col(f"_v_{n}"), F.when(F.col(f"_v_{n}").isNotNull(), rank)).alias(f"_e_{n}") for n in values])
+        .select(*keys, BLOCK, *[way[n][0](f"_e_{n}", ignorenulls=True).over(way[n][3]).alias(f"_o_{n}") for n in values])
     )
     out = d.join(carried, [*keys, BLOCK]).withColumns(
-        {n: F.coalesce(pick(f"_v_{n}", ignorenulls=True).over(inside), F.col(f"_o_{n}")) for n in values}
+        {n: F.coalesce(way[n][0](f"_v_{n}", ignorenulls=True).over(way[n][2]), F.col(f"_o_{n}")) for n in values}
     )
     return out.drop(BLOCK, *[p + n for n in values for p in ("_v_", "_o_")])
 
 
 def fill_last(df, keys, order, values: Mapping[str, Column], width: float, include_current: bool = True) -> DataFrame:
     """Last non-null value at or before the row (before it when ``include_current`` is off)."""
-    return _fill(df, keys, order, values, width, include_current, forward=True)
+    return fill_around(df, keys, order, width, last=values, include_current=include_current)
 
 
 def fill_next(df, keys, order, values: Mapping[str, Column], width: float, include_current: bool = True) -> DataFrame:
     """First non-null value at or after the row."""
-    return _fill(df, keys, order, values, width, include_current, forward=False)
+    return fill_around(df, keys, order, width, following=values, include_current=include_current)
 
 
 def previous_row(df, keys, order, cols: Sequence[str], width: float, name: str = "prev") -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from wayline.functions import rotation
 from wayline.operators import blocks, segments, spatial, timejoin
+from wayline.session import cut_lineage
 
 XYZ = ["x", "y", "z"]
 
@@ -152,16 +153,15 @@ def ego_lane_trace(
     ``window`` poses and added back. Sides without any hit drop out.
     """
     keys = list(keys)
-    hits = across_hits(poses, points, keys, pose, ident, along, limit)
+    hits = cut_lineage(across_hits(poses, points, keys, pose, ident, along, limit))  # one row per pose and side
     sides = hits.select(*keys, "side").distinct()
     d = poses.select(*keys, pose, *order, *XYZ).join(sides, keys).join(
         hits.select(*keys, pose, "side", "dx", "dy", "dz"), [*keys, pose, "side"], "left"
     )
     k = [*keys, "side"]
     d = blocks.row_index(d, k, order, width, "_no")
-    value = {"_v": F.when(F.col("dx").isNotNull(), F.struct("_no", "dx", "dy", "dz"))}
-    d = blocks.fill_last(d, k, order, {"_p": value["_v"]}, width)
-    d = blocks.fill_next(d, k, order, {"_n": value["_v"]}, width)
+    known = F.when(F.col("dx").isNotNull(), F.struct("_no", "dx", "dy", "dz"))
+    d = blocks.fill_around(d, k, order, width, last={"_p": known}, following={"_n": known})
     gap = F.col("_n._no") - F.col("_p._no")
     f = F.when(gap > 0, (F.col("_no") - F.col("_p._no")) / gap).otherwise(F.lit(0.0))
     filled = {

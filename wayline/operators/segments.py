@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from wayline.operators import blocks
 
@@ -113,46 +113,27 @@ def order_violations(items: DataFrame, keys: Sequence[str], position: str, index
 def moving_average(
     series: DataFrame, keys: Sequence[str], order: Sequence[str], cols: Sequence[str], width: float, window: int = 51, scale: int = 1_000_000
 ) -> DataFrame:
-    """Centred mean over ``window`` rows; beyond the ends the edge value repeats.
+    """Centred mean over ``window`` rows; beyond the ends the edge value repeats. Adds ``<col>_avg`` columns.
 
-    Rows are numbered, and the mean is a difference of running sums at two row
-    numbers, so a window may cross blocks. The running sums are exact: values
-    are summed as whole ``1/scale`` units. Adds ``<col>_avg`` columns.
+    Rows go into blocks of consecutive rows that also hold half a window of both
+    neighbours, so a row misses rows of its window only at the series' ends.
+    Values are summed as whole ``1/scale`` units, which is exact in any order.
     """
-    keys, half = list(keys), window // 2
-    units = {f"_u_{c}": F.round(F.col(c) * scale).cast("bigint") for c in cols}
-    d = blocks.running_sum(
-        series.withColumns(units), keys, order, {"_rn": F.lit(1).cast("bigint"), **{f"_c_{c}": F.col(f"_u_{c}") for c in cols}}, width
-    )
-    ends = d.groupBy(*keys).agg(
-        F.max("_rn").alias("_n"),
-        *[F.min_by(f"_u_{c}", "_rn").alias(f"_first_{c}") for c in cols],
-        *[F.max_by(f"_u_{c}", "_rn").alias(f"_last_{c}") for c in cols],
-    )
-    sums = d.select(*keys, "_rn", *[f"_c_{c}" for c in cols])
-    d = d.join(ends, keys)
-
-    def at(offset_row: Column, tag: str, frame: DataFrame) -> DataFrame:
-        look = sums.select(*keys, F.col("_rn").alias("_want"), *[F.col(f"_c_{c}").alias(f"_{tag}_{c}") for c in cols])
-        return frame.withColumn("_want", offset_row).join(look, [*keys, "_want"], "left").drop("_want")
-
-    d = at(F.least(F.col("_rn") + half, F.col("_n")), "hi", d)
-    d = at(F.col("_rn") - half - 1, "lo", d)
-    over = F.greatest(F.col("_rn") + half - F.col("_n"), F.lit(0))
-    under = F.greatest(F.lit(half + 1) - F.col("_rn"), F.lit(0))
-    out = d.withColumns(
-        {
-            f"{c}_avg": (
-                F.col(f"_hi_{c}")
-                - F.coalesce(F.col(f"_lo_{c}"), F.lit(0))
-                + over * F.col(f"_last_{c}")
-                + under * F.col(f"_first_{c}")
-            )
-            / F.lit(float(window * scale))
-            for c in cols
-        }
-    )
-    return out.select(*series.columns, *[f"{c}_avg" for c in cols])
+    keys, order, half = list(keys), list(order), window // 2
+    d = blocks.halo_blocks(series, keys, order, width, max(4096, window), half)
+    d = d.withColumns({f"_u_{c}": F.round(F.col(c) * scale).cast("bigint") for c in cols})
+    w = W.partitionBy(*keys, "block").orderBy("pos").rowsBetween(-half, half)
+    w_before = W.partitionBy(*keys, "block").orderBy("pos").rowsBetween(-half, -1)
+    w_after = W.partitionBy(*keys, "block").orderBy("pos").rowsBetween(1, half)
+    d = d.withColumns({"_under": half - F.count("pos").over(w_before), "_over": half - F.count("pos").over(w_after)})
+    sums = {
+        f"{c}_avg": (
+            F.sum(f"_u_{c}").over(w) + F.col("_under") * F.first(f"_u_{c}").over(w) + F.col("_over") * F.last(f"_u_{c}").over(w)
+        )
+        / F.lit(float(window * scale))
+        for c in cols
+    }
+    return d.withColumns(sums).where("own").select(*series.columns, *sums)
 
 
 def differences(series: DataFrame, keys: Sequence[str], order: Sequence[str], cols: Sequence[str], width: float) -> DataFrame:
@@ -186,11 +167,9 @@ def smooth_derivative(
 
 def range_jumps(points: DataFrame, keys: Sequence[str], angle: str, tie: str, distance: str, width: float) -> DataFrame:
     """How far a return lies in front of its neighbours on the same laser (``jump``)."""
-    order = [angle, tie]
-    d = blocks.previous_row(points, keys, order, [distance], width, "_before")
-    d = blocks.next_row(d, keys, order, [distance], width, "_after")
     here, zero = F.col(distance), F.lit(0.0)
-    jump = F.greatest(
-        F.coalesce(F.col("_before")[distance] - here, zero), F.coalesce(F.col("_after")[distance] - here, zero), zero
+    d = blocks.fill_around(
+        points, keys, [angle, tie], width, last={"_before": here}, following={"_after": here}, include_current=False
     )
+    jump = F.greatest(F.coalesce(F.col("_before") - here, zero), F.coalesce(F.col("_after") - here, zero), zero)
     return d.withColumn("jump", jump).drop("_before", "_after")

@@ -9,6 +9,7 @@ from wayline.operators import blocks, filters, lanes, registration, smoothing, s
 from wayline.plans.geometry_plans import R_NAMES, attitude_sql, dot_sql, select_sql
 from wayline.plans.inputs import DAY_US, POINTS, POSES, VECTORS, points, poses, q, qs, table, vectors
 from wayline.plans.registry import query
+from wayline.session import cut_lineage
 
 XYZ = ["x", "y", "z"]
 BLOCK_US = 5 * DAY_US
@@ -424,7 +425,7 @@ def resampled_lanes(spark, sf):
 @query("fixed_lanes")
 def fixed_lanes(spark, sf):
     lane, pts = lane_tables(spark, sf)
-    d = lanes.fix_lanes(lane.drop("t_us"), pts.drop("t_us"), ["run_id"], ["run_id", "lane_no"], "seq", "idx", 20000, limit=5.0)
+    d = cut_lineage(lanes.fix_lanes(lane.drop("t_us"), pts.drop("t_us"), ["run_id"], ["run_id", "lane_no"], "seq", "idx", 20000, limit=5.0))
     k = ["run_id", "lane_no"]
     before = lanes.lane_error(d, pts, ["run_id"], k, "idx", 30.0).withColumnRenamed("median_error", "error_before")
     after = lanes.lane_error(d, pts, ["run_id"], k, "idx", 30.0, [f"{c}_fixed" for c in XYZ]).withColumnRenamed("median_error", "error_after")
