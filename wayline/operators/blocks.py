@@ -14,6 +14,8 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from wayline.session import cut_lineage
+
 BLOCK = "_blk"
 
 
@@ -33,8 +35,12 @@ def running_sum(
     values: Mapping[str, Column],
     width: float,
     inclusive: bool = True,
+    totals: Mapping[str, str] | None = None,
 ) -> DataFrame:
-    """Cumulative sums in order; ``inclusive=False`` leaves out the row itself."""
+    """Cumulative sums in order; ``inclusive=False`` leaves out the row itself.
+
+    ``totals`` names further columns for the whole key's sum of a value.
+    """
     keys, order = list(keys), list(order)
     over_blocks, in_block = _windows(keys, order)
     before = over_blocks.rowsBetween(W.unboundedPreceding, -1)
@@ -43,7 +49,12 @@ def running_sum(
     offsets = (
         d.groupBy(*keys, BLOCK)
         .agg(*[F.sum(f"_v_{n}").alias(f"_s_{n}") for n in values])
-        .select(*keys, BLOCK, *[F.sum(f"_s_{n}").over(before).alias(f"_o_{n}") for n in values])
+        .select(
+            *keys,
+            BLOCK,
+            *[F.sum(f"_s_{n}").over(before).alias(f"_o_{n}") for n in values],
+            *[F.sum(f"_s_{n}").over(W.partitionBy(*keys)).alias(t) for n, t in (totals or {}).items()],
+        )
     )
     zero = F.lit(0)
     out = d.join(offsets, [*keys, BLOCK]).withColumns(
@@ -122,10 +133,10 @@ def grouped_median(
         *keys,
         F.explode(F.array(*[F.struct(F.lit(v).alias("_name"), F.col(v).cast("double").alias("_x")) for v in values])).alias("_s"),
     ).select(*keys, "_s._name", "_s._x").where(F.col("_x").isNotNull())
-    counts = long.groupBy(*keys, "_name", "_x").agg(F.count("*").alias("_n"))
+    # written once: the running counts read it twice, and what led here is often a join
+    counts = cut_lineage(long.groupBy(*keys, "_name", "_x").agg(F.count("*").alias("_n")))
     k = [*keys, "_name"]
-    cum = running_sum(counts, k, ["_x"], {"_cum": F.col("_n")}, width)
-    total = counts.groupBy(*k).agg(F.sum("_n").alias("_total"))
+    cum = running_sum(counts, k, ["_x"], {"_cum": F.col("_n")}, width, totals={"_cum": "_total"})
     lo, hi = F.floor((F.col("_total") + 1) / 2), F.floor(F.col("_total") / 2) + 1
     start = F.col("_cum") - F.col("_n")
 
@@ -133,8 +144,7 @@ def grouped_median(
         return (start < pos) & (F.col("_cum") >= pos)
 
     mid = (
-        cum.join(total, k)
-        .where(holds(hi) if upper else holds(lo) | holds(hi))
+        cum.where(holds(hi) if upper else holds(lo) | holds(hi))
         .groupBy(*k)
         .agg(((F.min("_x") + F.max("_x")) / 2).alias("_m"))
     )
