@@ -8,37 +8,43 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from wayline import schemas
 
-NUMBER = r"[-+]?[0-9.]+(?:[eE][-+]?[0-9]+)?"
-BOX = rf"\(\s*({NUMBER})\s*,\s*({NUMBER})\s*,\s*({NUMBER})\s*,\s*({NUMBER})\s*\)(?::({NUMBER}))?(?:/(\d+))?"
-
-
 def parse_lines(lines: DataFrame, text: str = "value") -> DataFrame:
     """``"name@frame": (x1, y1, x2, y2):score/silhouette, ...;`` to one row per box.
 
     Coordinates are rounded, the frame is -1 when absent, and an image without
     boxes gives one row with a null box number.
     """
-    whole = F.regexp_extract(text, r'^"([^"]*)"', 1)
-    marked = F.regexp_extract(whole, r"^(.*?)/?@(\d+)$", 1)
-    d = lines.withColumns(
+    d = lines.withColumn("_name", F.substring_index(F.substring(F.col(text), 2, 1 << 20), '"', 1))
+    d = d.where(F.col(text).startswith('"') & (F.col("_name") != ""))
+    number = F.substring_index("_name", "@", -1)
+    d = d.withColumn("_frame", F.when(F.col("_name").contains("@"), number.try_cast("bigint")))
+    before = F.expr("substring(_name, 1, length(_name) - length(substring_index(_name, '@', -1)) - 1)")
+    # every box opens with a bracket; the rest of its text up to the next one holds all of it
+    rest = F.expr(f"substring({text}, length(_name) + 3)")
+    pieces = F.split(rest, r"\(")
+    d = d.withColumns(
         {
-            "image": F.when(marked != "", marked).otherwise(whole),
-            "frame": F.coalesce(F.regexp_extract(whole, r"@(\d+)$", 1).try_cast("bigint"), F.lit(-1)),
-            "_boxes": F.regexp_extract_all(text, F.lit(BOX), F.lit(0)),
+            "image": F.when(F.col("_frame").isNotNull(), F.regexp_replace(before, "/$", "")).otherwise(F.col("_name")),
+            "frame": F.coalesce("_frame", F.lit(-1)),
+            "_pieces": F.slice(pieces, 2, F.size(pieces)),
         }
-    ).where(whole != "")
-    d = d.select("*", F.posexplode_outer("_boxes").alias("box_no", "_box")).drop("_boxes", text)
+    )
+    d = d.select("*", F.posexplode_outer("_pieces").alias("box_no", "_piece")).drop("_pieces", "_name", "_frame", text)
+    d = d.withColumn("_parts", F.split(F.translate("_piece", " );\r", ""), ","))
+    d = d.withColumn("_tail", F.get("_parts", F.lit(3)))
+    plain = F.substring_index("_tail", "/", 1)
 
-    def part(i):
-        return F.regexp_extract("_box", BOX, i).try_cast("double")
+    def number_at(i):
+        return F.rint(F.get("_parts", F.lit(i)).try_cast("double"))
 
     return d.withColumns(
         {
-            **{c: F.rint(part(i + 1)) for i, c in enumerate(("x1", "y1", "x2", "y2"))},
-            "score": part(5),
-            "silhouette": F.regexp_extract("_box", BOX, 6).try_cast("int"),
+            **{c: number_at(i) for i, c in enumerate(("x1", "y1", "x2"))},
+            "y2": F.rint(F.substring_index(plain, ":", 1).try_cast("double")),
+            "score": F.when(plain.contains(":"), F.substring_index(plain, ":", -1).try_cast("double")),
+            "silhouette": F.when(F.col("_tail").contains("/"), F.substring_index("_tail", "/", -1).try_cast("int")),
         }
-    ).drop("_box")
+    ).drop("_piece", "_parts", "_tail")
 
 
 def read_line_lists(spark: SparkSession, path: str) -> DataFrame:
