@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
-from itertools import product
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -116,15 +115,20 @@ def _dense_links(core: DataFrame, keys, coords, side: float, eps: float, parts:
     """Pairs of neighbouring dense cells that hold points within ``eps`` of each other."""
     keys, coords = list(keys), list(coords)
     names = spatial.cell_names(coords)
-    half = [s for s in product(range(-2, 3), repeat=len(coords)) if s > (0,) * len(coords)]
     limit = eps * eps
 
     def prefixed(df, prefix):
         return df.select(*keys, *[F.col(c).alias(prefix + c) for c in df.columns if c not in keys])
 
     cells = _boxes(core, [*keys, *names, "_node"], coords)
-    shifts = F.array(*[F.struct(*[(F.col("p_" + n) + s).alias("q_" + n) for n, s in zip(names, shift)]) for shift in half])
-    left = prefixed(cells, "p_").withColumn("_s", F.explode(shifts)).select("*", "_s.*").drop("_s")
+    left = prefixed(cells, "p_")
+    for n in names:
+        left = left.withColumn("q_" + n, F.explode(F.sequence(F.col("p_" + n) - 2, F.col("p_" + n) + 2)))
+
+    def place(p):
+        return F.struct(*[F.col(p + n).alias(n) for n in names])
+
+    left = left.where(place("q_") > place("p_"))  # each pair of cells once
     pairs = left.join(prefixed(cells, "q_"), [*keys, *["q_" + n for n in names]])
     least, most = _box_gap(coords, "p_", "q_")
     pairs = cut_lineage(
