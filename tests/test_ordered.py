@@ -61,11 +61,6 @@ def test_medians(spark, values, median, upper):
     assert blocks.grouped_median(d, ["k"], ["x"], 1.5, upper=True).first().x == upper
 
 
-def frames(spark):
-    sweeps = spark.createDataFrame([("r", t) for t in (100, 200, 300)], "run string, s bigint")
-    return sweeps
-
-
 def test_asof_known_answers(spark):
     sweeps = spark.createDataFrame([("r", t) for t in (100, 200, 300)], "run string, s bigint")
     asked = spark.createDataFrame([("r", n, t) for n, t in enumerate((50, 100, 250, 300))], "run string, n int, t bigint")

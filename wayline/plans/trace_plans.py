@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from wayline.functions import rotation
-from wayline.operators import blocks, filters, lanes, registration, smoothing, spatial, timejoin, trace
-from wayline.plans.geometry_plans import R_NAMES, attitude_sql, dot_sql, select_sql
-from wayline.plans.inputs import DAY_US, POINTS, POSES, VECTORS, points, poses, q, qs, table, vectors
+from wayline.operators import blocks, filters, lanes, registration, smoothing, spatial, trace
+from wayline.plans.geometry_plans import R_NAMES, attitude_sql, select_sql
+from wayline.plans.inputs import DAY_US, POSES, VECTORS, points, poses, q, qs, table, vectors
 from wayline.plans.registry import query
 from wayline.session import cut_lineage
 
