@@ -8,8 +8,9 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from wayline.plans import load_all
 
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
+QUERIES, ORACLES = load_all()
 
 
 @pytest.fixture(scope="module")
