@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from wayline.llm import language, packing, quality, tokencount
+from wayline.llm import language, mixing, packing, quality, simhash, tokencount, warc
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -29,12 +29,35 @@ def op2_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict_languages(docs, net).withColumn("held_out", held_out)
 
 
+@query
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Copies of every document under target shares that go with the square root of a source's size."""
+    return mixing.mixed_copies(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op3_mixing"] = mixing.MIX_SQL
+
+
+@query
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and group of every document: three-word shingles, at most two differing bits."""
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 @query
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in sequences of at most 4096 tokens."""
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+@query
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to deduplicated archives and read back."""
+    folder = warc.new_folder(spark)
+    warc.write_archives(table(spark, sf_dir, "pages"), folder)
+    return warc.resolved_records(warc.read_archives(spark, folder))
+
+
 @query
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words and greedy word pieces of every document."""
