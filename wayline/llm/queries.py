@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from wayline.llm import language, mixing, packing, quality, simhash, tokencount, warc
+from wayline.llm import language, mixing, packing, quality, simhash, tokencount, urls, warc
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -58,6 +58,15 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.resolved_records(warc.read_archives(spark, folder))
 
 
+@query
+def op8_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on every page's URL."""
+    return urls.judge_urls(table(spark, sf_dir, "pages"))
+
+
+ORACLES["op8_urls"] = urls.URLS_SQL
+
+
 @query
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words and greedy word pieces of every document."""
