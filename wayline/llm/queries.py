@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from wayline.llm import language, mixing, packing, quality, simhash, tokencount, urls, warc
+from wayline.llm import language, merkle, mixing, packing, quality, simhash, tokencount, urls, warc
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -44,6 +44,15 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+@query
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Merkle fingerprints of every document and of its edited text."""
+    return merkle.edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op5_fingerprints"] = merkle.MERKLE_SQL
+
+
 @query
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in sequences of at most 4096 tokens."""
