@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from wayline.llm import language, merkle, mixing, packing, quality, simhash, tokencount, urls, warc
+from wayline.llm import language, licences, merkle, mixing, packing, quality, simhash, tokencount, urls, warc
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -20,6 +20,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query
+def op1_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence family of every document and the paragraph that shows it."""
+    docs = table(spark, sf_dir, "documents")
+    return licences.scan(docs, licences.train(docs))
+
+
 @query
 def op2_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document; trained on those whose crc32 is not 2 modulo 4."""
