@@ -154,8 +154,8 @@ def train(docs: DataFrame, text: str = "text", most: int = 2000, variants: int =
 
 
 def _bound(found: Column, values: dict[str, float]) -> Column:
-    """At least the sum of the values of the grams in an array: each counts as the next power of two."""
-    levels = [2.0**p for p in range(-5, 8)]
+    """At least the sum of the values of the grams in an array: each counts as the next of a few levels."""
+    levels = [2.0 ** (p / 2) for p in range(-6, 16)]
     groups = {high: [g for g, v in values.items() if low < v <= high] for low, high in zip([0.0, *levels], [*levels, math.inf], strict=True)}
 
     def value(gram: Column) -> Column:
@@ -182,23 +182,17 @@ def scan(docs: DataFrame, model: LicenceModel, ident: str = "doc_id", text: str
     k = len(model.classes)
     lead = {g: max(0.0, *(w[c] - w[0] for c in range(1, k))) for g, w in model.weights.items()}
     wanted = model.bias[0] - max(model.bias[1:])
-    # a pair needs both its words: its bound goes to the word that tells more, for a first test by words alone
+    # a pair needs both its words: its bound goes to the longer, mostly rarer one, for a first test by words alone
     by_word = {g: v for g, v in lead.items() if " " not in g}
     first = dict(by_word)
     for g, v in lead.items():
         if " " in g:
-            first[max(g.split(" "), key=lambda w: (by_word[w], w))] += v
-
-    # the words that together cannot make up for the biases; a paragraph needs one of the others
-    telling, sum_of = sorted(first, key=lambda w: (first[w], w)), 0.0
-    while telling and sum_of + first[telling[0]] < wanted:
-        sum_of += first[telling.pop(0)]
+            first[max(g.split(" "), key=lambda w: (len(w), by_word[w]))] += v
 
     row, par = free_name(docs, "_row"), F.col("p")
     lines = docs.select(F.col(ident).alias("doc_id"), F.monotonically_increasing_id().alias(row), F.split(F.coalesce(F.col(text), F.lit("")), "\n").alias("lines"))
     marked = F.transform("lines", lambda x, i: F.struct(i.alias("no"), words(x).alias("ws")))
-    likely = F.filter(marked, lambda p: F.exists(p["ws"], lambda w: w.isin(telling))) if wanted > 0 else marked
-    likely = F.filter(likely, lambda p: _bound(F.array_distinct(F.filter(p["ws"], lambda w: w.isin(list(by_word)))), first) >= wanted)
+    likely = F.filter(marked, lambda p: _bound(F.array_distinct(F.filter(p["ws"], lambda w: w.isin(list(by_word)))), first) >= wanted)
     known = F.transform(likely, lambda p: F.struct(p["no"].alias("no"), F.filter(grams(p["ws"]), lambda g: g.isin(list(model.weights))).alias("grams")))
     opened = F.filter(known, lambda p: _bound(p["grams"], lead) >= wanted)
     n_lines = F.size(F.filter("lines", lambda x: F.trim(x) != ""))
@@ -261,8 +255,8 @@ def train(docs: DataFrame, text: str = "text", most: int = 2000, variants: int =
 
 
 def _bound(found: Column, values: dict[str, float]) -> Column:
-    """At least the sum of the values of the grams in an array: each counts as the next power of two."""
-    levels = [2.0**p for p in range(-5, 8)]
+    """At least the sum of the values of the grams in an array: each counts as the next of a few levels."""
+    levels = [2.0 ** (p / 2) for p in range(-6, 16)]
     groups = {high: [g for g, v in values.items() if low < v <= high] for low, high in zip([0.0, *levels], [*levels, math.inf], strict=True)}
 
     def value(gram: Column) -> Column:
@@ -289,7 +283,7 @@ def scan(docs: DataFrame, model: LicenceModel, ident: str = "doc_id", text: str
     k = len(model.classes)
     lead = {g: max(0.0, *(w[c] - w[0] for c in range(1, k))) for g, w in model.weights.items()}
     wanted = model.bias[0] - max(model.bias[1:])
-    levels = [2.0**p for p in range(-5, 8)]
+    levels = [2.0 ** (p / 2) for p in range(-6, 16)]
     bounds = {b: [g for g, v in lead.items() if low < v <= b] for low, b in zip([0.0, *levels], [*levels, math.inf])}
 
     def bound(gram: Column) -> Column:
@@ -305,17 +299,14 @@ def scan(docs: DataFrame, model: LicenceModel, ident: str = "doc_id", text: str
     known = F.transform(filled, lambda p: F.struct(p["no"].alias("no"), F.filter(grams(p["ws"]), lambda g: g.isin(list(model.weights))).alias("grams")))
     opened = F.filter(known, lambda p: F.aggregate(p["grams"], F.lit(0.0), lambda total, g: total + bound(g)) >= wanted)
     cut = lines.select("doc_id", row, F.size(filled).alias("n_paragraphs"), F.explode_outer(opened).alias("p"))
-    forms = [r["g"] for r in template_table(spark, templates).orderBy("template").select(grams(words(F.col("text"))).alias("g")).collect()]
-    share = [F.size(F.array_intersect(par["grams"], F.array(*map(F.lit, f)))) / max(1, len(f)) for f in forms]
-    cut = cut.withColumn("likes", F.when(par.isNotNull(), F.array(*share)))
     table = json.dumps([{"gram": g} | {f"w{c}": w[c] for c in range(k)} for g, w in sorted(model.weights.items())])
     kind = "array<struct<gram string, " + ", ".join(f"w{c} double" for c in range(k)) + ">>"
     weights = spark.range(1).select(F.inline(F.from_json(F.lit(table), kind)))  # as long as the templates' vocabulary
     scored = (
-        cut.select("doc_id", row, "n_paragraphs", par["no"].alias("no"), "likes", F.explode_outer(par["grams"]).alias("gram"))
+        cut.select("doc_id", row, "n_paragraphs", par["no"].alias("no"), par["grams"].alias("grams"), F.explode_outer(par["grams"]).alias("gram"))
         .join(F.broadcast(weights), "gram", "left")
         .groupBy("doc_id", row, "n_paragraphs", "no")
-        .agg(F.first("likes").alias("likes"), *[F.coalesce(F.sum(f"w{c}"), F.lit(0.0)).alias(f"z{c}") for c in range(k)])
+        .agg(F.first("grams").alias("grams"), *[F.coalesce(F.sum(f"w{c}"), F.lit(0.0)).alias(f"z{c}") for c in range(k)])
     )
     z = [(F.col(f"z{c}") + model.bias[c]) / model.temperature for c in range(k)]
     top = F.greatest(*z)
@@ -325,10 +316,15 @@ def scan(docs: DataFrame, model: LicenceModel, ident: str = "doc_id", text: str
     best = F.array_position("probs", F.array_max("probs")).cast("int") - 1
     names = F.array(*map(F.lit, model.classes))
     scored = scored.withColumn("best", best).withColumn("predicted", F.get(names, F.col("best"))).withColumn("probability", F.array_max("probs"))
-    of_family = F.transform("likes", lambda s, i: F.struct(F.when(F.get(F.array(*[F.lit(f) for f, _ in templates]), i) == F.col("predicted"), s).otherwise(-1.0).alias("s"), (-i).alias("i")))
-    scored = scored.withColumn("like", F.array_max(of_family))
     # a left-out paragraph and a paragraph-free document have no number and are none
     is_licence = F.col("no").isNotNull() & (F.col("best") > 0)
+    # only predicted licences are held against the templates of their family
+    forms = [r["g"] for r in template_table(spark, templates).orderBy("template").select(grams(words(F.col("text"))).alias("g")).collect()]
+    likes = [
+        F.struct(F.when(F.col("predicted") == f, F.size(F.array_intersect("grams", F.array(*map(F.lit, g)))) / max(1, len(g))).otherwise(-1.0).alias("s"), F.lit(-i).alias("i"))
+        for i, ((f, _), g) in enumerate(zip(templates, forms, strict=True))
+    ]
+    scored = scored.withColumn("like", F.when(is_licence, F.greatest(*likes)))
     sure = (F.col("probability") >= model.threshold) & (F.col("like.s") >= confirm)
     one = F.struct(
         F.when(~is_licence, 0).when(sure, 2).otherwise(1).alias("rank"), F.when(is_licence, F.col("probability")).alias("probability"), (-F.col("no")).alias("no"),
