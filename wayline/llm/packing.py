@@ -25,7 +25,7 @@ LENGTH = 4096
 #: words whose ids a Python worker remembers
 REMEMBERED = 500_000
 
-PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
+PIECES = "start long, length long, ids_crc32 long, doc_tokens long"
 
 
 class WordIds(dict):
@@ -87,19 +87,17 @@ def pieces(docs: DataFrame, ident: str = "doc_id", text: str = "text", tokenizer
         words = word_ids(tokenizer)
         for b in batches:
             rows = []
-            for doc, t in zip(b["d"].astype("object"), b["t"], strict=True):
+            for doc, t in zip(b["d"], b["t"], strict=True):
                 data = (words.ids(t) if t else b"") + end
                 n = len(data) // 4
-                doc = None if pd.isna(doc) else int(doc)
                 for at in range(0, n, length):
                     cut = data[4 * at : 4 * (at + length)]
                     rows.append((doc, at, len(cut) // 4, zlib.crc32(cut), n))
-            out = pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
-            out["doc_id"] = out["doc_id"].astype("Int64")
-            yield out
+            yield pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
-    # a large double would lose digits of ids next to nulls: ids cross as strings only where they may be null
-    return docs.select(F.col(ident).cast("string").alias("d"), F.col(text).alias("t")).mapInPandas(run, PIECES)
+    # pandas turns whole numbers next to nulls into doubles, which lose digits: ids cross as strings
+    cut = docs.select(F.col(ident).cast("string").alias("d"), F.col(text).alias("t")).mapInPandas(run, f"doc_id string, {PIECES}")
+    return cut.withColumn("doc_id", F.col("doc_id").cast("bigint"))
 
 
 class Tournament:
@@ -161,7 +159,8 @@ def pack(cut: DataFrame, length: int = LENGTH, group_tokens: int = 8_000_000, se
         return group.assign(sequence_id=(group["_group"].to_numpy() << 32) + sequence, offset=offset)[names]
 
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
-    return dealt.groupBy("_group").applyInPandas(run, f"{PIECES}, sequence_id long, offset long")
+    placed = dealt.withColumn("doc_id", F.col("doc_id").cast("string")).groupBy("_group").applyInPandas(run, f"doc_id string, {PIECES}, sequence_id long, offset long")
+    return placed.withColumn("doc_id", F.col("doc_id").cast("bigint"))
 
 
 def pack_documents(docs: DataFrame, length: int = LENGTH, **kind) -> DataFrame:

@@ -21,7 +21,7 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 END = "\r\n\r\n"
 
 RECORDS = (
-    "page_id long, record_type string, record_id string, refers_to_id string, target string, "
+    "page_id string, record_type string, record_id string, refers_to_id string, target string, "
     "payload_digest string, stored_bytes long, intact boolean, payload string"
 )
 
@@ -131,17 +131,17 @@ def read_archives(spark: SparkSession, folder: str, with_payload: bool = False)
                     kind, digest = head["warc-type"], head["warc-payload-digest"].removeprefix("sha1:")
                     page = head["x-page-id"]
                     rows.append((
-                        None if page == "none" else int(page), kind, head["warc-record-id"], head.get("warc-refers-to"), head["warc-target-uri"], digest, len(body),
+                        None if page == "none" else page, kind, head["warc-record-id"], head.get("warc-refers-to"), head["warc-target-uri"], digest, len(body),
                         kind == "revisit" or base64.b32encode(hashlib.sha1(body).digest()).decode() == digest,
                         body.decode("utf-8") if with_payload and kind == "response" else None,
                     ))
                     if len(rows) == 5000:
-                        yield pd.DataFrame(rows, columns=names).astype({"page_id": "Int64"})
+                        yield pd.DataFrame(rows, columns=names)
                         rows = []
-                yield pd.DataFrame(rows, columns=names).astype({"page_id": "Int64"})
+                yield pd.DataFrame(rows, columns=names)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(folder).select("content")
-    return files.mapInPandas(run, RECORDS)
+    return files.mapInPandas(run, RECORDS).withColumn("page_id", F.col("page_id").cast("bigint"))
 
 
 def resolved_records(records: DataFrame) -> DataFrame:
