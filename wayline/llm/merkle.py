@@ -104,6 +104,10 @@ def next_documents(docs: DataFrame) -> DataFrame:
     return inside.join(F.broadcast(ends), "part").select("doc_id", "rn", "n", F.coalesce("next", "after").alias("next")).select("doc_id", "rn", "n", "next.*")
 
 
+def _never_null(ident: str) -> Column:
+    return F.coalesce(F.col(ident).cast("string"), F.lit("none"))
+
+
 def edited_fingerprints(docs: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFrame:
     """Fingerprints of every text and of its edited text, whose last half comes from the next document; see the contract.
 
@@ -113,17 +117,18 @@ def edited_fingerprints(docs: DataFrame, ident: str = "doc_id", text: str = "tex
     """
     whole = docs.select(F.col(ident).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     whole = whole.withColumns({"n": F.length("text").cast("bigint"), "h": F.xxhash64("text")})
-    number = F.row_number().over(Window.partitionBy("doc_id").orderBy("n", "h"))
-    follow = cut_lineage(next_documents(whole.select("doc_id", "n", "h").withColumn("rn", number).select("doc_id", "rn", "n")))
-    texts = whole.withColumn("rn", number).select("doc_id", "rn", "n", "text", fingerprint(F.col("text")).alias("fingerprint"))
-    need = follow.select(F.col("next_id").alias("doc_id"), "next_rn", F.col("doc_id").alias("to_id"), F.col("rn").alias("to_rn"), F.floor(F.col("n") / 2).alias("need"))
-    # the number is compared outside the join's keys, so that the partitioning by id serves the window and both joins
-    given = texts.join(need, texts["doc_id"].eqNullSafe(need["doc_id"]) & (texts["rn"] - need["next_rn"] == 0))
-    given = given.select("to_id", "to_rn", F.expr("left(text, cast(need AS INT))").alias("tail"), F.col("fingerprint").alias("next_print"))
-    both = texts.join(given, texts["doc_id"].eqNullSafe(given["to_id"]) & (texts["rn"] - given["to_rn"] == 0))
+    ids = whole.select("doc_id", "n", "h").withColumn("rn", F.row_number().over(Window.partitionBy("doc_id").orderBy("n", "h")))
+    follow = cut_lineage(next_documents(ids.select("doc_id", "rn", "n")))
+    # one shuffle by a key without nulls serves the numbering and both joins: a row's number is compared outside the keys
+    number = F.row_number().over(Window.partitionBy("key").orderBy("n", "h"))
+    texts = whole.select(_never_null("doc_id").alias("key"), "text", "n", "h").withColumn("rn", number)
+    need = follow.select(_never_null("next_id").alias("from_key"), "next_rn", _never_null("doc_id").alias("to_key"), F.col("rn").alias("to_rn"), F.floor(F.col("n") / 2).alias("need"))
+    given = texts.join(need, (F.col("key") == F.col("from_key")) & (F.col("rn") - F.col("next_rn") == 0))
+    given = given.select("to_key", "to_rn", F.expr("left(text, cast(need AS INT))").alias("tail"), fingerprint(F.col("text")).alias("next_print"))
+    both = texts.join(given, (F.col("key") == F.col("to_key")) & (F.col("rn") - F.col("to_rn") == 0)).withColumn("fingerprint", fingerprint(F.col("text")))
     edited = F.concat(F.expr("left(text, cast(n - floor(n / 2) AS INT))"), F.col("tail"))
     out = both.withColumn("_edited", edited).select(
-        "doc_id", F.col("n").alias("n_chars"), F.sha2(F.col("_edited"), 256).alias("edited_sha256"), "fingerprint", fingerprint(F.col("_edited")).alias("edited_fingerprint"), "next_print"
+        F.expr("try_cast(key AS BIGINT)").alias("doc_id"), F.col("n").alias("n_chars"), F.sha2(F.col("_edited"), 256).alias("edited_sha256"), "fingerprint", fingerprint(F.col("_edited")).alias("edited_fingerprint"), "next_print"
     )
     return out.withColumns(
         {
