@@ -44,20 +44,123 @@ def test_whittaker_against_a_dense_solve():
         assert np.allclose(lanes.whittaker(v, w, np.array([3.0, 50.0]))[:, k], want)
 
 
-def test_smoother_is_surer_than_the_filter_and_blocks_agree(spark):
-    rng = random.Random(4)
-    rows, x = [], 0.0
-    for i in range(700):
-        x += 1 + rng.gauss(0, 0.2)
-        rows.append(("r", i, x, x / 2, rng.gauss(0, 1), 0.1 if i % 5 == 0 else None))
-    d = spark.createDataFrame(rows, "run string, t bigint, x double, y double, z double, i double")
-    d = d.withColumns({c: F.col("i") for c in ("ix", "iy", "iz")}).drop("i")
-    whole = {r.t: r for r in smoothing.smooth_trajectory(d, ["run"], ["t"], 100, block_rows=1000, halo=1000).collect()}
-    cut = {r.t: r for r in smoothing.smooth_trajectory(d, ["run"], ["t"], 100, block_rows=300, halo=200).collect()}
-    assert len(whole) == len(cut) == 700
-    for t, r in whole.items():
-        assert r.var_s_x <= r.var_f_x + 1e-9
-        assert cut[t].x_s == pytest.approx(r.x_s, abs=1e-6)
+def plain_smoother(pos: np.ndarray, scan: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Filtered and smoothed positions and their variances, (n, 3) each.
+
+    State per axis: position and velocity, one step a row. The INS position is
+    seen at every row, the scan-matched one (pos + increment) where it is not nan.
+    """
+    n = len(pos)
+    step = np.abs(np.diff(pos, axis=0, prepend=pos[:1]))
+    m = np.zeros((n, 3, 2))
+    p = np.zeros((n, 3, 2, 2))
+    pred_m, pred_p = m.copy(), p.copy()
+    a = np.array([[1.0, 1.0], [0.0, 1.0]])
+    m[0, :, 0] = pos[0]
+    m[0, :, 1] = pos[1] - pos[0] if n > 1 else 0.0
+    p[0, :, 0, 0] = smoothing.START_VAR
+    p[0, :, 1, 1] = smoothing.VELOCITY_VAR
+    for t in range(1, n):
+        mean = m[t - 1] @ a.T
+        cov = a @ p[t - 1] @ a.T
+        cov[:, 0, 0] += 10 * step[t]
+        cov[:, 1, 1] += step[t]
+        pred_m[t], pred_p[t] = mean, cov
+        for z, var in ((pos[t], smoothing.INS_VAR), (scan[t], smoothing.SCAN_VAR)):
+            if np.isnan(z).any():
+                continue
+            gain = cov[:, :, 0] / (cov[:, 0, 0] + var)[:, None]
+            mean = mean + gain * (z - mean[:, 0])[:, None]
+            cov = cov - gain[:, :, None] * cov[:, None, 0, :]
+        m[t], p[t] = mean, cov
+    sm, sp = m.copy(), p.copy()
+    for t in range(n - 2, -1, -1):
+        gain = p[t] @ a.T @ np.linalg.pinv(pred_p[t + 1])
+        sm[t] = m[t] + np.einsum("kij,kj->ki", gain, sm[t + 1] - pred_m[t + 1])
+        sp[t] = p[t] + gain @ (sp[t + 1] - pred_p[t + 1]) @ gain.transpose(0, 2, 1)
+    return m[:, :, 0], p[:, :, 0, 0], sm[:, :, 0], sp[:, :, 0, 0]
+
+
+def drive(rng, n):
+    """A car that moves, stands for half of the way and moves again; every fifth row has a scan match."""
+    pos = np.cumsum(rng.normal(0.3, 0.4, (n, 3)), axis=0)
+    pos[n // 4 : 3 * n // 4] = pos[n // 4]
+    inc = np.full((n, 3), np.nan)
+    inc[::5] = rng.normal(0, 0.1, (len(inc[::5]), 3))
+    return pos, inc
+
+
+@pytest.mark.parametrize("block_rows", [50, 333, 8192])
+def test_smoother_is_the_same_for_all_blocks(spark, block_rows):
+    rng = np.random.default_rng(2)
+    runs = {"a": drive(rng, 900), "b": drive(rng, 101), "one": drive(rng, 1), "two": drive(rng, 2)}
+    rows = [(r, i, *map(float, p), *[None if np.isnan(v) else float(v) for v in inc]) for r, (ps, incs) in runs.items() for i, (p, inc) in enumerate(zip(ps, incs))]
+    d = spark.createDataFrame(rows, "run string, t bigint, x double, y double, z double, ix double, iy double, iz double")
+    got = smoothing.smooth_trajectory(d, ["run"], ["t"], 100, block_rows=block_rows).toPandas()
+    assert len(got) == len(rows)
+    for r, (pos, inc) in runs.items():
+        g = got[got["run"] == r].sort_values("t")
+        f, vf, sm, vs = plain_smoother(pos, pos + inc)
+        assert np.allclose(g[["x_f", "y_f", "z_f"]], f, rtol=0, atol=1e-9) and np.allclose(g[["x_s", "y_s", "z_s"]], sm, rtol=0, atol=1e-9)
+        assert np.allclose(g[["var_f_x", "var_f_y", "var_f_z"]], vf, rtol=0, atol=1e-9) and np.allclose(g[["var_s_x", "var_s_y", "var_s_z"]], vs, rtol=0, atol=1e-9)
+        assert (g["var_s_x"] <= g["var_f_x"] + 1e-9).all()
+
+
+def plain_bias_corrected(gps: np.ndarray, velocity: np.ndarray, dt: float, gps_var: float, rounds: int = 100) -> tuple[np.ndarray, np.ndarray]:
+    """Positions x and biases b of one axis that minimise odometry, bias-drift and GPS residuals, \\|b\\| <= 2.
+
+    The normal equations are block tridiagonal in (x_t, b_t). Biases beyond the
+    limit are fixed there and freed again when their gradient points inward.
+    """
+    n = len(gps)
+    wo, wb, wg = 1 / smoothing.ODOMETRY_VAR, 1 / smoothing.BIAS_VAR, 1 / gps_var
+    diag = np.zeros((n, 2, 2))
+    rhs = np.zeros((n, 2))
+    diag += wg * np.array([[1.0, -1.0], [-1.0, 1.0]])
+    rhs[:, 0] += wg * gps
+    rhs[:, 1] -= wg * gps
+    diag[1:, 0, 0] += wo
+    diag[:-1, 0, 0] += wo
+    rhs[1:, 0] += wo * velocity[:-1] * dt
+    rhs[:-1, 0] -= wo * velocity[:-1] * dt
+    diag[1:, 1, 1] += wb
+    diag[:-1, 1, 1] += wb * smoothing.BIAS_DECAY**2
+    off = np.array([[-wo, 0.0], [0.0, -wb * smoothing.BIAS_DECAY]])  # between t and t + 1
+    fixed = np.full(n, np.nan)
+    x = np.zeros((n, 2))
+    for _ in range(rounds):
+        held = ~np.isnan(fixed)
+        d, r = diag.copy(), rhs.copy()
+        left = np.tile(off, (max(n - 1, 0), 1, 1))
+        if held.any():
+            b = np.where(held, fixed, 0.0)
+            r[:, 0] -= d[:, 0, 1] * b
+            r[1:, 1] -= off[1, 1] * b[:-1]
+            r[:-1, 1] -= off[1, 1] * b[1:]
+            d[held, 0, 1] = d[held, 1, 0] = 0.0
+            d[held, 1, 1] = 1.0
+            r[held, 1] = fixed[held]
+            cut = held[:-1] | held[1:]
+            left[cut, 1, 1] = 0.0
+        for t in range(1, n):
+            f = left[t - 1] @ np.linalg.inv(d[t - 1])
+            d[t] -= f @ left[t - 1]
+            r[t] -= f @ r[t - 1]
+        x[n - 1] = np.linalg.solve(d[n - 1], r[n - 1])
+        for t in range(n - 2, -1, -1):
+            x[t] = np.linalg.solve(d[t], r[t] - left[t] @ x[t + 1])
+        b = x[:, 1]
+        grad = diag[:, 1, 0] * x[:, 0] + diag[:, 1, 1] * b - rhs[:, 1]
+        grad[1:] += off[1, 1] * b[:-1]
+        grad[:-1] += off[1, 1] * b[1:]
+        new = fixed.copy()
+        new[~held & (b > smoothing.BIAS_LIMIT + 1e-9)] = smoothing.BIAS_LIMIT
+        new[~held & (b < -smoothing.BIAS_LIMIT - 1e-9)] = -smoothing.BIAS_LIMIT
+        new[held & (fixed * grad > 1e-9)] = np.nan
+        if np.array_equal(np.isnan(new), np.isnan(fixed)):
+            break
+        fixed = new
+    return x[:, 0], np.clip(x[:, 1], -smoothing.BIAS_LIMIT, smoothing.BIAS_LIMIT)
 
 
 def objective(gps, vel, dt, g, x, b):
@@ -69,7 +172,7 @@ def objective(gps, vel, dt, g, x, b):
 def test_bias_correction_is_optimal_within_its_limit():
     rng = np.random.default_rng(1)
     gps, vel = np.cumsum(rng.normal(0, 3, 60)), rng.normal(0, 1, 60)
-    x, b = smoothing.bias_corrected(gps, vel, 0.02, 0.5)
+    x, b = plain_bias_corrected(gps, vel, 0.02, 0.5)
     assert np.abs(b).max() <= smoothing.BIAS_LIMIT
     base = objective(gps, vel, 0.02, 0.5, x, b)
     for _ in range(300):
@@ -77,6 +180,31 @@ def test_bias_correction_is_optimal_within_its_limit():
         assert objective(gps, vel, 0.02, 0.5, x + dx, np.clip(b + db, -2, 2)) >= base - 1e-9
 
 
+@pytest.mark.parametrize("block_rows", [50, 333, 8192])
+def test_bias_correction_is_the_same_for_all_blocks(spark, block_rows):
+    rng = np.random.default_rng(6)
+    runs = {r: (np.cumsum(rng.normal(0, 3, (n, 3)), axis=0), rng.normal(0, 1, (n, 3))) for r, n in (("a", 700), ("b", 51), ("one", 1), ("two", 2))}
+    rows = [(r, i, *map(float, g), *map(float, v)) for r, (gs, vs) in runs.items() for i, (g, v) in enumerate(zip(gs, vs))]
+    d = spark.createDataFrame(rows, "run string, t bigint, x double, y double, z double, v_east double, v_north double, v_up double")
+    got = smoothing.corrected_trajectory(d, ["run"], ["t"], 100, block_rows=block_rows).toPandas()
+    assert len(got) == len(rows) and got["residual"].max() < 1e-8
+    limited = 0
+    for r, (gps, vel) in runs.items():
+        g = got[got["run"] == r].sort_values("t")
+        for k, c in enumerate("xyz"):
+            x, b = plain_bias_corrected(gps[:, k], vel[:, k], smoothing.STEP_S, smoothing.GPS_VAR[k]) if len(gps) > 1 else (gps[:, k], np.zeros(1))
+            assert np.allclose(g[f"{c}_c"], x, rtol=0, atol=1e-9) and np.allclose(g[f"b_{c}"], b, rtol=0, atol=1e-9)
+            limited += (np.abs(b) >= smoothing.BIAS_LIMIT - 1e-9).sum()
+    assert limited > 100
+
+
+def test_transforms_carry_attitude_and_position(spark):
+    d = spark.createDataFrame([(1.0, 2.0, 3.0, 0.0, 0.0, 90.0)], "x_c double, y_c double, z_c double, rx double, ry double, az double")
+    m = np.reshape(smoothing.with_transforms(d, "rx", "ry", "az").first()["transform"], (4, 4))
+    assert np.allclose(m[:3, 3], [1, 2, 3]) and np.allclose(m[3], [0, 0, 0, 1]) and np.allclose(m[:3, :3] @ m[:3, :3].T, np.eye(3))
+    assert np.allclose(m[:3, :3] @ [0, 1, 0], [1, 0, 0])  # forward looks east
+
+
 def tilted(rng, n, noise=0.005):
     out = []
     for _ in range(n):

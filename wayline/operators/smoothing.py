@@ -1,18 +1,22 @@
-"""Trajectory smoothers: sequential solvers run on blocks of a run with a halo on both sides.
+"""Trajectory smoothers: exact on runs of any length, whatever the blocks they are cut into.
 
-Their memory of far rows fades geometrically, so a block with its halo gives
-the rows of the block as the whole run would, and no task holds a whole run.
+A run is cut into blocks of consecutive rows. Each block is first reduced to a
+few numbers that say what it does to the state at its edges; these are chained
+along the run, which is short, and give every block the exact state to start
+from; then the blocks are solved on their own. No task holds a whole run's rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
+from wayline.functions import rotation
 from wayline.operators import blocks
+from wayline.session import cut_lineage
 
 XYZ = ["x", "y", "z"]
 
@@ -23,147 +27,460 @@ ODOMETRY_VAR, BIAS_VAR, GPS_VAR = 0.1, 0.5, (0.5, 0.5, 1.5)
 BIAS_DECAY, BIAS_LIMIT, STEP_S = 0.999, 2.0, 1 / 50
 
 
-def kalman_rts(pos: np.ndarray, scan: np.ndarray, first: bool) -> tuple[np.ndarray, ...]:
-    """Filtered and smoothed positions and their variances, (n, 3) each.
+def _inverse(m: np.ndarray) -> np.ndarray:
+    """Inverse of 2 x 2 matrices in the last two axes."""
+    out = np.empty_like(m)
+    out[..., 0, 0], out[..., 1, 1] = m[..., 1, 1], m[..., 0, 0]
+    out[..., 0, 1], out[..., 1, 0] = -m[..., 0, 1], -m[..., 1, 0]
+    return out / (m[..., 0, 0] * m[..., 1, 1] - m[..., 0, 1] * m[..., 1, 0])[..., None, None]
 
-    State per axis: position and velocity, one step a row. The INS position is
-    seen at every row, the scan-matched one (pos + increment) where it is not nan.
+
+def _apply(m: np.ndarray, v: np.ndarray) -> np.ndarray:
+    return (m @ v[..., None])[..., 0]
+
+
+def _t(m: np.ndarray) -> np.ndarray:
+    return np.swapaxes(m, -1, -2)
+
+
+def _packed(df: DataFrame, keys: Sequence[str], order: Sequence[str], cols: Sequence[str], width: float, block_rows: int) -> DataFrame:
+    """One row per block, written: each column as an array, ``before_c`` and ``after_c`` of the neighbouring rows.
+
+    Missing numbers are nan; a block at an end of its run has nan neighbours.
     """
-    n = len(pos)
-    step = np.abs(np.diff(pos, axis=0, prepend=pos[:1]))
-    m = np.zeros((n, 3, 2))
-    p = np.zeros((n, 3, 2, 2))
-    pred_m, pred_p = m.copy(), p.copy()
-    a = np.array([[1.0, 1.0], [0.0, 1.0]])
-    m[0, :, 0] = pos[0]
-    m[0, :, 1] = pos[1] - pos[0] if n > 1 else 0.0
-    p[0, :, 0, 0] = START_VAR
-    p[0, :, 1, 1] = VELOCITY_VAR
-    for t in range(1, n):
-        mean = m[t - 1] @ a.T
-        cov = a @ p[t - 1] @ a.T
-        cov[:, 0, 0] += 10 * step[t]
-        cov[:, 1, 1] += step[t]
-        pred_m[t], pred_p[t] = mean, cov
-        for z, var in ((pos[t], INS_VAR), (scan[t], SCAN_VAR)):
-            if np.isnan(z).any():
-                continue
-            gain = cov[:, :, 0] / (cov[:, 0, 0] + var)[:, None]
-            mean = mean + gain * (z - mean[:, 0])[:, None]
-            cov = cov - gain[:, :, None] * cov[:, None, 0, :]
+    d = blocks.halo_blocks(df, keys, order, width, block_rows, 1)
+    d = d.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(float("nan"))) for c in cols})
+    rows = d.groupBy(*keys, "block").agg(F.array_sort(F.collect_list(F.struct("pos", "own", *order, *cols))).alias("_r"))
+    own = F.filter("_r", lambda r: r["own"])
+    first = F.col("block") * block_rows
+    before = F.filter("_r", lambda r: r["pos"] < first)
+    after = F.filter("_r", lambda r: r["pos"] >= first + block_rows)
+    nan = F.lit(float("nan"))
+
+    def column(rows, c):
+        return F.transform(rows, lambda r: r[c])
+
+    def pick(rows, c):
+        return F.coalesce(F.get(column(rows, c), F.lit(0)), nan)
+
+    return cut_lineage(
+        rows.where(F.exists("_r", lambda r: r["own"])).select(
+            *keys, "block", *[column(own, c).alias(c) for c in [*order, *cols]],
+            *[pick(before, c).alias(f"before_{c}") for c in cols], *[pick(after, c).alias(f"after_{c}") for c in cols],
+        )
+    )
+
+
+def _axes(row, names: Sequence[str]) -> np.ndarray:
+    """(rows, axes) of a block's arrays."""
+    return np.stack([np.asarray(getattr(row, n), float) for n in names], axis=1)
+
+
+def _neighbour(row, side: str, names: Sequence[str]) -> np.ndarray:
+    return np.array([getattr(row, f"{side}_{n}") for n in names], float)
+
+
+def _each_block(df: DataFrame, keys: Sequence[str], columns: Sequence[str], solve: Callable, out: str) -> DataFrame:
+    """``solve(row)`` gives the named values of one block; ``out`` is their schema."""
+    types = dict(df.dtypes)
+    key_schema = ", ".join([*[f"{k} {types[k]}" for k in keys], "block long"])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for row in pdf.itertuples(index=False):
+                yield pd.DataFrame([{**{k: getattr(row, k) for k in keys}, "block": row.block, **solve(row)}])
+
+    return df.select(*keys, "block", *columns).mapInPandas(run, f"{key_schema}, {out}")
+
+
+def _chain(df: DataFrame, keys: Sequence[str], solve: Callable, out: str) -> DataFrame:
+    """``solve(rows in order of blocks)`` per run on the blocks' summaries; a list of values per block."""
+    types = dict(df.dtypes)
+    schema = ", ".join([*[f"{k} {types[k]}" for k in keys], "block long", out])
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("block").reset_index(drop=True)
+        return pd.concat([pdf[[*keys, "block"]], pd.DataFrame(solve(pdf))], axis=1)
+
+    return df.groupBy(*keys).applyInPandas(run, schema)
+
+
+def _rows_of(packed: DataFrame, solved: DataFrame, keys: Sequence[str], order: Sequence[str], names: Sequence[str]) -> DataFrame:
+    """Blocks with arrays ``names`` back to rows."""
+    d = packed.select(*keys, "block", *order).join(solved.select(*keys, "block", *names), [*keys, "block"])
+    return d.select(*keys, F.explode(F.arrays_zip(*order, *names)).alias("_r")).select(*keys, *[F.col(f"_r.{c}").alias(c) for c in [*order, *names]])
+
+
+STEP = np.array([[1.0, 1.0], [0.0, 1.0]])
+
+
+def _noise(pos: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """Process noise (n, 3, 2, 2) of the step to each row: ten times the way on the position, the way on the velocity."""
+    way = np.abs(np.diff(pos, axis=0, prepend=before[None]))
+    out = np.zeros((*way.shape, 2, 2))
+    out[..., 0, 0], out[..., 1, 1] = 10 * way, way
+    return out
+
+
+def _seen(pos: np.ndarray, scan: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One position and variance per row that tell as much as the INS position and, where there is one, the scan match."""
+    both = ~np.isnan(scan).any(axis=1, keepdims=True)
+    weight = 1 / INS_VAR + np.where(both, 1 / SCAN_VAR, 0.0)
+    return (pos / INS_VAR + np.where(both, scan, 0.0) / SCAN_VAR) / weight, np.broadcast_to(1 / weight, pos.shape)
+
+
+def filter_element(z: np.ndarray, var: np.ndarray, noise: np.ndarray) -> tuple[np.ndarray, ...]:
+    """What a run of rows does to the filter's state, by composition of single rows.
+
+    The elements and their product are those of the parallel Kalman filter of
+    Sarkka and Garcia-Fernandez (2021); (A, b, C, eta, J) per axis.
+    """
+    axes = z.shape[1]
+    one = np.broadcast_to(np.eye(2), (axes, 2, 2))
+    a, b, c, eta, j = one.copy(), np.zeros((axes, 2)), np.zeros((axes, 2, 2)), np.zeros((axes, 2)), np.zeros((axes, 2, 2))
+    ones = np.ones((axes, 2))
+    for t in range(len(z)):
+        s = noise[t, :, 0, 0] + var[t]
+        gain = noise[t, :, :, 0] / s[:, None]
+        keep = one - gain[:, :, None] * np.array([1.0, 0.0])
+        a2, b2, c2 = keep @ STEP, gain * z[t][:, None], keep @ noise[t]
+        eta2, j2 = ones * (z[t] / s)[:, None], np.ones((axes, 2, 2)) / s[:, None, None]
+        ahead = a2 @ _inverse(one + c @ j2)
+        back = _t(a) @ _inverse(one + j2 @ c)
+        eta, j = _apply(back, eta2 - _apply(j2, b)) + eta, back @ j2 @ a + j
+        a, b, c = ahead @ a, _apply(ahead, b + _apply(c, eta2)) + b2, ahead @ c @ _t(a2) + c2
+    return a, b, c, eta, j
+
+
+def after_element(state: tuple[np.ndarray, np.ndarray], element: tuple[np.ndarray, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """Filtered mean and covariance behind the rows of ``element``."""
+    (m, p), (a, b, c, eta, j) = state, element
+    ahead = a @ _inverse(np.eye(2) + p @ j)
+    return _apply(ahead, m + _apply(p, eta)) + b, ahead @ p @ _t(a) + c
+
+
+def filter_rows(state, z, var, noise) -> tuple[np.ndarray, ...]:
+    """Filtered and predicted means (n, 3, 2) and covariances behind each row."""
+    n, axes = z.shape
+    m, p, pm, pp = np.empty((n, axes, 2)), np.empty((n, axes, 2, 2)), np.empty((n, axes, 2)), np.empty((n, axes, 2, 2))
+    mean, cov = state
+    for t in range(n):
+        mean, cov = _apply(STEP, mean), STEP @ cov @ STEP.T + noise[t]
+        pm[t], pp[t] = mean, cov
+        gain = cov[:, :, 0] / (cov[:, 0, 0] + var[t])[:, None]
+        mean = mean + gain * (z[t] - mean[:, 0])[:, None]
+        cov = cov - gain[:, :, None] * cov[:, None, 0, :]
         m[t], p[t] = mean, cov
+    return m, p, pm, pp
+
+
+def smooth_rows(m, p, pm, pp, state) -> tuple[np.ndarray, np.ndarray]:
+    """Smoothed means and covariances; ``pm`` and ``pp`` predict the row behind each, ``state`` is smoothed behind the last (None at a run's end)."""
     sm, sp = m.copy(), p.copy()
-    for t in range(n - 2, -1, -1):
-        gain = p[t] @ a.T @ np.linalg.pinv(pred_p[t + 1])
-        sm[t] = m[t] + np.einsum("kij,kj->ki", gain, sm[t + 1] - pred_m[t + 1])
-        sp[t] = p[t] + gain @ (sp[t + 1] - pred_p[t + 1]) @ gain.transpose(0, 2, 1)
-    return m[:, :, 0], p[:, :, 0, 0], sm[:, :, 0], sp[:, :, 0, 0]
+    for t in range(len(m) - 1, -1, -1):
+        if state is not None:
+            gain = p[t] @ STEP.T @ _inverse(pp[t])
+            sm[t] = m[t] + _apply(gain, state[0] - pm[t])
+            sp[t] = p[t] + gain @ (state[1] - pp[t]) @ _t(gain)
+        state = sm[t], sp[t]
+    return sm, sp
 
 
-def _per_block(df: DataFrame, keys, order, width, block_rows, halo, solve, names: Sequence[str], types: dict) -> DataFrame:
-    d = blocks.halo_blocks(df, keys, order, width, block_rows, halo)
-    schema = ", ".join([*[f"{k} {types[k]}" for k in keys], *[f"{o} {types[o]}" for o in order], *[f"{n} double" for n in names]])
+def _block_rows(row) -> tuple[np.ndarray, ...]:
+    """Positions, measurement, its variance, process noise; and the noise of the step out of the block (nan at the end)."""
+    pos = _axes(row, XYZ)
+    z, var = _seen(pos, pos + _axes(row, ["ix", "iy", "iz"]))
+    noise = _noise(pos, _neighbour(row, "before", XYZ))
+    return pos, z, var, noise, _noise(_neighbour(row, "after", XYZ)[None], pos[-1])[0]
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pos").reset_index(drop=True)
-        out = pdf[[*keys, *order]].copy()
-        for n, v in zip(names, solve(pdf)):
-            out[n] = v
-        return out[pdf["own"].to_numpy()]
 
-    return d.groupBy(*keys, "block").applyInPandas(run, schema)
+def _start(row, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """State of a run's first row: its position, and the way to the second row as velocity."""
+    second = pos[1] if len(pos) > 1 else np.where(np.isnan(nxt := _neighbour(row, "after", XYZ)), pos[0], nxt)
+    p = np.zeros((3, 2, 2))
+    p[:, 0, 0], p[:, 1, 1] = START_VAR, VELOCITY_VAR
+    return np.stack([pos[0], second - pos[0]], axis=1), p
 
 
-def smooth_trajectory(
-    poses: DataFrame, keys: Sequence[str], order: Sequence[str], width: float, block_rows: int = 8192, halo: int = 1024
-) -> DataFrame:
+def _filtered_block(row) -> tuple[np.ndarray, ...]:
+    """Filtered rows of a block from the state before it, and the prediction of the row behind each."""
+    pos, z, var, noise, out_noise = _block_rows(row)
+    if row.block == 0:
+        m0, p0 = _start(row, pos)
+        m, p, pm, pp = filter_rows((m0, p0), z[1:], var[1:], noise[1:])
+        m, p = np.concatenate([m0[None], m]), np.concatenate([p0[None], p])
+    else:
+        m, p, pm, pp = filter_rows((np.reshape(row.in_m, (3, 2)), np.reshape(row.in_p, (3, 2, 2))), z, var, noise)
+        pm, pp = pm[1:], pp[1:]
+    pm, pp = np.concatenate([pm, _apply(STEP, m[-1])[None]]), np.concatenate([pp, (STEP @ p[-1] @ STEP.T + out_noise)[None]])
+    return m, p, pm, pp
+
+
+def smooth_trajectory(poses: DataFrame, keys: Sequence[str], order: Sequence[str], width: float, block_rows: int = 8192) -> DataFrame:
     """Kalman filter and RTS smoother per run: ``x_f..`` filtered, ``x_s..`` smoothed, ``var_f_x..``, ``var_s_x..``.
 
-    ``poses`` holds x, y, z and the scan-match increment ix, iy, iz (null when none).
+    ``poses`` holds x, y, z and the scan-match increment ix, iy, iz (null when
+    none). State per axis: position and velocity, one step a row. The blocks
+    only bound a task's memory. Writes the blocks and their states when called.
     """
     keys, order = list(keys), list(order)
+    cols = [*XYZ, "ix", "iy", "iz"]
+    packed = _packed(poses.select(*keys, *order, *cols), keys, order, cols, width, block_rows)
+    inputs = [*cols, *[f"{s}_{c}" for s in ("before", "after") for c in XYZ]]
+
+    def element(row):
+        pos, z, var, noise, _ = _block_rows(row)
+        m, p = _start(row, pos) if row.block == 0 else (np.zeros((3, 2)), np.zeros((3, 2, 2)))
+        skip = 1 if row.block == 0 else 0
+        parts = filter_element(z[skip:], var[skip:], noise[skip:])
+        return {n: v.ravel() for n, v in zip(("m", "p", "a", "b", "c", "eta", "j"), (m, p, *parts))}
+
+    doubles = "array<double>"
+    elements = _each_block(packed, keys, inputs, element, ", ".join(f"{n} {doubles}" for n in ("m", "p", "a", "b", "c", "eta", "j")))
+
+    def forward(pdf):
+        state, out = None, {"in_m": [], "in_p": []}
+        for r in pdf.itertuples():
+            state = state or (np.reshape(r.m, (3, 2)), np.reshape(r.p, (3, 2, 2)))
+            out["in_m"].append(state[0].ravel())
+            out["in_p"].append(state[1].ravel())
+            shapes = ((3, 2, 2), (3, 2), (3, 2, 2), (3, 2), (3, 2, 2))
+            state = after_element(state, tuple(np.reshape(v, s) for v, s in zip((r.a, r.b, r.c, r.eta, r.j), shapes)))
+        return out
 
-    def solve(pdf):
-        pos = pdf[XYZ].to_numpy(float)
-        scan = pos + pdf[["ix", "iy", "iz"]].to_numpy(float)
-        f, vf, s, vs = kalman_rts(pos, scan, True)
-        return [*f.T, *s.T, *vf.T, *vs.T]
+    states = cut_lineage(_chain(elements, keys, forward, f"in_m {doubles}, in_p {doubles}"))
+    ready = packed.join(states, [*keys, "block"])
+    inputs += ["in_m", "in_p"]
 
+    def backward_element(row):
+        """Smoothed state of the block's first row as gain, offset and covariance on the one behind its last row."""
+        m, p, pm, pp = _filtered_block(row)
+        e = np.broadcast_to(np.eye(2), (3, 2, 2)).copy()
+        g, spread = np.zeros((3, 2)), np.zeros((3, 2, 2))
+        last = np.isnan(row.after_x)
+        for t in range(len(m) - 1, -1, -1):
+            if last and t == len(m) - 1:
+                e, g, spread = np.zeros((3, 2, 2)), m[t], p[t]
+                continue
+            gain = p[t] @ STEP.T @ _inverse(pp[t])
+            e, g, spread = gain @ e, m[t] + _apply(gain, g - pm[t]), p[t] + gain @ (spread - pp[t]) @ _t(gain)
+        return {"e": e.ravel(), "g": g.ravel(), "l": spread.ravel()}
+
+    backs = _each_block(ready, keys, inputs, backward_element, ", ".join(f"{n} {doubles}" for n in "egl"))
+
+    def backward(pdf):
+        state, out = (np.zeros((3, 2)), np.zeros((3, 2, 2))), []
+        for r in pdf.iloc[::-1].itertuples():
+            out.append((state[0].ravel(), state[1].ravel()))
+            e = np.reshape(r.e, (3, 2, 2))
+            state = _apply(e, state[0]) + np.reshape(r.g, (3, 2)), e @ state[1] @ _t(e) + np.reshape(r.l, (3, 2, 2))
+        return {"out_m": [m for m, _ in out[::-1]], "out_p": [p for _, p in out[::-1]]}
+
+    ends = cut_lineage(_chain(backs, keys, backward, f"out_m {doubles}, out_p {doubles}"))
     names = [*[f"{c}_f" for c in XYZ], *[f"{c}_s" for c in XYZ], *[f"var_f_{c}" for c in XYZ], *[f"var_s_{c}" for c in XYZ]]
-    d = poses.select(*keys, *order, *XYZ, "ix", "iy", "iz")
-    return _per_block(d, keys, order, width, block_rows, halo, solve, names, dict(poses.dtypes))
 
+    def solve(row):
+        m, p, pm, pp = _filtered_block(row)
+        state = None if np.isnan(row.after_x) else (np.reshape(row.out_m, (3, 2)), np.reshape(row.out_p, (3, 2, 2)))
+        sm, sp = smooth_rows(m, p, pm, pp, state)
+        values = [*m[:, :, 0].T, *sm[:, :, 0].T, *p[:, :, 0, 0].T, *sp[:, :, 0, 0].T]
+        return dict(zip(names, values))
 
-def bias_corrected(gps: np.ndarray, velocity: np.ndarray, dt: float, gps_var: float, rounds: int = 20) -> tuple[np.ndarray, np.ndarray]:
-    """Positions x and biases b of one axis that minimise odometry, bias-drift and GPS residuals, \\|b\\| <= 2.
+    solved = _each_block(ready.join(ends, [*keys, "block"]), keys, [*inputs, "out_m", "out_p"], solve, ", ".join(f"{n} {doubles}" for n in names))
+    return _rows_of(packed, solved, keys, order, names)
 
-    The normal equations are block tridiagonal in (x_t, b_t). Biases beyond the
-    limit are fixed there and freed again when their gradient points inward.
-    """
+
+# Bias-corrected trajectories. Axes come first in all arrays; the unknowns of a row are (x, b).
+
+
+def _system(gps, velocity, before_v, first: bool, last: bool, dt: float) -> tuple[np.ndarray, np.ndarray]:
+    """Diagonal blocks (n, 3, 2, 2) and right-hand side (n, 3, 2) of the normal equations of some rows of a run."""
     n = len(gps)
-    wo, wb, wg = 1 / ODOMETRY_VAR, 1 / BIAS_VAR, 1 / gps_var
-    diag = np.zeros((n, 2, 2))
-    rhs = np.zeros((n, 2))
-    diag += wg * np.array([[1.0, -1.0], [-1.0, 1.0]])
-    rhs[:, 0] += wg * gps
-    rhs[:, 1] -= wg * gps
-    diag[1:, 0, 0] += wo
-    diag[:-1, 0, 0] += wo
-    rhs[1:, 0] += wo * velocity[:-1] * dt
-    rhs[:-1, 0] -= wo * velocity[:-1] * dt
-    diag[1:, 1, 1] += wb
-    diag[:-1, 1, 1] += wb * BIAS_DECAY**2
-    off = np.array([[-wo, 0.0], [0.0, -wb * BIAS_DECAY]])  # between t and t + 1
-    fixed = np.full(n, np.nan)
-    x = np.zeros((n, 2))
-    for _ in range(rounds):
-        held = ~np.isnan(fixed)
-        d, r = diag.copy(), rhs.copy()
-        left = np.tile(off, (max(n - 1, 0), 1, 1))
-        if held.any():
-            b = np.where(held, fixed, 0.0)
-            r[:, 0] -= d[:, 0, 1] * b
-            r[1:, 1] -= off[1, 1] * b[:-1]
-            r[:-1, 1] -= off[1, 1] * b[1:]
-            d[held, 0, 1] = d[held, 1, 0] = 0.0
-            d[held, 1, 1] = 1.0
-            r[held, 1] = fixed[held]
-            cut = held[:-1] | held[1:]
-            left[cut, 1, 1] = 0.0
-        for t in range(1, n):
-            f = left[t - 1] @ np.linalg.inv(d[t - 1])
-            d[t] -= f @ left[t - 1]
-            r[t] -= f @ r[t - 1]
-        x[n - 1] = np.linalg.solve(d[n - 1], r[n - 1])
-        for t in range(n - 2, -1, -1):
-            x[t] = np.linalg.solve(d[t], r[t] - left[t] @ x[t + 1])
-        b = x[:, 1]
-        grad = diag[:, 1, 0] * x[:, 0] + diag[:, 1, 1] * b - rhs[:, 1]
-        grad[1:] += off[1, 1] * b[:-1]
-        grad[:-1] += off[1, 1] * b[1:]
-        new = fixed.copy()
-        new[~held & (b > BIAS_LIMIT + 1e-9)] = BIAS_LIMIT
-        new[~held & (b < -BIAS_LIMIT - 1e-9)] = -BIAS_LIMIT
-        new[held & (fixed * grad > 1e-9)] = np.nan
-        if np.array_equal(np.isnan(new), np.isnan(fixed)):
-            break
-        fixed = new
-    return x[:, 0], np.clip(x[:, 1], -BIAS_LIMIT, BIAS_LIMIT)
+    wo, wb, wg = 1 / ODOMETRY_VAR, 1 / BIAS_VAR, 1 / np.array(GPS_VAR)
+    diag, rhs = np.zeros((n, 3, 2, 2)), np.zeros((n, 3, 2))
+    diag += wg[:, None, None] * np.array([[1.0, -1.0], [-1.0, 1.0]])
+    rhs[:, :, 0] += wg * gps
+    rhs[:, :, 1] -= wg * gps
+    if first and last and n == 1:  # nothing tells position and bias apart: no bias
+        diag[:, :, 1, 1] += wb
+    into = np.ones(n)
+    into[0] = not first
+    out = np.ones(n)
+    out[-1] = not last
+    diag[:, :, 0, 0] += wo * (into + out)[:, None]
+    diag[:, :, 1, 1] += wb * (into + BIAS_DECAY**2 * out)[:, None]
+    arriving = np.concatenate([np.where(first, 0.0, np.nan_to_num(before_v))[None], velocity[:-1]])
+    rhs[:, :, 0] += wo * dt * (arriving - velocity * out[:, None])
+    return diag, rhs
+
+
+#: coupling of a row with the next one: diagonal, on (x, b)
+COUPLING = np.array([-1 / ODOMETRY_VAR, -BIAS_DECAY / BIAS_VAR])
+
+
+def _held(diag, rhs, fixed) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The system inside a block with the biases of ``fixed`` (n, 3; nan where free) put in; couplings (n - 1, 3, 2)."""
+    d, r = diag.copy(), rhs.copy()
+    held = ~np.isnan(fixed)
+    b = np.where(held, fixed, 0.0)
+    r[:, :, 0] -= d[:, :, 0, 1] * b
+    r[1:, :, 1] -= COUPLING[1] * b[:-1]
+    r[:-1, :, 1] -= COUPLING[1] * b[1:]
+    d[held, 0, 1] = d[held, 1, 0] = 0.0
+    d[held, 1, 1] = 1.0
+    r[held, 1] = fixed[held]
+    link = np.broadcast_to(COUPLING, (max(len(d) - 1, 0), 3, 2)).copy()
+    link[held[:-1] | held[1:], 1] = 0.0
+    return d, r, link
+
+
+def _edges(d, r, link) -> tuple[np.ndarray, ...]:
+    """The block's equations in its first and last row only: [[A, G'], [G, C]] (u0, un) = (p, q)."""
+    a, p = d[0].copy(), r[0].copy()
+    if len(d) == 1:
+        return a, np.zeros_like(a), a, p, p
+    dt, rt, g = d[1], r[1], link[0][:, :, None] * np.eye(2)
+    for t in range(1, len(d) - 1):
+        inv = _inverse(dt)
+        down = link[t][:, :, None] * inv
+        a = a - _t(g) @ inv @ g
+        p = p - _apply(_t(g) @ inv, rt)
+        dt, rt, g = d[t + 1] - down * link[t][:, None, :], r[t + 1] - _apply(down, rt), -down @ g
+    return a, g, dt, p, rt
+
+
+def _chain_edges(parts: list[dict]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """First and last unknowns of every block of a run, from the blocks' edge equations and couplings."""
+    nodes, links = [], []
+    for k, s in enumerate(parts):
+        rows = [(s["a"].copy(), s["p"].copy())] if s["n"] == 1 else [(s["a"].copy(), s["p"].copy()), (s["c"].copy(), s["q"].copy())]
+        if k:
+            before, here = parts[k - 1]["last_fixed"], s["first_fixed"]
+            link = np.broadcast_to(COUPLING, (3, 2)).copy()
+            link[~np.isnan(before) | ~np.isnan(here), 1] = 0.0
+            # a held bias enters the other side's equation as a known number
+            rows[0][1][:, 1] -= np.where(np.isnan(here), COUPLING[1] * np.nan_to_num(before), 0.0)
+            nodes[-1][1][:, 1] -= np.where(np.isnan(before), COUPLING[1] * np.nan_to_num(here), 0.0)
+            links.append(link[:, :, None] * np.eye(2))
+        nodes.append(rows[0])
+        if s["n"] > 1:
+            links.append(s["g"])
+            nodes.append(rows[1])
+    for t in range(1, len(nodes)):
+        f = links[t - 1] @ _inverse(nodes[t - 1][0])
+        nodes[t] = nodes[t][0] - f @ _t(links[t - 1]), nodes[t][1] - _apply(f, nodes[t - 1][1])
+    u = [None] * len(nodes)
+    u[-1] = _apply(_inverse(nodes[-1][0]), nodes[-1][1])
+    for t in range(len(nodes) - 2, -1, -1):
+        u[t] = _apply(_inverse(nodes[t][0]), nodes[t][1] - _apply(_t(links[t]), u[t + 1]))
+    out, at = [], 0
+    for s in parts:
+        size = 1 if s["n"] == 1 else 2
+        out.append((u[at], u[at + size - 1]))
+        at += size
+    return out
+
+
+def _between(d, r, link, first, last) -> np.ndarray:
+    """All unknowns (n, 3, 2) of a block with those of its first and last row given."""
+    n = len(d)
+    u = np.empty_like(r)
+    u[0], u[-1] = first, last
+    if n <= 2:
+        return u
+    d, r = d[1:-1].copy(), r[1:-1].copy()
+    r[0] -= link[0] * first
+    r[-1] -= link[-1] * last
+    inner = link[1:-1]
+    for t in range(1, n - 2):
+        f = inner[t - 1][:, :, None] * _inverse(d[t - 1])
+        d[t] -= f * inner[t - 1][:, None, :]
+        r[t] -= _apply(f, r[t - 1])
+    u[-2] = _apply(_inverse(d[-1]), r[-1])
+    for t in range(n - 4, -1, -1):
+        u[t + 1] = _apply(_inverse(d[t]), r[t] - inner[t] * u[t + 2])
+    return u
+
+
+def _next_fixed(fixed, u, diag, rhs, before, after) -> np.ndarray:
+    """Biases beyond the limit are held there; held ones whose gradient points inward are freed."""
+    b = u[:, :, 1]
+    beyond = np.where(b > BIAS_LIMIT + 1e-9, BIAS_LIMIT, np.where(b < -BIAS_LIMIT - 1e-9, -BIAS_LIMIT, np.nan))
+    grad = diag[:, :, 1, 0] * u[:, :, 0] + diag[:, :, 1, 1] * b - rhs[:, :, 1]
+    grad += COUPLING[1] * (np.concatenate([before[None], b[:-1]]) + np.concatenate([b[1:], after[None]]))
+    inward = fixed * grad > 1e-9  # false where free
+    return np.where(np.isnan(fixed), beyond, np.where(inward, np.nan, fixed))
 
 
 def corrected_trajectory(
-    poses: DataFrame, keys: Sequence[str], order: Sequence[str], width: float, dt: float = STEP_S, block_rows: int = 8192, halo: int = 512
+    poses: DataFrame, keys: Sequence[str], order: Sequence[str], width: float, dt: float = STEP_S, block_rows: int = 8192, most_rounds: int = 100
 ) -> DataFrame:
-    """Bias-corrected positions ``x_c, y_c, z_c`` and biases ``b_x..`` from x, y, z and v_east, v_north, v_up."""
+    """Bias-corrected positions ``x_c, y_c, z_c`` and biases ``b_x..`` from x, y, z and v_east, v_north, v_up.
+
+    They minimise odometry, bias-drift and GPS residuals with every bias within
+    its limit. The normal equations are block tridiagonal: each block is reduced
+    to its two edge rows, the edges are solved along the run, and the rows
+    between follow. Held biases are renewed in rounds over all runs until none
+    changes; a round is a few jobs, and ``most_rounds`` without an end raises an
+    error. ``residual`` is the gradient of the bias where it is free, 0 where held.
+    Writes the blocks and each round's held biases when called.
+    """
     keys, order = list(keys), list(order)
+    v = ["v_east", "v_north", "v_up"]
+    packed = _packed(poses.select(*keys, *order, *XYZ, *v), keys, order, [*XYZ, *v], width, block_rows)
+    doubles = "array<double>"
+    held = packed.select(*keys, "block", F.array_repeat(F.lit(float("nan")), 3 * F.size(F.col("x"))).alias("fixed"))
+    inputs = [*XYZ, *v, *[f"before_{c}" for c in v], "before_x", "after_x", "fixed"]
+
+    def system(row):
+        gps, velocity = _axes(row, XYZ), _axes(row, v)
+        diag, rhs = _system(gps, velocity, _neighbour(row, "before", v), np.isnan(row.before_x), np.isnan(row.after_x), dt)
+        return diag, rhs, np.reshape(row.fixed, (len(gps), 3))
+
+    def summary(row):
+        diag, rhs, fixed = system(row)
+        parts = _edges(*_held(diag, rhs, fixed))
+        return {"n": len(diag), "first_fixed": fixed[0], "last_fixed": fixed[-1], **{n: x.ravel() for n, x in zip("agcpq", parts)}}
+
+    def edges(pdf):
+        shape = {"a": (3, 2, 2), "g": (3, 2, 2), "c": (3, 2, 2), "p": (3, 2), "q": (3, 2), "first_fixed": (3,), "last_fixed": (3,)}
+        ends = _chain_edges([{"n": r.n, **{k: np.reshape(getattr(r, k), s).astype(float) for k, s in shape.items()}} for r in pdf.itertuples()])
+        zero = np.zeros(3)
+        return {
+            "first": [a.ravel() for a, _ in ends],
+            "last": [b.ravel() for _, b in ends],
+            "b_before": [zero, *[b[:, 1] for _, b in ends[:-1]]],
+            "b_after": [*[a[:, 1] for a, _ in ends[1:]], zero],
+        }
+
+    names = [*[f"{c}_c" for c in XYZ], *[f"b_{c}" for c in XYZ], "residual"]
+
+    def solve(row):
+        diag, rhs, fixed = system(row)
+        d, r, link = _held(diag, rhs, fixed)
+        u = _between(d, r, link, np.reshape(row.first, (3, 2)), np.reshape(row.last, (3, 2)))
+        new = _next_fixed(fixed, u, diag, rhs, np.asarray(row.b_before, float), np.asarray(row.b_after, float))
+        b = u[:, :, 1]
+        grad = diag[:, :, 1, 0] * u[:, :, 0] + diag[:, :, 1, 1] * b - rhs[:, :, 1]
+        grad += COUPLING[1] * (np.concatenate([np.asarray(row.b_before, float)[None], b[:-1]]) + np.concatenate([b[1:], np.asarray(row.b_after, float)[None]]))
+        left = np.where(np.isnan(fixed), np.abs(grad), 0.0).max(axis=1)
+        changed = int((np.isnan(new) != np.isnan(fixed)).sum())
+        return {"fixed": new.ravel(), "changed": changed, **dict(zip(names, [*u[:, :, 0].T, *b.T, left]))}
+
+    for _ in range(most_rounds):
+        now = packed.join(held, [*keys, "block"])
+        parts = _each_block(now, keys, inputs, summary, f"n long, first_fixed {doubles}, last_fixed {doubles}, " + ", ".join(f"{n} {doubles}" for n in "agcpq"))
+        ends = _chain(parts, keys, edges, ", ".join(f"{n} {doubles}" for n in ("first", "last", "b_before", "b_after")))
+        out = f"fixed {doubles}, changed long, " + ", ".join(f"{n} {doubles}" for n in names)
+        solved = cut_lineage(_each_block(now.join(ends, [*keys, "block"]), keys, [*inputs, "first", "last", "b_before", "b_after"], solve, out))
+        if not (solved.agg(F.sum("changed")).first()[0] or 0):
+            return _rows_of(packed, solved, keys, order, names)
+        held = solved.select(*keys, "block", "fixed")
+    raise RuntimeError(f"held biases still change after {most_rounds} rounds")
 
-    def solve(pdf):
-        got = [
-            bias_corrected(pdf[c].to_numpy(float), pdf[v].to_numpy(float), dt, g)
-            for c, v, g in zip(XYZ, ("v_east", "v_north", "v_up"), GPS_VAR)
-        ]
-        return [*[g[0] for g in got], *[g[1] for g in got]]
 
-    names = [*[f"{c}_c" for c in XYZ], *[f"b_{c}" for c in XYZ]]
-    d = poses.select(*keys, *order, *XYZ, "v_east", "v_north", "v_up")
-    return _per_block(d, keys, order, width, block_rows, halo, solve, names, dict(poses.dtypes))
+def with_transforms(corrected: DataFrame, rot_x: str, rot_y: str, azimuth: str) -> DataFrame:
+    """Add ``transform``: the 4 x 4 vehicle-to-world pose of each corrected row, 16 numbers row by row."""
+    turn = rotation.transpose(rotation.attitude(F.col(rot_x), F.col(rot_y), F.col(azimuth)))
+    rows = [[*map(rotation.as_column, turn[i]), F.col(f"{c}_c")] for i, c in enumerate(XYZ)]
+    return corrected.withColumn("transform", F.array(*[v for row in rows for v in row], *map(F.lit, (0.0, 0.0, 0.0, 1.0))))

@@ -443,10 +443,52 @@ def smoothed_trajectory(spark, sf):
     return smoothing.smooth_trajectory(d, ["run_id"], ["t_us", "idx"], BLOCK_US)
 
 
+FILTER_SQL = f"""
+WITH RECURSIVE {TRACES},
+axes AS (
+  SELECT run_id, idx, t_us, a.axis, a.pos, a.start_var FROM traces, LATERAL (VALUES ('x', x, 0.01e0), ('y', y, 0.3e0), ('z', z, 0.3e0)) AS a(axis, pos, start_var)),
+o AS (
+  SELECT *, row_number() OVER w AS rn, abs(pos - lag(pos) OVER w) AS way, lead(pos) OVER w AS nxt,
+    CASE WHEN idx % 5 = 0 THEN (pos + (pos + pos / 100) * 10) / 11 ELSE pos END AS seen, CASE WHEN idx % 5 = 0 THEN 1e0 / 11 ELSE 1e0 END AS var
+  FROM axes WINDOW w AS (PARTITION BY run_id, axis ORDER BY t_us, idx)),
+f(run_id, axis, rn, idx, m, v, p, c, w) AS (
+  SELECT run_id, axis, rn, idx, pos, coalesce(nxt - pos, 0), start_var, 0e0, 0.5e0 FROM o WHERE rn = 1
+  UNION ALL
+  SELECT run_id, axis, rn, idx, pm + pp / s * (seen - pm), v + pc / s * (seen - pm), pp - pp * pp / s, pc - pp * pc / s, pw - pc * pc / s
+  FROM (
+    SELECT o.run_id, o.axis, o.rn, o.idx, o.seen, f.m + f.v AS pm, f.v, f.p + 2 * f.c + f.w + 10 * o.way AS pp, f.c + f.w AS pc, f.w + o.way AS pw,
+      f.p + 2 * f.c + f.w + 10 * o.way + o.var AS s
+    FROM f JOIN o ON o.run_id = f.run_id AND o.axis = f.axis AND o.rn = f.rn + 1))
+SELECT run_id, idx, axis, {qs("m")} AS position, {qs("p")} AS variance FROM f"""
+
+
+@query("filtered_trajectory", FILTER_SQL)
+def filtered_trajectory(spark, sf):
+    """The filter's part of the smoothed trajectory, in small blocks."""
+    d = traces(spark, sf).withColumns({f"i{c}": F.when(F.col("idx") % 5 == 0, F.col(c) / 100) for c in XYZ})
+    d = smoothing.smooth_trajectory(d, ["run_id"], ["t_us", "idx"], BLOCK_US, block_rows=16)
+    per = F.explode(F.array(*[F.struct(F.lit(c).alias("axis"), F.col(f"{c}_f").alias("m"), F.col(f"var_f_{c}").alias("p")) for c in XYZ]))
+    return d.select("run_id", "idx", per.alias("a")).select("run_id", "idx", "a.axis", q(F.col("a.m")).alias("position"), q(F.col("a.p")).alias("variance"))
+
+
 @query("corrected_trajectory")
 def corrected_trajectory(spark, sf):
     p = poses(spark, sf).selectExpr(*TRACE_COLS, "v_east", "v_north", "v_up")
-    return smoothing.corrected_trajectory(p, ["run_id"], ["t_us", "idx"], BLOCK_US)
+    d = smoothing.corrected_trajectory(p, ["run_id"], ["t_us", "idx"], BLOCK_US).drop("residual")
+    angles = poses(spark, sf).select("run_id", "idx", "rot_x", "rot_y", "azimuth")
+    return smoothing.with_transforms(d.join(angles, ["run_id", "idx"]), "rot_x", "rot_y", "azimuth").drop("rot_x", "rot_y", "azimuth")
+
+
+@query(
+    "corrected_residuals",
+    f"WITH {POSES} SELECT run_id, count(*) AS n, 0e0 AS largest, 0 AS beyond FROM poses GROUP BY run_id",
+)
+def corrected_residuals(spark, sf):
+    """The solution is the minimum: no free bias has a gradient left and none is beyond its limit."""
+    p = poses(spark, sf).selectExpr(*TRACE_COLS, "v_east", "v_north", "v_up")
+    d = smoothing.corrected_trajectory(p, ["run_id"], ["t_us", "idx"], BLOCK_US, block_rows=48)
+    over = F.greatest(*[F.abs(f"b_{c}") for c in XYZ]) > smoothing.BIAS_LIMIT + 1e-9
+    return d.groupBy("run_id").agg(F.count("*").alias("n"), F.round(F.max("residual"), 6).alias("largest"), F.sum(over.cast("int")).alias("beyond"))
 
 
 @query("offset_deskew")
