@@ -2,6 +2,7 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from wayline.operators import matching
@@ -20,29 +21,40 @@ def as_stream(spark, rows, schema, folder, parts=4):
     return spark.readStream.schema(full).option("maxFilesPerTrigger", 1).parquet(str(folder))
 
 
-def test_sweeps_over_several_triggers(spark, tmp_path):
-    rng = random.Random(1)
-    rows = []
-    for i in range(400):
-        rows.append((f"r{i % 2}", START + i * 0.5, i, "start" if i % 17 < 2 else rng.choice(["object", "object", "drop"])))
-    rows.append(("end", START + 100000.0, 9999, "object"))  # moves the watermark past everything else
-    s = as_stream(spark, rows, "run string, sec double, id bigint, what string", tmp_path)
+def sweeps_of(spark, rows, folder, parts):
+    s = as_stream(spark, rows, "run string, sec double, id bigint, what string", folder, parts)
     s = s.withColumn("ts", F.timestamp_micros((F.col("sec") * 1_000_000).cast("bigint")))
     out = live.run_available(live.sweep_stream(s, "run", F.col("what") == "start", F.col("what") == "object", "id"), "append", spark)
-    got = sorted((r.run, r.sweep_us, r.n_objects, r.sum_ids) for r in out.collect())
+    return sorted((r.run, r.sweep_us, r.n_objects, r.sum_ids, r.closed_us) for r in out.collect())
+
+
+@pytest.mark.parametrize("parts", [1, 3, 9])
+def test_sweeps_do_not_depend_on_triggers(spark, tmp_path, parts):
+    rng = random.Random(1)
+    rows, sec = [], float(START)
+    for i in range(300):
+        sec += rng.choice([0.1, 0.25, 0.5]) if rng.random() < 0.93 else rng.choice([1.0, 1.5, 30.0])  # some gaps of over a second
+        rows.append((f"r{i % 2}", sec, i, "start" if i % 17 < 2 else rng.choice(["object", "object", "drop"])))
+    rows.append(("end", START + 100000.0, 9999, "object"))  # moves the watermark past everything else
     want = []
     for run in ("r0", "r1"):
-        open_ = None
+        open_, last = None, None
         for _, sec, i, what in (r for r in rows if r[0] == run):
+            t = int(sec * 1_000_000)
+            if open_ and t - last > 1_000_000:
+                want.append((run, *open_, last))
+                open_ = None
             if what == "start":
                 if open_:
-                    want.append((run, *open_))
-                open_ = [int(sec * 1_000_000) - 66_000, 0, 0]
+                    want.append((run, *open_, t))
+                open_ = [t - 66_000, 0, 0]
             elif what == "object" and open_:
                 open_[1] += 1
                 open_[2] += i
-        want.append((run, *open_))
-    assert got == sorted(want)
+            last = t
+        if open_:
+            want.append((run, *open_, last))
+    assert sweeps_of(spark, rows, tmp_path, parts) == sorted(want)
 
 
 def test_tracks_equal_the_batch_operator(spark, tmp_path):

@@ -66,21 +66,27 @@ def live_sensor_join(spark, sf):
     return d.select("user_id", "frame", "sensor")
 
 
+IDLE_HOURS = 60
+
+
 @query(
     "live_sweeps",
-    f"""WITH {POSES}, d AS (SELECT *, last(CASE WHEN kind = 'signup' THEN t_us END IGNORE NULLS) OVER (PARTITION BY run_id ORDER BY t_us, idx) AS open_us FROM poses),
-c AS (SELECT t_us AS open_us, run_id, lead(t_us) OVER (PARTITION BY run_id ORDER BY t_us, idx) AS closed_us FROM poses WHERE kind = 'signup'),
-n AS (SELECT run_id, open_us, count(*) FILTER (kind NOT IN ('signup', 'error') AND height > 10) AS n, coalesce(sum(idx) FILTER (kind NOT IN ('signup', 'error') AND height > 10), 0) AS s FROM d WHERE open_us IS NOT NULL GROUP BY ALL),
-w AS (SELECT (max(t_us) // 1000 - 10000) * 1000 AS mark FROM poses), l AS (SELECT run_id, max(t_us) AS last_us FROM poses GROUP BY run_id)
-SELECT n.run_id AS user_id, n.open_us - 66000 AS sweep_us, CAST(n.n AS BIGINT) AS n_objects, CAST(n.s AS BIGINT) AS sum_ids FROM n JOIN c ON n.run_id = c.run_id AND n.open_us = c.open_us JOIN l ON n.run_id = l.run_id, w
-WHERE c.closed_us <= mark OR (c.closed_us IS NULL AND last_us // 1000 + 1000 < mark // 1000)""",
+    f"""WITH {POSES}, w AS (SELECT (max(t_us) // 1000 - 10000) * 1000 AS mark FROM poses),
+p AS (SELECT poses.*, mark, t_us - lag(t_us) OVER (PARTITION BY run_id ORDER BY t_us, idx) > {IDLE_HOURS * HOUR_US} AS gap FROM poses, w WHERE t_us <= mark),
+g AS (SELECT *, count(*) FILTER (gap) OVER (PARTITION BY run_id ORDER BY t_us, idx) AS part FROM p),
+d AS (
+  SELECT *, last(CASE WHEN kind = 'signup' THEN t_us END IGNORE NULLS) OVER (PARTITION BY run_id, part ORDER BY t_us, idx) AS open_us,
+    max(CASE WHEN kind = 'signup' THEN t_us END) OVER (PARTITION BY run_id, part) AS last_start, max(t_us) OVER (PARTITION BY run_id, part) AS last_us FROM g)
+SELECT run_id AS user_id, open_us - 66000 AS sweep_us, CAST(count(*) FILTER (kind NOT IN ('signup', 'error') AND height > 10) AS BIGINT) AS n_objects,
+  CAST(coalesce(sum(idx) FILTER (kind NOT IN ('signup', 'error') AND height > 10), 0) AS BIGINT) AS sum_ids
+FROM d WHERE open_us IS NOT NULL AND (open_us < last_start OR mark - last_us > {IDLE_HOURS * HOUR_US}) GROUP BY run_id, open_us""",
 )
 def live_sweeps(spark, sf):
     """Sweeps closed by the next start or by silence; runs still within the watermark stay open."""
     e = event_stream(spark, sf)
     start = F.col("event_type") == "signup"
     keep = ~F.col("event_type").isin("signup", "error") & (F.col("value") > 10)
-    d = live.run_available(live.sweep_stream(e, "user_id", start, keep, "event_id"), "append", spark)
+    d = live.run_available(live.sweep_stream(e, "user_id", start, keep, "event_id", idle_ms=IDLE_HOURS * 3_600_000), "append", spark)
     return d.select("user_id", "sweep_us", "n_objects", "sum_ids")
 
 

@@ -115,8 +115,11 @@ def sweep_stream(messages: DataFrame, key: str, is_start: Column, keep: Column,
     """Sweep summaries from an arriving stream: a start closes the open sweep, as does silence.
 
     Messages wait in state until the watermark passes them, so they are taken
-    in order of time; the waiting list is bounded by the delay. Output:
-    sweep time, kept objects, sum of their ids, closing time.
+    in order of time; the waiting list is bounded by the delay. A gap of more
+    than ``idle_ms`` closes the sweep at the last message before it, whether the
+    next one came in the same trigger or not, so the result does not depend on
+    how the input falls into triggers. Output: sweep time, kept objects, sum of
+    their ids, closing time.
     """
     d = messages.withWatermark("ts", delay).select(
         key, "ts", F.unix_micros("ts").alias("t"), F.col(ident).cast("bigint").alias("id"), is_start.alias("start"), keep.alias("keep")
@@ -137,6 +140,9 @@ def sweep_stream(messages: DataFrame, key: str, is_start: Column, keep: Column,
             if t > mark_ms * 1000:
                 later.append((int(t), int(i), bool(start), bool(kept)))
                 continue
+            if open_us is not None and t - last_us > idle_ms * 1000:
+                out.append(_close(open_us, n, total, last_us))
+                open_us, n, total = None, 0, 0
             if start:
                 if open_us is not None:
                     out.append(_close(open_us, n, total, int(t)))
@@ -144,14 +150,19 @@ def sweep_stream(messages: DataFrame, key: str, is_start: Column, keep: Column,
             elif kept and open_us is not None:
                 n, total = n + 1, total + int(i)
             last_us = int(t)
-        if not later and last_us is not None and mark_ms > last_us // 1000 + idle_ms:
-            if open_us is not None:
-                out.append(_close(open_us, n, total, last_us))
+        # rows still waiting are later than the watermark, so the silence up to there is certain
+        silent = last_us is not None and mark_ms * 1000 - last_us > idle_ms * 1000
+        if silent and open_us is not None:
+            out.append(_close(open_us, n, total, last_us))
+            open_us, n, total = None, 0, 0
+        if silent and not later:
             state.remove()
         else:
             state.update((open_us, n, total, last_us, later))
-            wake = later[0][0] // 1000 + 1 if later else last_us // 1000 + idle_ms + 1
-            state.setTimeoutTimestamp(max(wake, mark_ms + 1))
+            wake = [later[0][0] // 1000 + 1] if later else []
+            if last_us is not None and not silent:
+                wake.append(last_us // 1000 + idle_ms + 2)
+            state.setTimeoutTimestamp(max(min(wake), mark_ms + 1))
         if out:
             yield pd.DataFrame(out).assign(**{key: k[0]})[[key, "sweep_us", "n_objects", "sum_ids", "closed_us"]]
 
