@@ -129,3 +129,18 @@ def test_downsample_and_split(spark):
     known = spark.createDataFrame([(0, 0, 0, 1.0), (1, 0, 0, -1.0)], "vx bigint, vy bigint, vz bigint, log_odds double")
     assert {r.id for r in voxels.split_static(d, known, 1.0).collect()} == {1, 2}
     assert {r.id for r in voxels.split_static(d, known, 1.0, static=False).collect()} == {3}
+
+
+def test_nearest_has_no_limit(spark):
+    rng = random.Random(8)
+    a = [(i % 3, i, rng.uniform(-1, 1) * 10 ** rng.randrange(0, 9), rng.uniform(-50, 50)) for i in range(120)]
+    b = [(i % 2, i, rng.uniform(-1, 1) * 10 ** rng.randrange(0, 9), rng.uniform(-50, 50)) for i in range(60)]
+    s = spark.createDataFrame([*a, (0, 999, float("nan"), 1.0)], "k int, id bigint, u double, v double")
+    t = spark.createDataFrame(b, "k int, tid bigint, u double, v double")
+    got = {r.id: (r.tid, r.dist) for r in spatial.nearest(s, t, ["k"], ["u", "v"], 100.0, "tid").collect()}
+    want = {}
+    for k, i, u, v in a:
+        if k < 2:
+            d, tid = min(((u - x) ** 2 + (v - y) ** 2, j) for q, j, x, y in b if q == k)
+            want[i] = (tid, pytest.approx(d**0.5))
+    assert got == want

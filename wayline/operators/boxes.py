@@ -300,10 +300,7 @@ def radar_association(
     b = boxes.withColumns(
         {"u": (F.col("x1") + F.col("x2")) / 2, "v": F.col("y2"), "_block": F.floor(F.col(frame) / block_frames)}
     )
-    near = spatial.nearest_within(
-        b.select(frame, "_block", track, box, "u", "v"), radar.select(frame, "radar_id", "u", "v"), [frame], ["u", "v"],
-        8192.0, "radar_id", levels=(64, 8, 1), strict=False,
-    )
+    near = spatial.nearest(b.select(frame, "_block", track, box, "u", "v"), radar.select(frame, "radar_id", "u", "v"), [frame], ["u", "v"], 8192.0, "radar_id")
     votes = near.groupBy("_block", track, "radar_id").agg(F.count("*").alias("_n"))
     total = votes.groupBy("_block", track).agg(
         F.sum("_n").alias("_all"), F.max(F.struct("_n", (-F.col("radar_id")).alias("_neg"))).alias("_top")

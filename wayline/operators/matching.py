@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 from collections import deque
 from collections.abc import Sequence
 
@@ -135,9 +136,7 @@ def link_frames(boxes: DataFrame, keys: Sequence[str], frame: str, ident: str) -
     (cx, cy), w, h = bx.centre(b), bx.width(b), bx.height(b)
     now = boxes.select(*keys, frame, ident, cx.alias("_cx"), cy.alias("_cy"), w.alias("_w"), h.alias("_h"))
     old = now.select(*keys, (F.col(frame) + 1).alias(frame), F.col(ident).alias("prev"), "_cx", "_cy", "_w", "_h")
-    near = spatial.nearest_within(
-        now, old, [*keys, frame], ["_cx", "_cy"], 16384.0, "prev", levels=(128, 16, 1), strict=False, extra=["_w", "_h"]
-    )
+    near = spatial.nearest(now, old, [*keys, frame], ["_cx", "_cy"], 16384.0, "prev", levels=(128, 16, 1), extra=["_w", "_h"])
     best = near.groupBy(*keys, frame, "prev").agg(F.min(F.struct("dist", (-F.col(ident)).alias("_neg"))).alias("_b"))
     return best.select(*keys, frame, (-F.col("_b._neg")).alias(ident), "prev")
 
@@ -165,15 +164,14 @@ def assign_track_ids(boxes: DataFrame, keys: Sequence[str], frame: str, ident: s
 
     def hand_out(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["start", "_ci"]).reset_index(drop=True)
-        ends: list[int] = []
+        busy: list[tuple[int, int]] = []  # (last frame, id) of ids in use
+        free: list[int] = []
         ids = []
         for start, end in zip(pdf["start"], pdf["end"]):
-            pick = next((j for j, e in enumerate(ends) if start - e > idle), None)
-            if pick is None:
-                pick = len(ends)
-                ends.append(end)
-            else:
-                ends[pick] = end
+            while busy and start - busy[0][0] > idle:
+                heapq.heappush(free, heapq.heappop(busy)[1])
+            pick = heapq.heappop(free) if free else len(busy)
+            heapq.heappush(busy, (end, pick))
             ids.append(pick)
         return pdf.assign(track_id=ids)[[*keys, "_cf", "_ci", "track_id"]]
 

@@ -92,6 +92,30 @@ def nearest_within(
     return source.join(best, [*keys, *coords])
 
 
+def nearest(
+    source: DataFrame, target: DataFrame, keys: Sequence[str], coords: Sequence[str], first: float, target_id: str,
+    levels: Sequence[int] = (64, 8, 1), extra: Sequence[str] = (),
+) -> DataFrame:
+    """Nearest target of every source row at any distance: columns target_id and ``dist``.
+
+    Searches within ``first`` and, for the few places still open, within 64 times
+    as far, until none is open. Rows whose key has no target, or with a missing
+    coordinate, drop out. Each search is written when this is called.
+    """
+    every = [*keys, *coords, *extra]
+    places = source.select(*every).distinct().join(target.select(*keys).distinct(), list(keys), "left_semi")
+    for c in [*coords, *extra]:
+        places = places.where(F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < 1e15))
+    open_, found, reach = cut_lineage(places), None, first
+    while True:
+        hit = cut_lineage(nearest_within(open_, target, keys, coords, reach, target_id, levels, strict=False, extra=extra))
+        found = hit if found is None else found.unionByName(hit)
+        open_ = cut_lineage(open_.join(hit.select(*every), every, "left_anti"))
+        if open_.isEmpty():
+            return source.join(found, every)
+        reach, levels = reach * 64, (8, 1)
+
+
 def radius_join(
     centres: DataFrame, points: DataFrame, keys: Sequence[str], coords: Sequence[str], radius: float, prefix: str = "c_"
 ) -> DataFrame:

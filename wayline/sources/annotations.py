@@ -14,7 +14,7 @@ def parse_lines(lines: DataFrame, text: str = "value") -> DataFrame:
     Coordinates are rounded, the frame is -1 when absent, and an image without
     boxes gives one row with a null box number.
     """
-    d = lines.withColumn("_name", F.substring_index(F.substring(F.col(text), 2, 1 << 20), '"', 1))
+    d = lines.withColumn("_name", F.substring_index(F.expr(f"substring({text}, 2)"), '"', 1))
     d = d.where(F.col(text).startswith('"') & (F.col("_name") != ""))
     number = F.substring_index("_name", "@", -1)
     d = d.withColumn("_frame", F.when(F.col("_name").contains("@"), number.try_cast("bigint")))
@@ -82,30 +82,19 @@ def parse_track_dump(dumps: DataFrame, text: str = "value") -> DataFrame:
     )
 
 
-def _in_parts(boxes: DataFrame, image: Sequence[str], ident: str, most: int) -> DataFrame:
-    """Number the parts of images with more than ``most`` boxes, so that a line stays bounded."""
-    n = boxes.groupBy(*image).agg(F.ceil(F.count("*") / most).alias("_parts"))
-    return boxes.join(n, list(image)).withColumn("_part", F.pmod(F.xxhash64(ident), F.col("_parts")))
-
-
-def to_lines(boxes: DataFrame, ident: str, most: int = 1000) -> DataFrame:
-    """Line format: image, frame and ``value``; boxes in order of their id.
-
-    An image with very many boxes is written as several lines of the same name,
-    which the reader takes as one image.
-    """
+def to_lines(boxes: DataFrame, ident: str) -> DataFrame:
+    """Line format: image, frame and ``value``; an image is one line, its boxes in order of their id."""
     coords = [F.col(c).cast("bigint").cast("string") for c in ("x1", "y1", "x2", "y2")]
     box = F.concat(F.lit(" ("), F.concat_ws(", ", *coords), F.lit(")"), F.coalesce(F.concat(F.lit(":"), F.col("score").cast("string")), F.lit("")))
-    d = _in_parts(boxes, ["image", "frame"], ident, most).withColumn("_box", F.struct(F.col(ident).alias("i"), box.alias("t")))
-    d = d.groupBy("image", "frame", "_part").agg(F.array_sort(F.collect_list("_box")).alias("_b"))
+    d = boxes.withColumn("_box", F.struct(F.col(ident).alias("i"), box.alias("t"))).groupBy("image", "frame").agg(F.array_sort(F.collect_list("_box")).alias("_b"))
     name = F.concat(F.lit('"'), F.col("image"), F.when(F.col("frame") >= 0, F.concat(F.lit("@"), F.col("frame").cast("string"))).otherwise(F.lit("")), F.lit('":'))
     return d.select("image", "frame", F.concat(name, F.concat_ws(",", F.col("_b.t")), F.lit(";")).alias("value"))
 
 
-def to_xml_rows(boxes: DataFrame, ident: str, most: int = 1000) -> DataFrame:
-    """Annotation structs, one per image (several for images with very many boxes)."""
+def to_xml_rows(boxes: DataFrame, ident: str) -> DataFrame:
+    """Annotation structs, one per image, its boxes in order of their id."""
     rect: Column = F.struct(F.col(ident).alias("_id"), *[F.col(c) for c in ("x1", "y1", "x2", "y2", "score")], F.col("class_id").cast("int").alias("classID"))
-    d = _in_parts(boxes, ["image", "frame"], ident, most).groupBy("image", "frame", "_part").agg(F.array_sort(F.collect_list(rect)).alias("_b"))
+    d = boxes.groupBy("image", "frame").agg(F.array_sort(F.collect_list(rect)).alias("_b"))
     rects = F.transform("_b", lambda r: F.struct(*[r[c].alias(c) for c in ("x1", "y1", "x2", "y2", "score", "classID")]))
     return d.select(F.struct(F.col("image").alias("name"), F.col("frame").alias("frameNr")).alias("image"), rects.alias("annorect"))
 

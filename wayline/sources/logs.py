@@ -140,7 +140,7 @@ RADAR_FIELDS = {
 
 def parse_radar(lines: DataFrame, text: str = "value") -> DataFrame:
     """Objects and targets in one table; fields the other kind has are null."""
-    d = lines.withColumns({"kind": F.substring(text, 1, 1), "_t": F.split(F.rtrim(F.substring(F.col(text), 3, 1 << 20)), " ")}).drop(text)
+    d = lines.withColumns({"kind": F.substring(text, 1, 1), "_t": F.split(F.rtrim(F.expr(f"substring({text}, 3)")), " ")}).drop(text)
     fields = list(dict.fromkeys(f for names in RADAR_FIELDS.values() for f in names))
     cols = {}
     for f in fields:
@@ -168,7 +168,7 @@ def parse_nmea(lines: DataFrame, text: str = "value") -> DataFrame:
 
     def degrees(i, digits):
         raw = field(i, "GPGGA")
-        return F.substring(raw, 1, digits).try_cast("double") + F.substring(raw, digits + 1, 32).try_cast("double") / 60
+        return F.substring(raw, 1, digits).try_cast("double") + F.substring(raw, digits + 1, F.length(raw)).try_cast("double") / 60
 
     return d.withColumns(
         {
