@@ -144,3 +144,15 @@ def test_nearest_has_no_limit(spark):
             d, tid = min(((u - x) ** 2 + (v - y) ** 2, j) for q, j, x, y in b if q == k)
             want[i] = (tid, pytest.approx(d**0.5))
     assert got == want
+
+
+def test_overlaps_of_named_runs(spark):
+    from wayline.operators import trace
+
+    cols = "run string, x_min double, x_max double, y_min double, y_max double, dir_x double, dir_y double"
+    rows = [("north", 0.0, 10.0, 0.0, 10.0, 1.0, 0.0), ("bay", 1.0, 11.0, 0.0, 10.0, 1.0, 0.1), ("coast", 1.0, 11.0, 0.0, 10.0, 1.0, 0.0), ("far", 900.0, 910.0, 0.0, 9.0, 1.0, 0.0)]
+    d = spark.createDataFrame(rows, cols)
+    got = {(r.run1, r.run2) for r in trace.best_overlaps(d, "run", ["x", "y"]).collect()}
+    assert got == {("bay", "coast"), ("bay", "north")}  # of equal shares the first name
+    labels = spark.createDataFrame([("coast", "101"), ("bay", "280")], "run string, road string")
+    assert {r.run: r.road for r in trace.propagate_labels(d, labels, "run", ["x", "y"], "road").collect()} == {"north": "280", "far": "none"}

@@ -176,11 +176,10 @@ def same_direction(coords: Sequence[str]) -> Column:
 def best_overlaps(summaries: DataFrame, run: str, coords: Sequence[str], min_share: float = 0.25) -> DataFrame:
     """Run pairs (run1 < run2): each run with its best-overlapping other run, if that one goes the same way."""
     pairs = overlapping_traces(summaries, summaries, run, coords, min_share).withColumn("_same", same_direction(coords))
-    best = pairs.groupBy(F.col("a_" + run).alias("_a")).agg(
-        F.max(F.struct("share", (-F.col("b_" + run)).alias("_neg"), "_same")).alias("_m")
-    )
+    # largest share, then smallest run; run ids may be of any type that has an order
+    best = pairs.groupBy(F.col("a_" + run).alias("_a")).agg(F.min(F.struct((-F.col("share")).alias("_less"), F.col("b_" + run).alias("_b"), "_same")).alias("_m"))
     best = best.where("_m._same").select(
-        F.least("_a", -F.col("_m._neg")).alias("run1"), F.greatest("_a", -F.col("_m._neg")).alias("run2"), F.col("_m.share").alias("share")
+        F.least("_a", "_m._b").alias("run1"), F.greatest("_a", "_m._b").alias("run2"), (-F.col("_m._less")).alias("share")
     )
     return best.distinct()
 
@@ -193,7 +192,7 @@ def propagate_labels(
     known = summaries.join(labels, run)
     pairs = overlapping_traces(open_, known, run, coords, min_share).where((F.col("share") > min_share) & same_direction(coords))
     best = pairs.groupBy(F.col("a_" + run).alias(run)).agg(
-        F.max_by("b_" + label, F.struct("share", -F.col("b_" + run))).alias(label)
+        F.min_by("b_" + label, F.struct(-F.col("share"), F.col("b_" + run))).alias(label)
     )
     return open_.select(run).join(best, run, "left").withColumn(label, F.coalesce(label, F.lit("none")))
 

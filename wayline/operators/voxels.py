@@ -136,6 +136,12 @@ def split_static(points: DataFrame, voxels: DataFrame, size: float, static: bool
     return with_voxel(points, size).join(occupied, VOXEL, "left_semi" if static else "left_anti").drop(*VOXEL)
 
 
+def mark_static(points: DataFrame, voxels: DataFrame, size: float) -> DataFrame:
+    """All points with boolean ``static``: their voxel is known and occupied."""
+    occupied = voxels.where("log_odds > 0").select(*VOXEL, F.lit(True).alias("static"))
+    return with_voxel(points, size).join(occupied, VOXEL, "left").withColumn("static", F.coalesce("static", F.lit(False))).drop(*VOXEL)
+
+
 def hide_occluded(samples: DataFrame, voxels: DataFrame, origin: Sequence[Column], size: float, ident: Sequence[str], gap: float = 3.0) -> DataFrame:
     """Drop samples whose ray from the camera meets an occupied voxel more than ``gap`` before the point."""
     occupied = voxels.where("log_odds > 0").select(*VOXEL)

@@ -125,15 +125,15 @@ IMAGES = "'route/' || {c} || '/cam_' || lpad(CAST(event_id % 500 AS {S}), 4, '0'
 
 @query(
     "suffix_frames",
-    """WITH a AS (SELECT event_id, 'run/' || event_type || '/cam_' || lpad(CAST(event_id % 500 AS VARCHAR), 4, '0') || '.png' AS image, event_id % 50 AS frame FROM events WHERE event_id % 2 = 0),
-b AS (SELECT event_id AS pos, event_type || '/cam_' || lpad(CAST(event_id % 500 AS VARCHAR), 4, '0') || '.png' AS image, event_id % 50 AS frame FROM events WHERE user_id % 3 = 0)
+    """WITH a AS (SELECT event_id, 'run/' || event_type || '/cam_' || lpad(CAST(event_id % 500 AS VARCHAR), 4, '0') || '.png' AS image, event_id % 50 AS frame FROM events),
+b AS (SELECT event_id AS pos, event_type || '/cam_' || lpad(CAST(event_id % 500 AS VARCHAR), 4, '0') || '.png' AS image, event_id % 50 AS frame FROM events)
 SELECT a.event_id, a.image, a.frame, arg_min(b.image, b.pos) AS other_image FROM a LEFT JOIN b ON a.frame = b.frame AND (ends_with(a.image, b.image) OR ends_with(b.image, a.image)) GROUP BY ALL""",
 )
 def suffix_frames(spark, sf):
     ev = table(spark, sf, "events")
     name = "event_type || '/cam_' || lpad(cast(event_id % 500 AS string), 4, '0') || '.png'"
-    a = ev.where("event_id % 2 = 0").selectExpr("event_id", f"'run/' || {name} AS image", "event_id % 50 AS frame")
-    b = ev.where("user_id % 3 = 0").selectExpr("event_id AS pos", f"{name} AS image", "event_id % 50 AS frame")
+    a = ev.selectExpr("event_id", f"'run/' || {name} AS image", "event_id % 50 AS frame")
+    b = ev.selectExpr("event_id AS pos", f"{name} AS image", "event_id % 50 AS frame")
     return ops.suffix_frame_join(a, b, "image", "frame", "pos")
 
 
@@ -320,7 +320,7 @@ def tracked(spark, sf):
 
 @query(
     "gap_fill",
-    f"""WITH {TRACK_BOX}, b AS (SELECT * FROM boxes WHERE side = 'F' AND class_id = 1), r AS (SELECT DISTINCT seq, frame, track_id FROM boxes WHERE side = 'O'),
+    f"""WITH {TRACK_BOX}, b AS (SELECT * FROM boxes WHERE side = 'F'), r AS (SELECT DISTINCT seq, frame, track_id FROM boxes WHERE side = 'O'),
 known AS (SELECT seq, frame, track_id, {', '.join(f'arg_min({c}, (x1, y1, x2, y2)) AS {c}' for c in ('x1', 'y1', 'x2', 'y2'))} FROM b GROUP BY ALL),
 want AS (SELECT * FROM r ANTI JOIN known USING (seq, frame, track_id)),
 c AS (SELECT w.seq, w.frame, w.track_id, p.frame AS fp, n.frame AS fn, {', '.join(f'p.{c} AS p{c}, n.{c} AS n{c}' for c in ('x1', 'y1', 'x2', 'y2'))} FROM want w
@@ -330,7 +330,7 @@ SELECT seq, frame, track_id, x1, y1, x2, y2 FROM a WHERE NOT EXISTS (SELECT 1 FR
 )
 def gap_fill(spark, sf):
     t = tracked(spark, sf)
-    b, r = t.where("side = 'F' AND class_id = 1"), t.where("side = 'O'")
+    b, r = t.where("side = 'F'"), t.where("side = 'O'")
     return ops.fill_gaps(b, r, ["seq"], "frame", "track_id", 200)
 
 

@@ -469,16 +469,16 @@ def local_map_pose(spark, sf):
 
 @query(
     "lane_centre_codes",
-    """WITH d AS (SELECT vec_id, unnest(range(0, 10)) AS i, embedding FROM embeddings)
-SELECT vec_id, i AS seq, CAST(floor(((CAST(embedding[i + 1] AS DOUBLE) * 10 + CAST(embedding[i + 11] AS DOUBLE) * 10) / 2 + 327.68e0) / 0.01e0) AS BIGINT) AS code FROM d""",
+    """WITH d AS (SELECT vec_id, unnest(range(0, 32)) AS i, embedding FROM embeddings)
+SELECT vec_id, i AS seq, CAST(floor(((CAST(embedding[i + 1] AS DOUBLE) * 10 + CAST(embedding[i + 33] AS DOUBLE) * 10) / 2 + 327.68e0) / 0.01e0) AS BIGINT) AS code FROM d""",
 )
 def lane_centre_codes(spark, sf):
     d = table(spark, sf, "embeddings")
 
     def side(start):
-        return F.transform(F.slice("embedding", start, 10), lambda v: v.cast("double") * 10)
+        return F.transform(F.slice("embedding", start, 32), lambda v: v.cast("double") * 10)
 
-    codes = F.transform(text.centre_line(side(1), side(11)), text.lane_code)
+    codes = F.transform(text.centre_line(side(1), side(33)), text.lane_code)
     return d.select("vec_id", F.posexplode(codes).alias("seq", "code")).withColumn("seq", F.col("seq").cast("bigint"))
 
 

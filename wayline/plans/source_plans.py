@@ -55,26 +55,26 @@ def covariance_ingest(spark, sf):
 
 @query(
     "lidar_sweep_decode",
-    """WITH d AS (SELECT vec_id, embedding, unnest(range(0, 10)) AS i FROM embeddings)
-SELECT vec_id * 100000 AS sweep_us, i AS point_no, CAST(embedding[6 * i + 1] AS DOUBLE) AS x, CAST(embedding[6 * i + 4] AS DOUBLE) AS intensity, CAST(i % 32 AS INTEGER) AS laser, CAST(i * 100 AS INTEGER) AS dt_us, vec_id * 100000 - i * 100 AS t_us FROM d""",
+    """WITH d AS (SELECT vec_id, embedding, unnest(range(0, 16)) AS i FROM embeddings)
+SELECT vec_id * 100000 AS sweep_us, i AS point_no, CAST(embedding[4 * i + 1] AS DOUBLE) AS x, CAST(embedding[4 * i + 2] AS DOUBLE) AS y, CAST(embedding[4 * i + 3] AS DOUBLE) AS z,
+ CAST(embedding[4 * i + 4] AS DOUBLE) AS intensity, CAST(i % 32 AS INTEGER) AS laser, CAST(i * 100 AS INTEGER) AS dt_us, vec_id * 100000 - i * 100 AS t_us FROM d""",
 )
 def lidar_sweep_decode(spark, sf):
-    """Vectors written as binary sweeps of ten points, laser and time put in, then decoded."""
+    """Vectors written as binary sweeps of sixteen points with laser and time added, then decoded."""
 
     @F.pandas_udf("binary")
     def pack(v: pd.Series) -> pd.Series:
-        def one(a):
-            m = np.array(a[:60], "<f4").reshape(10, 6)
-            m[:, 4], m[:, 5] = np.arange(10) % 32, np.arange(10) * 100
-            return m.tobytes()
-
-        return v.map(one)
+        points = np.zeros((len(v), 16, 6), "<f4")
+        points[:, :, :4] = np.concatenate(v.to_list()).reshape(-1, 16, 4)
+        points[:, :, 4], points[:, :, 5] = np.arange(16) % 32, np.arange(16) * 100
+        rows = points.tobytes()
+        size = points[0].nbytes
+        return pd.Series([rows[at : at + size] for at in range(0, len(rows), size)])
 
     files = table(spark, sf, "embeddings").select((F.col("vec_id") * 100000).alias("sweep_us"), pack("embedding").alias("content"))
     d = logs.decode_sweeps(files, "content", "sweep_us")
     return d.select(
-        "sweep_us", (F.col("dt_us") / 100).cast("bigint").alias("point_no"), F.col("x").cast("double").alias("x"),
-        F.col("intensity").cast("double").alias("intensity"), "laser", "dt_us", "t_us",
+        "sweep_us", (F.col("dt_us") / 100).cast("bigint").alias("point_no"), *[F.col(c).cast("double").alias(c) for c in ("x", "y", "z", "intensity")], "laser", "dt_us", "t_us"
     )
 
 

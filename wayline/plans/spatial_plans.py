@@ -135,12 +135,8 @@ def voxel_export(spark, sf):
 LEFT JOIN (SELECT * FROM voxels WHERE log_odds > 0) v ON floor(p.x / 10e0) = v.vx AND floor(p.y / 10e0) = v.vy AND floor(p.z / 10e0) = v.vz""",
 )
 def static_points(spark, sf):
-    p, v = points(spark, sf).select("sweep", "point_id", *XYZ), occupancy_map(spark, sf)
-    parts = [
-        voxels.split_static(p, v, SIZE, keep).select("sweep", "point_id", F.lit(name).alias("part"))
-        for name, keep in (("static", True), ("dynamic", False))
-    ]
-    return parts[0].unionByName(parts[1])
+    d = voxels.mark_static(points(spark, sf).select("sweep", "point_id", *XYZ), occupancy_map(spark, sf), SIZE)
+    return d.select("sweep", "point_id", F.when(F.col("static"), "static").otherwise("dynamic").alias("part"))
 
 
 @query(

@@ -523,11 +523,11 @@ def support_plane_objects(spark, sf):
 
 @query("aligned_chunks")
 def aligned_chunks(spark, sf):
-    """Each chunk of points against a shifted copy of itself with some points left out."""
+    """Each chunk of points against a shifted copy of itself."""
     v = vectors(spark, sf).withColumn("chunk", F.col("run_id"))
     target = v.select("chunk", F.col("vec_id").alias("target"), *[(F.col(c) + s).alias(c) for c, s in zip(XYZ, (0.6, -0.4, 0.2))], "intensity")
     weights = {"x": 1.0, "y": 1.0, "z": 1.0, "intensity": 10.0}
-    return registration.align_chunks(v.where("vec_id % 4 <> 0"), target, "chunk", "vec_id", "target", weights, 5.0, final_dist=0.5)
+    return registration.align_chunks(v, target, "chunk", "vec_id", "target", weights, 5.0, final_dist=0.5)
 
 
 CAL_POINT = "l_partkey % 10 AS cam, l_quantity - 25 AS x, l_extendedprice / 3000 - 17 AS y, 20 + l_discount * 100 AS z"
