@@ -72,3 +72,11 @@ def test_one_document_of_each_group_stays(spark, documents):
     assert kept.columns == docs.columns
     assert sorted((str(r["doc_id"]), r["text"] or "") for r in kept.collect()) == sorted([("3", a), ("9", b), ("None", "c d e f"), ("8", "")])
     assert simhash.keep_one(documents([])).count() == 0
+
+
+@pytest.mark.parametrize("at_once", [0, 1000])
+def test_components_of_few_and_many_edges(spark, at_once):
+    pairs = [(1, 2), (3, 2), (-7, 3), (10, 11), (11, 12), (20, 21)]
+    got = {r["node"]: r["root"] for r in simhash.link_components(spark.createDataFrame(pairs, "a long, b long"), at_once).collect()}
+    assert got == {1: -7, 2: -7, 3: -7, -7: -7, 10: 10, 11: 10, 12: 10, 20: 20, 21: 20}
+    assert simhash.link_components(spark.createDataFrame([], "a long, b long"), at_once).count() == 0

@@ -26,6 +26,8 @@ STEP = 4
 WORK = 1 << 22
 #: node pairs a task looks at together
 TOGETHER = 1 << 20
+#: edges that one task may join; 16 bytes each
+AT_ONCE = 500_000
 #: leaf pairs below a pair of nodes that are compared at once
 FEW = 6
 
@@ -208,6 +210,31 @@ def trie_links(leaves: DataFrame, most: int, work: int = WORK) -> DataFrame:
     return rows.groupBy("depth", "a", "b").applyInPandas(run, "a long, b long")
 
 
+def link_components(edges: DataFrame, at_once: int = AT_ONCE) -> DataFrame:
+    """``node`` and ``root`` (smallest node of its component) for every node on an edge.
+
+    The forests of all tasks together are mostly short. They are counted: up to
+    ``at_once`` edges go through one task; more are contracted in rounds over
+    all executors, with the same result.
+    """
+    edges = cut_lineage(edges)
+    if edges.count() > at_once:
+        return connected_components(edges)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        parts = list(batches)
+        if not parts:
+            return
+        both = pd.concat(parts)[["a", "b"]].to_numpy(np.int64)
+        nodes, at = np.unique(both, return_inverse=True)
+        at = at.reshape(-1, 2)
+        root = np.arange(len(nodes))
+        _unite(root, at[:, 0], at[:, 1])
+        yield pd.DataFrame({"node": nodes, "root": nodes[root]})
+
+    return edges.coalesce(1).mapInPandas(run, "node long, root long")
+
+
 def near_groups(prints: DataFrame, most: int = 2) -> DataFrame:
     """``fp``, ``root`` (a fingerprint that names the group) and ``component_id`` (smallest id reachable) of each
     distinct fingerprint of checkpointed ``prints`` (``id``, ``fp``).
@@ -215,7 +242,7 @@ def near_groups(prints: DataFrame, most: int = 2) -> DataFrame:
     Rows with the same fingerprint are one leaf, so copies never meet in pairs.
     """
     leaves = cut_lineage(prints.groupBy("fp").agg(F.min("id").alias("first")))
-    roots = connected_components(trie_links(leaves.select("fp"), most))
+    roots = link_components(trie_links(leaves.select("fp"), most))
     named = leaves.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     named = cut_lineage(named)
     smallest = named.groupBy("root").agg(F.min("first").alias("component_id"))
