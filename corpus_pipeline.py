@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wayline.llm import language, mixing, packing, quality, simhash
+from wayline.llm import language, mixing, packing, quality, similar
 from wayline.llm.common import ensure_checkpoint_dir
 
 #: least mean probability of the best language; a text of real words in a learned language lies far above
@@ -24,8 +24,8 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group linked by SimHash fingerprints (three words, two bits)."""
-    return simhash.keep_one(docs)
+    """The document with the smallest id of each group of texts alike: five-word shingles, similarity of 0.8 or more."""
+    return similar.keep_one(docs)
 
 
 def target_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

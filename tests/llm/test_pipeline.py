@@ -3,7 +3,7 @@
 import corpus_pipeline
 from wayline.llm import language, quality
 from tests.llm.test_native import poisson
-from tests.llm.test_simhash import plain_components, plain_fingerprint
+from tests.llm.test_similar import plain_groups
 
 import hashlib
 import math
@@ -34,7 +34,7 @@ def test_stages(spark, small, tmp_path):
     assert len(rows[2]) >= 0.99 * len(rows[1])
     # near copies
     ids = sorted(rows[2])
-    root = plain_components([plain_fingerprint(rows[2][i]["text"]) for i in ids])
+    root = plain_groups([rows[2][i]["text"] for i in ids])
     assert set(rows[3]) == {ids[r] for r in set(root)}
     assert len({r["text"] for r in rows[3].values()}) == len(rows[3])
     # mixing

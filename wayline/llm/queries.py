@@ -74,6 +74,9 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.resolved_records(warc.read_archives(spark, folder))
 
 
+ORACLES["op7_warc"] = warc.WARC_SQL
+
+
 @query
 def op8_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdict on every page's URL."""

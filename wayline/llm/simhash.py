@@ -89,17 +89,15 @@ def _upper_half(leaves: np.ndarray, low: np.ndarray, depth: int) -> np.ndarray:
     return np.searchsorted(leaves, ((leaves[low] >> left) | np.uint64(1)) << left)
 
 
-def trie_components(a: np.ndarray, b: np.ndarray | None, depth: int, used: int, most: int) -> np.ndarray:
-    """Components among the leaves below two nodes whose prefixes of ``depth`` bits differ in ``used`` bits.
+def _walk(a: np.ndarray, b: np.ndarray | None, depth: int, used: int, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions (i in ``a``, j in ``b``) of the leaf pairs within ``most`` bits below two nodes, in parts.
 
-    ``a`` and ``b`` are sorted distinct unsigned fingerprints; without ``b`` the
-    node is joined with itself. Returns for each leaf (those of ``a``, then of
-    ``b``) the smallest position it is linked to, by at most ``most`` differing bits.
+    The nodes' prefixes of ``depth`` bits differ in ``used`` bits; their leaves
+    ``a`` and ``b`` are sorted and distinct. Without ``b`` the node is joined with
+    itself, and each pair comes once.
     """
     own = b is None
     b = a if own else b
-    shift = 0 if own else len(a)
-    root = np.arange(len(a) + (0 if own else len(b)))
     one = np.zeros(1, np.int64)
     stack = [(depth, one, one + len(a), one, one + len(b), one + used, np.array([own]))]
     while stack:
@@ -117,7 +115,7 @@ def trie_components(a: np.ndarray, b: np.ndarray | None, depth: int, used: int,
             wide = np.repeat(wide, n)
             i, j = np.repeat(alo[few], n) + at // wide, np.repeat(blo[few], n) + at % wide
             near = (np.bitwise_count(a[i] ^ b[j]) <= most) & ~(np.repeat(same[few], n) & (i >= j))
-            _unite(root, i[near], j[near] + shift)
+            yield i[near], j[near]
         rest = ~few
         if not rest.any():
             continue
@@ -132,14 +130,27 @@ def trie_components(a: np.ndarray, b: np.ndarray | None, depth: int, used: int,
             *([] if same.all() else [tuple(x[~same] for x in (amid, ahi, blo, bmid, bits + 1, same))]),
         ]
         merged = [np.concatenate(x) for x in zip(*below, strict=True)]
-        ok = (merged[0] < merged[1]) & (merged[2] < merged[3]) & (merged[4] <= most)
-        # two single equal leaves of one node are no pair
-        ok &= ~(merged[5] & (merged[1] - merged[0] == 1))
+        # a side without leaves, or over the budget; a single leaf is no pair with itself
+        ok = (merged[0] < merged[1]) & (merged[2] < merged[3]) & (merged[4] <= most) & ~(merged[5] & (merged[1] - merged[0] == 1))
         if ok.any():
             stack.append((depth + 1, *(x[ok] for x in merged)))
+
+
+def trie_components(a: np.ndarray, b: np.ndarray | None, depth: int, used: int, most: int) -> np.ndarray:
+    """Components among the leaves below two nodes: for each leaf (those of ``a``, then of ``b``) the smallest position it is linked to."""
+    shift = 0 if b is None else len(a)
+    root = np.arange(len(a) + (0 if b is None else len(b)))
+    for i, j in _walk(a, b, depth, used, most):
+        _unite(root, i, j + shift)
     return root
 
 
+def trie_pairs(leaves: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of positions within ``most`` bits among a few sorted distinct leaves."""
+    parts = [(np.zeros(0, np.int64), np.zeros(0, np.int64)), *_walk(leaves, None, 0, 0, most)]
+    return np.concatenate([i for i, _ in parts]), np.concatenate([j for _, j in parts])
+
+
 def _prefix(fp: Column, depth: int) -> Column:
     return F.shiftrightunsigned(fp, BITS - depth) if depth else F.lit(0).cast("bigint")
 

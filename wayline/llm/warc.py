@@ -162,3 +162,21 @@ def resolved_records(records: DataFrame) -> DataFrame:
 def new_folder(spark: SparkSession) -> str:
     """A folder of its own below the shared one."""
     return f"{ensure_checkpoint_dir(spark)}/warc-{uuid.uuid4().hex}"
+
+
+def _base32_sql(digest: str) -> str:
+    """32 digits from the 40 hexadecimal ones: 8 from each 10."""
+    digits = [
+        f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (('0x' || substr({digest}, {10 * part + 1}, 10))::BIGINT >> {35 - 5 * k}) % 32 + 1, 1)" for part in range(4) for k in range(8)
+    ]
+    return " || ".join(digits)
+
+
+#: the query's result in DuckDB, for tables with one row per page
+WARC_SQL = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS digest FROM pages),
+first AS (SELECT html, max(page_id) AS original FROM p GROUP BY html)
+SELECT page_id, strlen(html) AS payload_bytes, {_base32_sql("digest")} AS payload_digest,
+  CASE WHEN page_id = original THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> original THEN original END AS refers_to, TRUE AS intact
+FROM p JOIN first USING (html)
+"""
