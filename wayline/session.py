@@ -11,12 +11,22 @@ from pyspark.sql import DataFrame, SparkSession
 def build_session(
     app: str = "wayline", master: str | None = None, shuffle_partitions: int | None = None, driver_memory: str | None = None
 ) -> SparkSession:
-    """A session with adaptive execution and UTC times; cluster settings win over these defaults."""
+    """A session with adaptive execution and UTC times; cluster settings win over these defaults.
+
+    Checkpoints go when nothing refers to them any more. On a cluster the
+    package has to be shipped to the executors (``--py-files`` or ``addPyFile``).
+    """
+    # local Python workers import the package wherever the program was started
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    known = [p for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in known:
+        os.environ["PYTHONPATH"] = os.pathsep.join([root, *known])
     builder = (
         SparkSession.builder.appName(app)
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
     )
     if master:
