@@ -179,10 +179,10 @@ def box_statistics(boxes: DataFrame) -> DataFrame:
     )
 
 
-def precision_recall(scored: DataFrame, n_truths: int | Column, n_images: int | Column, width: float) -> DataFrame:
+def precision_recall(scored: DataFrame, totals: DataFrame, width: float) -> DataFrame:
     """Curve over descending score from per-detection columns score, d_matched, d_ignored.
 
-    Equal scores are merged first; the running sums go through score blocks of
+    ``totals`` is one row with ``n_truths`` and ``n_images``. Equal scores are merged first; the running sums go through score blocks of
     ``width``, so no task sees more than one block.
     """
     per_score = scored.groupBy("score").agg(
@@ -191,8 +191,8 @@ def precision_recall(scored: DataFrame, n_truths: int | Column, n_images: int |
     d = per_score.withColumn("_down", -F.col("score"))
     d = blocks.running_sum(d, [], ["_down"], {"matched": F.col("_m"), "seen": F.col("_n"), "ignored": F.col("_i")}, width)
     considered = F.col("seen") - F.col("ignored")
-    truths = n_truths if isinstance(n_truths, Column) else F.lit(n_truths)
-    images = n_images if isinstance(n_images, Column) else F.lit(n_images)
+    d = d.crossJoin(F.broadcast(totals.agg(F.first("n_truths").alias("_truths"), F.first("n_images").alias("_images"))))  # one row
+    truths, images = F.col("_truths"), F.col("_images")
     return d.select(
         "score",
         "matched",

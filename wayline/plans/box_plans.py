@@ -177,16 +177,8 @@ def precision_recall(spark, sf):
 
 
 def _curve(scored, truths):
-    n = truths.agg(F.count("*").alias("_truths"), F.countDistinct("frame").alias("_images"))
-    # the two totals ride along as one broadcast row
-    curve = ops.precision_recall(scored, 1, 1, 1000.0).join(F.broadcast(n))
-    matched, left = F.col("matched").cast("double"), F.col("considered").cast("double")
-    return curve.withColumns(
-        {
-            "recall": F.try_divide(matched, (F.col("_truths") - F.col("ignored")).cast("double")),
-            "fppi": F.try_divide(left - matched, F.col("_images").cast("double")),
-        }
-    ).drop("_truths", "_images")
+    totals = truths.agg(F.count("*").alias("n_truths"), F.countDistinct("frame").alias("n_images"))
+    return ops.precision_recall(scored, totals, 1000.0)
 
 
 @query("matched_detections")
