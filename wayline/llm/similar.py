@@ -24,6 +24,8 @@ FORESTS = 8
 MOST = 512
 #: minima that estimate the similarity of a candidate pair, to take the likeliest links first
 SKETCH = 64
+#: keys of 16 bytes that may be broadcast once they have been counted
+BROADCAST_KEYS = 1_000_000
 #: times that a forest is spanned, each time by links not taken before
 SPANS = 3
 
@@ -67,12 +69,12 @@ def signature(text: Column, size: int, forests: int = FORESTS) -> Column:
 
 
 def shingles(text: Column, size: int) -> Column:
-    """The set of shingle hashes as an array."""
+    """The set of shingles as an array of the upper halves of their hashes, which are enough within a pair of texts."""
 
-    @F.pandas_udf("array<long>")
+    @F.pandas_udf("array<int>")
     def run(series: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in series:
-            yield pd.Series([shingle_set(t, size).view(np.int64) for t in s], dtype="object")
+            yield pd.Series([np.unique(shingle_set(t, size) >> np.uint64(32)).astype(np.uint32).view(np.int32) for t in s], dtype="object")
 
     return run(text)
 
@@ -158,7 +160,8 @@ def similar_groups(docs: DataFrame, ident: str, text: str, size: int = 5, simila
     links = cut_lineage(candidate_links(leaves.select("leaf", "fp", "mins", "sketch"), most))
     # one text of each linked leaf, with its shingles
     asked = links.select(F.explode(F.array("a", "b")).alias("leaf")).distinct().join(leaves.select("leaf", "hash"), "leaf")
-    texts = rows.join(asked.select("hash").distinct(), "hash", "left_semi").groupBy("hash").agg(F.first("text").alias("text"))
+    asked = cut_lineage(asked)
+    texts = rows.join(_sized(asked.select("hash").distinct()), "hash", "left_semi").groupBy("hash").agg(F.first("text").alias("text"))
     sets = asked.join(texts, "hash").select("leaf", shingles(F.col("text"), size).alias("set"))
     sets = cut_lineage(sets)
     both = links.join(sets.select(F.col("leaf").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("leaf").alias("b"), F.col("set").alias("y")), "b")
@@ -168,6 +171,11 @@ def similar_groups(docs: DataFrame, ident: str, text: str, size: int = 5, simila
     return prints.select("id", "hash", "leaf").join(roots.withColumnRenamed("node", "leaf"), "leaf", "left").select("id", "hash", F.coalesce("root", "leaf").alias("root"))
 
 
+def _sized(keys: DataFrame, most: int = BROADCAST_KEYS) -> DataFrame:
+    """``keys`` with a broadcast hint if there are few enough of them."""
+    return F.broadcast(keys) if keys.count() <= most else keys
+
+
 def keep_one(docs: DataFrame, ident: str = "doc_id", text: str = "text", **kind) -> DataFrame:
     """The row with the smallest id of each group of similar texts, with all columns of ``docs``.
 
@@ -179,7 +187,14 @@ def keep_one(docs: DataFrame, ident: str = "doc_id", text: str = "text", **kind)
     named = cut_lineage(similar_groups(docs, ident, text, **kind))
     least = named.groupBy("root").agg(F.min("id").alias("least"))
     first = named.join(least, "root").where(F.col("id").eqNullSafe(F.col("least")))
-    stays = first.groupBy("root").agg(F.min("id").alias("_i"), F.min("hash").alias("_h")).select("_i", "_h")
+    stays = cut_lineage(first.groupBy("root").agg(F.min("id").alias("_i"), F.min("hash").alias("_h")).select("_i", "_h"))
     marked = docs.withColumns({i: F.col(ident), h: F.xxhash64(text)})
-    kept = marked.join(stays, F.col(i).eqNullSafe(F.col("_i")) & (F.col(h) == F.col("_h")), "left_semi")
-    return kept.dropDuplicates([i, h]).select(*docs.columns)
+    same = F.col(i).eqNullSafe(F.col("_i")) & (F.col(h) == F.col("_h"))
+    pairs = named.select(F.col("id").alias("_i"), F.col("hash").alias("_h"))
+    gone = pairs.join(stays.withColumnsRenamed({"_i": "si", "_h": "sh"}), F.col("_i").eqNullSafe(F.col("si")) & (F.col("_h") == F.col("sh")), "left_anti")
+    gone = cut_lineage(gone.distinct())
+    n_gone = gone.count()
+    if n_gone <= BROADCAST_KEYS and named.count() == stays.count() + n_gone:
+        # no row is repeated and few go: whole texts need no shuffle
+        return marked.join(F.broadcast(gone), same, "left_anti").select(*docs.columns)
+    return marked.join(stays, same, "left_semi").dropDuplicates([i, h]).select(*docs.columns)
