@@ -28,8 +28,9 @@ WORK = 1 << 22
 TOGETHER = 1 << 20
 #: edges that one task may join; 16 bytes each
 AT_ONCE = 500_000
-#: leaf pairs below a pair of nodes that are compared at once
+#: leaf pairs below a pair of nodes that are compared at once; more of them where the budget is wide
 FEW = 6
+SMALL = 4096
 
 
 def shingle_hashes(words: list[bytes], size: int, at_once: int = 1 << 16) -> Iterator[np.ndarray]:
@@ -89,12 +90,13 @@ def _upper_half(leaves: np.ndarray, low: np.ndarray, depth: int) -> np.ndarray:
     return np.searchsorted(leaves, ((leaves[low] >> left) | np.uint64(1)) << left)
 
 
-def _walk(a: np.ndarray, b: np.ndarray | None, depth: int, used: int, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _walk(a: np.ndarray, b: np.ndarray | None, depth: int, used: int, most: int, enough: int = FEW) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Positions (i in ``a``, j in ``b``) of the leaf pairs within ``most`` bits below two nodes, in parts.
 
     The nodes' prefixes of ``depth`` bits differ in ``used`` bits; their leaves
     ``a`` and ``b`` are sorted and distinct. Without ``b`` the node is joined with
-    itself, and each pair comes once.
+    itself, and each pair comes once. ``enough`` leaf pairs or fewer are compared
+    at once.
     """
     own = b is None
     b = a if own else b
@@ -108,7 +110,7 @@ def _walk(a: np.ndarray, b: np.ndarray | None, depth: int, used: int, most: int)
                 stack.append((depth, *(x[part] for x in (alo, ahi, blo, bhi, bits, same))))
             continue
         pairs = (ahi - alo) * (bhi - blo)
-        few = pairs <= FEW
+        few = pairs <= enough
         if few.any():
             n, wide = pairs[few], (bhi - blo)[few]
             at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
@@ -147,7 +149,7 @@ def trie_components(a: np.ndarray, b: np.ndarray | None, depth: int, used: int,
 
 def trie_pairs(leaves: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
     """All pairs of positions within ``most`` bits among a few sorted distinct leaves."""
-    parts = [(np.zeros(0, np.int64), np.zeros(0, np.int64)), *_walk(leaves, None, 0, 0, most)]
+    parts = [(np.zeros(0, np.int64), np.zeros(0, np.int64)), *_walk(leaves, None, 0, 0, most, SMALL)]
     return np.concatenate([i for i, _ in parts]), np.concatenate([j for _, j in parts])
 
 
