@@ -165,9 +165,10 @@ def node_pairs(leaves: DataFrame, most: int, work: int = WORK) -> list[tuple[int
     ``STEP`` levels by a join with both nodes' children.
     """
     total = leaves.count()
-    pairs = leaves.sparkSession.range(1).select(
+    top = leaves.sparkSession.range(1).select(
         F.lit(0).cast("bigint").alias("a"), F.lit(0).cast("bigint").alias("b"), F.lit(0).alias("used"), F.lit(total * total).cast("double").alias("size")
     )
+    pairs = cut_lineage(top)  # written, as a join on a constant would become a product of all partitions
     found, depth = [], 0
     while total:
         last = depth + STEP >= BITS
