@@ -81,3 +81,22 @@ def test_spans_connect_what_links_connect():
             j = np.flatnonzero(np.bitwise_count(fps ^ fps[i]) <= 3)
             _unite(plain, np.full(len(j), i), j)
         assert (root == plain).all()
+
+
+def group_at(rng, n, words, share):
+    """Texts of one base, each with a share of its words changed."""
+    base = [f"w{rng.randrange(10**6)}" for _ in range(words)]
+    return [varied(rng, base, round(words * share)) for _ in range(n)]
+
+
+def kept_ids(documents, texts):
+    return sorted(r["doc_id"] for r in similar.keep_one(documents([(i, t, "en", "s") for i, t in enumerate(texts)])).collect())
+
+
+def test_large_forests_lose_no_pair(spark, documents, monkeypatch):
+    """Forests far over the largest size, at similarities about 0.8, next to one group that fills blocks of its own."""
+    texts = group_at(random.Random(6), 90, 300, 0.0125) + group_at(random.Random(7), 60, 300, 0.004)
+    for name in ("candidate_links", "open_links"):
+        if hasattr(similar, name):
+            monkeypatch.setattr(similar, name, lambda *a, f=getattr(similar, name), **b: f(*a, **b, largest=16))
+    assert kept_ids(documents, texts) == sorted(set(plain_groups(texts)))
