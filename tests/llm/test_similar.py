@@ -100,3 +100,9 @@ def test_large_forests_lose_no_pair(spark, documents, monkeypatch):
         if hasattr(similar, name):
             monkeypatch.setattr(similar, name, lambda *a, f=getattr(similar, name), **b: f(*a, **b, largest=16))
     assert kept_ids(documents, texts) == sorted(set(plain_groups(texts)))
+
+
+def test_small_forests_lose_no_pair(spark, documents):
+    """Texts about the least similarity, where many of the first links fail the check."""
+    texts = group_at(random.Random(8), 150, 500, 0.0138)
+    assert kept_ids(documents, texts) == sorted(set(plain_groups(texts)))

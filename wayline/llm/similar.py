@@ -236,7 +236,7 @@ def open_links(leaves: DataFrame, sets_of, most: int, similarity: float, forests
 
     rows = _in_forests(leaves, forests).select("key", "leaf", "fp", "size", "root")
     sizes = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("least"), F.max("root").alias("last"))
-    sizes = cut_lineage(sizes.where(F.col("least") < F.col("last")).where(F.col("n") > largest).select("key", "n"))
+    sizes = cut_lineage(sizes.where("least < last").select("key", "n"))
     rows = cut_lineage(sized_join(rows, sizes, ["key"], "inner"))
     members = _blocks(rows, largest)
     found = cut_lineage(members.groupBy("key", "i", "j").applyInPandas(asked, members.schema))
