@@ -34,6 +34,21 @@ def test_counts_of_documents(spark, documents):
     assert tokencount.count_tokens(documents([])).count() == 0
 
 
+def test_query_cuts_words_of_any_length(spark, documents, tmp_path):
+    from wayline.llm import queries
+
+    texts = ["x" * 500, "我们今天去学校。" * 300, "aGVsbG8gd29ybGQh" * 100 + " the", "the"]
+    documents([(i, t, "en", "s") for i, t in enumerate(texts)]).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in queries.op9_token_counts(spark, str(tmp_path)).collect()}
+    vocabulary = set(Tokenizer.from_file(tokencount.tokenizer_path("word_bpe_49k.json")).get_vocab())
+    letters = tokencount.byte_letters()
+    for i, t in enumerate(texts):
+        pieces = [tokencount.greedy_pieces("".join(letters[b] for b in w.lower().encode()), vocabulary, "</w>") for w in t.split()]
+        sizes = [1 if p is None else len(p) for p in pieces]
+        assert (got[i]["n_tokens"], got[i]["longest_word"], got[i]["n_unknown"]) == (sum(sizes), max(sizes), pieces.count(None))
+    assert got[1]["n_tokens"] > 1000
+
+
 def test_word_ids_equal_the_whole_tokenizer():
     words = packing.word_ids("word_bpe_49k.json")
     rng = random.Random(2)

@@ -88,8 +88,8 @@ ORACLES["op8_urls"] = urls.URLS_SQL
 
 @query
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words and greedy word pieces of every document."""
-    return tokencount.count_tokens(table(spark, sf_dir, "documents"))
+    """Words and greedy word pieces of every document, words of any length among them."""
+    return tokencount.count_tokens(table(spark, sf_dir, "documents"), most_chars=None)
 
 
 @query

@@ -16,8 +16,10 @@ from functools import lru_cache
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-#: a word of more characters is one unknown piece, as is usual for word pieces; a parameter of the operator
+#: a word of more characters is one unknown piece, as is usual for word pieces, unless the limit is None
 MOST_CHARS = 200
+#: longer words are counted anew each time
+LONGEST_REMEMBERED = 200
 #: words whose lengths a Python worker remembers
 REMEMBERED = 400_000
 
@@ -113,22 +115,22 @@ def load_automaton(path: str, end: str) -> Automaton:
 class _Lengths(dict):
     """(pieces, unknown) of the words met so far; keeps the first ``REMEMBERED``, which hold the common ones."""
 
-    def __init__(self, automaton: Automaton, most_chars: int) -> None:
+    def __init__(self, automaton: Automaton, most_chars: int | None) -> None:
         self.automaton, self.most_chars, self.letters = automaton, most_chars, byte_letters()
 
     def __missing__(self, word: str) -> tuple[int, int]:
         count = 0
-        if len(word) <= self.most_chars:
+        if self.most_chars is None or len(word) <= self.most_chars:
             raw = word.lower()
             count = self.automaton.pieces(raw if raw.isascii() else "".join([self.letters[b] for b in raw.encode("utf-8", "replace")]))
         out = (count, 0) if count else (1, 1)
-        if len(self) < REMEMBERED:
+        if len(self) < REMEMBERED and len(word) <= LONGEST_REMEMBERED:
             self[word] = out
         return out
 
 
 @lru_cache(maxsize=4)
-def _lengths(path: str, end: str, most_chars: int) -> _Lengths:
+def _lengths(path: str, end: str, most_chars: int | None) -> _Lengths:
     return _Lengths(load_automaton(path, end), most_chars)
 
 
@@ -139,12 +141,12 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def token_counts(text: Column, vocabulary: str = "word_bpe_49k.json", end: str = "</w>", most_chars: int = MOST_CHARS) -> Column:
+def token_counts(text: Column, vocabulary: str = "word_bpe_49k.json", end: str = "</w>", most_chars: int | None = MOST_CHARS) -> Column:
     """Struct ``n_words``, ``n_tokens``, ``n_unknown`` and ``longest_word`` (in pieces) of each whole text.
 
     Words are split at ASCII white space and lower-cased; a word that the
     vocabulary cannot cover, or of more than ``most_chars`` characters, is one
-    unknown piece. Null and empty texts have no words. ``vocabulary`` names a
+    unknown piece; with None no word is too long. Null and empty texts have no words. ``vocabulary`` names a
     tokenizer file on the workers.
     """
 
