@@ -235,6 +235,16 @@ def test_objects_stand_on_the_support_plane(spark):
     assert abs(got[0].z_min) < 0.1 and 2 <= got[0].x_min < got[0].x_max <= 3
 
 
+def test_highest_support_plane_of_many(spark):
+    """The highest plane has the fewest points, so it is found last; the other scan has one plane only."""
+    rng = random.Random(9)
+    levels = [("s", 2.0 * g, 1280 // 4**g) for g in range(4)] + [("t", 1.0, 200)]
+    flat = [(k, rng.uniform(-10, 10), rng.uniform(-10, 10), z + rng.gauss(0, 0.005)) for k, z, n in levels for _ in range(n)]
+    d = spark.createDataFrame([(k, i, x, y, z) for i, (k, x, y, z) in enumerate(flat)], "k string, id bigint, x double, y double, z double")
+    got = {r.k: r for r in registration.support_planes(d, ["k"], "id", threshold=0.1, min_points=15, highest=True).collect()}
+    assert abs(got["s"].pz - 6.0) < 0.1 and abs(got["t"].pz - 1.0) < 0.1
+
+
 def test_chunk_alignment_finds_the_shift(spark):
     rng = random.Random(7)
     pts = [(c, i, rng.uniform(0, 30), rng.uniform(0, 30), rng.uniform(0, 3), rng.uniform(0, 1)) for c in (0, 1) for i in range(80)]

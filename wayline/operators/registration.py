@@ -142,22 +142,28 @@ def ground_planes(
 
 
 def support_planes(
-    points: DataFrame, keys: Sequence[str], ident: str, threshold: float = 0.2, rounds: int = 3, min_points: int = 100,
+    points: DataFrame, keys: Sequence[str], ident: str, threshold: float = 0.2, rounds: int | None = None, min_points: int = 100,
     up: tuple[float, float, float] = (0.0, 0.0, 1.0), max_tilt_deg: float = 10.0, highest: bool = False, tries: int = 16,
 ) -> DataFrame:
     """Support plane per scan: planes are found one after the other among the points not yet explained.
 
     The first one counts, or with ``highest`` the one whose points lie highest.
+    Scans go through the rounds together, each until it has no further plane of
+    ``min_points`` points; ``rounds`` ends the search earlier.
     """
+    from itertools import count
+
     from wayline.session import cut_lineage
 
     keys = list(keys)
     rest, found = points.select(*keys, ident, *XYZ), None
-    for r in range(rounds if highest else 1):
+    for r in count() if highest and rounds is None else range(rounds if highest else 1):
         plane = ransac_planes(rest, keys, ident, threshold, tries, min_points, up, max_tilt_deg, seed=r)
         plane = cut_lineage(plane.where(F.col("n_inliers") >= min_points).withColumn("round", F.lit(r)))
         found = plane if found is None else found.unionByName(plane)
-        rest = rest.join(plane, keys).where(F.abs(plane_offset()) >= threshold).select(*keys, ident, *XYZ)
+        if not highest or plane.isEmpty():
+            break
+        rest = cut_lineage(rest.join(plane, keys).where(F.abs(plane_offset()) >= threshold).select(*keys, ident, *XYZ))
     height = sum((F.col(f"p{c}") * g for c, g in zip("yz", up[1:])), F.col("px") * up[0])
     rank = F.struct(height, -F.col("round")) if highest else F.struct(-F.col("round"))
     cols = [c for c in found.columns if c not in keys]

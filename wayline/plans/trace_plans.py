@@ -517,7 +517,7 @@ def ground_planes(spark, sf):
 @query("support_plane_objects")
 def support_plane_objects(spark, sf):
     p = points(spark, sf).select("sweep", "point_id", *XYZ)
-    planes = registration.support_planes(p, ["sweep"], "point_id", threshold=1.5, min_points=8, max_tilt_deg=25.0, highest=True, rounds=2)
+    planes = registration.support_planes(p, ["sweep"], "point_id", threshold=1.5, min_points=8, max_tilt_deg=25.0, highest=True)
     return registration.objects_above_plane(p, planes, ["sweep"], "point_id", 0.5, 6.0, eps=20.0, min_size=2, max_size=5000)
 
 
