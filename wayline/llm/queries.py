@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from wayline.llm import language, licences, merkle, mixing, packing, quality, simhash, tokencount, urls, warc
+from wayline.llm import chunks, language, licences, merkle, mixing, packing, quality, ranking, runs, simhash, tokencount, urls, warc
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -96,3 +96,27 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Word counts, repetition and verdict of every document."""
     return quality.quality_report(table(spark, sf_dir, "documents"))
+
+
+@query
+def op11_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Group of equal texts of every document and the document that stays."""
+    return chunks.exact_groups(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op11_exact"] = chunks.EXACT_SQL
+
+
+@query
+def op12_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best documents of every benchmark item."""
+    return ranking.rank_items(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"))
+
+
+ORACLES["op12_ranking"] = ranking.RANK_SQL
+
+
+@query
+def op13_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of every document, one in ten of which is made to repeat itself."""
+    return runs.run_digests(runs.find_runs(runs.with_loops(table(spark, sf_dir, "documents"))))
