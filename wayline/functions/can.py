@@ -9,6 +9,7 @@ OBJECT_HEADER_ID = 0x738
 OBJECT_FIRST_ID = 0x739
 LANE_HEADER_ID = 0x766
 LANE_IDS = ((0x766, 0x769), (0x76C, 0x77F))
+LANE_NUMBERS = {0x766: -1, 0x768: 1, 0x76C: -2, 0x76E: 2}
 
 
 def byte(data: Column, i: int) -> Column:

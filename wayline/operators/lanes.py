@@ -6,10 +6,10 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from wayline.functions import rotation
-from wayline.operators import blocks, segments, spatial, timejoin
+from wayline.operators import blocks, pyramid, segments, spatial, timejoin
 from wayline.session import cut_lineage
 
 XYZ = ["x", "y", "z"]
@@ -48,16 +48,16 @@ def assign_to_lanes(
     return near.drop("_segment", "_lane")
 
 
-def nearest_sides(poses: DataFrame, lanes: DataFrame, keys: Sequence[str], pose: str, lane_no: str, point: str, tolerance: float) -> DataFrame:
-    """Nearest lane point left (y >= 0) and right of each pose, in its own frame.
+def nearest_sides(poses: DataFrame, lanes: DataFrame, keys: Sequence[str], pose: str, lane_no: str, point: str, first: float = 8.0) -> DataFrame:
+    """Nearest lane point left (y >= 0) and right of each pose, in its own frame, at any distance.
 
-    ``poses`` holds px, py, pz and r00..r22. One nearest search per lane, then the
-    better lane per side: ``side, lane_no, point, dist``.
+    ``poses`` holds px, py, pz and r00..r22. One nearest search per lane, from
+    ``first`` on, then the better lane per side: ``side, lane_no, point, dist``.
     """
     keys = list(keys)
     numbers = lanes.select(*keys, lane_no).distinct()
     asked = poses.join(numbers, keys).withColumns({c: F.col("p" + c) for c in XYZ})
-    near = spatial.nearest_within(asked, lanes, [*keys, lane_no], XYZ, tolerance, point, levels=(16, 4, 1))
+    near = spatial.nearest(asked, lanes, [*keys, lane_no], XYZ, first, point, levels=(8, 1))
     at = lanes.select(*keys, lane_no, point, *[F.col(c).alias(f"_l_{c}") for c in XYZ])
     near = near.join(at, [*keys, lane_no, point])
     m = [[F.col(f"r{i}{j}") for j in range(3)] for i in range(3)]
@@ -67,10 +67,10 @@ def nearest_sides(poses: DataFrame, lanes: DataFrame, keys: Sequence[str], pose:
     return best.select(*keys, pose, "side", *[F.col("_b")[c].alias(c) for c in (lane_no, point, "dist")])
 
 
-def snap_to_planes(points: DataFrame, planes: DataFrame, keys: Sequence[str], plane: str, tolerance: float, levels=(16, 4, 1)) -> DataFrame:
-    """Move points onto the plane (nx..nz through px..pz) whose point is nearest."""
+def snap_to_planes(points: DataFrame, planes: DataFrame, keys: Sequence[str], plane: str, first: float = 8.0, levels=(8, 1)) -> DataFrame:
+    """Move points onto the plane (nx..nz through px..pz) whose point is nearest, at any distance; the search starts at ``first``."""
     at = planes.select(*keys, plane, *[F.col("p" + c).alias(c) for c in XYZ])
-    near = spatial.nearest_within(points, at, keys, XYZ, tolerance, plane, levels=levels)
+    near = spatial.nearest(points, at, keys, XYZ, first, plane, levels=levels)
     d = near.join(planes.select(*keys, plane, *["n" + c for c in XYZ], *["p" + c for c in XYZ]), [*keys, plane])
     off = rotation.dot([F.col(c) - F.col("p" + c) for c in XYZ], [F.col("n" + c) for c in XYZ])
     d = d.withColumn("offset", off)
@@ -438,28 +438,57 @@ def lane_error(lanes: DataFrame, measured: DataFrame, keys: Sequence[str], lane_
     return blocks.grouped_median(near, lane_keys, ["dist"], tolerance / 16).withColumnRenamed("dist", "median_error")
 
 
-def rays_to_planes(
-    rays: DataFrame, planes: DataFrame, keys: Sequence[str], ray: str, plane: str, reach: float = 5.0, length: float = 100.0
-) -> DataFrame:
+def rays_to_planes(rays: DataFrame, planes: DataFrame, keys: Sequence[str], ray: str, plane: str, finest: float = 4.0, ahead: bool = False) -> DataFrame:
     """Image rays (ox..oz, dx..dz) on the plane whose point lies nearest to the hit: ray, plane, x, y, z, dist.
 
-    Hits within ``length`` along the ray and ``reach`` of the plane's point
-    count. The ray is sampled every ``reach``; each sample looks at the cells
-    in which such a plane's point can lie.
+    Planes are nx..nz through px..pz. Every plane of the ray's key counts,
+    however far; with ``ahead`` only hits in front of the origin do. A hit lies on
+    the ray, so it is no nearer to a plane's point than the ray itself is: cells
+    of plane points farther from the ray than the best hit met so far are left
+    out, from coarse to fine. Of planes alike the smallest number counts, as on
+    ties. Rays parallel to all planes have no row, nor have rays or planes with
+    numbers that are not finite, or without a direction.
     """
     keys = list(keys)
+    o, u, n, p = (["_" + kind + c for c in XYZ] for kind in "ounp")
     size = rotation.norm([F.col("d" + c) for c in XYZ])
-    r = rays.select(*keys, ray, *["o" + c for c in XYZ], *[(F.col("d" + c) / size).alias("d" + c) for c in XYZ])
-    steps = int(length // reach) + 1
-    s = r.withColumn("_step", F.explode(F.sequence(F.lit(0), F.lit(steps)))).withColumn("_at", F.col("_step") * F.lit(float(reach)))
-    s = s.withColumns({c: F.col("o" + c) + F.col("_at") * F.col("d" + c) for c in XYZ})
-    wide = 1.5 * reach
-    probes = spatial.with_cells_in_reach(s, XYZ, 2 * wide, wide).select(*r.columns, *spatial.cell_names(XYZ)).distinct()
-    at = spatial.with_cell(planes.select(*keys, plane, *["n" + c for c in XYZ], *[F.col("p" + c).alias(c) for c in XYZ]), XYZ, 2 * wide)
-    d = probes.join(at, [*keys, *spatial.cell_names(XYZ)])
-    gap = rotation.dot([F.col(c) - F.col("o" + c) for c in XYZ], [F.col("n" + c) for c in XYZ])
-    d = d.withColumn("_t", F.try_divide(gap, rotation.dot([F.col("d" + c) for c in XYZ], [F.col("n" + c) for c in XYZ])))
-    d = d.where(F.col("_t").between(0.0, length)).withColumns({f"_h{c}": F.col("o" + c) + F.col("_t") * F.col("d" + c) for c in XYZ})
-    d = d.withColumn("_d", F.sqrt(spatial.dist2([F.col(f"_h{c}") for c in XYZ], [F.col(c) for c in XYZ]))).where(F.col("_d") <= reach)
+    r = spatial.usable(rays, ["o" + c for c in XYZ] + ["d" + c for c in XYZ]).where(size > 0)
+    r = r.select(*keys, ray, *[F.col("o" + c).alias(a) for a, c in zip(o, XYZ)], *[(F.col("d" + c) / size).alias(a) for a, c in zip(u, XYZ)], F.lit(float("inf")).alias("_best"))
+    full = ["n" + c for c in XYZ] + ["p" + c for c in XYZ]
+    at = spatial.usable(planes, full).groupBy(*keys, *full).agg(F.min(plane).alias(plane))
+    at = at.select(*keys, plane, *[F.col("n" + c).alias(a) for a, c in zip(n, XYZ)], *[F.col("p" + c).alias(c) for c in XYZ])
+    at = cut_lineage(at.withColumn("_sample", F.struct(plane, *n, *[F.col(c).alias(a) for a, c in zip(p, XYZ)])))
+    levels = pyramid.build(at, keys, XYZ, finest, ranges=n, sample="_sample")
+    origin, way = [F.col(a) for a in o], [F.col(a) for a in u]
+
+    def hit(normal, point):
+        t = F.try_divide(rotation.as_column(rotation.dot([b - a for a, b in zip(origin, point)], normal)), rotation.as_column(rotation.dot(way, normal)))
+        t = F.when(t >= 0, t) if ahead else t
+        where = [a + t * b for a, b in zip(origin, way)]
+        return where, F.sqrt(spatial.dist2(where, point))
+
+    def nearer(d: DataFrame) -> DataFrame:
+        rel = [pyramid.middle(c) - a for a, c in zip(origin, XYZ)]
+        along = rotation.as_column(rotation.dot(rel, way))
+        along = F.greatest(along, F.lit(0.0)) if ahead else along
+        bound = F.sqrt(spatial.dist2(rel, [along * b for b in way])) - pyramid.half_diagonal(XYZ)
+        # behind the origin for every normal and point of the cell
+        behind = F.lit(False)
+        if ahead:
+            sides = [F.array(*[F.col(f"_{e}_{a}") for e in ("lo", "hi")]) for a in n]
+            gaps = [F.array(*[F.col(f"_{e}_{c}") - a for e in ("lo", "hi")]) for a, c in zip(origin, XYZ)]
+            num = [F.array(*[x[i] * y[j] for i in (0, 1) for j in (0, 1)]) for x, y in zip(gaps, sides)]
+            den = [F.array(*[y[i] * b for i in (0, 1)]) for y, b in zip(sides, way)]
+            low, high = ([sum((f(x) for x in part[1:]), f(part[0])) for part in (num, den)] for f in (F.array_min, F.array_max))
+            behind = ((low[0] > 0) & (high[1] < 0)) | ((high[0] < 0) & (low[1] > 0))
+        _, dist = hit([F.col("_sample")[a] for a in n], [F.col("_sample")[a] for a in p])
+        d = d.withColumns({"_bound": bound, "_behind": behind, "_seen": F.coalesce(dist, F.lit(float("inf")))})
+        d = d.withColumn("_best", F.least("_best", F.min("_seen").over(W.partitionBy(*keys, ray))))
+        return d.where(~F.col("_behind") & (F.col("_bound") <= F.col("_best") * (1 + 1e-9) + 1e-9))
+
+    left = pyramid.descend(r, levels, keys, XYZ, nearer)
+    d = left.join(spatial.with_cell(at.drop("_sample"), XYZ, finest), [*keys, *spatial.cell_names(XYZ)])
+    where, dist = hit([F.col(a) for a in n], [F.col(c) for c in XYZ])
+    d = d.select(*keys, ray, plane, *[w.alias(f"_h{c}") for w, c in zip(where, XYZ)], dist.alias("_d")).where("_d IS NOT NULL")
     best = d.groupBy(*keys, ray).agg(F.min(F.struct("_d", plane, *[F.col(f"_h{c}").alias(c) for c in XYZ])).alias("_b"))
     return best.select(*keys, ray, *[F.col("_b")[c].alias(c) for c in (plane, *XYZ)], F.col("_b._d").alias("dist"))

@@ -92,28 +92,56 @@ def nearest_within(
     return source.join(best, [*keys, *coords])
 
 
+def usable(df: DataFrame, coords: Sequence[str]) -> DataFrame:
+    """Rows whose coordinates are all finite numbers; null, nan and infinite ones have no place."""
+    out = df
+    for c in coords:
+        out = out.where(F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
+    return out
+
+
 def nearest(
     source: DataFrame, target: DataFrame, keys: Sequence[str], coords: Sequence[str], first: float, target_id: str,
-    levels: Sequence[int] = (64, 8, 1), extra: Sequence[str] = (),
+    levels: Sequence[int] = (64, 8, 1), extra: Sequence[str] = (), few: int = 64,
 ) -> DataFrame:
     """Nearest target of every source row at any distance: columns target_id and ``dist``.
 
-    Searches within ``first`` and, for the few places still open, within 64 times
-    as far, until none is open. Rows whose key has no target, or with a missing
-    coordinate, drop out. Each search is written when this is called.
+    Keys with up to ``few`` places of targets are compared directly, at most that
+    many pairs a row. In crowded keys the search goes within ``first`` and, for
+    the few places still open, within 64 times as far, until none is open; a key's
+    own extent bounds it. Rows whose key has no usable target, or whose own
+    coordinates are not finite, drop out. Each step is written when this is called.
     """
-    every = [*keys, *coords, *extra]
-    places = source.select(*every).distinct().join(target.select(*keys).distinct(), list(keys), "left_semi")
-    for c in [*coords, *extra]:
-        places = places.where(F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < 1e15))
-    open_, found, reach = cut_lineage(places), None, first
-    while True:
-        hit = cut_lineage(nearest_within(open_, target, keys, coords, reach, target_id, levels, strict=False, extra=extra))
+    keys, every = list(keys), [*keys, *coords, *extra]
+    full = [*coords, *extra]
+    targets = cut_lineage(usable(target.select(*every, target_id), full).groupBy(*every).agg(F.min(target_id).alias(target_id)))
+    extent = targets.groupBy(*keys).agg(F.count("*").alias("_n"), *[f(c).alias(n + c) for c in full for f, n in ((F.min, "_lo_"), (F.max, "_hi_"))])
+    places = usable(source.select(*every).distinct(), full)
+    places = cut_lineage(places.join(extent, keys) if keys else places.crossJoin(F.broadcast(extent)))  # one row without keys
+    t_names = [f"_t_{c}" for c in full]
+    named = targets.select(*keys, target_id, *[F.col(c).alias(t) for c, t in zip(full, t_names)])
+    found, crowded = None, places
+    if keys:
+        d2 = dist2([F.col(c) for c in full], [F.col(t) for t in t_names])
+        pairs = places.where(F.col("_n") <= few).select(*every).join(named, keys)
+        best = pairs.groupBy(*every).agg(F.min(F.struct(d2.alias("_d2"), F.col(target_id))).alias("_b"))
+        found = cut_lineage(best.select(*every, F.col("_b")[target_id].alias(target_id), F.sqrt("_b._d2").alias("dist")))
+        crowded = places.where(F.col("_n") > few)
+    farthest = dist2([F.greatest(F.abs(F.col(c) - F.col("_lo_" + c)), F.abs(F.col(c) - F.col("_hi_" + c))) for c in full], [F.lit(0.0)] * len(full))
+    reach, limit = float(first), crowded.agg(F.max(F.sqrt(farthest))).first()[0]
+    open_ = crowded.select(*every)
+    while limit is not None:
+        hit = cut_lineage(nearest_within(open_, targets, keys, coords, reach, target_id, levels, strict=False, extra=extra))
         found = hit if found is None else found.unionByName(hit)
         open_ = cut_lineage(open_.join(hit.select(*every), every, "left_anti"))
         if open_.isEmpty():
-            return source.join(found, every)
+            break
+        if reach > 2 * limit:
+            raise RuntimeError(f"no target within {reach}, though all lie within {limit}")
         reach, levels = reach * 64, (8, 1)
+    if found is None:
+        found = targets.select(*every, target_id, F.lit(0.0).alias("dist")).limit(0)
+    return source.join(found, every)
 
 
 def radius_join(

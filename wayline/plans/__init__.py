@@ -14,4 +14,4 @@ def load_all():
     return QUERIES, ORACLES
 
 
-PLAN_MODULES = ["time_plans", "geometry_plans", "spatial_plans", "box_plans", "trace_plans", "source_plans", "stream_plans"]
+PLAN_MODULES = ["time_plans", "geometry_plans", "spatial_plans", "box_plans", "trace_plans", "source_plans", "stream_plans", "can_plans"]

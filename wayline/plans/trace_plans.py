@@ -219,7 +219,7 @@ ATT = attitude_sql("rot_x", "rot_y", "azimuth")
     "nearest_sides",
     f"""WITH {LANES}, po AS (SELECT p.run_id, p.idx, k.x, k.y, k.z, {ATT[1][0]} AS m0, {ATT[1][1]} AS m1, {ATT[1][2]} AS m2 FROM poses p JOIN kinds k ON p.idx = k.idx WHERE p.kind = 'click'),
 n AS (SELECT a.run_id, a.idx, b.lane_no, b.seq, {D2} AS d2, m0 * (b.x - a.x) + m1 * (b.y - a.y) + m2 * (b.z - a.z) AS yy FROM po a JOIN lane b ON a.run_id = b.run_id QUALIFY row_number() OVER (PARTITION BY a.idx, b.lane_no ORDER BY d2, b.seq) = 1),
-s AS (SELECT run_id, idx, CASE WHEN yy >= 0 THEN 'left' ELSE 'right' END AS side, lane_no, seq, d2 FROM n WHERE d2 < 900 QUALIFY row_number() OVER (PARTITION BY idx, yy >= 0 ORDER BY d2, lane_no, seq) = 1)
+s AS (SELECT run_id, idx, CASE WHEN yy >= 0 THEN 'left' ELSE 'right' END AS side, lane_no, seq, d2 FROM n QUALIFY row_number() OVER (PARTITION BY idx, yy >= 0 ORDER BY d2, lane_no, seq) = 1)
 SELECT run_id, idx, side, lane_no, seq, {qs('sqrt(d2)')} AS dist FROM s""",
 )
 def nearest_sides(spark, sf):
@@ -229,7 +229,7 @@ def nearest_sides(spark, sf):
         "run_id", "idx", *[F.expr(e).alias("p" + c) for c, e in zip(XYZ, ("(lat - 37) * 1000", "(lon + 122) * 1000", "height / 10"))],
         *[rotation.as_column(m[i][j]).alias(n) for n, (i, j) in R_NAMES],
     )
-    d = lanes.nearest_sides(p, lane.drop("t_us"), ["run_id"], "idx", "lane_no", "seq", 30.0)
+    d = lanes.nearest_sides(p, lane.drop("t_us"), ["run_id"], "idx", "lane_no", "seq")
     return d.select("run_id", "idx", "side", "lane_no", "seq", q(F.col("dist")).alias("dist"))
 
 
@@ -237,7 +237,7 @@ def nearest_sides(spark, sf):
     "plane_snapping",
     f"""WITH {LANES}, pl AS (SELECT seq AS plane, run_id, x, y, z, 0.6e0 AS nx, 0e0 AS ny, 0.8e0 AS nz FROM lane),
 n AS (SELECT a.run_id, a.idx, a.x, a.y, a.z, b.plane, {D2} AS d2, (a.x - b.x) * nx + (a.y - b.y) * ny + (a.z - b.z) * nz AS off, nx, ny, nz FROM pts a JOIN pl b ON a.run_id = b.run_id QUALIFY row_number() OVER (PARTITION BY a.idx ORDER BY d2, b.plane) = 1)
-SELECT run_id, idx, plane, {select_sql([('offset', 'off'), ('x_flat', 'x - off * nx'), ('y_flat', 'y - off * ny'), ('z_flat', 'z - off * nz')], 4)} FROM n WHERE d2 < 3600""".replace("AS offset", 'AS "offset"'),
+SELECT run_id, idx, plane, {select_sql([('offset', 'off'), ('x_flat', 'x - off * nx'), ('y_flat', 'y - off * ny'), ('z_flat', 'z - off * nz')], 4)} FROM n""".replace("AS offset", 'AS "offset"'),
 )
 def plane_snapping(spark, sf):
     lane, pts = lane_tables(spark, sf)
@@ -245,7 +245,7 @@ def plane_snapping(spark, sf):
         F.col("seq").alias("plane"), "run_id", *[F.col(c).alias("p" + c) for c in XYZ],
         F.lit(0.6).alias("nx"), F.lit(0.0).alias("ny"), F.lit(0.8).alias("nz"),
     )
-    d = lanes.snap_to_planes(pts, planes, ["run_id"], "plane", 60.0)
+    d = lanes.snap_to_planes(pts, planes, ["run_id"], "plane")
     return d.select("run_id", "idx", "plane", *[q(F.col(c)).alias(c) for c in ("offset", "x_flat", "y_flat", "z_flat")])
 
 
@@ -255,8 +255,8 @@ def plane_snapping(spark, sf):
 r0 AS (SELECT run_id, idx, x AS ox, y AS oy, z + 20 AS oz, (idx % 13 - 6) / 10e0 AS a, (idx % 11 - 5) / 10e0 AS b, -1e0 AS c FROM pts),
 r AS (SELECT run_id, idx, ox, oy, oz, a / sqrt(a * a + b * b + c * c) AS dx, b / sqrt(a * a + b * b + c * c) AS dy, c / sqrt(a * a + b * b + c * c) AS dz FROM r0),
 t AS (SELECT r.*, pl.plane, pl.x, pl.y, pl.z, ((pl.x - ox) * nx + (pl.y - oy) * ny + (pl.z - oz) * nz) / nullif(dx * nx + dy * ny + dz * nz, 0) AS t FROM r JOIN pl ON r.run_id = pl.run_id),
-h AS (SELECT *, sqrt((ox + t * dx - x) * (ox + t * dx - x) + (oy + t * dy - y) * (oy + t * dy - y) + (oz + t * dz - z) * (oz + t * dz - z)) AS d FROM t WHERE t BETWEEN 0 AND 60)
-SELECT run_id, idx, plane, {select_sql([('x', 'ox + t * dx'), ('y', 'oy + t * dy'), ('z', 'oz + t * dz'), ('dist', 'd')])} FROM h WHERE d <= 12 QUALIFY row_number() OVER (PARTITION BY idx ORDER BY d, plane) = 1""",
+h AS (SELECT *, sqrt((ox + t * dx - x) * (ox + t * dx - x) + (oy + t * dy - y) * (oy + t * dy - y) + (oz + t * dz - z) * (oz + t * dz - z)) AS d FROM t WHERE t IS NOT NULL)
+SELECT run_id, idx, plane, {select_sql([('x', 'ox + t * dx'), ('y', 'oy + t * dy'), ('z', 'oz + t * dz'), ('dist', 'd')])} FROM h QUALIFY row_number() OVER (PARTITION BY idx ORDER BY d, plane) = 1""",
 )
 def rays_on_planes(spark, sf):
     lane, pts = lane_tables(spark, sf)
@@ -268,7 +268,7 @@ def rays_on_planes(spark, sf):
         "run_id", "idx", F.col("x").alias("ox"), F.col("y").alias("oy"), (F.col("z") + 20).alias("oz"),
         ((F.col("idx") % 13 - 6) / F.lit(10.0)).alias("dx"), ((F.col("idx") % 11 - 5) / F.lit(10.0)).alias("dy"), F.lit(-1.0).alias("dz"),
     )
-    d = lanes.rays_to_planes(rays, planes, ["run_id"], "idx", "plane", 12.0, 60.0)
+    d = lanes.rays_to_planes(rays, planes, ["run_id"], "idx", "plane", finest=8.0)
     return d.select("run_id", "idx", "plane", *[q(F.col(c)).alias(c) for c in (*XYZ, "dist")])
 
 

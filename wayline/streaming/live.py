@@ -29,11 +29,17 @@ def stream_table(spark: SparkSession, folder: str, pattern: str, schema: str, fi
     )
 
 
-def run_available(stream: DataFrame, mode: str, spark: SparkSession, latest_only: bool = False) -> DataFrame:
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def run_available(stream: DataFrame, mode: str, spark: SparkSession, latest_only: bool = False, state_store: str | None = None) -> DataFrame:
     """Run a stream over all data there is and return what it wrote.
 
     Batches go to a folder of their own each, so a repeated batch replaces
     itself. ``latest_only`` returns the last batch (complete mode).
+    ``state_store`` names the provider of this stream's state; state machines
+    with timers need :data:`ROCKSDB`, which also keeps state out of the heap.
     """
     root = f"{ensure_checkpoint_dir(spark)}/stream-{uuid4().hex}"
     schema = stream.schema
@@ -41,14 +47,23 @@ def run_available(stream: DataFrame, mode: str, spark: SparkSession, latest_only
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{root}/out/batch={number}")
 
-    query = (
-        stream.writeStream.outputMode(mode)
-        .option("checkpointLocation", f"{root}/state")
-        .trigger(availableNow=True)
-        .foreachBatch(write)
-        .start()
-    )
-    query.awaitTermination()
+    before = spark.conf.get(STATE_STORE, None)
+    if state_store:
+        spark.conf.set(STATE_STORE, state_store)
+    try:
+        query = (
+            stream.writeStream.outputMode(mode)
+            .option("checkpointLocation", f"{root}/state")
+            .trigger(availableNow=True)
+            .foreachBatch(write)
+            .start()
+        )
+        query.awaitTermination()
+    finally:
+        if state_store and before is not None:
+            spark.conf.set(STATE_STORE, before)
+        elif state_store:
+            spark.conf.unset(STATE_STORE)
     if query.exception() is not None:
         raise query.exception()
     out = spark.read.schema(T.StructType([*schema.fields, T.StructField("batch", T.LongType())])).parquet(f"{root}/out")
