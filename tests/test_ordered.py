@@ -113,7 +113,7 @@ def test_warm_up_drop(spark):
 def test_smoothing_fold_matches_the_recursion(spark):
     values = [float((i * 37) % 11) for i in range(300)]
     d = spark.createDataFrame([("r", i, v) for i, v in enumerate(values)], "k string, i bigint, v double")
-    got = {r.i: r.v_smooth for r in lanes.smooth_normals(d, ["k"], ["i"], ["v"], 40, block_rows=100).collect()}
+    got = {r.i: r.v_smooth for r in lanes.smooth_normals(d, ["k"], ["i"], ["v"], 40).collect()}
     mix = values[0]
     for i, v in enumerate(values):
         mix = v if i == 0 else 0.3 * mix + 0.7 * v

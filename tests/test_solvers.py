@@ -12,36 +12,80 @@ from wayline.operators import lanes, registration, smoothing, trace
 XYZ = ["x", "y", "z"]
 
 
+def natural_spline(t, v, at):
+    """Natural cubic spline through (t, v[:, k]) at the times ``at``, by a dense solve."""
+    n = len(t)
+    if n == 1:
+        return np.repeat(v[:1], len(at), axis=0)
+    h, m = np.diff(t), np.zeros_like(v)
+    if n > 2:
+        a = np.diag(2 * (h[:-1] + h[1:])) + np.diag(h[1:-1], 1) + np.diag(h[1:-1], -1)
+        m[1:-1] = np.linalg.solve(a, 6 * np.diff(np.diff(v, axis=0) / h[:, None], axis=0))
+    k = np.clip(np.searchsorted(t, at, side="right") - 1, 0, n - 2)
+    a, b, w = (t[k + 1] - at)[:, None], (at - t[k])[:, None], h[k][:, None]
+    return m[k] * a**3 / (6 * w) + m[k + 1] * b**3 / (6 * w) + (v[k] / w - m[k] * w / 6) * a + (v[k + 1] / w - m[k + 1] * w / 6) * b
+
+
 def test_natural_spline_is_smooth_and_passes_through():
     t = np.array([0.0, 1.0, 2.5, 4.0, 7.0])
     v = np.column_stack([np.sin(t), t * 2 + 1])
-    assert np.allclose(lanes.natural_spline(t, v, t), v)
+    assert np.allclose(natural_spline(t, v, t), v)
     at = np.linspace(0, 7, 701)
-    out = lanes.natural_spline(t, v, at)
+    out = natural_spline(t, v, at)
     assert np.allclose(out[:, 1], at * 2 + 1)
     second = np.diff(out[:, 0], 2)
     assert abs(second[0]) < 1e-5 and np.abs(np.diff(second)).max() < 1e-4
 
 
-def test_resampling_in_blocks_equals_the_whole_lane(spark):
+@pytest.mark.parametrize("block_rows", [2, 50, 4096])
+def test_resampling_in_blocks_equals_the_whole_lane(spark, block_rows):
     rng = random.Random(2)
-    t = sorted(rng.sample(range(0, 4_000_000), 400))
-    rows = [("r", 0, ti, rng.uniform(-1, 1), float(i), rng.gauss(0, 1)) for i, ti in enumerate(t)]
+    lanes_of = {("r", lane): sorted(rng.sample(range(0, 4_000_000), n)) for lane, n in enumerate((400, 1, 2, 3, 4, 51))}
+    rows = [(run, lane, ti, rng.uniform(-1, 1), float(i), rng.gauss(0, 1)) for (run, lane), t in lanes_of.items() for i, ti in enumerate(t)]
     d = spark.createDataFrame(rows, "run string, lane int, t bigint, x double, y double, z double")
-    got = sorted((r.seq, r.t, r.x, r.y, r.z) for r in lanes.resample_lanes(d, ["run", "lane"], "t", 500_000, 10_000, block_rows=100).collect())
-    at = np.arange(t[0], t[-1] + 1, 10_000)
-    want = lanes.natural_spline(np.array(t, float), np.array([r[3:] for r in rows]), at.astype(float))
-    assert [g[1] for g in got] == at.tolist()
-    assert np.allclose(np.array([g[2:] for g in got]), want, atol=1e-9)
+    got = lanes.resample_lanes(d, ["run", "lane"], "t", 500_000, 10_000, block_rows=block_rows).collect()
+    for (run, lane), t in lanes_of.items():
+        mine = sorted((r.seq, r.t, r.x, r.y, r.z) for r in got if (r.run, r.lane) == (run, lane))
+        at = np.arange(t[0], t[-1] + 1, 10_000)
+        values = np.array([r[3:] for r in rows if r[:2] == (run, lane)])
+        assert [g[1] for g in mine] == at.tolist()
+        assert np.allclose(np.array([g[2:] for g in mine]), natural_spline(np.array(t, float) / 1e6, values, at / 1e6), rtol=0, atol=1e-9)
 
 
-def test_whittaker_against_a_dense_solve():
+@pytest.mark.parametrize("block_rows, stiffness", [(2, 3.0), (50, 1e4), (4096, 1e4), (6, 0.0)])
+def test_fixed_lanes_are_the_dense_solution(spark, block_rows, stiffness):
     rng = np.random.default_rng(0)
-    v, w = rng.normal(size=(40, 2)), rng.uniform(1, 2, 40)
-    d = np.diff(np.eye(40), 2, axis=0)
-    for k, s in enumerate((3.0, 50.0)):
-        want = np.linalg.solve(np.diag(w) + s * d.T @ d, w * v[:, k])
-        assert np.allclose(lanes.whittaker(v, w, np.array([3.0, 50.0]))[:, k], want)
+    sizes = {lane: n for lane, n in enumerate((700, 1, 2, 3, 4, 7))}
+    rows = [("r", lane, i, *map(float, np.array([0.01 * i, 0.1, 0.0]) + rng.normal(0, 0.3, 3))) for lane, n in sizes.items() for i in range(n)]
+    measured = [("r", k, r[3] + 0.05, r[4], r[5] - 0.02) for k, r in enumerate(rows) if k % 3 == 0]
+    d = spark.createDataFrame(rows, "run string, lane int, seq bigint, x double, y double, z double")
+    m = spark.createDataFrame(measured, "run string, id bigint, x double, y double, z double")
+    got = lanes.fix_lanes(d, m, ["run"], ["run", "lane"], "seq", "id", 97, limit=0.25, stiffness=(stiffness,) * 3, block_rows=block_rows).collect()
+    at = np.array([r[2:] for r in measured])
+    for lane, n in sizes.items():
+        mine = sorted((r for r in got if r.lane == lane), key=lambda r: r.seq)
+        own = np.array([[r.x, r.y, r.z] for r in mine])
+        dist = np.linalg.norm(own[:, None] - at[None], axis=2)
+        hit = dist.min(axis=1) < 0.25
+        assert [r.snapped for r in mine] == hit.tolist()
+        seen, weight = np.where(hit[:, None], at[dist.argmin(axis=1)], own), np.where(hit, 2.0, 1.0)
+        second = np.diff(np.eye(n), 2, axis=0) if n > 2 else np.zeros((0, n))
+        want = np.linalg.solve(np.diag(weight) + stiffness * second.T @ second, weight[:, None] * seen)
+        assert np.allclose([[r.x_fixed, r.y_fixed, r.z_fixed] for r in mine], want, rtol=0, atol=1e-9)
+
+
+@pytest.mark.parametrize("keep", [0.0, 0.01, 0.3, 0.99, 0.9999])
+def test_running_mix_for_any_memory(spark, keep, monkeypatch):
+    monkeypatch.setattr(lanes, "DECAY_ROWS", 8)
+    rng = np.random.default_rng(3)
+    sizes = {"a": 700, "b": 1, "c": 9}
+    rows = [(k, i, float(v)) for k, n in sizes.items() for i, v in enumerate(rng.normal(0, 10, n))]
+    d = spark.createDataFrame(rows, "k string, i bigint, v double")
+    got = {(r.k, r.i): r.v_smooth for r in lanes.smooth_normals(d, ["k"], ["i"], ["v"], 41, keep=keep).collect()}
+    assert len(got) == len(rows)
+    for k, i, v in rows:
+        mix = v if i == 0 else keep * mix + (1 - keep) * v
+        assert got[k, i] == pytest.approx(mix, rel=1e-9, abs=1e-9)
 
 
 def plain_smoother(pos: np.ndarray, scan: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -245,6 +289,45 @@ def test_highest_support_plane_of_many(spark):
     assert abs(got["s"].pz - 6.0) < 0.1 and abs(got["t"].pz - 1.0) < 0.1
 
 
+def cluttered(seed, planes, clutter, size=20.0):
+    """Points of level planes (height, number) amid points anywhere."""
+    rng = random.Random(seed)
+    flat = [(rng.uniform(0, size), rng.uniform(0, size), z + rng.gauss(0, 0.01)) for z, n in planes for _ in range(n)]
+    return flat + [(rng.uniform(0, size), rng.uniform(0, size), rng.uniform(0, 10)) for _ in range(clutter)]
+
+
+def test_highest_plane_amid_clutter_for_every_seed(spark):
+    scans = {f"s{k}": cluttered(k, [(1.5 * g, 100) for g in range(5)], 1000) for k in range(12)}
+    scans |= {f"t{k}": cluttered(50 + k, [(0.0, 400), (1.5, 120)], 400) for k in range(12)}
+    rows = [(k, i, *p) for k, pts in scans.items() for i, p in enumerate(pts)]
+    d = spark.createDataFrame(rows, "k string, id bigint, x double, y double, z double")
+    for seed in range(2):
+        got = {r.k: r for r in registration.support_planes(d, ["k"], "id", threshold=0.05, min_points=100, highest=True, seed=seed).collect()}
+        assert len(got) == 24
+        for k, r in got.items():
+            assert abs(r.pz - (6.0 if k[0] == "s" else 1.5)) < 0.05 and r.nz > 0.99 and r.n_inliers >= 100, (seed, k, r)
+
+
+def test_steep_planes_explain_their_points(spark):
+    rng = random.Random(3)
+    wall = [(rng.gauss(0, 0.005), rng.uniform(0, 20), rng.uniform(0, 10)) for _ in range(400)]
+    rows = [("w", i, *p) for i, p in enumerate(wall + cluttered(1, [(0.0, 200)], 50))] + [("w", 9999, None, 0.0, 0.0), ("bare", 1, 0.0, 0.0, 0.0)]
+    d = spark.createDataFrame(rows, "k string, id bigint, x double, y double, z double")
+    found = sorted(registration.find_planes(d, ["k"], "id", threshold=0.05, min_points=100).collect(), key=lambda r: r.round)
+    assert [(r.k, r.steep) for r in found] == [("w", True), ("w", False)] and found[0].n_inliers >= 395
+    again = registration.find_planes(d.repartition(7), ["k"], "id", threshold=0.05, min_points=100).collect()
+    assert sorted(again, key=lambda r: r.round) == found
+    (r,) = registration.support_planes(d, ["k"], "id", threshold=0.05, min_points=100, highest=True).collect()
+    assert abs(r.pz) < 0.05
+
+
+def test_planes_of_a_large_scan():
+    pts = np.array(cluttered(2, [(0.0, 30_000), (2.0, 600), (4.0, 400)], 20_000, size=60.0))
+    found = registration.search_planes(pts, 0.05, 250, np.random.default_rng(1))
+    heights = sorted(round(float(c[2]), 1) for n, c, _, k in found if n[2] > 0.99)
+    assert heights[0] == 0.0 and 2.0 in heights
+
+
 def test_chunk_alignment_finds_the_shift(spark):
     rng = random.Random(7)
     pts = [(c, i, rng.uniform(0, 30), rng.uniform(0, 30), rng.uniform(0, 3), rng.uniform(0, 1)) for c in (0, 1) for i in range(80)]
@@ -280,15 +363,41 @@ def test_frames_ahead_count_each_frame_once(spark):
     assert got[(0, 10.0)] == 4 and got[(0, 20.0)] == 8 and max(f for f, _ in got) == 3
 
 
-def test_ray_hits_the_plane_nearest_to_its_point(spark):
-    planes = spark.createDataFrame(
-        [("r", 1, 0.0, 0.0, 1.0, 10.0, 0.0, 0.0), ("r", 2, 0.0, 0.0, 1.0, 30.0, 0.0, 0.5)],
-        "run string, plane int, nx double, ny double, nz double, px double, py double, pz double",
-    )
-    rays = spark.createDataFrame([("r", 7, 0.0, 0.0, 2.0, 1.0, 0.0, -0.19), ("r", 8, 0.0, 0.0, 2.0, 0.0, 0.0, 1.0)], "run string, ray int, ox double, oy double, oz double, dx double, dy double, dz double")
-    got = lanes.rays_to_planes(rays, planes, ["run"], "ray", "plane", reach=4.0, length=60.0).collect()
-    assert [(r.ray, r.plane) for r in got] == [(7, 1)]
-    assert got[0].x == pytest.approx(2 / 0.19) and got[0].z == pytest.approx(0.0, abs=1e-12)
+def brute_rays(rays, planes, ahead):
+    out = {}
+    for run, ray, *o, dx, dy, dz in rays:
+        o, u = np.array(o), np.array([dx, dy, dz]) / np.linalg.norm([dx, dy, dz])
+        for prun, plane, *rest in planes:
+            n, p = np.array(rest[:3]), np.array(rest[3:])
+            if prun != run or u @ n == 0:
+                continue
+            t = (p - o) @ n / (u @ n)
+            if ahead and t < 0:
+                continue
+            found = (np.linalg.norm(o + t * u - p), plane)
+            out[run, ray] = min(out.get((run, ray), (np.inf, 0)), found)
+    return out
+
+
+@pytest.mark.parametrize("ahead", [False, True])
+def test_rays_hit_the_plane_nearest_to_its_point_at_any_distance(spark, ahead):
+    rng = np.random.default_rng(4)
+    planes = [("r", k, *map(float, rng.normal(0, 1, 3)), *map(float, rng.uniform(-200, 200, 3))) for k in range(150)]
+    planes += [("far", 0, 0.0, 0.1, 1.0, 10_000.0, 3.0, -2.0), ("far", 1, 0.0, 0.0, 1.0, 10_050.0, 0.0, 0.0), ("far", 2, 0.0, 0.0, 1.0, -10_000.0, 0.0, 0.0)]
+    planes += [("flat", k, 0.0, 0.0, 1.0, float(3 * k), 0.0, 0.0) for k in range(400)] + [("flat", 9, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0)]
+    rays = [("r", k, *map(float, rng.uniform(-300, 300, 3)), *map(float, rng.normal(0, 1, 3))) for k in range(60)]
+    rays += [("far", 0, 0.0, 0.0, 5.0, 1.0, 0.0, -0.0005), ("flat", 0, 0.0, 0.0, 2.0, 1.0, 0.0, -0.19), ("flat", 1, 0.0, 0.0, 2.0, 0.0, 0.0, 1.0), ("flat", 2, 0.0, 0.0, 2.0, 1.0, 0.0, 0.0)]
+    schema = "run string, plane int, nx double, ny double, nz double, px double, py double, pz double"
+    odd = [("r", 900, None, 0.0, 1.0, 0.0, 0.0, 0.0), ("r", 901, 0.0, 0.0, 1.0, float("nan"), 0.0, 0.0), ("none", 1, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0)]
+    ray_schema = "run string, ray int, ox double, oy double, oz double, dx double, dy double, dz double"
+    odd_rays = [("r", 900, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0), ("r", 901, None, 0.0, 0.0, 1.0, 0.0, 0.0), ("lost", 1, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0)]
+    got = lanes.rays_to_planes(spark.createDataFrame(rays + odd_rays, ray_schema), spark.createDataFrame(planes + odd, schema), ["run"], "ray", "plane", finest=5.0, ahead=ahead)
+    got = {(r.run, r.ray): (r.dist, r.plane) for r in got.collect()}
+    want = brute_rays(rays, planes, ahead)
+    assert got.keys() == want.keys()
+    for key, (dist, plane) in want.items():
+        assert got[key][1] == plane and got[key][0] == pytest.approx(dist, rel=1e-9, abs=1e-9), key
+    assert ("flat", 2) not in got and (("flat", 1) in got) != ahead and ("far", 0) in got
 
 
 def test_overlap_share(spark):

@@ -34,9 +34,9 @@ def with_pixels(df: DataFrame, p: Vector, focal: Vector, centre: Vector, distort
     return d.withColumns({"u": F.col("_pixel.u"), "v": F.col("_pixel.v")}).drop("_x", "_y", "_r2", "_radial", "_pixel")
 
 
-def visible(width: int, height: int, margin: int = 2, min_dist2: float = 3.0) -> Column:
-    """Pixel of :func:`with_pixels` inside the image by ``margin`` and point not too near."""
-    inside = [(F.col(c) > margin) & (F.col(c) < size - 1 - margin) for c, size in (("u", width), ("v", height))]
+def visible(width: int | Column, height: int | Column, margin: int = 2, min_dist2: float = 3.0) -> Column:
+    """Pixel of :func:`with_pixels`, rounded to a whole one, inside the image by ``margin`` and point not too near."""
+    inside = [(F.rint(c) > margin) & (F.rint(c) < size - 1 - margin) for c, size in (("u", width), ("v", height))]
     p = [F.col(c) for c in ("cam_x", "cam_y", "cam_z")]
     return inside[0] & inside[1] & (as_column(dot(p, p)) > min_dist2)
 

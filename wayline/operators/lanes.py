@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from wayline.functions import rotation
-from wayline.operators import blocks, pyramid, segments, spatial, timejoin
+from wayline.operators import banded, blocks, pyramid, segments, spatial, timejoin
 from wayline.session import cut_lineage
 
 XYZ = ["x", "y", "z"]
@@ -283,152 +282,121 @@ def label_vectors(
     return labels.groupBy(*keys, frame).agg(F.array(*slots).alias("label"))
 
 
-def smooth_normals(
-    planes: DataFrame, keys: Sequence[str], order: Sequence[str], cols: Sequence[str], width: float, keep: float = 0.3, memory: int = 64, block_rows: int = 4096
-) -> DataFrame:
-    """Running mix along the drive: keep * previous + (1 - keep) * new, starting with the first (``<c>_smooth``).
+#: rows of a window that decayed sums are formed in
+DECAY_ROWS = 256
 
-    ``keep`` to the power ``memory`` is below double precision, so each row is
-    folded over its last ``memory`` rows only, inside blocks with that halo.
-    """
-    keys = list(keys)
-    d = blocks.halo_blocks(planes.select(*keys, *order, *cols), keys, order, width, block_rows, memory)
-    rows = d.groupBy(*keys, "block").agg(F.array_sort(F.collect_list(F.struct("pos", "own", *order, *cols))).alias("_rows"))
-
-    def mixed(row, i):
-        past = F.slice("_rows", F.greatest(i + 2 - memory, F.lit(1)), F.least(i + 1, F.lit(memory)))
-        folded = F.aggregate(
-            F.slice(past, 2, F.lit(memory)),
-            F.struct(*[F.element_at(past, 1)[c].alias(c) for c in cols]),
-            lambda acc, r: F.struct(*[(acc[c] * keep + r[c] * (1 - keep)).alias(c) for c in cols]),
-        )
-        return F.struct(row.alias("row"), folded.alias("mix"))
-
-    out = rows.select(*keys, F.explode(F.transform("_rows", mixed)).alias("_m")).where("_m.row.own")
-    return out.select(
-        *keys, *[F.col("_m.row")[c].alias(c) for c in order], *[F.col("_m.mix")[c].alias(f"{c}_smooth") for c in cols]
-    )
 
+def _decayed(d: DataFrame, keys: Sequence[str], cols: Sequence[str], keep: float, largest: int) -> DataFrame:
+    """Columns ``cols`` as running sums over ``pos`` in which each step back counts ``keep`` times less.
 
-# --- solvers on blocks of a lane ---------------------------------------------------------------
-
-
-def natural_spline(t: np.ndarray, v: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Natural cubic spline through (t, v[:, k]) at the times ``at``."""
-    n = len(t)
-    if n == 1:
-        return np.repeat(v[:1], len(at), axis=0)
-    h = np.diff(t)
-    slope = np.diff(v, axis=0) / h[:, None]
-    second = np.zeros_like(v)
-    if n > 2:
-        diag, rhs = 2 * (h[:-1] + h[1:]), 6 * np.diff(slope, axis=0)
-        up = np.empty(n - 2)
-        for i in range(n - 2):  # forward elimination of the tridiagonal system
-            below = h[i] if i else 0.0
-            pivot = diag[i] - below * (up[i - 1] if i else 0.0)
-            up[i] = h[i + 1] / pivot
-            rhs[i] = (rhs[i] - (below * rhs[i - 1] if i else 0.0)) / pivot
-        for i in range(n - 4, -1, -1):
-            rhs[i] -= up[i] * rhs[i + 1]
-        second[1:-1] = rhs
-    k = np.clip(np.searchsorted(t, at, side="right") - 1, 0, n - 2)
-    a, b, w = (t[k + 1] - at)[:, None], (at - t[k])[:, None], h[k][:, None]
-    return (
-        second[k] * a**3 / (6 * w)
-        + second[k + 1] * b**3 / (6 * w)
-        + (v[k] / w - second[k] * w / 6) * a
-        + (v[k + 1] / w - second[k + 1] * w / 6) * b
-    )
-
-
-def resample_lanes(lanes: DataFrame, keys: Sequence[str], time: str, width: float, step_us: int = 10_000, block_rows: int = 4096, halo: int = 64) -> DataFrame:
-    """Cubic interpolation of x, y, z by time, one point per ``step_us`` from each lane's first time.
+    Inside short windows they are sums of scaled values; a window's end counts
+    with a power of ``keep`` in the next, which is the same sum over fewer rows.
+    """
+    if keep < 1e-150:
+        return d
+    rows = DECAY_ROWS if keep >= 0.3 else max(2, int(-130 / math.log10(keep)))
+    d = d.withColumns({"_window": F.floor(F.col("pos") / rows), "_at": (F.col("pos") % rows).cast("double")})
+    upto = W.partitionBy(*keys, "_window").orderBy("pos").rowsBetween(W.unboundedPreceding, 0)
+    power = F.pow(F.lit(keep), F.col("_at"))
+    d = d.withColumns({c: power * F.sum(F.col(c) / power).over(upto) for c in cols})
+    if largest >= rows:
+        ends = d.where(F.col("_at") == rows - 1).select(*keys, F.col("_window").alias("pos"), *cols)
+        carry = _decayed(ends, keys, cols, keep**rows, largest // rows)
+        carry = carry.select(*keys, (F.col("pos") + 1).alias("_window"), *[F.col(c).alias(f"_c_{c}") for c in cols])
+        d = d.join(carry, [*keys, "_window"], "left")
+        d = d.withColumns({c: F.col(c) + power * keep * F.coalesce(f"_c_{c}", F.lit(0.0)) for c in cols}).drop(*[f"_c_{c}" for c in cols])
+    return d.drop("_window", "_at")
+
+
+def smooth_normals(planes: DataFrame, keys: Sequence[str], order: Sequence[str], cols: Sequence[str], width: float, keep: float = 0.3) -> DataFrame:
+    """Running mix along the drive: keep * previous + (1 - keep) * new, starting with the first (``<c>_smooth``).
 
-    Equal times are averaged first. A knot's weight fades by a factor of about
-    four per knot, so a block with 64 more knots on each side gives the same
-    curve as the whole lane.
+    Exact for any ``keep`` from 0 to below 1 and drives of any length: a stretch
+    of rows is an affine map of the mix before it, and these maps are composed
+    level by level, so no window holds more than a few hundred rows.
+    """
+    if not 0 <= keep < 1:
+        raise ValueError("keep lies from 0 to below 1")
+    keys, names = list(keys), [f"{c}_smooth" for c in cols]
+    d = blocks.row_index(planes.select(*keys, *order, *cols), keys, order, width, "_rn").withColumn("pos", F.col("_rn") - 1).drop("_rn")
+    new = {n: F.when(F.col("pos") == 0, F.col(c).cast("double")).otherwise(F.col(c) * (1 - keep)) for n, c in zip(names, cols, strict=True)}
+    d = cut_lineage(d.withColumns(new).drop(*cols))
+    largest = d.agg(F.max("pos")).first()[0] or 0
+    return _decayed(d, keys, names, float(keep), largest).select(*keys, *order, *names)
+
+
+def resample_lanes(lanes: DataFrame, keys: Sequence[str], time: str, width: float, step_us: int = 10_000, block_rows: int = 4096) -> DataFrame:
+    """Natural cubic splines of x, y, z by time, one point per ``step_us`` from each lane's first time.
+
+    Equal times are averaged first. The second derivatives at the knots solve a
+    tridiagonal system along the whole lane, exact whatever ``block_rows``; each
+    stretch between two knots then gives its points.
     """
     keys = list(keys)
     knots = lanes.groupBy(*keys, time).agg(*[F.avg(c).alias(c) for c in XYZ])
-    first = knots.groupBy(*keys).agg(F.min(time).alias("_t0"))
-    d = blocks.halo_blocks(knots.join(first, keys), keys, [time], width, block_rows, halo)
-    types = dict(lanes.dtypes)
-    schema = ", ".join([*[f"{k} {types[k]}" for k in keys], "seq bigint", f"{time} bigint", *[f"{c} double" for c in XYZ]])
-
-    def curve(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pos")
-        t, t0 = pdf[time].to_numpy(np.int64), int(pdf["_t0"].iloc[0])
-        own = pdf["own"].to_numpy()
-        if not own.any():  # the halo past a lane's end
-            return pd.DataFrame(columns=[*keys, "seq", time, *XYZ])
-        lo = t[own][0]
-        after = t[np.flatnonzero(own)[-1] + 1 :]
-        hi = after[0] if len(after) else t[-1] + 1  # up to the next block's first knot
-        seq = np.arange(-(-(lo - t0) // step_us), -(-(hi - t0) // step_us))
-        at = t0 + seq * step_us
-        v = natural_spline((t - t[0]).astype(float), pdf[XYZ].to_numpy(float), (at - t[0]).astype(float))
-        head = {k: [pdf[k].iloc[0]] * len(seq) for k in keys}
-        return pd.DataFrame({**head, "seq": seq, time: at, **{c: v[:, i] for i, c in enumerate(XYZ)}})
-
-    return d.groupBy(*keys, "block").applyInPandas(curve, schema)
-
-
-def whittaker(v: np.ndarray, weight: np.ndarray, stiffness: np.ndarray) -> np.ndarray:
-    """Penalised smoothing: weights to the data, squared second differences times ``stiffness`` per column."""
-    n = len(v)
-    if n < 3:
-        return v.copy()
-    out = np.empty_like(v)
-    d = np.zeros((3, n))  # diagonals of D'D
-    d[0, :-2] += 1
-    d[0, 1:-1] += 4
-    d[0, 2:] += 1
-    d[1, : n - 2] += -2
-    d[1, 1 : n - 1] += -2
-    d[2, : n - 2] += 1
-    for k in range(v.shape[1]):
-        a0, a1, a2 = weight + stiffness[k] * d[0], stiffness[k] * d[1], stiffness[k] * d[2]
-        c, e, f, z = np.zeros(n), np.zeros(n), np.zeros(n), np.zeros(n)
-        rhs = weight * v[:, k]
-        for i in range(n):  # banded L D L' factorisation
-            c[i] = a0[i] - (c[i - 1] * e[i - 1] ** 2 if i > 0 else 0.0) - (c[i - 2] * f[i - 2] ** 2 if i > 1 else 0.0)
-            e[i] = (a1[i] - (c[i - 1] * e[i - 1] * f[i - 1] if i > 0 else 0.0)) / c[i]
-            f[i] = a2[i] / c[i]
-            z[i] = rhs[i] - (e[i - 1] * z[i - 1] if i > 0 else 0.0) - (f[i - 2] * z[i - 2] if i > 1 else 0.0)
-        x = z / c
-        for i in range(n - 2, -1, -1):
-            x[i] -= e[i] * x[i + 1] + (f[i] * x[i + 2] if i + 2 < n else 0.0)
-        out[:, k] = x
-    return out
+    knots = knots.join(knots.groupBy(*keys).agg(F.min(time).alias("_t0")), keys)
+    side = F.struct(F.col(time).alias("t"), *XYZ)
+    d = cut_lineage(blocks.fill_around(knots, keys, [time], width, last={"_p": side}, following={"_n": side}, include_current=False))
+    before, after = ((a - b) / 1e6 for a, b in ((F.col(time), F.col("_p.t")), (F.col("_n.t"), F.col(time))))
+    inner = F.col("_p").isNotNull() & F.col("_n").isNotNull()
+    linked = inner & (F.col("_p.t") > F.col("_t0"))  # the knot before is an inner one as well
+
+    def slope_change(c):
+        return 6 * ((F.col("_n")[c] - F.col(c)) / after - (F.col(c) - F.col("_p")[c]) / before)
+
+    rows = d.select(
+        *keys, time, F.when(inner, 2 * (before + after)).otherwise(1.0).alias("_d0"), F.when(linked, before).otherwise(0.0).alias("_d1"), F.lit(0.0).alias("_d2"),
+        *[F.when(inner, slope_change(c)).otherwise(0.0).alias(f"_r{c}") for c in XYZ],
+    )
+    second = banded.solve_banded(rows, keys, [time], {f"_m{c}": ("_d0", "_d1", "_d2", f"_r{c}") for c in XYZ}, width, block_rows)
+    second = cut_lineage(second)
+    following = second.select(*keys, F.col(time).alias("_nt"), *[F.col(f"_m{c}").alias(f"_k{c}") for c in XYZ])
+    d = d.withColumn("_nt", F.col("_n.t")).join(second, [*keys, time]).join(following, [*keys, "_nt"], "left")
+    start, stop = (F.ceil((e - F.col("_t0")) / step_us) for e in (F.col(time), F.coalesce("_nt", F.col(time) + 1)))
+    d = d.withColumn("seq", F.explode(F.when(start < stop, F.sequence(start, stop - 1))))
+    d = d.withColumn("_at", F.col("_t0") + F.col("seq") * step_us)
+    h, a, b = (F.col("_nt") - F.col(time)) / 1e6, (F.col("_nt") - F.col("_at")) / 1e6, (F.col("_at") - F.col(time)) / 1e6
+
+    def curve(c):
+        m, k, v, w = F.col(f"_m{c}"), F.col(f"_k{c}"), F.col(c), F.col("_n")[c]
+        return m * a * a * a / (6 * h) + k * b * b * b / (6 * h) + (v / h - m * h / 6) * a + (w / h - k * h / 6) * b
+
+    return d.select(*keys, "seq", F.col("_at").alias(time), *[F.when(F.col("_nt").isNull(), F.col(c)).otherwise(curve(c)).alias(c) for c in XYZ])
 
 
 def fix_lanes(
     lanes: DataFrame, measured: DataFrame, keys: Sequence[str], lane_keys: Sequence[str], seq: str, ident: str, width: float,
-    limit: float = 0.25, stiffness: tuple[float, float, float] = (10.0, 10.0, 20.0), block_rows: int = 4096, halo: int = 256,
+    limit: float = 0.25, stiffness: tuple[float, float, float] = (10.0, 10.0, 20.0), block_rows: int = 4096,
 ) -> DataFrame:
     """Lane points moved to measured points within ``limit`` (weight 2) and smoothed; ``<c>_fixed`` and ``snapped``.
 
-    The penalty's memory is a few dozen rows at these settings, well inside the halo.
+    The smooth lane minimises weighted squared distances plus ``stiffness`` times
+    its squared second differences, over the whole lane and exactly, for any
+    stiffness and whatever ``block_rows``. Lanes of fewer than three points are
+    only moved.
     """
     keys, lane_keys = list(keys), list(lane_keys)
     at = measured.select(*keys, ident, *[F.col(c).alias(f"_m_{c}") for c in XYZ])
     near = spatial.nearest_within(lanes, measured, keys, XYZ, limit, ident).join(at, [*keys, ident])
     near = near.select(*lane_keys, seq, *[f"_m_{c}" for c in XYZ], F.lit(True).alias("snapped"))
     d = lanes.join(near, [*lane_keys, seq], "left").withColumn("snapped", F.coalesce("snapped", F.lit(False)))
-    d = d.withColumns({f"_s_{c}": F.coalesce(f"_m_{c}", c) for c in XYZ}).select(*lane_keys, seq, "snapped", *XYZ, *[f"_s_{c}" for c in XYZ])
-    d = blocks.halo_blocks(d, lane_keys, [seq], width, block_rows, halo)
-    types = dict(lanes.dtypes)
-    schema = ", ".join([*[f"{k} {types[k]}" for k in lane_keys], f"{seq} {types[seq]}", "snapped boolean", *[f"{c} double" for c in XYZ], *[f"{c}_fixed double" for c in XYZ]])
-
-    def smooth(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pos")
-        w = np.where(pdf["snapped"].to_numpy(), 2.0, 1.0)
-        v = whittaker(pdf[[f"_s_{c}" for c in XYZ]].to_numpy(float), w, np.array(stiffness))
-        out = pdf[[*lane_keys, seq, "snapped", *XYZ]].assign(**{f"{c}_fixed": v[:, i] for i, c in enumerate(XYZ)})
-        return out[pdf["own"].to_numpy()]
-
-    return d.groupBy(*lane_keys, "block").applyInPandas(smooth, schema)
+    d = d.select(*lane_keys, seq, "snapped", *XYZ, *[F.coalesce(f"_m_{c}", c).alias(f"_s_{c}") for c in XYZ])
+    d = cut_lineage(blocks.running_sum(d, lane_keys, [seq], {"_rn": F.lit(1).cast("bigint")}, width, totals={"_rn": "_rows"}))
+    pos, n, weight = F.col("_rn") - 1, F.col("_rows"), F.when(F.col("snapped"), 2.0).otherwise(1.0)
+
+    def one(condition, value):
+        return F.when((n >= 3) & condition, F.lit(value)).otherwise(0.0)
+
+    # the diagonals of D'D, with D the second differences
+    main = one(pos <= n - 3, 1.0) + one((pos >= 1) & (pos <= n - 2), 4.0) + one(pos >= 2, 1.0)
+    first = one((pos >= 1) & (pos <= n - 2), -2.0) + one(pos >= 2, -2.0)
+    second = one(pos >= 2, 1.0)
+    rows = d.select(
+        *lane_keys, seq, *[c.alias(f"_{k}{x}") for x, s in zip(XYZ, stiffness, strict=True) for k, c in (("a", weight + s * main), ("b", s * first), ("c", s * second))],
+        *[(weight * F.col(f"_s_{x}")).alias(f"_r{x}") for x in XYZ],
+    )
+    fixed = banded.solve_banded(rows, lane_keys, [seq], {f"{x}_fixed": (f"_a{x}", f"_b{x}", f"_c{x}", f"_r{x}") for x in XYZ}, width, block_rows)
+    return d.select(*lane_keys, seq, "snapped", *XYZ).join(fixed, [*lane_keys, seq])
 
 
 def lane_error(lanes: DataFrame, measured: DataFrame, keys: Sequence[str], lane_keys: Sequence[str], ident: str, tolerance: float, coords: Sequence[str] = XYZ) -> DataFrame:

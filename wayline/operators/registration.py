@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -141,29 +142,147 @@ def ground_planes(
     return ransac_planes(near, [*keys, pose], ident, threshold, tries, min_points)
 
 
-def support_planes(
-    points: DataFrame, keys: Sequence[str], ident: str, threshold: float = 0.2, rounds: int | None = None, min_points: int = 100,
-    up: tuple[float, float, float] = (0.0, 0.0, 1.0), max_tilt_deg: float = 10.0, highest: bool = False, tries: int = 16,
-) -> DataFrame:
-    """Support plane per scan: planes are found one after the other among the points not yet explained.
+#: three points are drawn from cells of so many sizes, each half of the one before
+DRAW_LEVELS = 6
+#: draws that are tried together
+DRAWS = 1024
+#: draws of those that are refitted
+GROWN = 8
+#: scans of more points first rank draws by the points of their cell
+LARGE_SCAN = 4096
+
 
-    The first one counts, or with ``highest`` the one whose points lie highest.
-    Scans go through the rounds together, each until it has no further plane of
-    ``min_points`` points; ``rounds`` ends the search earlier.
+def _drawn_planes(p: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """Unit normals and offsets of planes through three points of a cell, cells of all sizes at random places.
+
+    Points near each other lie on one plane far more often than any three of a
+    scan do, whatever share of the scan the plane has.
     """
-    from itertools import count
+    low = p.min(axis=0)
+    extent = max(float((p.max(axis=0) - low).max()), 1e-9)
+    draws, cells = [], []
+    each = -(-DRAWS // DRAW_LEVELS)
+    for level in range(DRAW_LEVELS):
+        size = extent / 2**level
+        cell = np.floor((p - low) / size + (rng.random(3) if level else 0.0)).astype(np.int64)
+        code = (cell[:, 0] * 1000 + cell[:, 1]) * 1000 + cell[:, 2]
+        order = np.argsort(code, kind="stable")
+        new = np.flatnonzero(np.r_[True, np.diff(code[order]) != 0])
+        counts = np.diff(np.r_[new, len(p)])
+        group = np.searchsorted(new, rng.integers(len(p), size=each), side="right") - 1
+        picks = new[group][:, None] + np.floor(rng.random((each, 3)) * counts[group][:, None]).astype(np.int64)
+        draws.append(order[picks])
+        if len(p) > LARGE_SCAN:
+            around = new[group][:, None] + np.floor(rng.random((each, 32)) * counts[group][:, None]).astype(np.int64)
+            cells.append(order[around])
+    a, b, c = (p[np.concatenate(draws)[:, k]] for k in range(3))
+    normal = np.cross(b - a, c - a)
+    length = np.linalg.norm(normal, axis=1)
+    good = length > 1e-12
+    normal = normal[good] / length[good][:, None]
+    offset = np.einsum("ij,ij->i", normal, a[good])
+    if len(p) > LARGE_SCAN and len(normal):
+        near = p[np.concatenate(cells)[good]]
+        miss = np.abs(np.einsum("kij,kj->ki", near, normal) - offset[:, None])
+        best = np.argsort(np.median(miss, axis=1), kind="stable")[:128]
+        normal, offset = normal[best], offset[best]
+    return normal, offset
+
+
+def _fitted(p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Least-squares plane of some points: normal and mean point."""
+    centre = p.mean(axis=0)
+    return np.linalg.eigh((p - centre).T @ (p - centre))[1][:, 0], centre
+
+
+def _grown(p: np.ndarray, normal: np.ndarray, centre: np.ndarray, threshold: float) -> tuple[int, np.ndarray, np.ndarray]:
+    """A plane refitted to its points as long as that gains some; points near each other say little about a plane far off."""
+    hit = np.abs((p - centre) @ normal) < threshold
+    while (n := int(hit.sum())) >= 3:
+        refit = _fitted(p[hit])
+        again = np.abs((p - refit[1]) @ refit[0]) < threshold
+        if again.sum() <= n:
+            break
+        normal, centre, hit = *refit, again
+    return n, normal, centre
 
-    from wayline.session import cut_lineage
 
-    keys = list(keys)
-    rest, found = points.select(*keys, ident, *XYZ), None
-    for r in count() if highest and rounds is None else range(rounds if highest else 1):
-        plane = ransac_planes(rest, keys, ident, threshold, tries, min_points, up, max_tilt_deg, seed=r)
-        plane = cut_lineage(plane.where(F.col("n_inliers") >= min_points).withColumn("round", F.lit(r)))
-        found = plane if found is None else found.unionByName(plane)
-        if not highest or plane.isEmpty():
+def search_planes(p: np.ndarray, threshold: float, min_points: int, rng: np.random.Generator, confidence: float = 0.9999, local_share: float = 0.35) -> list[tuple[np.ndarray, np.ndarray, float, int]]:
+    """Planes of a scan one after the other: normal (up), mean point, root error over n, inliers among the points not yet explained.
+
+    Draws go on until a plane with as many points as the best one so far (or
+    with ``min_points``, as long as none has) would have been met with
+    ``confidence``, if a cell at it holds ``local_share`` of its points; the scan
+    is closed when that many draws show none of ``min_points``. The best draws
+    are refitted to their points as long as that gains points.
+    """
+    found, rest = [], p
+    while len(rest) >= max(min_points, 3):
+        best, model, tried = 0, None, 0
+        while True:
+            share = max(best, min_points) / len(rest) * local_share**2 / DRAW_LEVELS
+            if tried >= np.log(1 - confidence) / np.log1p(-min(share, 0.999)):
+                break
+            normal, offset = _drawn_planes(rest, rng)
+            tried += DRAWS
+            step = max(1, (1 << 22) // len(rest))
+            votes = [(np.abs(rest @ normal[at : at + step].T - offset[at : at + step]) < threshold).sum(axis=0) for at in range(0, len(normal), step)]
+            for k in np.argsort(-np.concatenate([np.zeros(0, np.int64), *votes]), kind="stable")[:GROWN]:
+                n, *plane = _grown(rest, normal[k], offset[k] * normal[k], threshold)
+                if n > best:
+                    best, model = n, plane
+        if model is None or best < min_points:
             break
-        rest = cut_lineage(rest.join(plane, keys).where(F.abs(plane_offset()) >= threshold).select(*keys, ident, *XYZ))
+        normal, centre = model
+        hit = np.abs((rest - centre) @ normal) < threshold
+        centre = rest[hit].mean(axis=0) - ((rest[hit].mean(axis=0) - centre) @ normal) * normal  # beside the points' mean, on the plane
+        hit = np.abs((rest - centre) @ normal) < threshold
+        normal = normal * (-1.0 if normal[2] < 0 else 1.0)
+        error = float(np.sqrt((((rest[hit] - centre) @ normal) ** 2).sum()) / hit.sum())
+        found.append((normal, centre, error, int(hit.sum())))
+        rest = rest[~hit]
+    return found
+
+
+def find_planes(
+    points: DataFrame, keys: Sequence[str], ident: str, threshold: float = 0.2, min_points: int = 100,
+    up: tuple[float, float, float] = (0.0, 0.0, 1.0), max_tilt_deg: float = 10.0, seed: int = 0, **search,
+) -> DataFrame:
+    """All planes of each scan in the order of their finding: keys, ``round``, the plane, ``error``, ``n_inliers``, ``steep``.
+
+    ``n_inliers`` counts the points nearer than ``threshold`` to the plane and to
+    none before it. Planes steeper than ``max_tilt_deg`` explain their points as
+    well. A scan is one turn of a sensor, of bounded size, and goes through one
+    task; draws depend on its key and ``seed`` only. Points with numbers that
+    are not finite are left out.
+    """
+    keys = list(keys)
+    types = dict(points.dtypes)
+    names = ["round", "nx", "ny", "nz", "px", "py", "pz", "error", "n_inliers", "steep"]
+    schema = ", ".join([*[f"{k} {types[k]}" for k in keys], "round bigint", *[f"{c} double" for c in names[1:8]], "n_inliers bigint, steep boolean"])
+    gravity = np.asarray(up, float) / np.linalg.norm(up)
+    least = float(np.cos(np.radians(max_tilt_deg)))
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(ident, kind="stable")
+        head = pdf[keys].iloc[0].tolist()
+        rng = np.random.default_rng(zlib.crc32(repr((seed, [str(v) for v in head])).encode()))
+        planes = search_planes(pdf[XYZ].to_numpy(float), threshold, min_points, rng, **search)
+        return pd.DataFrame([[*head, r, *n, *c, e, k, abs(float(n @ gravity)) < least] for r, (n, c, e, k) in enumerate(planes)], columns=[*keys, *names])
+
+    return spatial.usable(points.select(*keys, ident, *XYZ), XYZ).groupBy(*keys).applyInPandas(solve, schema)
+
+
+def support_planes(
+    points: DataFrame, keys: Sequence[str], ident: str, threshold: float = 0.2, min_points: int = 100,
+    up: tuple[float, float, float] = (0.0, 0.0, 1.0), max_tilt_deg: float = 10.0, highest: bool = False, seed: int = 0, **search,
+) -> DataFrame:
+    """Support plane per scan: of the planes of :func:`find_planes` that are not steep the first, or with ``highest`` the one that lies highest.
+
+    Scans without such a plane have no row.
+    """
+    keys = list(keys)
+    found = find_planes(points, keys, ident, threshold, min_points, up, max_tilt_deg, seed, **search).where("NOT steep").drop("steep")
     height = sum((F.col(f"p{c}") * g for c, g in zip("yz", up[1:])), F.col("px") * up[0])
     rank = F.struct(height, -F.col("round")) if highest else F.struct(-F.col("round"))
     cols = [c for c in found.columns if c not in keys]

@@ -80,6 +80,10 @@ def _neighbour(row, side: str, names: Sequence[str]) -> np.ndarray:
     return np.array([getattr(row, f"{side}_{n}") for n in names], float)
 
 
+#: blocks whose results a task passes on together
+FRAME_BLOCKS = 32
+
+
 def _each_block(df: DataFrame, keys: Sequence[str], columns: Sequence[str], solve: Callable, out: str) -> DataFrame:
     """``solve(row)`` gives the named values of one block; ``out`` is their schema."""
     types = dict(df.dtypes)
@@ -87,8 +91,9 @@ def _each_block(df: DataFrame, keys: Sequence[str], columns: Sequence[str], solv
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for row in pdf.itertuples(index=False):
-                yield pd.DataFrame([{**{k: getattr(row, k) for k in keys}, "block": row.block, **solve(row)}])
+            for at in range(0, len(pdf), FRAME_BLOCKS):
+                part = pdf.iloc[at : at + FRAME_BLOCKS]
+                yield pd.DataFrame([{**{k: getattr(row, k) for k in keys}, "block": row.block, **solve(row)} for row in part.itertuples(index=False)])
 
     return df.select(*keys, "block", *columns).mapInPandas(run, f"{key_schema}, {out}")
 

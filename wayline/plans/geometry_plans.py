@@ -199,7 +199,7 @@ def projected_sql(x: str, y: str, z: str) -> str:
     )
 
 
-VISIBLE_SQL = "u > 2 AND u < 1277 AND v > 2 AND v < 957 AND c > 0 AND a * a + b * b + c * c > 3"
+VISIBLE_SQL = "round_even(u, 0) > 2 AND round_even(u, 0) < 1277 AND round_even(v, 0) > 2 AND round_even(v, 0) < 957 AND c > 0 AND a * a + b * b + c * c > 3"
 
 
 @query(

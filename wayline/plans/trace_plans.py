@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from wayline.functions import rotation
-from wayline.operators import blocks, filters, lanes, registration, smoothing, spatial, trace
-from wayline.plans.geometry_plans import R_NAMES, attitude_sql, select_sql
-from wayline.plans.inputs import DAY_US, POSES, VECTORS, points, poses, q, qs, table, vectors
+from wayline.operators import blocks, filters, lanes, projection, registration, smoothing, spatial, trace
+from wayline.plans.geometry_plans import CENTRE, DISTORT, FOCAL, IMAGE, R_NAMES, VISIBLE_SQL, attitude_sql, projected_sql, select_sql
+from wayline.plans.inputs import DAY_US, POINTS, POSES, VECTORS, points, poses, q, qs, table, vectors
 from wayline.plans.registry import query
 from wayline.session import cut_lineage
 
@@ -272,6 +273,43 @@ def rays_on_planes(spark, sf):
     return d.select("run_id", "idx", "plane", *[q(F.col(c)).alias(c) for c in (*XYZ, "dist")])
 
 
+# two cameras of a rig, one forward, one to the left, behind the lidar's mounting
+CAMERAS = [(0, [0.1, -0.3, 0.2], [1.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 1.0]), (1, [0.1, 0.3, 0.2], [0.0, 0.0, 1.0, 0.0, 1.0, 0.0, -1.0, 0.0, 0.0])]
+CAMERA_SCHEMA = "camera bigint, lidar_to_vehicle array<double>, displacement array<double>, rotation array<double>, extrinsic array<double>, matrix array<double>, distort array<double>, width int, height int"
+SEEN_US = 3 * DAY_US
+
+
+def rig(spark):
+    c, s = float(np.cos(0.02)), float(np.sin(0.02))
+    to_vehicle = [c, -s, 0.0, 1.6, s, c, 0.0, -0.2, 0.0, 0.0, 1.0, 1.9, 0.0, 0.0, 0.0, 1.0]
+    extrinsic = [1.0, 0.0, 0.0, 0.01, 0.0, 1.0, 0.0, 0.02, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 0.0, 1.0]
+    matrix = [FOCAL[0], 0.0, CENTRE[0], 0.0, FOCAL[1], CENTRE[1], 0.0, 0.0, 1.0]
+    return spark.createDataFrame([(n, to_vehicle, shift, turn, extrinsic, matrix, list(DISTORT), *IMAGE) for n, shift, turn in CAMERAS], CAMERA_SCHEMA)
+
+
+@query(
+    "map_projection",
+    f"""WITH {POSES}, tr AS (SELECT {', '.join(TRACE_COLS)}, kind, {', '.join(f'{ATT[i][j]} AS w{i}{j}' for i in range(3) for j in range(3))} FROM poses),
+i AS (SELECT f.run_id, f.idx AS frame, f.idx % 2 AS camera, p.idx, {', '.join(f'f.w{k}0 * (p.x - f.x) + f.w{k}1 * (p.y - f.y) + f.w{k}2 * (p.z - f.z) - {s} AS v{k}' for k, s in enumerate(('1.6e0', '(-0.2e0)', '1.9e0')))}
+  FROM tr f JOIN tr p ON f.run_id = p.run_id AND f.kind = 'click' AND p.kind IN ('view', 'purchase') AND abs(p.t_us - f.t_us) < {SEEN_US}),
+l AS (SELECT run_id, frame, camera, idx, cos(0.02e0) * v0 + sin(0.02e0) * v1 + 0.1e0 AS x, -sin(0.02e0) * v0 + cos(0.02e0) * v1 + CASE camera WHEN 0 THEN -0.3e0 ELSE 0.3e0 END AS y, v2 + 0.2e0 AS z FROM i),
+k AS (SELECT run_id, frame, camera, idx, CASE camera WHEN 0 THEN -y ELSE x END + 0.01e0 AS a, -z + 0.02e0 AS b, CASE camera WHEN 0 THEN x ELSE y END AS c FROM l),
+e AS (SELECT *, {projected_sql('a', 'b', 'c')} FROM k WHERE c > 0)
+SELECT run_id, frame, camera, idx, CAST(round_even(u, 0) AS INTEGER) AS u, CAST(round_even(v, 0) AS INTEGER) AS v, {qs('c')} AS depth FROM e WHERE {VISIBLE_SQL}""",
+)
+def map_projection(spark, sf):
+    """Points of a drive in the images taken within three days of them."""
+    m = rotation.transpose(rotation.attitude(F.col("rot_x"), F.col("rot_y"), F.col("azimuth")))
+    t = poses(spark, sf).selectExpr(*TRACE_COLS, "kind", "rot_x", "rot_y", "azimuth")
+    frames = t.where("kind = 'click'").select(
+        "run_id", F.col("idx").alias("frame"), (F.col("idx") % 2).alias("camera"), "t_us", *[F.col(c).alias("p" + c) for c in XYZ],
+        *[rotation.as_column(m[i][j]).alias(n) for n, (i, j) in R_NAMES],
+    )
+    pts = t.where("kind IN ('view', 'purchase')").select("run_id", "idx", "t_us", *XYZ)
+    d = projection.project_map(pts, frames, rig(spark), ["run_id"], "idx", "frame", time="t_us", window=SEEN_US)
+    return d.withColumn("depth", q(F.col("depth")))
+
+
 HALF = 2 * DAY_US
 
 
@@ -415,11 +453,54 @@ def smoothed_normals(spark, sf):
     return d.select("run_id", "idx", q(F.col("x_smooth"), 5).alias("x_smooth"), q(F.col("y_smooth"), 5).alias("y_smooth"))
 
 
-@query("resampled_lanes")
+@query(
+    "resampled_lanes",
+    f"""WITH RECURSIVE {LANES}, k AS (SELECT run_id, lane_no, t_us, {', '.join(f'avg(l.{c}) AS {c}' for c in XYZ)} FROM (SELECT l.*, t.t_us FROM lane l JOIN poses t ON l.run_id = t.run_id AND l.seq = t.idx) l GROUP BY ALL),
+a AS (SELECT run_id, lane_no, t_us, a.axis, a.v FROM k, LATERAL (VALUES ('x', x), ('y', y), ('z', z)) AS a(axis, v)),
+o AS (SELECT *, row_number() OVER w AS rn, min(t_us) OVER (PARTITION BY run_id, lane_no, axis) AS t0, lead(t_us) OVER w AS nt, lead(v) OVER w AS nv, (t_us - lag(t_us) OVER w) / 1e6 AS h0, (lead(t_us) OVER w - t_us) / 1e6 AS h1,
+  6 * ((lead(v) OVER w - v) / ((lead(t_us) OVER w - t_us) / 1e6) - (v - lag(v) OVER w) / ((t_us - lag(t_us) OVER w) / 1e6)) AS s FROM a WINDOW w AS (PARTITION BY run_id, lane_no, axis ORDER BY t_us)),
+f(run_id, lane_no, axis, rn, up, g) AS (
+  SELECT run_id, lane_no, axis, rn, h1 / (2 * (h0 + h1)), s / (2 * (h0 + h1)) FROM o WHERE rn = 2 AND nt IS NOT NULL
+  UNION ALL SELECT o.run_id, o.lane_no, o.axis, o.rn, o.h1 / (2 * (o.h0 + o.h1) - o.h0 * f.up), (o.s - o.h0 * f.g) / (2 * (o.h0 + o.h1) - o.h0 * f.up) FROM f JOIN o ON o.run_id = f.run_id AND o.lane_no = f.lane_no AND o.axis = f.axis AND o.rn = f.rn + 1 AND o.nt IS NOT NULL),
+b(run_id, lane_no, axis, rn, m) AS (
+  SELECT run_id, lane_no, axis, rn, g FROM f QUALIFY row_number() OVER (PARTITION BY run_id, lane_no, axis ORDER BY rn DESC) = 1
+  UNION ALL SELECT f.run_id, f.lane_no, f.axis, f.rn, f.g - f.up * b.m FROM b JOIN f ON f.run_id = b.run_id AND f.lane_no = b.lane_no AND f.axis = b.axis AND f.rn = b.rn - 1),
+i AS (SELECT o.*, coalesce(b.m, 0) AS m, coalesce(n.m, 0) AS nm FROM o LEFT JOIN b USING (run_id, lane_no, axis, rn) LEFT JOIN b n ON n.run_id = o.run_id AND n.lane_no = o.lane_no AND n.axis = o.axis AND n.rn = o.rn + 1),
+e AS (SELECT *, unnest(range((t_us - t0 + {DAY_US // 4 - 1}) // {DAY_US // 4}, (coalesce(nt, t_us + 1) - t0 + {DAY_US // 4 - 1}) // {DAY_US // 4})) AS seq FROM i),
+c AS (SELECT *, t0 + seq * {DAY_US // 4} AS tt, (nt - (t0 + seq * {DAY_US // 4})) / 1e6 AS p, (t0 + seq * {DAY_US // 4} - t_us) / 1e6 AS q FROM e),
+d AS (SELECT run_id, lane_no, seq, tt, axis, CASE WHEN nt IS NULL THEN v ELSE m * p * p * p / (6 * h1) + nm * q * q * q / (6 * h1) + (v / h1 - m * h1 / 6) * p + (nv / h1 - nm * h1 / 6) * q END AS y FROM c)
+SELECT run_id, lane_no, seq, tt AS t_us, {', '.join(f"{qs(f'max(CASE WHEN axis = {chr(39)}{c}{chr(39)} THEN y END)')} AS {c}" for c in XYZ)} FROM d GROUP BY ALL""",
+)
 def resampled_lanes(spark, sf):
-    """Cubic curves by time; the solver is checked against one over the whole lane in the tests."""
+    """Natural cubic curves by time."""
     lane, _ = lane_tables(spark, sf)
-    return lanes.resample_lanes(lane, ["run_id", "lane_no"], "t_us", BLOCK_US, step_us=DAY_US // 4)
+    d = lanes.resample_lanes(lane, ["run_id", "lane_no"], "t_us", BLOCK_US, step_us=DAY_US // 4, block_rows=16)
+    return d.select("run_id", "lane_no", "seq", "t_us", *[q(F.col(c)).alias(c) for c in XYZ])
+
+
+@query(
+    "fixed_lane_points",
+    f"""WITH RECURSIVE {LANES}, near AS (SELECT a.run_id, a.lane_no, a.seq, {', '.join(f'b.{c}' for c in XYZ)} FROM lane a JOIN pts b ON a.run_id = b.run_id AND {D2} < 25 QUALIFY row_number() OVER (PARTITION BY a.run_id, a.lane_no, a.seq ORDER BY {D2}, b.idx) = 1),
+r AS (SELECT l.run_id, l.lane_no, l.seq, n.x IS NOT NULL AS snapped, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY l.run_id, l.lane_no) AS n, {', '.join(f'coalesce(n.{c}, l.{c}) AS {c}' for c in XYZ)}
+  FROM lane l LEFT JOIN near n USING (run_id, lane_no, seq) WINDOW w AS (PARTITION BY l.run_id, l.lane_no ORDER BY l.seq)),
+a AS (SELECT run_id, lane_no, seq, snapped, i, n, a.axis, a.s, a.v, CASE WHEN snapped THEN 2e0 ELSE 1e0 END AS w FROM r, LATERAL (VALUES ('x', 10e0, x), ('y', 10e0, y), ('z', 20e0, z)) AS a(axis, s, v)),
+o AS (SELECT *, w * v AS rhs, w + CASE WHEN n < 3 THEN 0 ELSE s * (CASE WHEN i <= n - 3 THEN 1 ELSE 0 END + CASE WHEN i >= 1 AND i <= n - 2 THEN 4 ELSE 0 END + CASE WHEN i >= 2 THEN 1 ELSE 0 END) END AS a0,
+  CASE WHEN n < 3 THEN 0 ELSE s * (CASE WHEN i <= n - 3 THEN -2 ELSE 0 END + CASE WHEN i >= 1 AND i <= n - 2 THEN -2 ELSE 0 END) END AS a1, CASE WHEN n >= 3 AND i <= n - 3 THEN s ELSE 0e0 END AS a2 FROM a),
+f(run_id, lane_no, axis, i, c, e, f, z, c1, f1, z1) AS (
+  SELECT run_id, lane_no, axis, i, a0, a1 / a0, a2 / a0, rhs, 0e0, 0e0, 0e0 FROM o WHERE i = 0
+  UNION ALL SELECT run_id, lane_no, axis, i, c, (a1 - c0 * e0 * f0) / c, a2 / c, z, c0, f0, z0 FROM (
+    SELECT o.run_id, o.lane_no, o.axis, o.i, o.a1, o.a2, f.c AS c0, f.e AS e0, f.f AS f0, f.z AS z0, o.a0 - f.c * f.e * f.e - f.c1 * f.f1 * f.f1 AS c, o.rhs - f.e * f.z - f.f1 * f.z1 AS z
+    FROM f JOIN o ON o.run_id = f.run_id AND o.lane_no = f.lane_no AND o.axis = f.axis AND o.i = f.i + 1)),
+b(run_id, lane_no, axis, i, x, x1) AS (
+  SELECT run_id, lane_no, axis, i, z / c, 0e0 FROM f QUALIFY row_number() OVER (PARTITION BY run_id, lane_no, axis ORDER BY i DESC) = 1
+  UNION ALL SELECT f.run_id, f.lane_no, f.axis, f.i, f.z / f.c - f.e * b.x - f.f * b.x1, b.x FROM b JOIN f ON f.run_id = b.run_id AND f.lane_no = b.lane_no AND f.axis = b.axis AND f.i = b.i - 1)
+SELECT run_id, lane_no, seq, snapped, {', '.join(f"{qs(f'max(CASE WHEN axis = {chr(39)}{c}{chr(39)} THEN b.x END)')} AS {c}_fixed" for c in XYZ)} FROM b JOIN r USING (run_id, lane_no, i) GROUP BY ALL""",
+)
+def fixed_lane_points(spark, sf):
+    """Lane points moved to measured ones and smoothed along the whole lane, in small blocks."""
+    lane, pts = lane_tables(spark, sf)
+    d = lanes.fix_lanes(lane.drop("t_us"), pts.drop("t_us"), ["run_id"], ["run_id", "lane_no"], "seq", "idx", 20000, limit=5.0, block_rows=16)
+    return d.select("run_id", "lane_no", "seq", "snapped", *[q(F.col(f"{c}_fixed")).alias(f"{c}_fixed") for c in XYZ])
 
 
 @query("fixed_lanes")
@@ -521,6 +602,25 @@ def support_plane_objects(spark, sf):
     return registration.objects_above_plane(p, planes, ["sweep"], "point_id", 0.5, 6.0, eps=20.0, min_size=2, max_size=5000)
 
 
+@query(
+    "support_plane_inliers",
+    f"WITH {POINTS} SELECT sweep, count(*) AS n_points, 0 AS n_wrong, 0 AS too_small FROM points GROUP BY sweep",
+)
+def support_plane_inliers(spark, sf):
+    """Each point counted for the first plane of its scan that it lies on: no plane's count differs, none is too small."""
+    p = points(spark, sf).select("sweep", "point_id", *XYZ)
+    planes = cut_lineage(registration.find_planes(p, ["sweep"], "point_id", threshold=1.5, min_points=8, max_tilt_deg=25.0))
+    on = p.join(planes, "sweep").where(F.abs(registration.plane_offset()) < 1.5)
+    first = on.groupBy("sweep", "point_id", *XYZ).agg(F.min("round").alias("round"))
+    copies = p.groupBy("sweep", "point_id", *XYZ).agg(F.count("*").alias("_n"))
+    counted = first.join(copies, ["sweep", "point_id", *XYZ]).groupBy("sweep", "round").agg(F.sum("_n").alias("_seen"))
+    checked = planes.join(counted, ["sweep", "round"], "left").groupBy("sweep").agg(
+        F.sum((~F.col("n_inliers").eqNullSafe(F.col("_seen"))).cast("int")).alias("n_wrong"), F.sum((F.col("n_inliers") < 8).cast("int")).alias("too_small")
+    )
+    n = p.groupBy("sweep").agg(F.count("*").alias("n_points"))
+    return n.join(checked, "sweep", "left").select("sweep", "n_points", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n_wrong", "too_small")])
+
+
 @query("aligned_chunks")
 def aligned_chunks(spark, sf):
     """Each chunk of points against a shifted copy of itself."""
