@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from wayline.operators import spatial
+from wayline.session import cut_lineage
 
 
 def normals(points: DataFrame, coords: Sequence[str], ident: str, k: int = 30, start: float = 0.2) -> DataFrame:
@@ -189,6 +190,12 @@ def _drawn_planes(p: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray,
     return normal, offset
 
 
+def _votes(p: np.ndarray, normal: np.ndarray, offset: np.ndarray, threshold: float) -> np.ndarray:
+    """Points near each plane; plain products, as threads of a matrix library only get in each other's way here."""
+    off = p[:, :1] * normal[:, 0] + p[:, 1:2] * normal[:, 1] + p[:, 2:] * normal[:, 2] - offset
+    return (np.abs(off) < threshold).sum(axis=0)
+
+
 def _fitted(p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Least-squares plane of some points: normal and mean point."""
     centre = p.mean(axis=0)
@@ -226,7 +233,7 @@ def search_planes(p: np.ndarray, threshold: float, min_points: int, rng: np.rand
             normal, offset = _drawn_planes(rest, rng)
             tried += DRAWS
             step = max(1, (1 << 22) // len(rest))
-            votes = [(np.abs(rest @ normal[at : at + step].T - offset[at : at + step]) < threshold).sum(axis=0) for at in range(0, len(normal), step)]
+            votes = [_votes(rest, normal[at : at + step], offset[at : at + step], threshold) for at in range(0, len(normal), step)]
             for k in np.argsort(-np.concatenate([np.zeros(0, np.int64), *votes]), kind="stable")[:GROWN]:
                 n, *plane = _grown(rest, normal[k], offset[k] * normal[k], threshold)
                 if n > best:
@@ -270,7 +277,9 @@ def find_planes(
         planes = search_planes(pdf[XYZ].to_numpy(float), threshold, min_points, rng, **search)
         return pd.DataFrame([[*head, r, *n, *c, e, k, abs(float(n @ gravity)) < least] for r, (n, c, e, k) in enumerate(planes)], columns=[*keys, *names])
 
-    return spatial.usable(points.select(*keys, ident, *XYZ), XYZ).groupBy(*keys).applyInPandas(solve, schema)
+    # the search takes far longer than its few bytes suggest, so its tasks are not merged by size
+    scans = spatial.usable(points.select(*keys, ident, *XYZ), XYZ).repartition(int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+    return scans.groupBy(*keys).applyInPandas(solve, schema)
 
 
 def support_planes(
@@ -279,10 +288,11 @@ def support_planes(
 ) -> DataFrame:
     """Support plane per scan: of the planes of :func:`find_planes` that are not steep the first, or with ``highest`` the one that lies highest.
 
-    Scans without such a plane have no row.
+    Scans without such a plane have no row. The planes are written when this is called.
     """
     keys = list(keys)
     found = find_planes(points, keys, ident, threshold, min_points, up, max_tilt_deg, seed, **search).where("NOT steep").drop("steep")
+    found = cut_lineage(found)
     height = sum((F.col(f"p{c}") * g for c, g in zip("yz", up[1:])), F.col("px") * up[0])
     rank = F.struct(height, -F.col("round")) if highest else F.struct(-F.col("round"))
     cols = [c for c in found.columns if c not in keys]
