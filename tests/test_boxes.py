@@ -78,7 +78,7 @@ def test_ignored_truths(spark):
     ignore = spark.createDataFrame([truth[1]], SCHEMA)
     d = matching.match_detections(spark.createDataFrame(truth, SCHEMA), spark.createDataFrame(dets, SCHEMA), ["frame"], "id", ignore=ignore)
     assert {r.id: (r.d_matched, r.d_ignored) for r in d.collect()} == {11: (1, 0), 12: (0, 1), 13: (0, 0)}
-    curve = {round(r.score, 1): r for r in ops.precision_recall(d, spark.createDataFrame([(2, 1)], "n_truths long, n_images long"), 0.3).collect()}
+    curve = {round(r.score, 1): r for r in ops.precision_recall(d, spark.createDataFrame([(2, 1)], "n_truths long, n_images long")).collect()}
     assert curve[0.9].recall == 0.5 and curve[0.8].recall == 1.0 and curve[0.8].considered == 1
     assert curve[0.7].precision == 0.5 and curve[0.7].fppi == 1.0
 

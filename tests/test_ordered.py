@@ -6,7 +6,7 @@ import pytest
 from hypothesis import HealthCheck, given, settings, strategies as st
 from pyspark.sql import Window as W, functions as F
 
-from wayline.operators import blocks, lanes, segments, timejoin
+from wayline.operators import blocks, lanes, messages, segments, timejoin
 
 
 @pytest.fixture(scope="module")
@@ -118,3 +118,69 @@ def test_smoothing_fold_matches_the_recursion(spark):
     for i, v in enumerate(values):
         mix = v if i == 0 else 0.3 * mix + 0.7 * v
         assert got[i] == pytest.approx(mix, rel=1e-14)
+
+
+def test_running_sums_over_all_rows(spark):
+    rng = random.Random(8)
+    rows = [(rng.random(), rng.randrange(10)) for _ in range(5000)]
+    d = spark.createDataFrame(rows, "score double, n bigint").repartition(9)
+    got = {r.score: r.total for r in blocks.global_running_sum(d, F.col("score").desc(), {"total": F.col("n")}).collect()}
+    total = 0
+    for score, n in sorted(rows, reverse=True):
+        total += n
+        assert got[score] == total
+    assert blocks.global_running_sum(d.limit(0), F.col("score"), {"total": F.col("n")}).collect() == []
+
+
+def brute_objects(frames):
+    """Objects per header as the frames arrive: (time, parts)."""
+    out, header, announced, members = [], None, 0, []
+
+    def finish():
+        if header is not None and len(members) % 3 == 0:
+            out.extend((header, i // 3, *members[i : i + 3]) for i in range(0, len(members), 3))
+
+    for t, _, ident, data in sorted(frames):
+        if ident == 0x738:
+            finish()
+            header, announced, members = t, data[0], []
+        elif header is not None and 0x739 <= ident < 0x739 + 3 * announced:
+            members.append(data)
+    finish()
+    return out
+
+
+def can_rows(seed, n, step=7, runs=("a", "b")):
+    rng = random.Random(seed)
+    rows = []
+    for run in runs:
+        t = 0
+        for i in range(n):
+            t += step if rng.random() < 0.1 else rng.choice([0, 1, 3])
+            ident = 0x738 if i % 11 == 3 else 0x739 + rng.randrange(14) if rng.random() < 0.8 else rng.choice([0x100, 0x766, 0x7FF])
+            rows.append((run, t, i, ident, bytes([rng.randrange(5) if ident == 0x738 else rng.randrange(256)]) + rng.randbytes(7)))
+    return rows
+
+
+@pytest.mark.parametrize("width", [5, 1000])
+def test_can_objects_match_a_plain_reader(spark, width):
+    rows = can_rows(4, 400)
+    d = spark.createDataFrame(rows, "run string, t bigint, ord bigint, can_id int, data binary")
+    got = sorted((r.run, r.header_time, r.unit, r.obj_id, r.age, round(r.length, 2)) for r in messages.can_objects(d, ["run"], "t", "ord", width).collect())
+    want = sorted((run, t, k, a[0], b[2], round(b[0] * 0.05, 2)) for run in "ab" for t, k, a, b, _ in brute_objects([r[1:] for r in rows if r[0] == run]))
+    assert got == want and len(want) > 10
+
+
+def test_can_lanes_drop_broken_groups(spark):
+    groups = [
+        [0x766, 0x767, 0x769, 0x768, 0x76E, 0x76F],  # whole, out of order
+        [0x766, 0x767, 0x768],  # odd
+        [0x766, 0x767, 0x76C, 0x76E],  # a pair that does not belong together
+        [0x766, 0x767, 0x770, 0x771, 0x76A, 0x500],  # a lane without a number, and foreign frames
+    ]
+    rows = [("r", 0, 0, 0x767, bytes(8))]
+    for g, ids in enumerate(groups):
+        rows += [("r", 100 * g + 10 + i, i, ident, bytes([i, 0, g, 0, 0, 0, 0, 0])) for i, ident in enumerate(ids)]
+    d = spark.createDataFrame(rows, "run string, t bigint, ord bigint, can_id int, data binary")
+    got = {(r.header_time, r.unit, r.lane_id, r.c0) for r in messages.can_lanes(d, ["run"], "t", "ord", 50).collect()}
+    assert got == {(10, 0, -1, 0.0), (10, 1, 1, 0.0), (10, 2, 2, 0.0), (310, 0, -1, 3.0), (310, 1, None, 3.0)}

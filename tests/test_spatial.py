@@ -54,6 +54,48 @@ def test_k_nearest(spark):
         assert got == pytest.approx(want)
 
 
+def test_k_nearest_in_a_crowd(spark):
+    """All points lie inside the first radius, most of them in one spot, some of them at one place."""
+    rng = random.Random(11)
+    a = [(i, rng.gauss(0, 1e-4), rng.gauss(0, 1e-4), 0.0) for i in range(1500)] + [(2000 + i, rng.uniform(-1, 1), rng.uniform(-1, 1), 0.5) for i in range(40)]
+    a += [(3000 + i, 0.25, 0.25, 0.25) for i in range(90)] + [(4000, None, 0.0, 0.0), (4001, float("nan"), 0.0, 0.0)]
+    rows = spatial.k_nearest(frame(spark, a), XYZ, "id", 7, 50.0, crowd=16).collect()
+    at = {i: tuple(p) for i, *p in a if i < 4000}
+    got = {}
+    for r in rows:
+        got.setdefault(r.id, {})[r["rank"]] = (r.n_x, r.n_y, r.n_z)
+    assert got.keys() == at.keys()
+    for i in [*range(0, 1500, 60), *range(2000, 2040), 3000, 3050, 3089]:
+        want = [at[j] for _, j in sorted((math.dist(at[i], q), j) for j, q in at.items())[:7]]
+        assert [got[i][k] for k in range(1, 8)] == want
+    assert spatial.k_nearest(frame(spark, a[-1:]), XYZ, "id", 7, 1.0).collect() == []
+    assert {(r.id, r["rank"]) for r in spatial.k_nearest(frame(spark, a[:3]), XYZ, "id", 7, 1e-6).collect()} == {(i, k) for i in range(3) for k in (1, 2, 3)}
+
+
+@pytest.mark.parametrize("few", [0, 4, 64])
+def test_nearest_at_any_distance(spark, few):
+    """Crowded and sparse keys, far targets, and targets or sources that have no place."""
+    rng = random.Random(12)
+    nan, inf = float("nan"), float("inf")
+    a = [("k", i, *p) for i, *p in cloud(6, 60)] + [("far", 100, 0.0, 0.0, 0.0), ("bare", 101, 0.0, 0.0, 0.0), ("void", 102, 1.0, 1.0, 1.0)]
+    a += [("k", 103, None, 0.0, 0.0), ("k", 104, nan, 0.0, 0.0), ("k", 105, 0.0, inf, 0.0), ("k", 106, 1e16, 0.0, 0.0)]
+    b = [("k", i, *p) for i, *p in cloud(7, 150)] + [("far", 1, 3e9, -2e9, 5.0), ("far", 2, 3e9, -2e9, 6.0)] + [("far", 10 + i, 4e9 + rng.random(), 0.0, 0.0) for i in range(9)]
+    b += [("bare", 1, None, 0.0, 0.0), ("bare", 2, nan, 0.0, 0.0), ("bare", 3, 0.0, -inf, 0.0), ("k", 990, nan, nan, nan), ("other", 1, 0.0, 0.0, 0.0)]
+    schema = "key string, {} bigint, x double, y double, z double"
+    d = spatial.nearest(spark.createDataFrame(a, schema.format("id")), spark.createDataFrame(b, schema.format("t")), ["key"], XYZ, 0.5, "t", few=few)
+    got = {r.id: (r.t, r.dist) for r in d.collect()}
+    want = {}
+    for key, i, *p in a:
+        pairs = [(math.dist(p, q), t) for k, t, *q in b if k == key and all(isinstance(v, float) and math.isfinite(v) for v in (*p, *q))]
+        if pairs:
+            want[i] = min(pairs)
+    assert got.keys() == want.keys() and 101 not in got
+    for i, (dist, t) in want.items():
+        assert got[i][1] == pytest.approx(dist) and (got[i][0] == t or i == 106)
+    none = spark.createDataFrame([], schema.format("t"))
+    assert spatial.nearest(spark.createDataFrame(a, schema.format("id")), none, ["key"], XYZ, 0.5, "t", few=few).collect() == []
+
+
 def brute_clusters(rows, eps, least):
     near = {i: [j for j, *q in rows if math.dist(p, q) <= eps] for i, *p in rows}
     core = {i for i in near if len(near[i]) >= least}

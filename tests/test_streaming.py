@@ -5,8 +5,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from test_ordered import brute_objects, can_rows
 from wayline.operators import matching
-from wayline.streaming import live
+from wayline.streaming import live, ordered
 
 START = 1_700_000_000
 
@@ -78,3 +79,49 @@ def test_late_rows_are_dropped_and_windows_close(spark, tmp_path):
     out = live.run_available(live.capture_health(s, "source", "10 seconds"), "append", spark)
     got = {(int(r.window_start.timestamp()) - START, r.n_messages) for r in out.collect()}
     assert got == {(0, 3), (60, 2), (120, 1)}
+
+
+@pytest.mark.parametrize("parts", [1, 3, 9])
+def test_can_objects_do_not_depend_on_triggers(spark, tmp_path, parts):
+    rows = sorted(can_rows(5, 300, step=400_000), key=lambda r: (r[1], r[2]))
+    end = max(r[1] for r in rows)
+    rows = [(run, START * 1_000_000 + t, i, ident, data) for run, t, i, ident, data in rows]
+    last = [("z", START * 1_000_000 + end + 10**9, 0, 0x100, bytes(8))]  # moves the watermark past everything else
+    s = as_stream(spark, rows + last, "run string, t bigint, ord bigint, can_id int, data binary", tmp_path, parts).withColumn("ts", F.timestamp_micros("t"))
+    out = live.run_available(ordered.object_stream(s, "run", "ord", idle_ms=300), "append", spark, state_store=live.ROCKSDB)
+    got = sorted((r.run, r.header_time, r.unit, r.obj_id, r.age) for r in out.collect())
+    want = []
+    for run in "ab":
+        stretch, before = [], None
+        for r in [*(r[1:] for r in rows if r[0] == run), None]:
+            if r is None or (before is not None and r[0] - before > 300_000):
+                want += [(run, t, k, a[0], b[2]) for t, k, a, b, _ in brute_objects(stretch)]
+                stretch = []
+            if r is not None:
+                stretch.append(r)
+                before = r[0]
+    assert got == sorted(want) and len(want) > 10
+
+
+@pytest.mark.parametrize("parts", [1, 4])
+def test_counts_since_a_trigger(spark, tmp_path, parts):
+    rng = random.Random(6)
+    rows, sec = [], float(START)
+    for i in range(200):
+        sec += rng.choice([0.1, 0.3, 0.0, 2.5])
+        rows.append((f"r{i % 2}", sec, i, rng.choice(["cam", "cam", "gps", "control"])))
+    rows.append(("end", START + 100000.0, 9999, "cam"))
+    s = as_stream(spark, rows, "run string, sec double, id bigint, source string", tmp_path, parts)
+    s = s.withColumn("ts", F.timestamp_micros((F.col("sec") * 1_000_000).cast("bigint")))
+    out = live.run_available(ordered.counts_since_trigger(s, "run", "source", "id", F.col("source") == "control"), "append", spark, state_store=live.ROCKSDB)
+    want = {}
+    for run in ("r0", "r1"):
+        counts = {}
+        mine = sorted((int(sec * 1_000_000), i, source) for r, sec, i, source in rows if r == run)
+        for k, (t, _, source) in enumerate(mine):
+            period = t // 1_000_000 * 1_000_000
+            counts = {} if source == "control" else {**counts, source: counts.get(source, 0) + 1}
+            if k + 1 == len(mine) or mine[k + 1][0] // 1_000_000 * 1_000_000 != period:
+                active = {x for u, _, x in mine if u // 1_000_000 * 1_000_000 == period and x != "control"}
+                want |= {(run, period, x): counts.get(x, 0) for x in active}
+    assert {(r.run, r.period_us, r.source): r.n_since_trigger for r in out.where("run <> 'end'").collect()} == want

@@ -63,6 +63,24 @@ def running_sum(
     return out.drop(BLOCK, *[p + n for n in values for p in ("_v_", "_o_")])
 
 
+def global_running_sum(df: DataFrame, order: Column, values: Mapping[str, Column]) -> DataFrame:
+    """Cumulative sums over all rows in ``order``, where no key shares out the work.
+
+    Rows are sorted into ranges of the order, written, and summed inside them;
+    only one row a range is combined over all, and its sums are added to the next
+    ranges. Rows of one place in the order stay in one range; give each a place
+    of its own (or merge equal ones first) to bound the ranges.
+    """
+    d = df.withColumns({f"_v_{n}": c for n, c in values.items()})
+    d = cut_lineage(d.repartitionByRange(order).withColumn("_range", F.spark_partition_id()))
+    before = W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)  # one row a range
+    offsets = d.groupBy("_range").agg(*[F.sum(f"_v_{n}").alias(f"_s_{n}") for n in values])
+    offsets = offsets.select("_range", *[F.coalesce(F.sum(f"_s_{n}").over(before), F.lit(0)).alias(f"_o_{n}") for n in values])
+    upto = W.partitionBy("_range").orderBy(order).rowsBetween(W.unboundedPreceding, 0)
+    out = d.join(F.broadcast(offsets), "_range").withColumns({n: F.sum(f"_v_{n}").over(upto) + F.col(f"_o_{n}") for n in values})
+    return out.drop("_range", *[p + n for n in values for p in ("_v_", "_o_")])
+
+
 def row_index(df: DataFrame, keys: Sequence[str], order: Sequence[str], width: float, name: str = "rn") -> DataFrame:
     """Row number from 1 in each key."""
     return running_sum(df, keys, order, {name: F.lit(1).cast("bigint")}, width)

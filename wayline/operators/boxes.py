@@ -179,17 +179,16 @@ def box_statistics(boxes: DataFrame) -> DataFrame:
     )
 
 
-def precision_recall(scored: DataFrame, totals: DataFrame, width: float) -> DataFrame:
+def precision_recall(scored: DataFrame, totals: DataFrame) -> DataFrame:
     """Curve over descending score from per-detection columns score, d_matched, d_ignored.
 
-    ``totals`` is one row with ``n_truths`` and ``n_images``. Equal scores are merged first; the running sums go through score blocks of
-    ``width``, so no task sees more than one block.
+    ``totals`` is one row with ``n_truths`` and ``n_images``. Equal scores are
+    merged first; the running sums go through ranges of scores, one a task.
     """
     per_score = scored.groupBy("score").agg(
         F.count("*").alias("_n"), F.sum("d_matched").alias("_m"), F.sum("d_ignored").alias("_i")
     )
-    d = per_score.withColumn("_down", -F.col("score"))
-    d = blocks.running_sum(d, [], ["_down"], {"matched": F.col("_m"), "seen": F.col("_n"), "ignored": F.col("_i")}, width)
+    d = blocks.global_running_sum(per_score, F.col("score").desc(), {"matched": F.col("_m"), "seen": F.col("_n"), "ignored": F.col("_i")})
     considered = F.col("seen") - F.col("ignored")
     d = d.crossJoin(F.broadcast(totals.agg(F.first("n_truths").alias("_truths"), F.first("n_images").alias("_images"))))  # one row
     truths, images = F.col("_truths"), F.col("_images")

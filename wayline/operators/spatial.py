@@ -8,6 +8,7 @@ that find nothing go on to larger ones, so dense places never form all pairs.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
@@ -163,40 +164,71 @@ def radius_join(
     )
 
 
-def k_nearest(points: DataFrame, coords: Sequence[str], ident: str, k: int, start: float) -> DataFrame:
+def search_sizes(places: DataFrame, coords: Sequence[str], start: float, crowd: int) -> DataFrame:
+    """``places`` with ``_size``: half the edge of the cell in which a place has at most ``crowd`` others, ``start`` at most.
+
+    Cells with more places are cut along each axis, into the more parts the more
+    crowded the fullest is, and only their places are counted again; cells of
+    places that doubles cannot tell apart stay as they are.
+    """
+    names, size, done = cell_names(coords), float(start), None
+    open_ = places
+    while True:
+        cells = with_cell(open_, coords, 2 * size)
+        counts = cut_lineage(cells.groupBy(*names).agg(F.count("*").alias("_n")).where(F.col("_n") > crowd))
+        full, most = counts.drop("_n"), counts.agg(F.max("_n")).first()[0]
+        settled = cells.join(full, names, "left_anti").drop(*names).withColumn("_size", F.lit(size))
+        last = size < start * 2.0**-50
+        if most is None or last:
+            settled = open_.withColumn("_size", F.lit(size))
+            return settled if done is None else done.unionByName(settled)
+        done = settled if done is None else done.unionByName(settled)
+        open_ = cut_lineage(cells.join(full, names, "left_semi").drop(*names))
+        size /= 2.0 ** max(1, math.ceil(math.log2(most / crowd) / 2))
+
+
+def k_nearest(points: DataFrame, coords: Sequence[str], ident: str, k: int, start: float, crowd: int = 64) -> DataFrame:
     """The k nearest points of each point (itself included): ident, ``rank`` and the neighbour's ``n_<coord>``.
 
-    Radii grow from ``start`` by doubling; a point is done at the first radius
-    that holds k neighbours, so the pairs per point stay near k. The last
-    radius covers the whole extent, which settles every point.
+    Equal distances go by ident. Points at one place share one search, and only
+    its k smallest idents can be anyone's neighbours. Radii follow the density: a
+    place begins with half the cell in which it has at most ``crowd`` others
+    (``start`` at most) and doubles the radius until it holds k neighbours, so
+    the pairs per place stay near k. The last radius covers the whole extent.
+    Points with coordinates that are not finite are left out.
     """
     coords = list(coords)
     names, n_names = cell_names(coords), [f"n_{c}" for c in coords]
-    everything = points.select(ident, *coords)
-    extent, total = (
-        everything.select(
-            F.greatest(*[F.max(c) - F.min(c) for c in coords], F.lit(0.0)), F.count("*")
-        ).first()
+    rows = cut_lineage(usable(points.select(ident, *coords), coords))
+    first = F.row_number().over(W.partitionBy(*coords).orderBy(ident))
+    members = cut_lineage(rows.withColumn("_r", first).where(F.col("_r") <= k))
+    places = cut_lineage(search_sizes(members.where("_r = 1").select(*coords), coords, start, crowd))
+    extent, total, size = (
+        members.select(F.greatest(*[F.max(c) - F.min(c) for c in coords], F.lit(0.0)), F.count("*")).first() + places.agg(F.min("_size")).first()
     )
-    open_, done, size = everything, None, float(start)
-    while True:
+    open_, done = places, None
+    while size is not None:
         whole = size > (extent or 0.0) * len(coords)
-        cells = with_cell(everything, coords, 2 * size).select(*names, F.col(ident).alias("_n"), *[F.col(c).alias(n) for c, n in zip(coords, n_names)])
+        cells = with_cell(members, coords, 2 * size).select(*names, F.col(ident).alias("_n"), *[F.col(c).alias(n) for c, n in zip(coords, n_names)])
         d2 = dist2([F.col(c) for c in coords], [F.col(n) for n in n_names])
+        now = open_ if whole else open_.where(F.col("_size") <= size)
         near = (
-            with_cells_in_reach(open_, coords, 2 * size, size)
+            with_cells_in_reach(now, coords, 2 * size, size)
             .join(cells, names)
             .withColumn("_d2", d2)
             .where(F.col("_d2") <= size * size)
-            .withColumn("rank", F.row_number().over(W.partitionBy(ident).orderBy("_d2", "_n")))
+            .withColumn("rank", F.row_number().over(W.partitionBy(*coords).orderBy("_d2", "_n")))
             .where(F.col("rank") <= k)
         )
-        enough = near if whole else near.join(near.where(F.col("rank") == min(k, total)).select(ident), ident, "left_semi")
-        hit = cut_lineage(enough.select(ident, "rank", *n_names))
+        enough = near if whole else near.withColumn("_found", F.max("rank").over(W.partitionBy(*coords))).where(F.col("_found") == min(k, total))
+        hit = cut_lineage(enough.select(*coords, "rank", *n_names))
         done = hit if done is None else done.unionByName(hit)
         if whole:
-            return done
-        open_ = cut_lineage(open_.join(hit.select(ident).distinct(), ident, "left_anti"))
-        if open_.isEmpty():
-            return done
-        size *= 2
+            break
+        open_ = cut_lineage(open_.join(hit.where("rank = 1").select(*coords), coords, "left_anti"))
+        # on to the smallest radius for which a place is due
+        following = open_.agg(F.min("_size")).first()[0]
+        size = None if following is None else max(2 * size, following)
+    if done is None:
+        return rows.limit(0).select(ident, F.lit(1).alias("rank"), *[F.col(c).alias(n) for c, n in zip(coords, n_names)])
+    return rows.join(done, coords).select(ident, "rank", *n_names)

@@ -178,7 +178,7 @@ def precision_recall(spark, sf):
 
 def _curve(scored, truths):
     totals = truths.agg(F.count("*").alias("n_truths"), F.countDistinct("frame").alias("n_images"))
-    return ops.precision_recall(scored, totals, 1000.0)
+    return ops.precision_recall(scored, totals)
 
 
 @query("matched_detections")

@@ -226,3 +226,16 @@ def point_normals(spark, sf):
     """Normal and curvature from the 30 nearest neighbours; checked by properties, eigenvectors have no fixed sign."""
     v = vectors(spark, sf).select("vec_id", *XYZ)
     return registration.normals(v, XYZ, "vec_id", 30, 6.0)
+
+
+@query(
+    "neighbour_distances",
+    f"""WITH {VECTORS}, n AS (SELECT a.vec_id, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z)) AS d FROM vectors a JOIN vectors b ON a.vec_id % 50 = 0 QUALIFY row_number() OVER (PARTITION BY a.vec_id ORDER BY d, b.vec_id) <= 30)
+SELECT vec_id, CAST(count(*) AS BIGINT) AS n, {qs('max(d)')} AS farthest, {qs('sum(d)', 3)} AS total FROM n GROUP BY vec_id""",
+)
+def neighbour_distances(spark, sf):
+    """Distances of the 30 nearest points; searched for all points, reported for those whose id 50 divides."""
+    v = vectors(spark, sf).select("vec_id", *XYZ)
+    near = spatial.k_nearest(v, XYZ, "vec_id", 30, 6.0).where("vec_id % 50 = 0").join(v, "vec_id")
+    d = F.sqrt(spatial.dist2([F.col(c) for c in XYZ], [F.col(f"n_{c}") for c in XYZ]))
+    return near.groupBy("vec_id").agg(F.count("*").alias("n"), q(F.max(d)).alias("farthest"), q(F.sum(d), 3).alias("total"))
