@@ -83,7 +83,7 @@ def test_late_rows_are_dropped_and_windows_close(spark, tmp_path):
 
 @pytest.mark.parametrize("parts", [1, 3, 9])
 def test_can_objects_do_not_depend_on_triggers(spark, tmp_path, parts):
-    rows = sorted(can_rows(5, 300, step=400_000), key=lambda r: (r[1], r[2]))
+    rows = sorted(can_rows(5, 1500, step=400_000), key=lambda r: (r[1], r[2]))
     end = max(r[1] for r in rows)
     rows = [(run, START * 1_000_000 + t, i, ident, data) for run, t, i, ident, data in rows]
     last = [("z", START * 1_000_000 + end + 10**9, 0, 0x100, bytes(8))]  # moves the watermark past everything else
