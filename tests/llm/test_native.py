@@ -112,6 +112,24 @@ def test_merkle_edges(spark, documents):
     assert merkle.edited_fingerprints(documents([(1, "abcd", "en", "s")])).first()["near_next"] == 1.0
 
 
+def test_every_longer_text_is_like_its_edited_self(spark, documents):
+    """Half of the text is kept, so some leaf is, with or without sentences, blanks or line breaks."""
+    odd = {1: "word " * 2000, 2: "".join(chr(97 + i * i % 26) for i in range(500)), 3: "é🙂x" * 100, 4: "a\x01b c\x01 " * 60, 5: "x" * 200}
+    docs = documents([(i, t, "en", "s") for i, t in odd.items()])
+    assert all(0 < r["near_edited"] < 1 for r in merkle.edited_fingerprints(docs).where("doc_id <> 3").collect())
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    low = merkle.edited_fingerprints(table).where("n_chars >= 200 AND near_edited <= 0")
+    assert low.count() == 0
+
+
+def test_leaves_keep_every_character(spark):
+    """Texts that differ in marks or pieces only have different roots."""
+    base = "lorem ipsum dolor sit amet " * 12
+    texts = [base, base.replace(" ", " \x01", 1), base.replace(" ", "\x01 ", 1), base[:-1], base + " ", base.replace("dolor", "dolor\x01"), "x" * 64, "x" * 65, "x" * 128, "x" * 129]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select(merkle.root(merkle.fingerprint(F.col("t"))).alias("r"))
+    assert len({r["r"] for r in df.collect()}) == len(texts)
+
+
 def test_changed_branches(spark):
     lines = [f"line {i} here.\n" for i in range(40)]
     other = [*lines[:20], "changed here.\n", *lines[21:]]

@@ -1,12 +1,14 @@
 """Document fingerprints as Merkle trees over sections, paragraphs and sentences, with built-in functions only.
 
 A text's lines are its paragraphs. A paragraph is cut behind sentence ends into
-leaves, so that a long line is not one leaf. A section ends at a blank line and
+leaves; a longer stretch without one is cut further behind words whose hash says
+so, and where there are no words, into pieces. A section ends at a blank line and
 behind paragraphs whose last leaf hash says so, by content and not by count, so
-that an insertion moves no later border. The fingerprint is the root's hash and
-then the leaf hashes with marks at the ends of paragraphs and sections: equal
-roots are equal texts, and where roots differ the branches tell which sections
-and leaves do.
+that an insertion moves no later border. Whole leaf digests are hashed to
+paragraphs, these to sections and these to the root, so equal roots are equal
+texts. The fingerprint shows the root's hash and then the begins of the leaf
+hashes with marks at the ends of paragraphs and sections: where roots differ the
+branches tell which sections and leaves do.
 """
 
 from __future__ import annotations
@@ -23,23 +25,42 @@ LEAF_END = r"(?<=\n)|(?<=[.!?][ ])"
 SENTENCE, PARAGRAPH, SECTION = ".", ",", ";"
 
 
+#: a leaf of more characters is cut further, into pieces of at most ``PIECE`` characters
+LONG, PIECE = 100, 64
+#: put behind words that end a piece, for a moment
+CUT = "\x01"
+
+
+def _pieces(leaf: Column) -> Column:
+    """Parts of a long leaf: behind words whose hash ends in 0 (one in sixteen), and every ``PIECE`` characters at the latest.
+
+    The mark that tells them apart stays in the parts, so a text that holds it itself is told from one that does not.
+    """
+    ends = lambda w: w.endswith(" ") & F.md5(w).endswith("0")
+    marked = F.array_join(F.transform(F.split(leaf, "(?<=[ ])"), lambda w: F.when(ends(w), F.concat(w, F.lit(CUT))).otherwise(w)), "")
+    return F.flatten(F.transform(F.split(marked, f"(?<={CUT})"), lambda run: F.split(run, f"(?s)(?<=\\G.{{{PIECE}}})")))
+
+
 def fingerprint(text: Column) -> Column:
-    """``root:tree`` of a whole text; null is empty. The tree holds, for each leaf in order, its hash and its end mark.
+    """``root:tree`` of a whole text; null is empty. The tree holds, for each leaf in order, its hash's begin and its end mark.
 
-    Inner hashes go over the hashes below: a section's over its part of the
-    tree, the root's over all sections' hashes.
+    Inner hashes go over the whole hashes below: a paragraph's over its leaves,
+    a section's over its paragraphs, the root's over all sections.
     """
-    leaves = F.filter(F.split(F.coalesce(text, F.lit("")), LEAF_END), lambda x: x != "")
+    natural = F.split(F.coalesce(text, F.lit("")), LEAF_END)
+    leaves = F.flatten(F.transform(natural, lambda x: F.when(F.length(x) > LONG, _pieces(x)).otherwise(F.array(x))))
 
     def named(leaf: Column) -> Column:
-        h = F.substring(F.sha2(leaf, 256), 1, LEAF)
+        h = F.sha2(leaf, 256)
         paragraph = leaf.endswith("\n")
-        # a blank line, or a last digit of 0 or 1 (one in eight), closes the section
-        section = paragraph & ((leaf == "\n") | h.endswith("0") | h.endswith("1"))
+        # a blank line, or a digit of 0 or 1 (one in eight), closes the section
+        digit = F.substring(h, LEAF, 1)
+        section = paragraph & ((leaf == "\n") | (digit == "0") | (digit == "1"))
         return F.concat(h, F.when(section, SECTION).when(paragraph, PARAGRAPH).otherwise(SENTENCE))
 
-    tree = F.array_join(F.transform(leaves, named), "")
-    sections = F.transform(F.split(tree, SECTION), lambda s: F.sha2(s, 256))
+    whole = F.array_join(F.transform(F.filter(leaves, lambda x: x != ""), named), "")
+    sections = F.transform(F.split(whole, SECTION), lambda s: F.sha2(F.array_join(F.transform(F.split(s, PARAGRAPH), lambda p: F.sha2(p, 256)), ""), 256))
+    tree = F.regexp_replace(whole, f"([0-9a-f]{{{LEAF}}})[0-9a-f]{{{64 - LEAF}}}", "$1")
     return F.concat(F.sha2(F.array_join(sections, ""), 256), F.lit(":"), tree)
 
 
@@ -142,18 +163,26 @@ def edited_fingerprints(docs: DataFrame, ident: str = "doc_id", text: str = "tex
 
 def _print_sql(text: str, key: str, name: str) -> str:
     """CTEs that end in ``name(key, p)``: the fingerprint in SQL by cutting at marked leaf ends."""
+    marked = (
+        "array_to_string(list_transform(string_split(replace(leaf, ' ', ' ' || chr(2)), chr(2)), "
+        "lambda w: CASE WHEN ends_with(w, ' ') AND right(md5(w), 1) = '0' THEN w || chr(1) ELSE w END), '')"
+    )
+    pieces = f"flatten(list_transform(string_split(replace({marked}, chr(1), chr(1) || chr(2)), chr(2)), lambda r: regexp_extract_all(r, '(?s).{{1,{PIECE}}}')))"
     return f"""
-{name}_leaf AS (
-  SELECT {key}, u.i, u.leaf FROM (SELECT {key}, string_split(regexp_replace({text}, '(\\n|[.!?] )', '\\1' || chr(1), 'g'), chr(1)) AS xs FROM {name}_in) s,
+{name}_natural AS (
+  SELECT {key}, u.i, u.leaf FROM (SELECT {key}, string_split(regexp_replace({text}, '(\\n|[.!?] )', '\\1' || chr(2), 'g'), chr(2)) AS xs FROM {name}_in) s,
     LATERAL (SELECT unnest(xs) AS leaf, generate_subscripts(xs, 1) AS i) u WHERE u.leaf <> ''),
-{name}_hash AS (SELECT {key}, i, leaf, substr(sha256(leaf), 1, 12) AS h FROM {name}_leaf),
+{name}_leaf AS (
+  SELECT {key}, i, u.j, u.leaf FROM (SELECT {key}, i, CASE WHEN length(leaf) > {LONG} THEN {pieces} ELSE [leaf] END AS xs FROM {name}_natural) s,
+    LATERAL (SELECT unnest(xs) AS leaf, generate_subscripts(xs, 1) AS j) u WHERE u.leaf <> ''),
+{name}_hash AS (SELECT {key}, i, j, leaf, sha256(leaf) AS h FROM {name}_leaf),
 {name}_mark AS (
-  SELECT {key}, i, h || CASE WHEN ends_with(leaf, chr(10)) AND (leaf = chr(10) OR right(h, 1) IN ('0', '1')) THEN ';' WHEN ends_with(leaf, chr(10)) THEN ',' ELSE '.' END AS m
+  SELECT {key}, i, j, h, CASE WHEN ends_with(leaf, chr(10)) AND (leaf = chr(10) OR substr(h, {LEAF}, 1) IN ('0', '1')) THEN ';' WHEN ends_with(leaf, chr(10)) THEN ',' ELSE '.' END AS m
   FROM {name}_hash),
-{name}_tree AS (SELECT {key}, string_agg(m, '' ORDER BY i) AS tree FROM {name}_mark GROUP BY {key}),
-{name}_full AS (SELECT s.{key}, coalesce(t.tree, '') AS tree FROM {name}_in s LEFT JOIN {name}_tree t USING ({key})),
+{name}_tree AS (SELECT {key}, string_agg(substr(h, 1, {LEAF}) || m, '' ORDER BY i, j) AS tree, string_agg(h || m, '' ORDER BY i, j) AS whole FROM {name}_mark GROUP BY {key}),
+{name}_full AS (SELECT s.{key}, coalesce(t.tree, '') AS tree, coalesce(t.whole, '') AS whole FROM {name}_in s LEFT JOIN {name}_tree t USING ({key})),
 {name}_section AS (
-  SELECT {key}, u.i, sha256(u.part) AS h FROM (SELECT {key}, string_split(tree, ';') AS xs FROM {name}_full) s,
+  SELECT {key}, u.i, sha256(array_to_string(list_transform(string_split(u.part, ','), lambda p: sha256(p)), '')) AS h FROM (SELECT {key}, string_split(whole, ';') AS xs FROM {name}_full) s,
     LATERAL (SELECT unnest(xs) AS part, generate_subscripts(xs, 1) AS i) u),
 {name} AS (SELECT {key}, sha256(string_agg(h, '' ORDER BY i)) || ':' || any_value(tree) AS p FROM {name}_section JOIN {name}_full USING ({key}) GROUP BY {key})"""
 
