@@ -112,6 +112,15 @@ def test_merkle_edges(spark, documents):
     assert merkle.edited_fingerprints(documents([(1, "abcd", "en", "s")])).first()["near_next"] == 1.0
 
 
+def test_query_strings_and_bare_urls_are_scored(spark):
+    bad = [(i, f"http://www.example.com/de/{i}?ref=spam&id={i}") for i in range(60)]
+    good = [(100 + i, f"http://www.example.com/fr/{i}?lang=fr") for i in range(60)]
+    asked = [(200, "http://www.example.net/x?ref=spam"), (201, "http://www.example.net/x?lang=fr"), (202, "no scheme ref=spam"), (203, "no scheme lang=fr"), (204, None), (205, "")]
+    got = {r["page_id"]: r for r in urls.judge_urls(spark.createDataFrame(bad + good + asked, "page_id long, url string")).collect()}
+    assert got[200]["score"] < got[201]["score"] and got[202]["score"] < got[203]["score"]
+    assert got[204]["score"] == got[205]["score"] == 0.0 and got[200]["host"] == "www.example.net" and got[202]["host"] == ""
+
+
 def test_every_longer_text_is_like_its_edited_self(spark, documents):
     """Half of the text is kept, so some leaf is, with or without sentences, blanks or line breaks."""
     odd = {1: "word " * 2000, 2: "".join(chr(97 + i * i % 26) for i in range(500)), 3: "é🙂x" * 100, 4: "a\x01b c\x01 " * 60, 5: "x" * 200}

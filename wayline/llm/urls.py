@@ -113,15 +113,17 @@ def calibrated_threshold(scored: DataFrame, step: float = 0.05, reach: int = 200
 def judge_urls(pages: DataFrame, url: str = "url", page_id: str = "page_id", rules: Sequence[tuple[str, str]] = RULES, order: int = 3) -> DataFrame:
     """``page_id``, ``host``, ``path``, ``rule``, ``verdict``, ``score`` and ``threshold`` of every row.
 
-    The rule's verdict, else allow if the score reaches the threshold. Texts for
-    the models are host and path; a URL without both scores 0. Fold is crc32 of
-    that text modulo 4. Without rules for both classes every score is near 0 and
+    The rule's verdict, else allow if the score reaches the threshold. The models
+    read whole URLs, query string and fragment too, whether they hold a host or
+    not; null and empty ones score 0. Fold is crc32 of the URL modulo 4. Without rules for both classes every score is near 0 and
     the threshold 0. Repeated rows stay repeated.
     """
     host, path = url_parts(F.col(url))
-    rows = pages.select(F.col(page_id).alias("page_id"), host.alias("host"), path.alias("path"))
-    rows = rows.withColumn("_rule", fitting_rule(F.col("host"), F.col("path"), rules)).withColumn("t", F.concat("host", "path"))
-    texts = cut_lineage(rows.groupBy("t").agg(F.max("_rule.verdict").alias("label"), F.max(F.crc32(F.col("t").cast("binary")) % 4).alias("fold")))
+    rows = pages.select(F.col(page_id).alias("page_id"), host.alias("host"), path.alias("path"), F.coalesce(F.col(url).cast("string"), F.lit("")).alias("t"))
+    rows = rows.withColumn("_rule", fitting_rule(F.col("host"), F.col("path"), rules))
+    texts = rows.groupBy("t").agg(F.max("_rule.verdict").alias("label"), F.max(F.crc32(F.col("t").cast("binary")) % 4).alias("fold"))
+    # each text becomes as many rows as it has characters, so their tasks are not merged by size
+    texts = cut_lineage(texts.repartition(int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")), "t"))
     scored = cut_lineage(text_scores(texts, order))
     bound = calibrated_threshold(scored)
     judged = rows.join(scored.select("t", "score"), "t")
@@ -143,16 +145,16 @@ def _levels_sql(order: int) -> str:
 
 
 URLS_SQL = f"""
-WITH cut AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+WITH cut AS (SELECT page_id, coalesce(url, '') AS t, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
 rows AS (
-  SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+  SELECT page_id, t, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
     regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM cut),
 rules(rule, verdict) AS (VALUES {', '.join(f"('{r}', '{v}')" for v, r in RULES)}),
 fits AS (
   SELECT host, path, arg_max(rule, length(rule)) AS rule, arg_max(verdict, length(rule)) AS label
   FROM (SELECT DISTINCT host, path FROM rows), rules
   WHERE ('.' || host) LIKE ('%.' || split_part(rule, '/', 1)) AND starts_with(path, substr(rule, instr(rule, '/'))) GROUP BY host, path),
-ruled AS (SELECT r.*, f.rule, f.label, r.host || r.path AS t FROM rows r LEFT JOIN fits f ON r.host = f.host AND r.path = f.path),
+ruled AS (SELECT r.*, f.rule, f.label FROM rows r LEFT JOIN fits f ON r.host = f.host AND r.path = f.path),
 bytes AS (SELECT t, max(label) AS label FROM ruled GROUP BY t),
 crc_table AS (
   WITH RECURSIVE steps(n, k, c) AS (
