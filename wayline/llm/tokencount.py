@@ -16,8 +16,6 @@ from functools import lru_cache
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-#: a word of more characters is one unknown piece, as is usual for word pieces, unless the limit is None
-MOST_CHARS = 200
 #: longer words are counted anew each time
 LONGEST_REMEMBERED = 200
 #: words whose lengths a Python worker remembers
@@ -141,12 +139,12 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def token_counts(text: Column, vocabulary: str = "word_bpe_49k.json", end: str = "</w>", most_chars: int | None = MOST_CHARS) -> Column:
+def token_counts(text: Column, vocabulary: str = "word_bpe_49k.json", end: str = "</w>", most_chars: int | None = None) -> Column:
     """Struct ``n_words``, ``n_tokens``, ``n_unknown`` and ``longest_word`` (in pieces) of each whole text.
 
     Words are split at ASCII white space and lower-cased; a word that the
-    vocabulary cannot cover, or of more than ``most_chars`` characters, is one
-    unknown piece; with None no word is too long. Null and empty texts have no words. ``vocabulary`` names a
+    vocabulary cannot cover is one unknown piece, and so is one of more than
+    ``most_chars`` characters, if that is given. Null and empty texts have no words. ``vocabulary`` names a
     tokenizer file on the workers.
     """
 
