@@ -147,127 +147,12 @@ def train(docs: DataFrame, text: str = "text", most: int = 2000, variants: int =
     for i, (p, ok) in enumerate(seen, 1):
         right += ok
         if right >= 0.99 * i:
-            threshold = min(0.9, max(0.3, p))
+            threshold = max(0.3, p)
     accuracy = sum(z.index(max(z)) == y for y, z in logits) / max(1, len(logits))
     weights = {g: [float(v) for v in matrix[:, k]] for k, g in enumerate(vocabulary)}
     return LicenceModel(classes, weights, [float(b) for b in bias], temperature, threshold, accuracy)
 
 
-def _bound(found: Column, values: dict[str, float]) -> Column:
-    """At least the sum of the values of the grams in an array: each counts as the next of a few levels."""
-    levels = [2.0 ** (p / 2) for p in range(-6, 16)]
-    groups = {high: [g for g, v in values.items() if low < v <= high] for low, high in zip([0.0, *levels], [*levels, math.inf], strict=True)}
-
-    def value(gram: Column) -> Column:
-        out = F.lit(0.0)
-        for high, gs in groups.items():
-            out = F.when(gram.isin(gs), high).otherwise(out) if gs else out
-        return out
-
-    return F.aggregate(found, F.lit(0.0), lambda total, g: total + value(g))
-
-
-def scan(docs: DataFrame, model: LicenceModel, ident: str = "doc_id", text: str = "text", confirm: float = 0.6, templates=TEMPLATES) -> DataFrame:
-    """A row per document: its licence ``family`` (or ``unknown``, ``none``) and the paragraph that shows it.
-
-    Every line that is not blank is a paragraph and is read whole. Most cannot win
-    against ``none`` whatever the exact sum is: for each gram an upper bound of
-    what it adds to any family's lead is summed, and only paragraphs that may
-    make up for the biases are opened and scored exactly. ``similarity`` is the
-    share of the best template's grams, of the predicted family, that the
-    paragraph has; from ``confirm`` on it confirms the family. Null and empty
-    texts have no paragraphs and family ``none``.
-    """
-    spark = docs.sparkSession
-    k = len(model.classes)
-    lead = {g: max(0.0, *(w[c] - w[0] for c in range(1, k))) for g, w in model.weights.items()}
-    wanted = model.bias[0] - max(model.bias[1:])
-    # a pair needs both its words: its bound goes to the longer, mostly rarer one, for a first test by words alone
-    by_word = {g: v for g, v in lead.items() if " " not in g}
-    first = dict(by_word)
-    for g, v in lead.items():
-        if " " in g:
-            first[max(g.split(" "), key=lambda w: (len(w), by_word[w]))] += v
-
-    row, par = free_name(docs, "_row"), F.col("p")
-    lines = docs.select(F.col(ident).alias("doc_id"), F.monotonically_increasing_id().alias(row), F.split(F.coalesce(F.col(text), F.lit("")), "\n").alias("lines"))
-    marked = F.transform("lines", lambda x, i: F.struct(i.alias("no"), words(x).alias("ws")))
-    likely = F.filter(marked, lambda p: _bound(F.array_distinct(F.filter(p["ws"], lambda w: w.isin(list(by_word)))), first) >= wanted)
-    known = F.transform(likely, lambda p: F.struct(p["no"].alias("no"), F.filter(grams(p["ws"]), lambda g: g.isin(list(model.weights))).alias("grams")))
-    opened = F.filter(known, lambda p: _bound(p["grams"], lead) >= wanted)
-    n_lines = F.size(F.filter("lines", lambda x: F.trim(x) != ""))
-    cut = lines.select("doc_id", row, n_lines.alias("n_paragraphs"), F.explode_outer(opened).alias("p"))
-    forms = [r["g"] for r in template_table(spark, templates).select(F.filter(grams(words(F.col("text"))), lambda g: g.contains(" ")).alias("g")).collect()]
-    alike = F.greatest(F.lit(0.0), *[F.size(F.array_intersect("g", F.array(*map(F.lit, f)))) / max(1, len(f)) for f in forms])
-    prose = sample.withColumn("g", grams(F.col("ws"))).where(alike < 1 / 3)
-    negative = prose.select(F.lit(NONE).alias("label"), F.col("g").alias("grams"), F.pmod(F.xxhash64("ws"), F.lit(4)).cast("int").alias("fold"))
-    around = prose.select(F.pmod("no", F.lit(variants)).cast("int").alias("v"), "ws").groupBy("v").agg(F.min("ws").alias("ws"))
-    varied = template_table(spark, templates).select("template", "family", words(F.col("text")).alias("t"), F.explode(F.sequence(F.lit(0), F.lit(variants - 1))).alias("v"))
-    varied = varied.join(around, "v", "left").withColumn("ws", F.coalesce("ws", F.array().cast("array<string>")))
-    drop = F.filter("t", lambda w, i: F.pmod(F.xxhash64("template", "v", i), F.lit(100)) >= F.pmod("v", F.lit(4)) * 8)
-    cut = F.pmod(F.xxhash64("template", "v"), F.lit(30)).cast("int")
-    mixed = F.when(F.col("v") % 2 == 0, drop).otherwise(F.concat(F.slice("ws", 1, cut), drop, F.expr("slice(ws, 31, 20)")))
-    positive = varied.select(F.col("family").alias("label"), grams(mixed).alias("grams"), F.pmod(F.xxhash64("template", "v"), F.lit(4)).cast("int").alias("fold"))
-    return negative.unionByName(positive)
-
-
-def train(docs: DataFrame, text: str = "text", most: int = 2000, variants: int = 40, strength: float = 1e-3, templates=TEMPLATES) -> LicenceModel:
-    """Fit on at most ``most`` sampled paragraphs and ``variants`` forms of each template, calibrate on a quarter of them.
-
-    The vocabulary is the templates' words and word pairs, so the model's size is
-    fixed by the templates. The temperature minimises the calibration rows'
-    log-loss; the threshold is the least probability from which at least 99 in
-    100 of the accepted calibration rows have the right family.
-    """
-    spark = docs.sparkSession
-    vocabulary = [r[0] for r in template_table(spark, templates).select(F.explode(grams(words(F.col("text"))))).distinct().orderBy("col").collect()]
-    classes = [NONE, *sorted({f for f, _ in templates})]
-    rows = training_rows(docs, text, most, variants, templates)
-    label = F.array_position(F.array(*map(F.lit, classes)), F.col("label")).cast("double") - 1
-    vectors = CountVectorizerModel.from_vocabulary(vocabulary, "grams", "features").setBinary(True)
-    data = vectors.transform(rows.withColumn("y", label)).select("y", "features", "fold").persist()
-    model = LogisticRegression(featuresCol="features", labelCol="y", family="multinomial", regParam=strength, maxIter=60).fit(data.where("fold <> 0"))
-    held = model.transform(data.where("fold = 0")).select("y", "rawPrediction").collect()
-    data.unpersist()
-    matrix, bias = model.coefficientMatrix.toArray(), list(model.interceptVector.toArray())
-    # a class that no fitted row had is left out of the model's end; templates give every class rows
-    matrix, classes = matrix[: len(classes)], classes[: len(bias)]
-    logits = [(int(r["y"]), list(r["rawPrediction"])) for r in held]
-
-    def probabilities(z: list[float], t: float) -> list[float]:
-        top = max(z)
-        e = [math.exp((v - top) / t) for v in z]
-        return [v / sum(e) for v in e]
-
-    def loss(t: float) -> float:
-        return -sum(math.log(max(1e-12, probabilities(z, t)[y])) for y, z in logits)
-
-    temperature = min([0.5, 0.7, 1.0, 1.4, 2.0, 2.8, 4.0], key=loss) if logits else 1.0
-    seen = sorted(((max(p), p.index(max(p)) == y) for y, z in logits if (p := probabilities(z, temperature)).index(max(p)) > 0), reverse=True)
-    threshold, right = 0.5, 0
-    for i, (p, ok) in enumerate(seen, 1):
-        right += ok
-        if right >= 0.99 * i:
-            threshold = min(0.9, max(0.3, p))
-    accuracy = sum(z.index(max(z)) == y for y, z in logits) / max(1, len(logits))
-    weights = {g: [float(v) for v in matrix[:, k]] for k, g in enumerate(vocabulary)}
-    return LicenceModel(classes, weights, [float(b) for b in bias], temperature, threshold, accuracy)
-
-
-def _bound(found: Column, values: dict[str, float]) -> Column:
-    """At least the sum of the values of the grams in an array: each counts as the next of a few levels."""
-    levels = [2.0 ** (p / 2) for p in range(-6, 16)]
-    groups = {high: [g for g, v in values.items() if low < v <= high] for low, high in zip([0.0, *levels], [*levels, math.inf], strict=True)}
-
-    def value(gram: Column) -> Column:
-        out = F.lit(0.0)
-        for high, gs in groups.items():
-            out = F.when(gram.isin(gs), high).otherwise(out) if gs else out
-        return out
-
-    return F.aggregate(found, F.lit(0.0), lambda total, g: total + value(g))
-
-
 def scan(docs: DataFrame, model: LicenceModel, ident: str = "doc_id", text: str = "text", confirm: float = 0.6, templates=TEMPLATES) -> DataFrame:
     """A row per document: its licence ``family`` (or ``unknown``, ``none``) and the paragraph that shows it.
 
