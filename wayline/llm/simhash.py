@@ -279,12 +279,12 @@ def keep_one(docs: DataFrame, ident: str = "doc_id", text: str = "text", size: i
 
     Rows that repeat an id and its text are one document.
     """
-    i, h = free_name(docs, "_id"), free_name(docs, "_hash")
+    i, h, key, code = (free_name(docs, n) for n in ("_id", "_hash", "_i", "_h"))
     marked = docs.withColumns({i: F.col(ident), h: F.xxhash64(text)})
     prints = cut_lineage(marked.select(F.col(i).alias("id"), F.col(h).alias("hash"), fingerprint(F.col(text), size).alias("fp")))
     named = prints.join(near_groups(prints, most), "fp", "left").where(F.col("id").eqNullSafe(F.col("component_id")))
     # copies of the smallest id, and rows that all lack one, leave the choice to the hash
-    one = named.groupBy("root").agg(F.min("component_id").alias("_i"), F.min("hash").alias("_h"))
-    stays = one.select("_i", "_h")
-    kept = marked.join(stays, F.col(i).eqNullSafe(F.col("_i")) & (F.col(h) == F.col("_h")), "left_semi")
+    one = named.groupBy("root").agg(F.min("component_id").alias(key), F.min("hash").alias(code))
+    stays = one.select(key, code)
+    kept = marked.join(stays, F.col(i).eqNullSafe(F.col(key)) & (F.col(h) == F.col(code)), "left_semi")
     return kept.dropDuplicates([i, h]).select(*docs.columns)

@@ -285,15 +285,15 @@ def keep_one(docs: DataFrame, ident: str = "doc_id", text: str = "text", **kind)
     repeat an id and its text are one document. Rows without id only stay if no
     row of their group has one.
     """
-    i, h = free_name(docs, "_id"), free_name(docs, "_hash")
+    i, h, key, code = (free_name(docs, n) for n in ("_id", "_hash", "_i", "_h"))
     named = cut_lineage(similar_groups(docs, ident, text, **kind))
     least = named.groupBy("root").agg(F.min("id").alias("least"))
     first = named.join(least, "root").where(F.col("id").eqNullSafe(F.col("least")))
-    stays = cut_lineage(first.groupBy("root").agg(F.min("id").alias("_i"), F.min("hash").alias("_h")).select("_i", "_h"))
+    stays = cut_lineage(first.groupBy("root").agg(F.min("id").alias(key), F.min("hash").alias(code)).select(key, code))
     marked = docs.withColumns({i: F.col(ident), h: F.xxhash64(text)})
-    same = F.col(i).eqNullSafe(F.col("_i")) & (F.col(h) == F.col("_h"))
-    pairs = named.select(F.col("id").alias("_i"), F.col("hash").alias("_h"))
-    gone = pairs.join(stays.withColumnsRenamed({"_i": "si", "_h": "sh"}), F.col("_i").eqNullSafe(F.col("si")) & (F.col("_h") == F.col("sh")), "left_anti")
+    same = F.col(i).eqNullSafe(F.col(key)) & (F.col(h) == F.col(code))
+    pairs = named.select(F.col("id").alias(key), F.col("hash").alias(code))
+    gone = pairs.join(stays.select(F.col(key).alias("_s"), F.col(code).alias("_t")), F.col(key).eqNullSafe(F.col("_s")) & (F.col(code) == F.col("_t")), "left_anti")
     gone = cut_lineage(gone.distinct())
     n_gone = gone.count()
     if n_gone <= BROADCAST_KEYS and named.count() == stays.count() + n_gone:
