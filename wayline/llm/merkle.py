@@ -1,8 +1,8 @@
 """Document fingerprints as Merkle trees over sections, paragraphs and sentences, with built-in functions only.
 
 A text's lines are its paragraphs. A paragraph is cut behind sentence ends into
-leaves; a longer stretch without one is cut further behind words whose hash says
-so, and where there are no words, into pieces. A section ends at a blank line and
+leaves; a longer stretch without one is cut further behind words that end in one
+of some letters, and where there are none, into pieces. A section ends at a blank line and
 behind paragraphs whose last leaf hash says so, by content and not by count, so
 that an insertion moves no later border. Whole leaf digests are hashed to
 paragraphs, these to sections and these to the root, so equal roots are equal
@@ -25,20 +25,8 @@ LEAF_END = r"(?<=\n)|(?<=[.!?][ ])"
 SENTENCE, PARAGRAPH, SECTION = ".", ",", ";"
 
 
-#: a leaf of more characters is cut further, into pieces of at most ``PIECE`` characters
-LONG, PIECE = 100, 64
-#: put behind words that end a piece, for a moment
-CUT = "\x01"
-
-
-def _pieces(leaf: Column) -> Column:
-    """Parts of a long leaf: behind words whose hash ends in 0 (one in sixteen), and every ``PIECE`` characters at the latest.
-
-    The mark that tells them apart stays in the parts, so a text that holds it itself is told from one that does not.
-    """
-    ends = lambda w: w.endswith(" ") & F.md5(w).endswith("0")
-    marked = F.array_join(F.transform(F.split(leaf, "(?<=[ ])"), lambda w: F.when(ends(w), F.concat(w, F.lit(CUT))).otherwise(w)), "")
-    return F.flatten(F.transform(F.split(marked, f"(?<={CUT})"), lambda run: F.split(run, f"(?s)(?<=\\G.{{{PIECE}}})")))
+#: a leaf of more characters is cut further: behind words that end in one of some letters, and every ``PIECE`` characters at the latest
+LONG, PIECE, LETTERS = 100, 64, "cfgkmpvz"
 
 
 def fingerprint(text: Column) -> Column:
@@ -48,7 +36,8 @@ def fingerprint(text: Column) -> Column:
     a section's over its paragraphs, the root's over all sections.
     """
     natural = F.split(F.coalesce(text, F.lit("")), LEAF_END)
-    leaves = F.flatten(F.transform(natural, lambda x: F.when(F.length(x) > LONG, _pieces(x)).otherwise(F.array(x))))
+    pieces = f"(?s)(?<=[{LETTERS}][ ])|(?<=\\G.{{{PIECE}}})"
+    leaves = F.flatten(F.transform(natural, lambda x: F.when(F.length(x) > LONG, F.split(x, pieces)).otherwise(F.array(x))))
 
     def named(leaf: Column) -> Column:
         h = F.sha2(leaf, 256)
@@ -58,10 +47,14 @@ def fingerprint(text: Column) -> Column:
         section = paragraph & ((leaf == "\n") | (digit == "0") | (digit == "1"))
         return F.concat(h, F.when(section, SECTION).when(paragraph, PARAGRAPH).otherwise(SENTENCE))
 
-    whole = F.array_join(F.transform(F.filter(leaves, lambda x: x != ""), named), "")
-    sections = F.transform(F.split(whole, SECTION), lambda s: F.sha2(F.array_join(F.transform(F.split(s, PARAGRAPH), lambda p: F.sha2(p, 256)), ""), 256))
-    tree = F.regexp_replace(whole, f"([0-9a-f]{{{LEAF}}})[0-9a-f]{{{64 - LEAF}}}", "$1")
-    return F.concat(F.sha2(F.array_join(sections, ""), 256), F.lit(":"), tree)
+    def assembled(hashes: Column) -> Column:
+        tree = F.array_join(F.transform(hashes, lambda h: F.concat(F.substring(h, 1, LEAF), F.substring(h, 65, 1))), "")
+        parts = F.split(F.array_join(hashes, ""), SECTION)
+        sections = F.transform(parts, lambda s: F.sha2(F.array_join(F.transform(F.split(s, PARAGRAPH), lambda p: F.sha2(p, 256)), ""), 256))
+        return F.concat(F.sha2(F.array_join(sections, ""), 256), F.lit(":"), tree)
+
+    # the leaves are hashed once, though both parts of the fingerprint need them
+    return F.get(F.transform(F.array(F.transform(F.filter(leaves, lambda x: x != ""), named)), assembled), F.lit(0))
 
 
 def root(print_: Column) -> Column:
@@ -163,11 +156,7 @@ def edited_fingerprints(docs: DataFrame, ident: str = "doc_id", text: str = "tex
 
 def _print_sql(text: str, key: str, name: str) -> str:
     """CTEs that end in ``name(key, p)``: the fingerprint in SQL by cutting at marked leaf ends."""
-    marked = (
-        "array_to_string(list_transform(string_split(replace(leaf, ' ', ' ' || chr(2)), chr(2)), "
-        "lambda w: CASE WHEN ends_with(w, ' ') AND right(md5(w), 1) = '0' THEN w || chr(1) ELSE w END), '')"
-    )
-    pieces = f"flatten(list_transform(string_split(replace({marked}, chr(1), chr(1) || chr(2)), chr(2)), lambda r: regexp_extract_all(r, '(?s).{{1,{PIECE}}}')))"
+    pieces = f"flatten(list_transform(string_split(regexp_replace(leaf, '([{LETTERS}] )', '\\1' || chr(2), 'g'), chr(2)), lambda r: regexp_extract_all(r, '(?s).{{1,{PIECE}}}')))"
     return f"""
 {name}_natural AS (
   SELECT {key}, u.i, u.leaf FROM (SELECT {key}, string_split(regexp_replace({text}, '(\\n|[.!?] )', '\\1' || chr(2), 'g'), chr(2)) AS xs FROM {name}_in) s,
