@@ -153,6 +153,20 @@ def train(docs: DataFrame, text: str = "text", most: int = 2000, variants: int =
     return LicenceModel(classes, weights, [float(b) for b in bias], temperature, threshold, accuracy)
 
 
+def _bound(found: Column, values: dict[str, float]) -> Column:
+    """At least the sum of the values of the grams in an array: each counts as the next of a few levels."""
+    levels = [2.0 ** (p / 2) for p in range(-6, 16)]
+    groups = {high: [g for g, v in values.items() if low < v <= high] for low, high in zip([0.0, *levels], [*levels, math.inf], strict=True)}
+
+    def value(gram: Column) -> Column:
+        out = F.lit(0.0)
+        for high, gs in groups.items():
+            out = F.when(gram.isin(gs), high).otherwise(out) if gs else out
+        return out
+
+    return F.aggregate(found, F.lit(0.0), lambda total, g: total + value(g))
+
+
 def scan(docs: DataFrame, model: LicenceModel, ident: str = "doc_id", text: str = "text", confirm: float = 0.6, templates=TEMPLATES) -> DataFrame:
     """A row per document: its licence ``family`` (or ``unknown``, ``none``) and the paragraph that shows it.
 
@@ -168,22 +182,27 @@ def scan(docs: DataFrame, model: LicenceModel, ident: str = "doc_id", text: str
     k = len(model.classes)
     lead = {g: max(0.0, *(w[c] - w[0] for c in range(1, k))) for g, w in model.weights.items()}
     wanted = model.bias[0] - max(model.bias[1:])
-    levels = [2.0 ** (p / 2) for p in range(-6, 16)]
-    bounds = {b: [g for g, v in lead.items() if low < v <= b] for low, b in zip([0.0, *levels], [*levels, math.inf])}
+    # a pair needs both its words: its lead goes to the longer, mostly rarer one, for a first test by words alone
+    by_word = {g: v for g, v in lead.items() if " " not in g}
+    first = dict(by_word)
+    for g, v in lead.items():
+        if " " in g:
+            first[max(g.split(" "), key=lambda w: (len(w), by_word[w]))] += v
+
+    def may_win(p: Column) -> Column:
+        return _bound(F.array_distinct(F.filter(p["ws"], lambda w: w.isin(list(by_word)))), first) >= wanted
 
-    def bound(gram: Column) -> Column:
-        adds = F.lit(0.0)
-        for b, gs in bounds.items():
-            adds = F.when(gram.isin(gs), b).otherwise(adds) if gs else adds
-        return adds
+    def opened(filled: Column) -> Column:
+        likely = F.filter(filled, may_win)
+        known = F.transform(likely, lambda p: F.struct(p["no"].alias("no"), F.filter(grams(p["ws"]), lambda g: g.isin(list(model.weights))).alias("grams")))
+        return F.struct(F.size(filled).alias("n"), F.filter(known, lambda p: _bound(p["grams"], lead) >= wanted).alias("ps"))
 
     row, par = free_name(docs, "_row"), F.col("p")
     lines = docs.select(F.col(ident).alias("doc_id"), F.monotonically_increasing_id().alias(row), F.split(F.coalesce(F.col(text), F.lit("")), "\n").alias("lines"))
     marked = F.transform("lines", lambda x, i: F.struct(i.alias("no"), words(x).alias("ws")))
-    filled = F.filter(marked, lambda p: F.size(p["ws"]) > 0)
-    known = F.transform(filled, lambda p: F.struct(p["no"].alias("no"), F.filter(grams(p["ws"]), lambda g: g.isin(list(model.weights))).alias("grams")))
-    opened = F.filter(known, lambda p: F.aggregate(p["grams"], F.lit(0.0), lambda total, g: total + bound(g)) >= wanted)
-    cut = lines.select("doc_id", row, F.size(filled).alias("n_paragraphs"), F.explode_outer(opened).alias("p"))
+    # words are split once, though both the number of lines and the open ones need them
+    found = F.get(F.transform(F.array(F.filter(marked, lambda p: F.size(p["ws"]) > 0)), opened), F.lit(0))
+    cut = lines.select("doc_id", row, found.alias("f")).select("doc_id", row, F.col("f.n").alias("n_paragraphs"), F.explode_outer("f.ps").alias("p"))
     table = json.dumps([{"gram": g} | {f"w{c}": w[c] for c in range(k)} for g, w in sorted(model.weights.items())])
     kind = "array<struct<gram string, " + ", ".join(f"w{c} double" for c in range(k)) + ">>"
     weights = spark.range(1).select(F.inline(F.from_json(F.lit(table), kind)))  # as long as the templates' vocabulary
