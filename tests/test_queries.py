@@ -12,8 +12,8 @@ from wayline.plans import load_all
 
 QUERIES, ORACLES = load_all()
 
-#: binary sweeps are unpacked with numpy, and the trajectory solvers are recursions
-WITH_PYTHON = {"lidar_sweep_decode", "filtered_trajectory", "corrected_residuals"}
+#: binary sweeps are unpacked with numpy, trajectories and lanes are solved by recursions, planes are searched
+WITH_PYTHON = {"lidar_sweep_decode", "filtered_trajectory", "corrected_residuals", "resampled_lanes", "fixed_lane_points", "support_plane_inliers"}
 
 
 @pytest.fixture(scope="module")
