@@ -1,9 +1,12 @@
 """Language of a text from a bidirectional gated recurrent network over its bytes.
 
-The network reads blocks of ``BLOCK`` bytes in both directions from a zero state
-and labels every byte; a document's probabilities are the mean over the bytes of
-all its blocks. Blocks of many documents run side by side as lanes of one numpy
-step, so whole texts of any length are read in bounded memory.
+The network labels every byte; a document's probabilities are the mean over all
+its bytes. Texts are read in windows of ``INNER`` bytes, each with ``RUN_UP``
+more bytes of the text before and behind it: those only bring the states of both
+directions to what precedes, their labels are not counted. So a byte's label
+rests on at least ``RUN_UP`` bytes on each side (or on all there are). Windows of
+many documents run side by side as lanes of one numpy step, so whole texts of any
+length are read in bounded memory.
 """
 
 from __future__ import annotations
@@ -15,10 +18,15 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from wayline.llm.common import free_name
+from wayline.llm.common import cut_lineage, free_name, sized_join
 
+#: bytes of a training block
 BLOCK = 64
-LANES = 2048
+INNER = 256
+RUN_UP = 64
+LANES = 1024
+#: time steps whose probabilities are held at once
+STEPS = 32
 PAD = 256
 UNKNOWN = "und"
 
@@ -167,34 +175,49 @@ def fit(texts: list[str], labels: list[str], hidden: int = 6, steps: int = 300,
     return net
 
 
-def labelled_sample(docs: DataFrame, text: str, label: str, fold_key: str | None, per_label: int, most_labels: int, chars: int) -> DataFrame:
-    """At most ``per_label`` labelled texts of each of the ``most_labels`` commonest labels, in an order of hashes.
+def windows_of(data: bytes, inner: int = INNER, run_up: int = RUN_UP, lanes: int = LANES) -> Iterator[np.ndarray]:
+    """All windows of a text, at most ``lanes`` in an array of rows: run-up, ``inner`` bytes, run-up; padding beyond the text."""
+    for at in range(0, len(data), inner * lanes):
+        stop = min(len(data), at + inner * lanes)
+        raw = np.frombuffer(data, np.uint8)[max(0, at - run_up) : stop + run_up]
+        n = -(-(stop - at) // inner)
+        out = np.full(n * inner + 2 * run_up, PAD, np.int64)
+        first = max(0, run_up - at)
+        out[first : first + len(raw)] = raw
+        yield np.lib.stride_tricks.sliding_window_view(out, inner + 2 * run_up)[::inner]
 
-    Only the first ``chars`` characters of a sampled text are fetched: training
-    needs a bounded sample. Rows whose crc32 of ``fold_key`` is 2 modulo 4 are
-    held out.
+
+def labelled_sample(docs: DataFrame, text: str, label: str, fold_key: str | None, per_label: int, pieces: int) -> DataFrame:
+    """Pieces ``t`` of at most ``per_label`` texts of every label ``g``, the texts chosen in an order of hashes.
+
+    A sampled text gives at most ``pieces`` pieces of ``BLOCK`` characters,
+    spread evenly from its first to its last character; a shorter one gives all
+    of itself. Rows whose crc32 of ``fold_key`` is 2 modulo 4 are held out; rows
+    with a null ``fold_key`` are neither learned from nor held out.
     """
     row = F.pmod(F.xxhash64(*([fold_key] if fold_key else []), text), F.lit(1 << 40))
     d = docs.select(F.col(text).alias("t"), F.col(label).cast("string").alias("g"), row.alias("h"), *([F.col(fold_key).alias("i")] if fold_key else []))
     d = d.where("t is not null and g is not null and t <> ''")
     if fold_key:
         d = d.where(F.crc32(F.col("i").cast("string").cast("binary")) % 4 != 2)
-    common = d.groupBy("g").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "g").limit(most_labels).collect()
     # hashes are spread evenly: four times the wanted number lie below this bound, and only those are shuffled
-    below = F.lit(False)
-    for r in common:
-        below = below | ((F.col("g") == r["g"]) & (F.col("h") <= int((1 << 40) * min(1.0, 4 * per_label / r["n"]))))
-    d = d.where(below).select("g", "h", F.substring("t", 1, chars).alias("t"))
+    below = cut_lineage(d.groupBy("g").agg((F.lit(float(1 << 40)) * F.least(F.lit(1.0), 4.0 * per_label / F.count("*"))).alias("b")))
+    near = sized_join(d, below, ["g"], "inner").where("h <= b")
     order = Window.partitionBy("g").orderBy("h", "t")
-    return d.withColumn("r", F.row_number().over(order)).where(F.col("r") <= per_label).select("t", "g")
+    chosen = near.withColumn("r", F.row_number().over(order)).where(F.col("r") <= per_label).select("g", "r", "t")
+    size = F.length("t")
+    n = F.least(F.lit(pieces), F.ceil(size / BLOCK).cast("int"))
+    starts = F.transform(F.sequence(F.lit(0), n - 1), lambda j: F.when(n > 1, F.floor(j * (size - BLOCK) / (n - 1))).otherwise(0).cast("int"))
+    cut = chosen.select("g", "r", F.posexplode(F.transform(starts, lambda at: F.substring(F.col("t"), at + 1, F.lit(BLOCK)))).alias("j", "t"))
+    return cut.select("g", "r", "j", "t")
 
 
 def fit_languages(
-    docs: DataFrame, text: str = "text", label: str = "lang", fold_key: str | None = "doc_id", per_label: int = 150, most_labels: int = 64, chars: int = 4000, **training
+    docs: DataFrame, text: str = "text", label: str = "lang", fold_key: str | None = "doc_id", per_label: int = 150, pieces: int = 60, **training
 ) -> Network | None:
-    """Fit a network on a bounded sample: ``per_label`` texts of at most ``most_labels`` labels, ``chars`` characters of each."""
-    rows = sorted((r["g"], r["t"]) for r in labelled_sample(docs, text, label, fold_key, per_label, most_labels, chars).collect())
-    return fit([t for _, t in rows], [g for g, _ in rows], **training)
+    """Fit a network on a bounded sample: ``per_label`` texts of every label, at most ``pieces`` pieces from all over each."""
+    rows = sorted(labelled_sample(docs, text, label, fold_key, per_label, pieces).collect())
+    return fit([r["t"] for r in rows], [r["g"] for r in rows], **training)
 
 
 def _pooled(net: Network, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -210,26 +233,35 @@ def _pooled(net: Network, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         if not size:
             return
         x, who = np.concatenate(held), np.concatenate(owner)
+        # windows of like length run together, and steps that are padding in all lanes change no state
+        order = np.lexsort(((x != PAD).sum(1), x[:, 0] == PAD))
         for at in range(0, len(x), LANES):
-            part = np.ascontiguousarray(x[at : at + LANES].T)
-            p = net.positions(part)
-            live = part != PAD
-            p *= live[:, None]
-            np.add.at(total, who[at : at + LANES], p.sum(0).T)
-            best = p == p.max(1, keepdims=True)
-            best &= live[:, None]
-            np.add.at(wins, who[at : at + LANES], best.sum(0).T)
-            np.add.at(length, who[at : at + LANES], live.sum(0))
+            lane = order[at : at + LANES]
+            part = x[lane].T
+            counted = part != PAD
+            steps = np.flatnonzero(counted.any(1))
+            counted[:RUN_UP] = counted[RUN_UP + INNER :] = False
+            part, counted = np.ascontiguousarray(part[steps]), counted[steps]
+            s = net.states(part)
+            for t in range(0, len(steps), STEPS):
+                live = counted[t : t + STEPS, None]
+                if not live.any():
+                    continue
+                p = net.positions(part[t : t + STEPS], s[t : t + STEPS])
+                best = p == p.max(1, keepdims=True)
+                best &= live
+                p *= live
+                np.add.at(total, who[lane], p.sum(0).T)
+                np.add.at(wins, who[lane], best.sum(0).T)
+            np.add.at(length, who[lane], counted.sum(0))
         held, owner, size = [], [], 0
 
     for i, data in enumerate(texts):
-        if not data:
-            continue
-        for at in range(0, len(data), BLOCK * LANES):
-            held.append(blocks_of(data[at : at + BLOCK * LANES]))
-            owner.append(np.full(len(held[-1]), i))
-            size += len(held[-1])
-            if size >= LANES:
+        for rows in windows_of(data):
+            held.append(rows)
+            owner.append(np.full(len(rows), i))
+            size += len(rows)
+            if size >= 8 * LANES:
                 flush()
     flush()
     return total / np.maximum(1, length)[:, None], wins
@@ -238,10 +270,8 @@ def _pooled(net: Network, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 def position_labels(net: Network, text: str) -> list[str]:
     """The language of every byte of a text."""
     data = text.encode("utf-8", "replace")
-    if not data:
-        return []
-    best = net.positions(np.ascontiguousarray(blocks_of(data).T)).argmax(1).T.reshape(-1)
-    return [net.languages[g] for g in best[: len(data)]]
+    best = [net.positions(np.ascontiguousarray(rows.T))[RUN_UP : RUN_UP + INNER].argmax(1).T.reshape(-1) for rows in windows_of(data)]
+    return [net.languages[g] for part in best for g in part][: len(data)]
 
 
 def language(text: Column, net: Network | None) -> Column:
