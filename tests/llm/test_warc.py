@@ -53,6 +53,7 @@ def test_files_are_plain_warc(spark, tmp_path):
             heads += [h for h, _ in warc.parse_records(g.read())]
     assert len(heads) == len(ROWS) and len({h["warc-record-id"] for h in heads}) == len(ROWS)
     responses = {h["warc-record-id"] for h in heads if h["warc-type"] == "response"}
+    assert all(h["content-type"] == "application/http; msgtype=response" for h in heads)
     assert all(h["warc-refers-to"] in responses and h["content-length"] == "0" for h in heads if h["warc-type"] == "revisit")
 
 
@@ -67,6 +68,22 @@ def test_repeated_rows_and_empty_tables(spark, tmp_path):
     assert warc.resolved_records(written(spark, tmp_path / "b", [])).count() == 0
 
 
+def test_many_repeated_payloads(spark, tmp_path, monkeypatch):
+    wide = warc.sized_join
+    monkeypatch.setattr(warc, "sized_join", lambda big, small, on: wide(big, small, on, most=0, salts=4))
+    rows = ROWS + [(100 + i, "u", f"<p>{i % 7}</p>", "x") for i in range(200)]
+    got = {r["page_id"]: r["refers_to"] for r in warc.resolved_records(written(spark, tmp_path / "w", rows)).collect()}
+    assert len(got) == len(rows)
+    last = {f"<p>{i % 7}</p>": 100 + i for i in range(200)}
+    assert all(got[i] == (None if last[html] == i else last[html]) for i, _, html, _ in rows if i is not None and 100 <= i < 300)
+
+
+def test_payloads_are_not_shuffled(spark):
+    pages = spark.createDataFrame(ROWS, "page_id long, url string, payload string, payload_digest string")
+    plan = warc.resolve_revisits(pages)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
+
+
 def test_base32(spark):
     texts = ["", "a", "übung" * 50]
     df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", warc.base32_sha1(F.col("t").cast("binary")).alias("d"))

@@ -1,7 +1,8 @@
 """WARC archives of web pages with repeated payloads written once, as revisit records.
 
 Archives are ordinary WARC/1.1 files written by Spark into a folder that all
-machines share. Reading goes by the records' own lengths and checks digests.
+machines share. A response holds an HTTP message, whose body is the payload.
+Reading goes by the records' own lengths and checks digests.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from wayline.llm.common import cut_lineage, ensure_checkpoint_dir
+from wayline.llm.common import cut_lineage, ensure_checkpoint_dir, sized_join
 
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 END = "\r\n\r\n"
@@ -47,13 +48,17 @@ def resolve_revisits(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     ``page_id`` is the original; smaller payloads are all their own. Pages that
     repeat an id and its payload all are originals. A null payload is empty; a
     page without id never is an original unless no page of its payload has one.
-    The originals are one row per payload; a payload that a third of all pages
-    share only makes a skewed partition that adaptive execution splits.
+    Only headers (digest, length, id) are shuffled, summed up before. Payloads
+    that occur once need no partner, so the others' originals, one row each, are
+    counted and joined: up to 100,000 are broadcast and payloads stay where they
+    are; beyond that both sides are salted, so that a payload which a third of
+    all pages share is spread over many tasks.
     """
     own = pages.withColumns({"payload_digest": base32_sha1(F.col("payload").cast("binary")), "payload_bytes": F.octet_length("payload").cast("long")})
-    heads = own.where(F.col("payload_bytes") >= least_bytes).groupBy("payload_digest", "payload_bytes").agg(F.max("page_id").alias("original"))
-    joined = own.join(heads, ["payload_digest", "payload_bytes"], "left")
-    return joined.withColumn("original", F.when(F.col("payload_bytes") >= least_bytes, F.col("original")).otherwise(F.col("page_id")))
+    heads = own.where(F.col("payload_bytes") >= least_bytes).groupBy("payload_digest", "payload_bytes")
+    repeated = cut_lineage(heads.agg(F.max("page_id").alias("original"), F.count("*").alias("n")).where("n > 1").drop("n"))
+    joined = sized_join(own, repeated.withColumn("shared", F.lit(True)), ["payload_digest", "payload_bytes"])
+    return joined.withColumn("original", F.when(F.col("shared"), F.col("original")).otherwise(F.col("page_id"))).drop("shared")
 
 
 def _one_line(value: Column) -> Column:
@@ -64,11 +69,13 @@ def _one_line(value: Column) -> Column:
 def as_records(resolved: DataFrame, date: str) -> DataFrame:
     """One column ``value`` with a WARC record per page, without the two line breaks that end it.
 
-    Responses hold the payload; revisits hold none and name the response by its
-    record id and URL-free page id. Headers are made anew here.
+    Responses hold an HTTP message with the payload as its body; revisits hold
+    none and name the response by its record id. Headers are made anew here.
     """
     revisit = ~F.col("page_id").eqNullSafe(F.col("original"))
-    length = F.when(revisit, F.lit(0)).otherwise(F.col("payload_bytes"))
+    http = F.concat_ws("\r\n", F.lit("HTTP/1.1 200 OK"), F.lit("Content-Type: text/html; charset=utf-8"), F.concat(F.lit("Content-Length: "), F.col("payload_bytes").cast("string")))
+    http = F.concat(http, F.lit(END))
+    length = F.when(revisit, F.lit(0)).otherwise(F.octet_length(http) + F.col("payload_bytes"))
     head = [
         F.lit("WARC/1.1"),
         F.concat(F.lit("WARC-Type: "), F.when(revisit, "revisit").otherwise("response")),
@@ -79,18 +86,18 @@ def as_records(resolved: DataFrame, date: str) -> DataFrame:
         F.concat(F.lit("X-Page-ID: "), F.coalesce(F.col("page_id").cast("string"), F.lit("none"))),
         F.when(revisit, F.concat(F.lit("WARC-Refers-To: "), _record_id(F.concat_ws("|", F.col("original").cast("string"), "payload_digest")))),
         F.when(revisit, F.lit(f"WARC-Profile: {PROFILE}")),
-        F.lit("Content-Type: text/html"),
+        F.lit("Content-Type: application/http; msgtype=response"),
         F.concat(F.lit("Content-Length: "), length.cast("string")),
     ]
-    return resolved.select(F.concat(F.concat_ws("\r\n", *head), F.lit(END), F.when(revisit, "").otherwise(F.col("payload"))).alias("value"))
+    block = F.when(revisit, "").otherwise(F.concat(http, F.col("payload")))
+    return resolved.select(F.concat(F.concat_ws("\r\n", *head), F.lit(END), block).alias("value"))
 
 
 def write_archives(pages: DataFrame, folder: str, page_id: str = "page_id", url: str = "url", html: str = "html", least_bytes: int = 0, file_bytes: int = 1 << 25, date: str = "2024-01-01T00:00:00Z") -> None:
     """Write a deduplicated archive of ``pages`` into ``folder``, in gzipped files of about ``file_bytes`` bytes before that.
 
     The text sink ends each record with its two line breaks, so the files are
-    plain WARC/1.1. Payloads are shuffled once, by digest; the number of records
-    of a file follows from their mean size.
+    plain WARC/1.1. The number of records of a file follows from their mean size.
     """
     rows = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.coalesce(F.col(html), F.lit("")).alias("payload"))
     total = rows.agg(F.sum(F.octet_length("payload")), F.count("*")).first()
@@ -116,6 +123,11 @@ def parse_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         yield head, body
 
 
+def http_body(block: bytes) -> bytes:
+    """What follows the headers of an HTTP message; an empty block has an empty body."""
+    return block.partition(END.encode())[2]
+
+
 def read_archives(spark: SparkSession, folder: str, with_payload: bool = False) -> DataFrame:
     """The records of all archives of a folder; a file is read by one task at a time, whose size the writer bounds.
 
@@ -127,7 +139,8 @@ def read_archives(spark: SparkSession, folder: str, with_payload: bool = False)
         for batch in batches:
             for data in batch["content"]:
                 rows = []
-                for head, body in parse_records(gzip.decompress(data)):
+                for head, block in parse_records(gzip.decompress(data)):
+                    body = http_body(block)
                     kind, digest = head["warc-type"], head["warc-payload-digest"].removeprefix("sha1:")
                     page = head["x-page-id"]
                     rows.append((
