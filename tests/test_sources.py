@@ -104,17 +104,54 @@ def test_xml_round_trip(spark, tmp_path):
     assert {(r.image, r.frame, r.x1, r.score, r.class_id) for r in rows} == {("i.png", 3, float(k), None if k % 2 else 0.25, 1) for k in range(5)}
 
 
-def test_run_export_skips_what_is_there(spark, tmp_path):
-    out = str(tmp_path / "runs")
+def run_rows(spark, runs, kind="gps"):
+    d = spark.createDataFrame([(r, t, t * 2) for r in runs for t in (1, 2)], "run_id string, t_us bigint, v bigint")
+    return tables.run_documents({kind: d}, "run_id", "t_us")
+
+
+def exported(spark, out):
+    return sorted(((r.run_id or "", r.kind, r.t_us, r.payload) for r in tables.read_runs(spark, out, "run_id").collect()), key=str)
+
 
-    def docs(runs):
-        d = spark.createDataFrame([(r, t, t * 2) for r in runs for t in (1, 2)], "run_id string, t_us bigint, v bigint")
-        return tables.run_documents({"gps": d}, "run_id", "t_us")
+def wanted(runs, kind="gps"):
+    return sorted(((r, kind, t, f'{{"v":{t * 2}}}') for r in runs for t in (1, 2)), key=str)
 
-    tables.export_runs(docs(["a"]), "run_id", out)
-    tables.export_runs(docs(["a", "b"]), "run_id", out)
-    rows = spark.read.json(out).collect()
-    assert sorted((r.run_id, r.t_us, r.payload) for r in rows) == [(r, t, f'{{"v":{t * 2}}}') for r in "ab" for t in (1, 2)]
+
+def test_run_export_skips_what_is_there(spark, tmp_path):
+    out = str(tmp_path / "runs")
+    assert tables.read_runs(spark, out, "run_id").count() == 0
+    tables.export_runs(run_rows(spark, ["a"]), "run_id", out)
+    tables.export_runs(run_rows(spark, ["a", "b", "01", "x/y z"]), "run_id", out)
+    assert exported(spark, out) == wanted(["a", "b", "01", "x/y z"])
+    tables.export_runs(run_rows(spark, ["a"], "radar"), "run_id", out)
+    assert exported(spark, out) == sorted(wanted(["a", "b", "01", "x/y z"]) + wanted(["a"], "radar"), key=str)
+    assert tables.export_runs(run_rows(spark, ["a", "b"]), "run_id", out) is None
+    listed = tables.export_manifest(spark, out, "run_id").collect()
+    assert len(listed) == 5 and all(r.files >= 1 and r.bytes > 0 for r in listed)
+
+
+def test_broken_export_is_written_again(spark, tmp_path):
+    out = str(tmp_path / "runs")
+    tables.export_runs(run_rows(spark, ["a"]), "run_id", out)
+    broken = run_rows(spark, ["b", "c"]).withColumn("payload", F.when(F.col("run_id") == "c", F.raise_error(F.lit("lost")).cast("string")).otherwise(F.col("payload")))
+    with pytest.raises(Exception, match="lost"):
+        tables.export_runs(broken, "run_id", out)
+    # a batch whose files are there but whose manifest was never written
+    run_rows(spark, ["b"]).write.partitionBy("run_id", "kind").option("compression", "gzip").json(f"{out}/data/batch=dead")
+    assert exported(spark, out) == wanted(["a"])
+    tables.export_runs(run_rows(spark, ["a", "b", "c"]), "run_id", out)
+    assert exported(spark, out) == wanted(["a", "b", "c"])
+
+
+def test_export_of_kinds_without_time_and_of_nameless_runs(spark, tmp_path):
+    out = str(tmp_path / "runs")
+    planes = spark.createDataFrame([(r, p, 0.5 * p) for r in ("a", None) for p in range(50)], "run_id string, plane bigint, d double")
+    docs = tables.run_documents({"planes": planes}, "run_id", "t_us").unionByName(run_rows(spark, [""]))
+    tables.export_runs(docs, "run_id", out)
+    assert tables.export_runs(docs, "run_id", out) is None
+    got = exported(spark, out)
+    assert len(got) == 102 and {g[2] for g in got if g[1] == "planes"} == {None}
+    assert [g for g in got if g[1] == "gps"] == wanted([""])
 
 
 def test_track_dump_drops_lost_boxes(spark):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
@@ -10,6 +12,7 @@ from wayline.operators import blocks, timejoin
 from wayline.operators import boxes as box_ops
 from wayline.plans.inputs import BOXES, DAY_US, POSES, boxes, poses, q, qs, table
 from wayline.plans.registry import query
+from wayline.session import ensure_checkpoint_dir
 from wayline.sources import annotations, logs, tables
 
 # a pose line: 21 tokens, or 22 with an event id; every seventh is cut short and must drop out
@@ -210,6 +213,25 @@ def run_export(spark, sf):
     return tables.run_documents({"gps": gps, "radar": radar}, "run_id", "t_us")
 
 
+MAP_SPARK = {"points": "kind IN ('click', 'signup', 'error')", "lanes": "kind IN ('view', 'purchase')", "planes": "kind = 'view'"}
+MAP_FIELDS = "'drive' || (run_id % 16) AS drive, '{kind}' AS kind, {time} AS t_us, run_id, idx, lat AS x, lon AS y, height AS z"
+
+
+@query(
+    "run_export_map",
+    f"WITH {POSES} " + " UNION ALL ".join(f"SELECT {MAP_FIELDS.format(kind=k, time='t_us' if k == 'points' else 'NULL')} FROM poses WHERE {rows}" for k, rows in MAP_SPARK.items()),
+)
+def run_export_map(spark, sf):
+    """Map points by time, lanes and planes of every drive, exported in two calls and read back."""
+    p = poses(spark, sf).selectExpr("concat('drive', run_id % 16) AS drive", "kind", "t_us", "run_id", "idx", "lat AS x", "lon AS y", "height AS z")
+    kinds = {k: p.where(rows).drop("kind", *([] if k == "points" else ["t_us"])) for k, rows in MAP_SPARK.items()}
+    folder = f"{ensure_checkpoint_dir(spark)}/export-{uuid.uuid4().hex}"
+    tables.export_runs(tables.run_documents({"points": kinds["points"]}, "drive", "t_us"), "drive", folder)
+    tables.export_runs(tables.run_documents(kinds, "drive", "t_us"), "drive", folder)
+    fields = F.from_json("payload", "run_id bigint, idx bigint, x double, y double, z double")
+    return tables.read_runs(spark, folder, "drive").select("drive", "kind", "t_us", fields.alias("f")).select("drive", "kind", "t_us", "f.*")
+
+
 @query(
     "annotation_list_order",
     f"""WITH {BOXES} SELECT 'seq_' || (frame % 9) || '_' || lpad(CAST(frame AS VARCHAR), 6, '0') || '.png' AS image, box_id FROM boxes""",

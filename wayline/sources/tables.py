@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from wayline import schemas
 
@@ -29,21 +31,69 @@ def flatten_calibration(documents: DataFrame, text: str = "value") -> DataFrame:
 
 
 def run_documents(kinds: dict[str, DataFrame], run: str, time: str) -> DataFrame:
-    """One JSON row per record: run, kind, time and the record's fields as ``payload``."""
+    """One JSON row per record: run, kind, time and the record's fields as ``payload``; kinds without a time have none."""
     out = None
     for kind, df in kinds.items():
         fields = [c for c in df.columns if c not in (run, time)]
-        part = df.select(run, F.lit(kind).alias("kind"), F.col(time).alias("t_us"), F.to_json(F.struct(*fields)).alias("payload"))
+        t_us = F.col(time) if time in df.columns else F.lit(None).cast("bigint")
+        part = df.select(run, F.lit(kind).alias("kind"), t_us.alias("t_us"), F.to_json(F.struct(*fields)).alias("payload"))
         out = part if out is None else out.unionByName(part)
     return out
 
 
-def export_runs(documents: DataFrame, run: str, path: str) -> None:
-    """Write gzip JSON by run and kind; runs already there are skipped."""
-    spark = documents.sparkSession
+def _exists(spark: SparkSession, path: str) -> bool:
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
-        there = spark.read.json(path, schema=f"t_us bigint, payload string, {run} string, kind string").select(F.col(run).alias("_there")).distinct()
-        documents = documents.join(there, F.col(run).cast("string") == F.col("_there"), "left_anti")
-    ordered = documents.repartitionByRange(run, "kind", "t_us").sortWithinPartitions(run, "kind", "t_us")
-    ordered.write.mode("append").partitionBy(run, "kind").option("compression", "gzip").json(path)
+    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
+
+
+def export_manifest(spark: SparkSession, path: str, run: str) -> DataFrame:
+    """What an export folder holds: (run as text, kind, batch, files, bytes), one row per run and kind.
+
+    Of exports at the same time that wrote the same run and kind, the batch
+    first by name counts.
+    """
+    schema = f"{run} string, kind string, batch string, files bigint, bytes bigint"
+    if not _exists(spark, f"{path}/manifest"):
+        return spark.createDataFrame([], schema)
+    first = F.min(F.struct("batch", "files", "bytes"))
+    return spark.read.json(f"{path}/manifest", schema=schema).groupBy(run, "kind").agg(first.alias("_b")).select(run, "kind", "_b.*")
+
+
+def export_runs(documents: DataFrame, run: str, path: str) -> str | None:
+    """Write gzip JSON by run and kind; what the manifest of ``path`` names already is skipped.
+
+    Every call writes a batch folder of its own, ``data/batch=...``, and appends
+    to the manifest only when all of it is there. So a write that breaks leaves
+    a batch that no reader looks at, and the next call writes its runs again;
+    such folders may be removed while no export runs. The manifest comes from
+    the listing of the batch, no data are read for it. Null and empty run names
+    are one run. Returns the batch's name, None if there was nothing to write.
+    """
+    spark = documents.sparkSession
+    there = export_manifest(spark, path, run).select(F.col(run).alias("_run"), F.col("kind").alias("_kind"))
+    name = F.nullif(F.col(run).cast("string"), F.lit(""))
+    todo = documents.join(there, name.eqNullSafe(F.col("_run")) & (F.col("kind") == F.col("_kind")), "left_anti")
+    batch = uuid.uuid4().hex
+    folder = f"{path}/data/batch={batch}"
+    # the payload parts what has equal times or none, so that a long run is spread over tasks
+    order = [run, "kind", "t_us", "payload"]
+    ordered = todo.repartitionByRange(*order).sortWithinPartitions(*order)
+    ordered.write.partitionBy(run, "kind").option("compression", "gzip").json(folder)
+    schema = f"path string, modificationTime timestamp, length bigint, content binary, {run} string, kind string"
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.json.gz")
+    if files.load(folder).select("path").isEmpty():
+        return None
+    done = files.schema(schema).load(folder).groupBy(run, "kind").agg(F.lit(batch).alias("batch"), F.count("*").alias("files"), F.sum("length").alias("bytes"))
+    done.write.mode("append").json(f"{path}/manifest")
+    return batch
+
+
+def read_runs(spark: SparkSession, path: str, run: str) -> DataFrame:
+    """The records of all finished exports of a folder: run as text, kind, time and payload."""
+    schema = f"t_us bigint, payload string, batch string, {run} string, kind string"
+    if not _exists(spark, f"{path}/data"):
+        return spark.createDataFrame([], schema).drop("batch")
+    rows = spark.read.json(f"{path}/data", schema=schema)
+    done = export_manifest(spark, path, run).select(F.col("batch").alias("_batch"), F.col(run).alias("_run"), F.col("kind").alias("_kind"))
+    here = (F.col("batch") == F.col("_batch")) & (F.col("kind") == F.col("_kind")) & F.col(run).eqNullSafe(F.col("_run"))
+    return rows.join(done, here, "left_semi").select(run, "kind", "t_us", "payload")
