@@ -212,6 +212,29 @@ def test_licences(spark, small, documents):
     assert licences.scan(documents([]), model).count() == 0
 
 
+def test_wrapped_notices(spark, small, documents):
+    model = licences.train(spark.read.parquet(f"{small}/documents.parquet"), variants=12, most=400)
+    rows, want = [], []
+    for _, text in [t for t in enumerate(licences.TEMPLATES) if len(t[1][1].split()) >= 8]:
+        family, ws = text[0], text[1].split()
+        for prefix, ending in (("# ", "\n"), (" * ", "\r\n")):
+            lines = [prefix + " ".join(ws[at : at + 5]) for at in range(0, len(ws), 5)]
+            rows.append((len(rows), ending.join(["The first line is a sentence.", *lines, prefix, "and others"]), "en", "s"))
+            want.append(family)
+    got = {r["doc_id"]: r for r in licences.scan(documents(rows), model).collect()}
+    # a sentence that ends inside the notice may end a run, so some are unknown; none is another family
+    assert all(got[i]["family"] in (f, "unknown") for i, f in enumerate(want))
+    assert {f for i, f in enumerate(want) if got[i]["family"] == f} == set(want)
+    assert sum(got[i]["family"] == f for i, f in enumerate(want)) >= 0.9 * len(want)
+
+
+def test_lines_that_read_on(spark):
+    texts = ["", "a", "a\nb", "a.\nb", "a\n\nb", "a\nb.\nc\nd\n", "\n\na\n * b\n *\nc\n", 'say "a."\nb']
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", licences.wrapped(F.split("t", "\n")).alias("r"))
+    got = {r["t"]: [(x["no"], x["n"]) for x in r["r"]] for r in df.collect()}
+    assert [got[t] for t in texts] == [[], [], [(0, 2)], [], [], [(0, 2), (2, 2)], [(2, 2)], []]
+
+
 def test_licences_of_the_table(spark, small):
     got = {r["doc_id"]: r["family"] for r in QUERIES["op1_licences"](spark, small).collect()}
     lines = {"Apache License, Version 2.0": "apache-2.0", "the MIT License": "mit", "GNU General Public License, version 3": "gpl-3.0", "CC BY-NC 4.0": "cc-by-nc"}

@@ -167,15 +167,32 @@ def _bound(found: Column, values: dict[str, float]) -> Column:
     return F.aggregate(found, F.lit(0.0), lambda total, g: total + value(g))
 
 
+def wrapped(lines: Column) -> Column:
+    """Runs of two lines or more that read on, as structs ``no`` (of the first line) and ``n``.
+
+    A line reads on into the next one if both have words and it does not end a
+    sentence, as in a notice wrapped at some width.
+    """
+    at = F.sequence(F.lit(0), F.size(lines) - 1)
+    filled = F.transform(lines, lambda x: x.rlike("[A-Za-z0-9]"))
+    ended = F.transform(lines, lambda x: x.rlike(r"[.!?][\"')\]]*\s*$"))
+    starts = F.filter(at, lambda i: ~(F.get(filled, i) & F.coalesce(F.get(filled, i - 1) & ~F.get(ended, i - 1), F.lit(False))))
+    after = F.concat(F.slice(starts, 2, F.size(starts)), F.array(F.size(lines)))
+    return F.filter(F.zip_with(starts, after, lambda a, b: F.struct(a.alias("no"), (b - a).alias("n"))), lambda r: r["n"] > 1)
+
+
 def scan(docs: DataFrame, model: LicenceModel, ident: str = "doc_id", text: str = "text", confirm: float = 0.6, templates=TEMPLATES) -> DataFrame:
     """A row per document: its licence ``family`` (or ``unknown``, ``none``) and the paragraph that shows it.
 
-    Every line that is not blank is a paragraph and is read whole. Most cannot win
+    Every line that is not blank is a paragraph and is read whole, and so is every
+    run of lines that read on (:func:`wrapped`); a run counts only if a template
+    confirms it and no line is as sure, under the number of its first line. Most cannot win
     against ``none`` whatever the exact sum is: for each gram an upper bound of
     what it adds to any family's lead is summed, and only paragraphs that may
     make up for the biases are opened and scored exactly. ``similarity`` is the
     share of the best template's grams, of the predicted family, that the
-    paragraph has; from ``confirm`` on it confirms the family. Null and empty
+    paragraph has; from ``confirm`` on it confirms the family. Families of equal
+    probability: the first by name. ``n_paragraphs`` counts lines. Null and empty
     texts have no paragraphs and family ``none``.
     """
     spark = docs.sparkSession
@@ -194,12 +211,14 @@ def scan(docs: DataFrame, model: LicenceModel, ident: str = "doc_id", text: str
 
     def opened(filled: Column) -> Column:
         likely = F.filter(filled, may_win)
-        known = F.transform(likely, lambda p: F.struct(p["no"].alias("no"), F.filter(grams(p["ws"]), lambda g: g.isin(list(model.weights))).alias("grams")))
-        return F.struct(F.size(filled).alias("n"), F.filter(known, lambda p: _bound(p["grams"], lead) >= wanted).alias("ps"))
+        known = F.transform(likely, lambda p: F.struct(p["no"].alias("no"), p["run"].alias("run"), F.filter(grams(p["ws"]), lambda g: g.isin(list(model.weights))).alias("grams")))
+        return F.struct(F.size(F.filter(filled, lambda p: ~p["run"])).alias("n"), F.filter(known, lambda p: _bound(p["grams"], lead) >= wanted).alias("ps"))
 
     row, par = free_name(docs, "_row"), F.col("p")
     lines = docs.select(F.col(ident).alias("doc_id"), F.monotonically_increasing_id().alias(row), F.split(F.coalesce(F.col(text), F.lit("")), "\n").alias("lines"))
-    marked = F.transform("lines", lambda x, i: F.struct(i.alias("no"), words(x).alias("ws")))
+    marked = F.transform("lines", lambda x, i: F.struct(i.alias("no"), F.lit(False).alias("run"), words(x).alias("ws")))
+    joined = F.transform(wrapped(F.col("lines")), lambda r: F.struct(r["no"].alias("no"), F.lit(True).alias("run"), words(F.array_join(F.slice("lines", r["no"] + 1, r["n"]), " ")).alias("ws")))
+    marked = F.concat(marked, joined)
     # words are split once, though both the number of lines and the open ones need them
     found = F.get(F.transform(F.array(F.filter(marked, lambda p: F.size(p["ws"]) > 0)), opened), F.lit(0))
     cut = lines.select("doc_id", row, found.alias("f")).select("doc_id", row, F.col("f.n").alias("n_paragraphs"), F.explode_outer("f.ps").alias("p"))
@@ -207,9 +226,9 @@ def scan(docs: DataFrame, model: LicenceModel, ident: str = "doc_id", text: str
     kind = "array<struct<gram string, " + ", ".join(f"w{c} double" for c in range(k)) + ">>"
     weights = spark.range(1).select(F.inline(F.from_json(F.lit(table), kind)))  # as long as the templates' vocabulary
     scored = (
-        cut.select("doc_id", row, "n_paragraphs", par["no"].alias("no"), par["grams"].alias("grams"), F.explode_outer(par["grams"]).alias("gram"))
+        cut.select("doc_id", row, "n_paragraphs", par["no"].alias("no"), par["run"].alias("run"), par["grams"].alias("grams"), F.explode_outer(par["grams"]).alias("gram"))
         .join(F.broadcast(weights), "gram", "left")
-        .groupBy("doc_id", row, "n_paragraphs", "no")
+        .groupBy("doc_id", row, "n_paragraphs", "no", "run")
         .agg(F.first("grams").alias("grams"), *[F.coalesce(F.sum(f"w{c}"), F.lit(0.0)).alias(f"z{c}") for c in range(k)])
     )
     z = [(F.col(f"z{c}") + model.bias[c]) / model.temperature for c in range(k)]
@@ -221,17 +240,18 @@ def scan(docs: DataFrame, model: LicenceModel, ident: str = "doc_id", text: str
     names = F.array(*map(F.lit, model.classes))
     scored = scored.withColumn("best", best).withColumn("predicted", F.get(names, F.col("best"))).withColumn("probability", F.array_max("probs"))
     # a left-out paragraph and a paragraph-free document have no number and are none
-    is_licence = F.col("no").isNotNull() & (F.col("best") > 0)
+    looks_so = F.col("no").isNotNull() & (F.col("best") > 0)
     # only predicted licences are held against the templates of their family
     forms = [r["g"] for r in template_table(spark, templates).orderBy("template").select(grams(words(F.col("text"))).alias("g")).collect()]
     likes = [
         F.struct(F.when(F.col("predicted") == f, F.size(F.array_intersect("grams", F.array(*map(F.lit, g)))) / max(1, len(g))).otherwise(-1.0).alias("s"), F.lit(-i).alias("i"))
         for i, ((f, _), g) in enumerate(zip(templates, forms, strict=True))
     ]
-    scored = scored.withColumn("like", F.when(is_licence, F.greatest(*likes)))
+    scored = scored.withColumn("like", F.when(looks_so, F.greatest(*likes)))
+    is_licence = looks_so & (~F.col("run") | (F.col("like.s") >= confirm))
     sure = (F.col("probability") >= model.threshold) & (F.col("like.s") >= confirm)
     one = F.struct(
-        F.when(~is_licence, 0).when(sure, 2).otherwise(1).alias("rank"), F.when(is_licence, F.col("probability")).alias("probability"), (-F.col("no")).alias("no"),
+        F.when(~is_licence, 0).when(sure, 2).otherwise(1).alias("rank"), (~F.col("run")).alias("line"), F.when(is_licence, F.col("probability")).alias("probability"), (-F.col("no")).alias("no"),
         F.when(sure, F.col("predicted")).otherwise(UNKNOWN).alias("family"), F.col("predicted").alias("nearest"), F.col("like.s").alias("similarity"), (-F.col("like.i")).alias("template"),
     )
     per = scored.groupBy("doc_id", row, "n_paragraphs").agg(
