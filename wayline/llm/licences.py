@@ -167,20 +167,41 @@ def _bound(found: Column, values: dict[str, float]) -> Column:
     return F.aggregate(found, F.lit(0.0), lambda total, g: total + value(g))
 
 
+#: a line that ends a sentence, and a text that has a line of another kind which is not its last
+ENDED = r"""[.!?]["')\]\s]*$"""
+GOES_ON = r"""[^.!?"')\]\s]["')\]\s&&[^\n]]*\n"""
+
+
 def wrapped(lines: Column) -> Column:
     """Runs of two lines or more that read on, as structs ``no`` (of the first line) and ``n``.
 
     A line reads on into the next one if both have words and it does not end a
-    sentence, as in a notice wrapped at some width.
+    sentence, as in a notice wrapped at some width. ``lines`` is used several
+    times: give a plain column or a lambda's variable.
     """
-    at = F.sequence(F.lit(0), F.size(lines) - 1)
-    filled = F.transform(lines, lambda x: x.rlike("[A-Za-z0-9]"))
-    ended = F.transform(lines, lambda x: x.rlike(r"[.!?][\"')\]]*\s*$"))
-    starts = F.filter(at, lambda i: ~(F.get(filled, i) & F.coalesce(F.get(filled, i - 1) & ~F.get(ended, i - 1), F.lit(False))))
-    after = F.concat(F.slice(starts, 2, F.size(starts)), F.array(F.size(lines)))
+
+    def opens(line: Column, i: Column) -> Column:
+        before = F.get(lines, i - 1)
+        reads_on = (i > 0) & ~before.rlike(ENDED) & before.rlike("[A-Za-z0-9]") & line.rlike("[A-Za-z0-9]")
+        return F.struct(i.alias("no"), (~reads_on).alias("first"))
+
+    starts = F.transform(F.filter(F.transform(lines, opens), lambda s: s["first"]), lambda s: s["no"])
+    after = F.concat(F.slice(starts, 2, F.size(lines)), F.array(F.size(lines)))
     return F.filter(F.zip_with(starts, after, lambda a, b: F.struct(a.alias("no"), (b - a).alias("n"))), lambda r: r["n"] > 1)
 
 
+def paragraphs(text: Column) -> Column:
+    """All lines of a text and its runs of lines that read on: ``no``, ``run`` and the words ``ws``."""
+
+    def cut(lines: Column) -> Column:
+        each = F.transform(lines, lambda x, i: F.struct(i.alias("no"), F.lit(False).alias("run"), words(x).alias("ws")))
+        joined = F.transform(wrapped(lines), lambda r: F.struct(r["no"].alias("no"), F.lit(True).alias("run"), words(F.array_join(F.slice(lines, r["no"] + 1, r["n"]), " ")).alias("ws")))
+        return F.when(text.rlike(GOES_ON), F.concat(each, joined)).otherwise(each)
+
+    # bound by a lambda, the lines are split once
+    return F.get(F.transform(F.array(F.split(text, "\n")), cut), F.lit(0))
+
+
 def scan(docs: DataFrame, model: LicenceModel, ident: str = "doc_id", text: str = "text", confirm: float = 0.6, templates=TEMPLATES) -> DataFrame:
     """A row per document: its licence ``family`` (or ``unknown``, ``none``) and the paragraph that shows it.
 
@@ -215,12 +236,9 @@ def scan(docs: DataFrame, model: LicenceModel, ident: str = "doc_id", text: str
         return F.struct(F.size(F.filter(filled, lambda p: ~p["run"])).alias("n"), F.filter(known, lambda p: _bound(p["grams"], lead) >= wanted).alias("ps"))
 
     row, par = free_name(docs, "_row"), F.col("p")
-    lines = docs.select(F.col(ident).alias("doc_id"), F.monotonically_increasing_id().alias(row), F.split(F.coalesce(F.col(text), F.lit("")), "\n").alias("lines"))
-    marked = F.transform("lines", lambda x, i: F.struct(i.alias("no"), F.lit(False).alias("run"), words(x).alias("ws")))
-    joined = F.transform(wrapped(F.col("lines")), lambda r: F.struct(r["no"].alias("no"), F.lit(True).alias("run"), words(F.array_join(F.slice("lines", r["no"] + 1, r["n"]), " ")).alias("ws")))
-    marked = F.concat(marked, joined)
+    lines = docs.select(F.col(ident).alias("doc_id"), F.monotonically_increasing_id().alias(row), F.coalesce(F.col(text), F.lit("")).alias("text"))
     # words are split once, though both the number of lines and the open ones need them
-    found = F.get(F.transform(F.array(F.filter(marked, lambda p: F.size(p["ws"]) > 0)), opened), F.lit(0))
+    found = F.get(F.transform(F.array(F.filter(paragraphs(F.col("text")), lambda p: F.size(p["ws"]) > 0)), opened), F.lit(0))
     cut = lines.select("doc_id", row, found.alias("f")).select("doc_id", row, F.col("f.n").alias("n_paragraphs"), F.explode_outer("f.ps").alias("p"))
     table = json.dumps([{"gram": g} | {f"w{c}": w[c] for c in range(k)} for g, w in sorted(model.weights.items())])
     kind = "array<struct<gram string, " + ", ".join(f"w{c} double" for c in range(k)) + ">>"
