@@ -54,10 +54,14 @@ def _clamp(value: Column, low: Column, high: Column) -> Column:
     return F.greatest(F.least(value, high), low)
 
 
-def scan_voxels(points: DataFrame, scan: str, origin: Sequence[Column], size: float) -> DataFrame:
-    """One row per scan and voxel: ``hit`` where a return lies in it, else crossed by a ray only."""
+def scan_voxels(points: DataFrame, scan: str, origin: Sequence[Column], size: float, ray_scan: str | None = None) -> DataFrame:
+    """One row per scan and voxel: ``hit`` where a return lies in it, else crossed by a ray only.
+
+    The voxels a ray crosses count for the scan in ``ray_scan``, if that is not
+    the scan of its return.
+    """
     ends = with_voxel(points, size).select(scan, *VOXEL, F.lit(1).alias("_hit"))
-    crossed = explode_rays(points, origin, [scan], size).withColumn("_hit", F.lit(0))
+    crossed = explode_rays(points, origin, [ray_scan or scan], size).withColumnRenamed(ray_scan or scan, scan).withColumn("_hit", F.lit(0))
     return ends.unionByName(crossed).groupBy(scan, *VOXEL).agg((F.max("_hit") == 1).alias("hit"))
 
 
@@ -71,6 +75,7 @@ def occupancy(
     p_min: float = 0.12,
     p_max: float = 0.97,
     scans_per_block: int = 1024,
+    ray_scan: str | None = None,
 ) -> DataFrame:
     """Clamped log-odds per voxel, scans taken in order.
 
@@ -82,7 +87,7 @@ def occupancy(
     odds = {n: math.log(p / (1 - p)) for n, p in (("hit", p_hit), ("miss", p_miss), ("min", p_min), ("max", p_max))}
     low, high = F.lit(odds["min"]), F.lit(odds["max"])
     step = F.when(F.col("hit"), F.lit(odds["hit"])).otherwise(F.lit(odds["miss"]))
-    d = scan_voxels(points, scan, origin, size).select(
+    d = scan_voxels(points, scan, origin, size, ray_scan).select(
         *VOXEL, F.col(scan).alias("_scan"), step.alias("_a"), F.floor(F.col(scan) / scans_per_block).alias(BLOCK)
     )
 
