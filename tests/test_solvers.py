@@ -414,3 +414,17 @@ def test_deskew_before_the_first_pose_mirrors_the_motion(spark):
     d = filters.deskew_by_offset(pts, poses, ["run"], "frame", "dt_us", "row", ["q0", "q1", "q2", "q3"], ["px", "py", "pz"], XYZ)
     assert {r.frame: round(r.x_map, 9) for r in d.collect()} == {0: 0.0, 1: -1.5, 3: 1.5}
     assert rotation.dot((1, 2), (3, 4)) == 11
+
+
+def test_pixels_made_from_a_small_table_are_not_broadcast(spark):
+    rows = spark.range(20).selectExpr("1 AS run", "id AS idx", "double(id) AS x")
+    frames = rows.selectExpr("run", "idx AS frame", "x AS fx")
+    pixels = frames.selectExpr("run", "frame", "explode(sequence(0L, 9L)) AS u", "0L AS v", "frame AS r", "u AS g", "v AS b")
+
+    def to_pixel(d):
+        return d.withColumns({"u": F.floor(F.col("x") - F.col("fx")), "v": F.lit(0).cast("bigint")})
+
+    d = registration.colour_points(rows, frames, pixels, ["run"], "idx", "idx", "frame", 5, to_pixel)
+    plan = d._jdf.queryExecution().executedPlan().toString()
+    assert not [line for line in plan.splitlines() if "BroadcastHashJoin" in line and "u#" in line]
+    assert {r.idx: (r.r, r.g) for r in d.collect()} == {i: (i - 1, 1) if i else (None, None) for i in range(20)}

@@ -437,13 +437,14 @@ def colour_points(
     """Colour of each point from the frames that see it in the ``window`` frames before its own; null if none.
 
     ``to_pixel(df)`` adds whole-number u, v to (point, frame) rows and drops
-    hidden ones. The last frame wins, or the first.
+    hidden ones. The last frame wins, or the first. The pixels of many frames are
+    never broadcast: made from a small table, they would look small to the planner.
     """
     from wayline.operators import timejoin
 
     keys = list(keys)
     pairs = timejoin.window_join(points, frames, keys, point_frame, frame, window - 1, -1)
-    seen = to_pixel(pairs).join(pixels, [*keys, frame, "u", "v"])
+    seen = to_pixel(pairs).join(pixels.hint("shuffle_merge"), [*keys, frame, "u", "v"])
     pick = F.min_by if first_wins else F.max_by
     colour = seen.groupBy(*keys, ident).agg(pick(F.struct("r", "g", "b"), frame).alias("_c"))
     out = points.join(colour, [*keys, ident], "left")
