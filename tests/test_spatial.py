@@ -198,3 +198,25 @@ def test_overlaps_of_named_runs(spark):
     assert got == {("bay", "coast"), ("bay", "north")}  # of equal shares the first name
     labels = spark.createDataFrame([("coast", "101"), ("bay", "280")], "run string, road string")
     assert {r.run: r.road for r in trace.propagate_labels(d, labels, "run", ["x", "y"], "road").collect()} == {"north": "280", "far": "none"}
+
+
+@pytest.mark.parametrize("few", [0, 6, 64])
+def test_nearest_within_few_targets_a_key(spark, few):
+    """Keys with few targets are compared without cells, with the same result and the place of the target."""
+    rng = random.Random(5)
+    sizes = {0: 3, 1: 6, 2: 40, 3: 0}
+    a = [(k, i, *[rng.randrange(0, 40) / 4 for _ in XYZ]) for i, k in enumerate([0, 1, 2, 3, None] * 30)]
+    b = [(k, 1000 * k + i, *[rng.randrange(0, 40) / 4 for _ in XYZ]) for k, n in sizes.items() for i in range(n)] + [(None, 1, 1.0, 1.0, 1.0), (0, 2, None, 1.0, 1.0)]
+    src = spark.createDataFrame(a, "k int, id int, x double, y double, z double")
+    tgt = spark.createDataFrame(b, "k int, t int, x double, y double, z double")
+    got = {r.id: (r.t, r._e_x, r._e_y, r._e_z) for r in spatial.nearest_within(src, tgt, ["k"], XYZ, 3.0, "t", few=few, place="_e_").collect()}
+    want = {}
+    for k, i, *p in a:
+        near = [(sum((u - v) ** 2 for u, v in zip(p, c)), t, *c) for n, t, *c in b if k is not None and n == k and None not in c]
+        if near and min(near)[0] < 9.0:
+            want[i] = min(near)[1:]
+    assert got == want and len(got) > 20
+    if few == 64:
+        few_only = spatial.nearest_within(src, tgt, ["k"], XYZ, 3.0, "t", few=few)
+        # the cells' search is left for keys without a list, so their rows alone are copied to cells
+        assert "array_min" in few_only._jdf.queryExecution().optimizedPlan().toString()

@@ -198,9 +198,8 @@ def far_lane_points(
 def offset_by_median(lanes: DataFrame, measured: DataFrame, keys: Sequence[str], lane_no: str, ident: str, limit: float = 0.25) -> DataFrame:
     """Shift each lane by the median offset to the measured points nearest to it; lanes without any stay."""
     keys = list(keys)
-    near = spatial.nearest_within(lanes, measured, keys, XYZ, limit, ident)
-    at = measured.select(*keys, ident, *[F.col(c).alias(f"_m_{c}") for c in XYZ])
-    offs = near.join(at, [*keys, ident]).select(*keys, lane_no, *[(F.col(f"_m_{c}") - F.col(c)).alias(f"d{c}") for c in XYZ])
+    near = spatial.nearest_within(lanes, measured, keys, XYZ, limit, ident, place="_m_")
+    offs = near.select(*keys, lane_no, *[(F.col(f"_m_{c}") - F.col(c)).alias(f"d{c}") for c in XYZ])
     med = blocks.grouped_median(offs, [*keys, lane_no], [f"d{c}" for c in XYZ], limit / 16)
     d = lanes.join(med, [*keys, lane_no], "left")
     return d.withColumns({c: F.col(c) + F.coalesce(F.col(f"d{c}"), F.lit(0.0)) for c in XYZ}).drop("dx", "dy", "dz")
@@ -376,8 +375,7 @@ def fix_lanes(
     only moved.
     """
     keys, lane_keys = list(keys), list(lane_keys)
-    at = measured.select(*keys, ident, *[F.col(c).alias(f"_m_{c}") for c in XYZ])
-    near = spatial.nearest_within(lanes, measured, keys, XYZ, limit, ident).join(at, [*keys, ident])
+    near = spatial.nearest_within(lanes, measured, keys, XYZ, limit, ident, place="_m_")
     near = near.select(*lane_keys, seq, *[f"_m_{c}" for c in XYZ], F.lit(True).alias("snapped"))
     d = lanes.join(near, [*lane_keys, seq], "left").withColumn("snapped", F.coalesce("snapped", F.lit(False)))
     d = d.select(*lane_keys, seq, "snapped", *XYZ, *[F.coalesce(f"_m_{c}", c).alias(f"_s_{c}") for c in XYZ])

@@ -55,15 +55,45 @@ def nearest_within(
     levels: Sequence[int] = (8, 1),
     strict: bool = True,
     extra: Sequence[str] = (),
+    few: int = 64,
+    place: str | None = None,
 ) -> DataFrame:
     """Nearest target of every source row, if nearer than ``tolerance``: columns target_id and ``dist``.
 
+    Keys with up to ``few`` targets are compared directly, a list of so many
+    beside each source row; the rest goes through cells. With ``place``, the
+    target's coordinates are added under names with that prefix.
+
     Exact: all targets within the radius of a level lie in the cells the probe
     looks at, so a hit within that radius is the nearest one overall. Ties go to
     the smallest target id. ``extra`` columns count in the distance but not in
     the grid, which stays exact, as the distance can only grow by them.
     """
     keys, grid = list(keys), list(coords)
+    coords = [*grid, *extra]
+    if not keys or not few:
+        return _nearest_in_cells(source, target, keys, grid, tolerance, target_id, levels, strict, extra, place)
+    counts = target.groupBy(*keys).agg(F.count("*").alias("_n"))
+    rows = target.select(*keys, *coords, target_id)
+    lists = rows.join(counts.where(F.col("_n") <= few), keys).groupBy(*keys).agg(F.collect_list(F.struct(target_id, *coords)).alias("_few"))
+    asked = source.join(lists.hint("shuffle_merge"), keys, "left")
+    d2 = F.transform("_few", lambda t: F.struct(dist2([F.col(c) for c in coords], [t[c] for c in coords]).alias("_d2"), t[target_id].alias("_t"), *[t[c].alias(f"_t_{c}") for c in coords]))
+    limit = float(tolerance) * float(tolerance)
+    near = F.filter(d2, lambda t: t["_d2"] < limit if strict else t["_d2"] <= limit)
+    rest = [c for c in source.columns if c not in (*keys, *coords)]
+    direct = asked.where("_few IS NOT NULL").withColumn("_best", F.array_min(near)).where("_best IS NOT NULL")
+    at = [] if place is None else [F.col("_best")[f"_t_{c}"].alias(place + c) for c in coords]
+    direct = direct.select(*keys, *coords, *rest, F.col("_best._t").alias(target_id), F.sqrt("_best._d2").alias("dist"), *at)
+    crowded = rows.join(counts.where(F.col("_n") > few).select(*keys), keys, "left_semi")
+    rest = asked.where("_few IS NULL").drop("_few")
+    return direct.unionByName(_nearest_in_cells(rest, crowded, keys, grid, tolerance, target_id, levels, strict, extra, place))
+
+
+def _nearest_in_cells(
+    source: DataFrame, target: DataFrame, keys: list[str], grid: list[str], tolerance: float, target_id: str,
+    levels: Sequence[int], strict: bool, extra: Sequence[str], place: str | None,
+) -> DataFrame:
+    """:func:`nearest_within` on cells only."""
     names = cell_names(grid)
     coords = [*grid, *extra]
     t_names = [f"_t_{c}" for c in coords]
@@ -84,12 +114,13 @@ def nearest_within(
             .withColumn("_d2", d2)
             .where(near)
             .groupBy(*keys, *coords)
-            .agg(F.min(F.struct("_d2", target_id)).alias("_best"))
+            .agg(F.min(F.struct("_d2", target_id, *(t_names if place is not None else ()))).alias("_best"))
         )
         found = hit if found is None else found.unionByName(hit)
         if not last:
             open_ = open_.join(hit, [*keys, *coords], "left_anti")
-    best = found.select(*keys, *coords, F.col("_best")[target_id].alias(target_id), F.sqrt(F.col("_best._d2")).alias("dist"))
+    at = [] if place is None else [F.col("_best")[t].alias(place + c) for c, t in zip(coords, t_names)]
+    best = found.select(*keys, *coords, F.col("_best")[target_id].alias(target_id), F.sqrt(F.col("_best._d2")).alias("dist"), *at)
     return source.join(best, [*keys, *coords])
 
 

@@ -167,9 +167,8 @@ def upsample_rings(points: DataFrame, keys: Sequence[str], laser: str, coords: S
     keys = list(keys)
     source = points.withColumn("_ring", F.col(laser) + 2)
     target = points.select(*keys, F.col(laser).alias("_ring"), F.col(ident).alias("_tid"), *coords)
-    pairs = nearest_within(source, target, [*keys, "_ring"], coords, reach, "_tid")
-    ends = target.select(*keys, "_ring", "_tid", *[F.col(c).alias(f"_e_{c}") for c in coords])
-    pairs = pairs.join(ends, [*keys, "_ring", "_tid"]).withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(n))))
+    pairs = nearest_within(source, target, [*keys, "_ring"], coords, reach, "_tid", place="_e_")
+    pairs = pairs.withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(n))))
     share = F.col("step") / F.lit(float(n + 1))
     new = pairs.select(
         *keys, ident, "step", F.lit(None).cast("int").alias(laser),
