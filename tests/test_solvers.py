@@ -428,3 +428,14 @@ def test_pixels_made_from_a_small_table_are_not_broadcast(spark):
     plan = d._jdf.queryExecution().executedPlan().toString()
     assert not [line for line in plan.splitlines() if "BroadcastHashJoin" in line and "u#" in line]
     assert {r.idx: (r.r, r.g) for r in d.collect()} == {i: (i - 1, 1) if i else (None, None) for i in range(20)}
+
+
+def test_sections_meet_no_pieces_without_points(spark):
+    """Lane points far apart in number: a section is not copied to the empty stretches between them."""
+    rows = [(1, 0, i * 10**12, float(i)) for i in range(40)] + [(1, 1, 7, 0.0)]
+    lane = spark.createDataFrame(rows, "run int, lane_no int, seq bigint, x double")
+    asked = [(1, 1, 0, 5 * 10**12, 30 * 10**12), (1, 2, 0, -3, 10**12 + 1), (1, 3, 0, 5, 6), (1, 4, 1, 7, 7), (1, 5, 0, 38 * 10**12, 10**15)]
+    sections = spark.createDataFrame(asked, "run int, idx int, lane_no int, seq_from bigint, seq_to bigint")
+    d = lanes.points_of_sections(sections, lane, ["run"], "idx", "seq", piece=8, width=2 * 10**12)
+    got = sorted((r.idx, r.lane_no, r.seq) for r in d.collect())
+    assert got == sorted((i, n, s) for _, i, n, a, b in asked for _, m, s, _ in rows if m == n and a <= s <= b)

@@ -107,11 +107,23 @@ def section_in_view(
     return ranges.where("seq_from <= seq_to")
 
 
-def points_of_sections(sections: DataFrame, lanes: DataFrame, keys: Sequence[str], frame: str, seq: str, piece: int = 256) -> DataFrame:
-    """All lane points of the sections, joined on pieces of the lane."""
-    s = sections.withColumn("_piece", F.explode(F.sequence(F.floor(F.col("seq_from") / piece), F.floor(F.col("seq_to") / piece))))
-    l = lanes.withColumn("_piece", F.floor(F.col(seq) / piece))
-    return s.join(l, [*keys, "lane_no", "_piece"]).where(F.col(seq).between(F.col("seq_from"), F.col("seq_to"))).drop("_piece")
+def points_of_sections(
+    sections: DataFrame, lanes: DataFrame, keys: Sequence[str], frame: str, seq: str, piece: int = 256, width: float = 65536
+) -> DataFrame:
+    """All lane points of the sections, joined on pieces of ``piece`` consecutive points of the lane.
+
+    Pieces go by the points' numbers in their lane, so a section meets no more
+    pieces than its points fill, however far apart their ``seq`` lie.
+    """
+    k = [*keys, "lane_no"]
+    l = blocks.row_index(lanes, k, [seq], width, "_no")
+    no = l.select(*k, F.col(seq).alias("_at"), "_no")
+    s = timejoin.asof_forward(sections, no.withColumnRenamed("_no", "_first"), k, "seq_from", "_at", ["_first"], width, tie="_first", allow_equal=True)
+    s = timejoin.asof_backward(s, no.withColumnRenamed("_no", "_last"), k, "seq_to", "_at", ["_last"], width, tie="_last")
+    s = s.where("_first <= _last").withColumn("_piece", F.explode(F.sequence(F.floor(F.col("_first") / piece), F.floor(F.col("_last") / piece))))
+    l = l.withColumn("_piece", F.floor(F.col("_no") / piece))
+    d = s.join(l, [*k, "_piece"]).where(F.col("_no").between(F.col("_first"), F.col("_last")))
+    return d.drop("_piece", "_no", "_first", "_last")
 
 
 def across_hits(
