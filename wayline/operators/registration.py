@@ -343,7 +343,7 @@ def align_chunks(
 
     def matches(moved, limit):
         weighted = moved.select(chunk, ident, *XYZ, *[(F.col(c) * F.lit(float(k))).alias(n) for (c, k), n in zip(features.items(), names)])
-        near = spatial.nearest_within(weighted, tgt, [chunk], names[:3], limit, target_id, strict=False, extra=names[3:])
+        near = spatial.nearest_within(weighted, tgt, [chunk], names[:3], limit, target_id, strict=False, extra=names[3:], few=0)
         return near.join(tgt.select(chunk, target_id, *[f"t_{c}" for c in XYZ]), [chunk, target_id])
 
     def moved_by(s):

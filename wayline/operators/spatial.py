@@ -163,7 +163,7 @@ def nearest(
     reach, limit = float(first), crowded.agg(F.max(F.sqrt(farthest))).first()[0]
     open_ = crowded.select(*every)
     while limit is not None:
-        hit = cut_lineage(nearest_within(open_, targets, keys, coords, reach, target_id, levels, strict=False, extra=extra))
+        hit = cut_lineage(nearest_within(open_, targets, keys, coords, reach, target_id, levels, strict=False, extra=extra, few=0))
         found = hit if found is None else found.unionByName(hit)
         open_ = cut_lineage(open_.join(hit.select(*every), every, "left_anti"))
         if open_.isEmpty():
