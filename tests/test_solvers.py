@@ -242,6 +242,26 @@ def test_bias_correction_is_the_same_for_all_blocks(spark, block_rows):
     assert limited > 100
 
 
+def test_runs_of_one_block_are_corrected_in_one_round(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    runs = {r: (np.cumsum(rng.normal(0, 3, (60, 3)), axis=0), rng.normal(0, 1, (60, 3))) for r in range(30)}
+    rows = [(r, i, *map(float, g), *map(float, v)) for r, (gs, vs) in runs.items() for i, (g, v) in enumerate(zip(gs, vs))]
+    d = spark.createDataFrame(rows, "run long, t bigint, x double, y double, z double, v_east double, v_north double, v_up double")
+    written, cut = [], smoothing.cut_lineage
+    monkeypatch.setattr(smoothing, "cut_lineage", lambda df: written.append(df) or cut(df))
+    got = smoothing.corrected_trajectory(d, ["run"], ["t"], 100).toPandas()
+    assert len(written) == 3  # the blocks, their own solutions, one round
+    assert len(got) == len(rows) and got["residual"].max() < 1e-8
+
+
+def test_blocks_alike_are_solved_together(spark):
+    rows = [(r, t, float(r)) for r in range(300) for t in range(5)]
+    d = spark.createDataFrame(rows, "run long, t long, x double").coalesce(1)
+    packed = smoothing._packed(d, ["run"], ["t"], ["x"], 100, 64)
+    sizes = smoothing._each_block(packed, ["run"], ["x"], lambda part: {"size": [len(part["block"])] * len(part["block"])}, "size long", lambda row: (len(row.x),))
+    assert sizes.count() == 300 and sizes.select("size").first()[0] >= 10
+
+
 def test_transforms_carry_attitude_and_position(spark):
     d = spark.createDataFrame([(1.0, 2.0, 3.0, 0.0, 0.0, 90.0)], "x_c double, y_c double, z_c double, rx double, ry double, az double")
     m = np.reshape(smoothing.with_transforms(d, "rx", "ry", "az").first()["transform"], (4, 4))

@@ -13,12 +13,12 @@ from collections.abc import Mapping, Sequence
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from wayline.operators.smoothing import _apply, _chain, _each_block, _inverse, _packed, _rows_of, _t
+from wayline.operators.smoothing import _apply, _axes, _by_block, _chain, _each_block, _flat, _inverse, _packed, _rows_of, _t
 
 
-def _pairs(row, systems: Mapping[str, tuple[str, str, str, str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _pairs(part, systems: Mapping[str, tuple[str, str, str, str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Diagonal blocks (pairs, systems, 2, 2), couplings with the pair before (same shape), right-hand sides (pairs, systems, 2)."""
-    diag, one, two, rhs = (np.stack([np.asarray(getattr(row, s[k]), float) for s in systems.values()], axis=1) for k in range(4))
+    diag, one, two, rhs = (_axes(part, [s[k] for s in systems.values()]) for k in range(4))
     if len(diag) % 2:  # a run's odd last row gets a partner of its own
         diag, one, two, rhs = (np.concatenate([x, np.full((1, x.shape[1]), fill)]) for x, fill in ((diag, 1.0), (one, 0.0), (two, 0.0), (rhs, 0.0)))
     d = np.zeros((len(diag) // 2, diag.shape[1], 2, 2))
@@ -96,27 +96,33 @@ def solve_banded(
     fields = ["right", "rhs", "link", "left", "left_rhs"]
     lists = ", ".join(f"{f} array<double>" for f in fields)
     q = len(names)
-    shapes = {f: (q, 2) if "rhs" in f else (q, 2, 2) for f in fields}
+    shapes = {f: (-1, 2) if "rhs" in f else (-1, 2, 2) for f in fields}
 
-    def summary(row):
-        return {f: x.ravel() for f, x in _summary(*_pairs(row, systems)).items()}
+    def rows_of(block) -> tuple:
+        return (len(getattr(block, columns[0])),)
 
-    def chain(pdf):
-        ends = _ends([{f: np.reshape(getattr(r, f), s).astype(float) for f, s in shapes.items()} for r in pdf.itertuples()])
-        return {"before": [np.zeros(2 * q), *[e.ravel() for e in ends[:-1]]], "last": [e.ravel() for e in ends]}
+    def summary(part):
+        count = len(part["block"])
+        return {f: _flat(x, count) for f, x in _summary(*_pairs(part, systems)).items()}
 
-    def solve(row):
-        d, up, r = _pairs(row, systems)
-        before, last = np.reshape(row.before, (q, 2)).astype(float), np.reshape(row.last, (q, 2)).astype(float)
+    def chain(runs, n):
+        count = len(runs["rhs"][0])
+        ends = _ends([{f: runs[f][at].reshape(s) for f, s in shapes.items()} for at in range(n)])
+        return {"before": [_flat(e, count) for e in (np.zeros((q * count, 2)), *ends[:-1])], "last": [_flat(e, count) for e in ends]}
+
+    def solve(part):
+        d, up, r = _pairs(part, systems)
+        before, last = part["before"].reshape(-1, 2), part["last"].reshape(-1, 2)
         x = np.empty_like(r)
         x[-1] = last
         if len(d) > 1:
             k = _inside(d, up, r)
             x[:-1] = k[..., 0] - _apply(k[..., 1:3], before) - _apply(k[..., 3:5], last)
-        rows = np.swapaxes(x, 1, 2).reshape(-1, q)[: len(getattr(row, columns[0]))]
-        return {n: rows[:, i] for i, n in enumerate(names)}
+        rows = np.swapaxes(x, 1, 2).reshape(-1, x.shape[1])[: part[columns[0]].shape[1]]
+        solved = _by_block(rows, q)
+        return {n: [block[i] for block in solved] for i, n in enumerate(names)}
 
-    parts = _each_block(packed, keys, columns, summary, lists)
-    ends = _chain(parts, keys, chain, "before array<double>, last array<double>")
-    solved = _each_block(packed.join(ends, [*keys, "block"]), keys, [*columns, "before", "last"], solve, ", ".join(f"{n} array<double>" for n in names))
+    parts = _each_block(packed, keys, columns, summary, lists, rows_of)
+    ends = _chain(parts, keys, fields, chain, "before array<double>, last array<double>")
+    solved = _each_block(packed.join(ends, [*keys, "block"]), keys, [*columns, "before", "last"], solve, ", ".join(f"{n} array<double>" for n in names), rows_of)
     return _rows_of(packed, solved, keys, order, names)

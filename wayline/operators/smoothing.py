@@ -9,6 +9,7 @@ from; then the blocks are solved on their own. No task holds a whole run's rows.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -71,43 +72,88 @@ def _packed(df: DataFrame, keys: Sequence[str], order: Sequence[str], cols: Sequ
     )
 
 
-def _axes(row, names: Sequence[str]) -> np.ndarray:
-    """(rows, axes) of a block's arrays."""
-    return np.stack([np.asarray(getattr(row, n), float) for n in names], axis=1)
+#: rows of the blocks that a task solves at once; blocks of one kind go through each step as further axes
+STACK_ROWS = 65536
 
 
-def _neighbour(row, side: str, names: Sequence[str]) -> np.ndarray:
-    return np.array([getattr(row, f"{side}_{n}") for n in names], float)
+def _axes(part: dict, names: Sequence[str]) -> np.ndarray:
+    """(rows, axes of all blocks) of a stack's arrays."""
+    blocks_first = np.stack([part[n] for n in names], axis=2)
+    return np.swapaxes(blocks_first, 0, 1).reshape(blocks_first.shape[1], -1)
 
 
-#: blocks whose results a task passes on together
-FRAME_BLOCKS = 32
+def _neighbour(part: dict, side: str, names: Sequence[str]) -> np.ndarray:
+    return np.stack([part[f"{side}_{n}"] for n in names], axis=1).ravel()
 
 
-def _each_block(df: DataFrame, keys: Sequence[str], columns: Sequence[str], solve: Callable, out: str) -> DataFrame:
-    """``solve(row)`` gives the named values of one block; ``out`` is their schema."""
+def _by_block(v: np.ndarray, size: int = 3) -> list:
+    """(rows, axes of all blocks) back to one (axes, rows) array per block."""
+    return list(np.moveaxis(v.reshape(len(v), -1, size), 0, 2))
+
+
+def _flat(v: np.ndarray, count: int) -> list:
+    """(axes of all blocks, ...) as one plain array per block."""
+    return list(v.reshape(count, -1))
+
+
+def _stacks(pdf: pd.DataFrame, kind: Callable) -> Iterator[tuple[pd.DataFrame, dict]]:
+    """Rows of the same ``kind``, whose first item is the length, with each column's values stacked; at most ``STACK_ROWS`` long in all."""
+    by_kind: dict = {}
+    for at, row in enumerate(pdf.itertuples(index=False)):
+        by_kind.setdefault(kind(row), []).append(at)
+    for (n, *_), rows in by_kind.items():
+        step = max(1, STACK_ROWS // max(n, 1))
+        for at in range(0, len(rows), step):
+            some = pdf.iloc[rows[at : at + step]]
+            yield some, {c: np.stack(some[c].to_numpy()) if some[c].dtype == object else some[c].to_numpy() for c in some.columns}
+
+
+def _block_kind(row) -> tuple:
+    """Rows, and whether the block is its run's first or last: blocks alike in these are solved together."""
+    return len(row.x), row.block == 0, bool(np.isnan(row.after_x))
+
+
+def _each_block(df: DataFrame, keys: Sequence[str], columns: Sequence[str], solve: Callable, out: str, kind: Callable = _block_kind) -> DataFrame:
+    """``solve(stack of blocks of one kind)`` gives the named values, one per block; ``out`` is their schema."""
     types = dict(df.dtypes)
     key_schema = ", ".join([*[f"{k} {types[k]}" for k in keys], "block long"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for at in range(0, len(pdf), FRAME_BLOCKS):
-                part = pdf.iloc[at : at + FRAME_BLOCKS]
-                yield pd.DataFrame([{**{k: getattr(row, k) for k in keys}, "block": row.block, **solve(row)} for row in part.itertuples(index=False)])
+            for some, part in _stacks(pdf, kind):
+                found = {n: list(v) for n, v in solve({n: part[n] for n in ("block", *columns)}).items()}
+                yield pd.DataFrame({**{k: some[k].to_numpy() for k in (*keys, "block")}, **found})
 
     return df.select(*keys, "block", *columns).mapInPandas(run, f"{key_schema}, {out}")
 
 
-def _chain(df: DataFrame, keys: Sequence[str], solve: Callable, out: str) -> DataFrame:
-    """``solve(rows in order of blocks)`` per run on the blocks' summaries; a list of values per block."""
+def _chain(df: DataFrame, keys: Sequence[str], columns: Sequence[str], solve: Callable, out: str, kind: Callable | None = None) -> DataFrame:
+    """``solve(stack of runs, number of blocks)`` on the blocks' summaries in order; per block a list of values, one per run.
+
+    Runs of as many blocks, and of one ``kind``, are solved together.
+    """
     types = dict(df.dtypes)
     schema = ", ".join([*[f"{k} {types[k]}" for k in keys], "block long", out])
+    rows = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("block", *columns))).alias("_r"))
+
+    def column(c):
+        values = F.transform("_r", lambda r: r[c])
+        return (F.flatten(values) if types[c].startswith("array") else values).alias(c)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("block").reset_index(drop=True)
-        return pd.concat([pdf[[*keys, "block"]], pd.DataFrame(solve(pdf))], axis=1)
+    def alike(row) -> tuple:
+        return len(row.block), *(kind(row) if kind else ())
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for some, part in _stacks(pdf, alike):
+                n, count = part["block"].shape[1], len(some)
+                # block by block, the values of all runs
+                solved = solve({c: list(np.swapaxes(part[c].reshape(count, n, -1), 0, 1)) for c in columns}, n)
+                for at in range(n):
+                    found = {name: list(v[at]) for name, v in solved.items()}
+                    yield pd.DataFrame({**{k: some[k].to_numpy() for k in keys}, "block": part["block"][:, at], **found})
 
-    return df.groupBy(*keys).applyInPandas(run, schema)
+    return rows.select(*keys, *[column(c) for c in ("block", *columns)]).mapInPandas(run, schema)
 
 
 def _rows_of(packed: DataFrame, solved: DataFrame, keys: Sequence[str], order: Sequence[str], names: Sequence[str]) -> DataFrame:
@@ -120,7 +166,7 @@ STEP = np.array([[1.0, 1.0], [0.0, 1.0]])
 
 
 def _noise(pos: np.ndarray, before: np.ndarray) -> np.ndarray:
-    """Process noise (n, 3, 2, 2) of the step to each row: ten times the way on the position, the way on the velocity."""
+    """Process noise (n, axes, 2, 2) of the step to each row: ten times the way on the position, the way on the velocity."""
     way = np.abs(np.diff(pos, axis=0, prepend=before[None]))
     out = np.zeros((*way.shape, 2, 2))
     out[..., 0, 0], out[..., 1, 1] = 10 * way, way
@@ -129,7 +175,7 @@ def _noise(pos: np.ndarray, before: np.ndarray) -> np.ndarray:
 
 def _seen(pos: np.ndarray, scan: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """One position and variance per row that tell as much as the INS position and, where there is one, the scan match."""
-    both = ~np.isnan(scan).any(axis=1, keepdims=True)
+    both = np.repeat(~np.isnan(scan).reshape(len(scan), -1, 3).any(axis=2), 3, axis=1)
     weight = 1 / INS_VAR + np.where(both, 1 / SCAN_VAR, 0.0)
     return (pos / INS_VAR + np.where(both, scan, 0.0) / SCAN_VAR) / weight, np.broadcast_to(1 / weight, pos.shape)
 
@@ -165,7 +211,7 @@ def after_element(state: tuple[np.ndarray, np.ndarray], element: tuple[np.ndarra
 
 
 def filter_rows(state, z, var, noise) -> tuple[np.ndarray, ...]:
-    """Filtered and predicted means (n, 3, 2) and covariances behind each row."""
+    """Filtered and predicted means (n, axes, 2) and covariances behind each row."""
     n, axes = z.shape
     m, p, pm, pp = np.empty((n, axes, 2)), np.empty((n, axes, 2, 2)), np.empty((n, axes, 2)), np.empty((n, axes, 2, 2))
     mean, cov = state
@@ -191,31 +237,39 @@ def smooth_rows(m, p, pm, pp, state) -> tuple[np.ndarray, np.ndarray]:
     return sm, sp
 
 
-def _block_rows(row) -> tuple[np.ndarray, ...]:
+def _block_rows(part) -> tuple[np.ndarray, ...]:
     """Positions, measurement, its variance, process noise; and the noise of the step out of the block (nan at the end)."""
-    pos = _axes(row, XYZ)
-    z, var = _seen(pos, pos + _axes(row, ["ix", "iy", "iz"]))
-    noise = _noise(pos, _neighbour(row, "before", XYZ))
-    return pos, z, var, noise, _noise(_neighbour(row, "after", XYZ)[None], pos[-1])[0]
+    pos = _axes(part, XYZ)
+    z, var = _seen(pos, pos + _axes(part, ["ix", "iy", "iz"]))
+    noise = _noise(pos, _neighbour(part, "before", XYZ))
+    return pos, z, var, noise, _noise(_neighbour(part, "after", XYZ)[None], pos[-1])[0]
 
 
-def _start(row, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _start(part, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """State of a run's first row: its position, and the way to the second row as velocity."""
-    second = pos[1] if len(pos) > 1 else np.where(np.isnan(nxt := _neighbour(row, "after", XYZ)), pos[0], nxt)
-    p = np.zeros((3, 2, 2))
-    p[:, 0, 0], p[:, 1, 1] = START_VAR, VELOCITY_VAR
+    second = pos[1] if len(pos) > 1 else np.where(np.isnan(nxt := _neighbour(part, "after", XYZ)), pos[0], nxt)
+    p = np.zeros((pos.shape[1], 2, 2))
+    p[:, 0, 0], p[:, 1, 1] = np.tile(START_VAR, pos.shape[1] // 3), VELOCITY_VAR
     return np.stack([pos[0], second - pos[0]], axis=1), p
 
 
-def _filtered_block(row) -> tuple[np.ndarray, ...]:
-    """Filtered rows of a block from the state before it, and the prediction of the row behind each."""
-    pos, z, var, noise, out_noise = _block_rows(row)
-    if row.block == 0:
-        m0, p0 = _start(row, pos)
+def _is_first(part) -> bool:
+    return bool(part["block"][0] == 0)
+
+
+def _is_last(part) -> bool:
+    return bool(np.isnan(part["after_x"][0]))
+
+
+def _filtered_block(part) -> tuple[np.ndarray, ...]:
+    """Filtered rows of the blocks from the state before them, and the prediction of the row behind each."""
+    pos, z, var, noise, out_noise = _block_rows(part)
+    if _is_first(part):
+        m0, p0 = _start(part, pos)
         m, p, pm, pp = filter_rows((m0, p0), z[1:], var[1:], noise[1:])
         m, p = np.concatenate([m0[None], m]), np.concatenate([p0[None], p])
     else:
-        m, p, pm, pp = filter_rows((np.reshape(row.in_m, (3, 2)), np.reshape(row.in_p, (3, 2, 2))), z, var, noise)
+        m, p, pm, pp = filter_rows((part["in_m"].reshape(-1, 2), part["in_p"].reshape(-1, 2, 2)), z, var, noise)
         pm, pp = pm[1:], pp[1:]
     pm, pp = np.concatenate([pm, _apply(STEP, m[-1])[None]]), np.concatenate([pp, (STEP @ p[-1] @ STEP.T + out_noise)[None]])
     return m, p, pm, pp
@@ -233,63 +287,67 @@ def smooth_trajectory(poses: DataFrame, keys: Sequence[str], order: Sequence[str
     packed = _packed(poses.select(*keys, *order, *cols), keys, order, cols, width, block_rows)
     inputs = [*cols, *[f"{s}_{c}" for s in ("before", "after") for c in XYZ]]
 
-    def element(row):
-        pos, z, var, noise, _ = _block_rows(row)
-        m, p = _start(row, pos) if row.block == 0 else (np.zeros((3, 2)), np.zeros((3, 2, 2)))
-        skip = 1 if row.block == 0 else 0
+    def element(part):
+        pos, z, var, noise, _ = _block_rows(part)
+        axes, skip = pos.shape[1], int(_is_first(part))
+        m, p = _start(part, pos) if skip else (np.zeros((axes, 2)), np.zeros((axes, 2, 2)))
         parts = filter_element(z[skip:], var[skip:], noise[skip:])
-        return {n: v.ravel() for n, v in zip(("m", "p", "a", "b", "c", "eta", "j"), (m, p, *parts))}
+        return {n: _flat(v, axes // 3) for n, v in zip(("m", "p", "a", "b", "c", "eta", "j"), (m, p, *parts))}
 
     doubles = "array<double>"
-    elements = _each_block(packed, keys, inputs, element, ", ".join(f"{n} {doubles}" for n in ("m", "p", "a", "b", "c", "eta", "j")))
+    names = ("m", "p", "a", "b", "c", "eta", "j")
+    shape = {"m": (-1, 2), "p": (-1, 2, 2), "a": (-1, 2, 2), "b": (-1, 2), "c": (-1, 2, 2), "eta": (-1, 2), "j": (-1, 2, 2)}
+    elements = _each_block(packed, keys, inputs, element, ", ".join(f"{n} {doubles}" for n in names))
 
-    def forward(pdf):
+    def forward(runs, n):
         state, out = None, {"in_m": [], "in_p": []}
-        for r in pdf.itertuples():
-            state = state or (np.reshape(r.m, (3, 2)), np.reshape(r.p, (3, 2, 2)))
-            out["in_m"].append(state[0].ravel())
-            out["in_p"].append(state[1].ravel())
-            shapes = ((3, 2, 2), (3, 2), (3, 2, 2), (3, 2), (3, 2, 2))
-            state = after_element(state, tuple(np.reshape(v, s) for v, s in zip((r.a, r.b, r.c, r.eta, r.j), shapes)))
+        for at in range(n):
+            r = {c: runs[c][at].reshape(shape[c]) for c in names}
+            state = state or (r["m"], r["p"])
+            for c, v in zip(("in_m", "in_p"), state):
+                out[c].append(_flat(v, len(runs["m"][at])))
+            state = after_element(state, tuple(r[c] for c in ("a", "b", "c", "eta", "j")))
         return out
 
-    states = cut_lineage(_chain(elements, keys, forward, f"in_m {doubles}, in_p {doubles}"))
+    states = cut_lineage(_chain(elements, keys, names, forward, f"in_m {doubles}, in_p {doubles}"))
     ready = packed.join(states, [*keys, "block"])
     inputs += ["in_m", "in_p"]
 
-    def backward_element(row):
+    def backward_element(part):
         """Smoothed state of the block's first row as gain, offset and covariance on the one behind its last row."""
-        m, p, pm, pp = _filtered_block(row)
-        e = np.broadcast_to(np.eye(2), (3, 2, 2)).copy()
-        g, spread = np.zeros((3, 2)), np.zeros((3, 2, 2))
-        last = np.isnan(row.after_x)
+        m, p, pm, pp = _filtered_block(part)
+        axes = m.shape[1]
+        e = np.broadcast_to(np.eye(2), (axes, 2, 2)).copy()
+        g, spread = np.zeros((axes, 2)), np.zeros((axes, 2, 2))
+        last = _is_last(part)
         for t in range(len(m) - 1, -1, -1):
             if last and t == len(m) - 1:
-                e, g, spread = np.zeros((3, 2, 2)), m[t], p[t]
+                e, g, spread = np.zeros((axes, 2, 2)), m[t], p[t]
                 continue
             gain = p[t] @ STEP.T @ _inverse(pp[t])
             e, g, spread = gain @ e, m[t] + _apply(gain, g - pm[t]), p[t] + gain @ (spread - pp[t]) @ _t(gain)
-        return {"e": e.ravel(), "g": g.ravel(), "l": spread.ravel()}
+        return {"e": _flat(e, axes // 3), "g": _flat(g, axes // 3), "l": _flat(spread, axes // 3)}
 
     backs = _each_block(ready, keys, inputs, backward_element, ", ".join(f"{n} {doubles}" for n in "egl"))
 
-    def backward(pdf):
-        state, out = (np.zeros((3, 2)), np.zeros((3, 2, 2))), []
-        for r in pdf.iloc[::-1].itertuples():
-            out.append((state[0].ravel(), state[1].ravel()))
-            e = np.reshape(r.e, (3, 2, 2))
-            state = _apply(e, state[0]) + np.reshape(r.g, (3, 2)), e @ state[1] @ _t(e) + np.reshape(r.l, (3, 2, 2))
+    def backward(runs, n):
+        count = len(runs["e"][0])
+        state, out = (np.zeros((3 * count, 2)), np.zeros((3 * count, 2, 2))), []
+        for at in range(n - 1, -1, -1):
+            out.append((_flat(state[0], count), _flat(state[1], count)))
+            e = runs["e"][at].reshape(-1, 2, 2)
+            state = _apply(e, state[0]) + runs["g"][at].reshape(-1, 2), e @ state[1] @ _t(e) + runs["l"][at].reshape(-1, 2, 2)
         return {"out_m": [m for m, _ in out[::-1]], "out_p": [p for _, p in out[::-1]]}
 
-    ends = cut_lineage(_chain(backs, keys, backward, f"out_m {doubles}, out_p {doubles}"))
+    ends = cut_lineage(_chain(backs, keys, "egl", backward, f"out_m {doubles}, out_p {doubles}"))
     names = [*[f"{c}_f" for c in XYZ], *[f"{c}_s" for c in XYZ], *[f"var_f_{c}" for c in XYZ], *[f"var_s_{c}" for c in XYZ]]
 
-    def solve(row):
-        m, p, pm, pp = _filtered_block(row)
-        state = None if np.isnan(row.after_x) else (np.reshape(row.out_m, (3, 2)), np.reshape(row.out_p, (3, 2, 2)))
+    def solve(part):
+        m, p, pm, pp = _filtered_block(part)
+        state = None if _is_last(part) else (part["out_m"].reshape(-1, 2), part["out_p"].reshape(-1, 2, 2))
         sm, sp = smooth_rows(m, p, pm, pp, state)
-        values = [*m[:, :, 0].T, *sm[:, :, 0].T, *p[:, :, 0, 0].T, *sp[:, :, 0, 0].T]
-        return dict(zip(names, values))
+        values = [_by_block(v) for v in (m[:, :, 0], sm[:, :, 0], p[:, :, 0, 0], sp[:, :, 0, 0])]
+        return {n: [block[k % 3] for block in values[k // 3]] for k, n in enumerate(names)}
 
     solved = _each_block(ready.join(ends, [*keys, "block"]), keys, [*inputs, "out_m", "out_p"], solve, ", ".join(f"{n} {doubles}" for n in names))
     return _rows_of(packed, solved, keys, order, names)
@@ -299,10 +357,10 @@ def smooth_trajectory(poses: DataFrame, keys: Sequence[str], order: Sequence[str
 
 
 def _system(gps, velocity, before_v, first: bool, last: bool, dt: float) -> tuple[np.ndarray, np.ndarray]:
-    """Diagonal blocks (n, 3, 2, 2) and right-hand side (n, 3, 2) of the normal equations of some rows of a run."""
-    n = len(gps)
-    wo, wb, wg = 1 / ODOMETRY_VAR, 1 / BIAS_VAR, 1 / np.array(GPS_VAR)
-    diag, rhs = np.zeros((n, 3, 2, 2)), np.zeros((n, 3, 2))
+    """Diagonal blocks (n, axes, 2, 2) and right-hand side (n, axes, 2) of the normal equations of some rows of runs."""
+    n, axes = gps.shape
+    wo, wb, wg = 1 / ODOMETRY_VAR, 1 / BIAS_VAR, np.tile(1 / np.array(GPS_VAR), axes // 3)
+    diag, rhs = np.zeros((n, axes, 2, 2)), np.zeros((n, axes, 2))
     diag += wg[:, None, None] * np.array([[1.0, -1.0], [-1.0, 1.0]])
     rhs[:, :, 0] += wg * gps
     rhs[:, :, 1] -= wg * gps
@@ -324,7 +382,7 @@ COUPLING = np.array([-1 / ODOMETRY_VAR, -BIAS_DECAY / BIAS_VAR])
 
 
 def _held(diag, rhs, fixed) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The system inside a block with the biases of ``fixed`` (n, 3; nan where free) put in; couplings (n - 1, 3, 2)."""
+    """The system inside a block with the biases of ``fixed`` (n, axes; nan where free) put in; couplings (n - 1, axes, 2)."""
     d, r = diag.copy(), rhs.copy()
     held = ~np.isnan(fixed)
     b = np.where(held, fixed, 0.0)
@@ -334,7 +392,7 @@ def _held(diag, rhs, fixed) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     d[held, 0, 1] = d[held, 1, 0] = 0.0
     d[held, 1, 1] = 1.0
     r[held, 1] = fixed[held]
-    link = np.broadcast_to(COUPLING, (max(len(d) - 1, 0), 3, 2)).copy()
+    link = np.broadcast_to(COUPLING, (max(len(d) - 1, 0), d.shape[1], 2)).copy()
     link[held[:-1] | held[1:], 1] = 0.0
     return d, r, link
 
@@ -355,13 +413,13 @@ def _edges(d, r, link) -> tuple[np.ndarray, ...]:
 
 
 def _chain_edges(parts: list[dict]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """First and last unknowns of every block of a run, from the blocks' edge equations and couplings."""
+    """First and last unknowns of every block of runs, from the blocks' edge equations and couplings."""
     nodes, links = [], []
     for k, s in enumerate(parts):
         rows = [(s["a"].copy(), s["p"].copy())] if s["n"] == 1 else [(s["a"].copy(), s["p"].copy()), (s["c"].copy(), s["q"].copy())]
         if k:
             before, here = parts[k - 1]["last_fixed"], s["first_fixed"]
-            link = np.broadcast_to(COUPLING, (3, 2)).copy()
+            link = np.broadcast_to(COUPLING, (len(here), 2)).copy()
             link[~np.isnan(before) | ~np.isnan(here), 1] = 0.0
             # a held bias enters the other side's equation as a known number
             rows[0][1][:, 1] -= np.where(np.isnan(here), COUPLING[1] * np.nan_to_num(before), 0.0)
@@ -387,7 +445,7 @@ def _chain_edges(parts: list[dict]) -> list[tuple[np.ndarray, np.ndarray]]:
 
 
 def _between(d, r, link, first, last) -> np.ndarray:
-    """All unknowns (n, 3, 2) of a block with those of its first and last row given."""
+    """All unknowns (n, axes, 2) of a block with those of its first and last row given."""
     n = len(d)
     u = np.empty_like(r)
     u[0], u[-1] = first, last
@@ -407,16 +465,37 @@ def _between(d, r, link, first, last) -> np.ndarray:
     return u
 
 
-def _next_fixed(fixed, u, diag, rhs, before, after) -> np.ndarray:
+def _gradient(u, diag, rhs, before, after) -> np.ndarray:
+    """Gradient (n, axes) on the biases; ``before`` and ``after`` are those of the rows around."""
+    b = u[:, :, 1]
+    grad = diag[:, :, 1, 0] * u[:, :, 0] + diag[:, :, 1, 1] * b - rhs[:, :, 1]
+    return grad + COUPLING[1] * (np.concatenate([before[None], b[:-1]]) + np.concatenate([b[1:], after[None]]))
+
+
+def _next_fixed(fixed, u, grad) -> np.ndarray:
     """Biases beyond the limit are held there; held ones whose gradient points inward are freed."""
     b = u[:, :, 1]
     beyond = np.where(b > BIAS_LIMIT + 1e-9, BIAS_LIMIT, np.where(b < -BIAS_LIMIT - 1e-9, -BIAS_LIMIT, np.nan))
-    grad = diag[:, :, 1, 0] * u[:, :, 0] + diag[:, :, 1, 1] * b - rhs[:, :, 1]
-    grad += COUPLING[1] * (np.concatenate([before[None], b[:-1]]) + np.concatenate([b[1:], after[None]]))
     inward = fixed * grad > 1e-9  # false where free
     return np.where(np.isnan(fixed), beyond, np.where(inward, np.nan, fixed))
 
 
+def _held_alone(gps, velocity, dt: float, most_rounds: int) -> np.ndarray:
+    """Biases held if the rows were runs of their own: where to start from, so nothing hangs on the last round."""
+    diag, rhs = _system(gps, velocity, np.zeros(gps.shape[1]), True, True, dt)
+    fixed, zero = np.full(gps.shape, np.nan), np.zeros(gps.shape[1])
+    for _ in range(most_rounds):
+        d, r, link = _held(diag, rhs, fixed)
+        ends = _edges(d, r, link)
+        first, last = _chain_edges([{"n": len(d), "first_fixed": fixed[0], "last_fixed": fixed[-1], **dict(zip("agcpq", ends))}])[0]
+        u = _between(d, r, link, first, last)
+        new = _next_fixed(fixed, u, _gradient(u, diag, rhs, zero, zero))
+        if np.array_equal(np.isnan(new), np.isnan(fixed)):
+            break
+        fixed = new
+    return fixed
+
+
 def corrected_trajectory(
     poses: DataFrame, keys: Sequence[str], order: Sequence[str], width: float, dt: float = STEP_S, block_rows: int = 8192, most_rounds: int = 100
 ) -> DataFrame:
@@ -425,62 +504,89 @@ def corrected_trajectory(
     They minimise odometry, bias-drift and GPS residuals with every bias within
     its limit. The normal equations are block tridiagonal: each block is reduced
     to its two edge rows, the edges are solved along the run, and the rows
-    between follow. Held biases are renewed in rounds over all runs until none
-    changes; a round is a few jobs, and ``most_rounds`` without an end raises an
-    error. ``residual`` is the gradient of the bias where it is free, 0 where held.
-    Writes the blocks and each round's held biases when called.
+    between follow. Held biases start from those of each block on its own and
+    are renewed in rounds; a run leaves when none of its own changes. A round is
+    a few jobs, and ``most_rounds`` without an end raises an error. ``residual``
+    is the gradient of the bias where it is free, 0 where held. Writes the
+    blocks and each round's results when called.
     """
     keys, order = list(keys), list(order)
     v = ["v_east", "v_north", "v_up"]
     packed = _packed(poses.select(*keys, *order, *XYZ, *v), keys, order, [*XYZ, *v], width, block_rows)
     doubles = "array<double>"
-    held = packed.select(*keys, "block", F.array_repeat(F.lit(float("nan")), 3 * F.size(F.col("x"))).alias("fixed"))
-    inputs = [*XYZ, *v, *[f"before_{c}" for c in v], "before_x", "after_x", "fixed"]
+    inputs = [*XYZ, *v, *[f"before_{c}" for c in v], "after_x"]
 
-    def system(row):
-        gps, velocity = _axes(row, XYZ), _axes(row, v)
-        diag, rhs = _system(gps, velocity, _neighbour(row, "before", v), np.isnan(row.before_x), np.isnan(row.after_x), dt)
-        return diag, rhs, np.reshape(row.fixed, (len(gps), 3))
+    kept = ", ".join([*[f"{c} {doubles}" for c in [*XYZ, *v]], *[f"{c} double" for c in inputs[6:]]])
 
-    def summary(row):
-        diag, rhs, fixed = system(row)
-        parts = _edges(*_held(diag, rhs, fixed))
-        return {"n": len(diag), "first_fixed": fixed[0], "last_fixed": fixed[-1], **{n: x.ravel() for n, x in zip("agcpq", parts)}}
+    def alone(part):
+        fixed = _held_alone(_axes(part, XYZ), _axes(part, v), dt, most_rounds)
+        return {**{c: part[c] for c in inputs}, "fixed": [np.ravel(f.T) for f in _by_block(fixed)]}
+
+    def system(part):
+        gps, velocity = _axes(part, XYZ), _axes(part, v)
+        diag, rhs = _system(gps, velocity, _neighbour(part, "before", v), _is_first(part), _is_last(part), dt)
+        fixed = np.swapaxes(part["fixed"].reshape(-1, len(gps), 3), 0, 1).reshape(gps.shape)
+        return diag, rhs, fixed
 
-    def edges(pdf):
-        shape = {"a": (3, 2, 2), "g": (3, 2, 2), "c": (3, 2, 2), "p": (3, 2), "q": (3, 2), "first_fixed": (3,), "last_fixed": (3,)}
-        ends = _chain_edges([{"n": r.n, **{k: np.reshape(getattr(r, k), s).astype(float) for k, s in shape.items()}} for r in pdf.itertuples()])
-        zero = np.zeros(3)
+    def summary(part):
+        diag, rhs, fixed = system(part)
+        count = len(part["fixed"])
+        parts = _edges(*_held(diag, rhs, fixed))
         return {
-            "first": [a.ravel() for a, _ in ends],
-            "last": [b.ravel() for _, b in ends],
+            "n": [len(diag)] * count, "first_fixed": _flat(fixed[0], count), "last_fixed": _flat(fixed[-1], count),
+            **{n: _flat(x, count) for n, x in zip("agcpq", parts)},
+        }
+
+    shape = {"a": (-1, 2, 2), "g": (-1, 2, 2), "c": (-1, 2, 2), "p": (-1, 2), "q": (-1, 2), "first_fixed": (-1,), "last_fixed": (-1,)}
+
+    def edges(runs, n):
+        count = len(runs["n"][0])
+        ends = _chain_edges([{"n": int(runs["n"][at].flat[0]), **{c: runs[c][at].reshape(s) for c, s in shape.items()}} for at in range(n)])
+        zero = np.zeros(3 * count)
+        found = {
+            "first": [a for a, _ in ends],
+            "last": [b for _, b in ends],
             "b_before": [zero, *[b[:, 1] for _, b in ends[:-1]]],
             "b_after": [*[a[:, 1] for a, _ in ends[1:]], zero],
         }
+        return {c: [_flat(x, count) for x in xs] for c, xs in found.items()}
+
+    def single_rows(row) -> tuple:
+        return (tuple(k == 1 for k in row.n),)
 
     names = [*[f"{c}_c" for c in XYZ], *[f"b_{c}" for c in XYZ], "residual"]
+    end_names = ("first", "last", "b_before", "b_after")
 
-    def solve(row):
-        diag, rhs, fixed = system(row)
+    def solve(part):
+        diag, rhs, fixed = system(part)
         d, r, link = _held(diag, rhs, fixed)
-        u = _between(d, r, link, np.reshape(row.first, (3, 2)), np.reshape(row.last, (3, 2)))
-        new = _next_fixed(fixed, u, diag, rhs, np.asarray(row.b_before, float), np.asarray(row.b_after, float))
-        b = u[:, :, 1]
-        grad = diag[:, :, 1, 0] * u[:, :, 0] + diag[:, :, 1, 1] * b - rhs[:, :, 1]
-        grad += COUPLING[1] * (np.concatenate([np.asarray(row.b_before, float)[None], b[:-1]]) + np.concatenate([b[1:], np.asarray(row.b_after, float)[None]]))
-        left = np.where(np.isnan(fixed), np.abs(grad), 0.0).max(axis=1)
-        changed = int((np.isnan(new) != np.isnan(fixed)).sum())
-        return {"fixed": new.ravel(), "changed": changed, **dict(zip(names, [*u[:, :, 0].T, *b.T, left]))}
-
+        u = _between(d, r, link, part["first"].reshape(-1, 2), part["last"].reshape(-1, 2))
+        grad = _gradient(u, diag, rhs, part["b_before"].ravel(), part["b_after"].ravel())
+        new = _next_fixed(fixed, u, grad)
+        left = np.where(np.isnan(fixed), np.abs(grad), 0.0)
+        x, b, left, changes = map(_by_block, (u[:, :, 0], u[:, :, 1], left, np.isnan(new) != np.isnan(fixed)))
+        return {
+            **{c: part[c] for c in inputs}, "fixed": [np.ravel(f.T) for f in _by_block(new)], "changed": [int(c.sum()) for c in changes],
+            **{n: [block[k % 3] for block in (x, b)[k // 3]] for k, n in enumerate(names[:-1])},
+            "residual": [g.max(axis=0) for g in left],
+        }
+
+    now = cut_lineage(_each_block(packed, keys, inputs, alone, f"{kept}, fixed {doubles}"))
+    given = [*inputs, "fixed"]
+    ended = []
     for _ in range(most_rounds):
-        now = packed.join(held, [*keys, "block"])
-        parts = _each_block(now, keys, inputs, summary, f"n long, first_fixed {doubles}, last_fixed {doubles}, " + ", ".join(f"{n} {doubles}" for n in "agcpq"))
-        ends = _chain(parts, keys, edges, ", ".join(f"{n} {doubles}" for n in ("first", "last", "b_before", "b_after")))
-        out = f"fixed {doubles}, changed long, " + ", ".join(f"{n} {doubles}" for n in names)
-        solved = cut_lineage(_each_block(now.join(ends, [*keys, "block"]), keys, [*inputs, "first", "last", "b_before", "b_after"], solve, out))
-        if not (solved.agg(F.sum("changed")).first()[0] or 0):
-            return _rows_of(packed, solved, keys, order, names)
-        held = solved.select(*keys, "block", "fixed")
+        parts = _each_block(now, keys, given, summary, f"n long, first_fixed {doubles}, last_fixed {doubles}, " + ", ".join(f"{n} {doubles}" for n in "agcpq"))
+        ends = _chain(parts, keys, ["n", *shape], edges, ", ".join(f"{n} {doubles}" for n in end_names), single_rows)
+        # grouped, not joined: a join's estimated size is a product, whose digits double every round
+        both = now.select(*keys, "block", *given).unionByName(ends, allowMissingColumns=True)
+        both = both.groupBy(*keys, "block").agg(*[F.any_value(c, F.lit(True)).alias(c) for c in (*given, *end_names)])
+        out = f"{kept}, fixed {doubles}, changed long, " + ", ".join(f"{n} {doubles}" for n in names)
+        solved = cut_lineage(_each_block(both, keys, [*given, *end_names], solve, out))
+        moving = solved.where("changed > 0").select(*keys).distinct()
+        ended.append(solved.join(moving, keys, "left_anti").select(*keys, "block", *names))
+        if moving.isEmpty():
+            return _rows_of(packed, reduce(DataFrame.unionByName, ended), keys, order, names)
+        now = solved.join(moving, keys, "left_semi").select(*keys, "block", *given)
     raise RuntimeError(f"held biases still change after {most_rounds} rounds")
 
 
