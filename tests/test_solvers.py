@@ -459,3 +459,13 @@ def test_sections_meet_no_pieces_without_points(spark):
     d = lanes.points_of_sections(sections, lane, ["run"], "idx", "seq", piece=8, width=2 * 10**12)
     got = sorted((r.idx, r.lane_no, r.seq) for r in d.collect())
     assert got == sorted((i, n, s) for _, i, n, a, b in asked for _, m, s, _ in rows if m == n and a <= s <= b)
+
+
+def test_calibration_turns_are_worked_out_once(spark):
+    points = spark.createDataFrame([(0, 1.0, 2.0, 30.0)], "cam int, x double, y double, z double")
+    edges = spark.createDataFrame([(0, 164, 98, 3.0)], "cam int, u long, v long, strength double")
+    d = registration.score_calibration(points, edges, ["cam"], (120.0, 120.0), (160.0, 90.3), (320, 180))
+    plan = d._jdf.queryExecution().optimizedPlan().toString()
+    assert "SIN(" not in plan and "COS(" not in plan
+    scores = {r["candidate"]: r["score"] for r in d.collect()}
+    assert len(scores) == 27 and scores[13] == 3.0

@@ -407,9 +407,16 @@ def score_calibration(
     from wayline.functions import rotation
 
     turns = list(product((-1, 0, 1), repeat=3))
-    tries = F.array(*[F.struct(F.lit(i).alias("candidate"), *[F.lit(a + step * d).alias(n) for a, d, n in zip(angles, t, ("rx", "ry", "rz"))]) for i, t in enumerate(turns)])
+    # a candidate's matrix is nine numbers, worked out once and not for every point
+    cells = [(i, j) for i in range(3) for j in range(3)]
+
+    def turn(number, signs):
+        m = rotation.euler_matrix([F.lit(a + step * d) for a, d in zip(angles, signs)], (0, 1, 2))
+        return F.struct(F.lit(number).alias("candidate"), *[rotation.as_column(m[i][j]).cast("double").alias(f"_m{i}{j}") for i, j in cells])
+
+    tries = F.array(*[turn(i, t) for i, t in enumerate(turns)])
     d = points.withColumn("_c", F.explode(tries)).select(*keys, *XYZ, "_c.*")
-    m = rotation.euler_matrix([F.col("rx"), F.col("ry"), F.col("rz")], (0, 1, 2))
+    m = [[F.col(f"_m{i}{j}") for j in range(3)] for i in range(3)]
     p = [rotation.as_column(c) for c in rotation.mat_vec(m, [F.col(c) for c in XYZ])]
     d = d.withColumns({f"_p{c}": v for c, v in zip(XYZ, p)}).where("_pz > 0")
     d = d.withColumns({n: F.rint(f * F.col(f"_p{c}") / F.col("_pz") + o).cast("bigint") for n, f, c, o in zip(("u", "v"), focal, "xy", centre)})
