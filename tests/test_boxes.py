@@ -160,3 +160,35 @@ def test_equal_bins_close_the_last(spark):
     d = ops.equal_bins(spark.createDataFrame([(0.0,), (5.0,), (10.0,)], "w double"), "w", 2)
     assert {r.w: r.bin for r in d.collect()} == {0.0: 1, 5.0: 2, 10.0: 2}
     assert bx.CORNERS == ("x1", "y1", "x2", "y2")
+
+
+@pytest.mark.parametrize("largest", [0, 20_000])
+def test_frames_are_matched_many_in_a_task_or_group_by_group(spark, largest):
+    """Crowded frames go by connected groups, the others whole; both find the same, and frames with equal ids stay apart."""
+    rng = random.Random(5)
+    edges = sorted({(f, rng.randrange(12), rng.randrange(100, 110)) for f in range(6) for _ in range(25)})
+    rows = [(f, d, t, float((d * 7) % 5)) for f, d, t in edges]
+    df = spark.createDataFrame(rows, "frame bigint, _d bigint, _t bigint, _score double")
+    got = sorted(map(tuple, matching.solve_matching(df, ["frame"], largest).select("frame", "_d", "truth_id").collect()))
+    want = []
+    for f in range(6):
+        ends = {}
+        for _, d, t, _ in [r for r in rows if r[0] == f]:
+            ends.setdefault(d, []).append(t)
+        order = sorted(ends, key=lambda d: (-float((d * 7) % 5), d))
+        want += [(f, d, t) for d, t in matching.grow_matching(order, ends).items()]
+    assert got == sorted(want)
+
+
+def test_recall_by_width_seeks_pairs_once(spark):
+    """Detections are not repeated for every bin: one join of tiles, on the frame alone."""
+    truths = [(f, i, 0, float(30 * i), 0.0, 30.0 * i + 21 + i, 30.0, 1.0, 1) for f in range(3) for i in range(4)]
+    df = spark.createDataFrame([t[:2] + t[3:] for t in truths], SCHEMA)
+    seen = []
+    before = matching.overlapping_pairs
+    matching.overlapping_pairs = lambda a, b, keys, **kw: seen.append(list(keys)) or before(a, b, keys, **kw)
+    try:
+        rows = {r["bin"]: (r["n_truths"], r["recall"]) for r in matching.recall_by_width(df, df, ["frame"], "id", bins=3).collect()}
+    finally:
+        matching.overlapping_pairs = before
+    assert seen == [["frame"]] and rows[0] == (12, 1.0) and sum(n for b, (n, _) in rows.items() if b) == 12

@@ -6,12 +6,19 @@ import heapq
 from collections import deque
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from wayline.functions import boxes as bx
 from wayline.operators import clustering, spatial
 from wayline.operators.boxes import C, equal_bins, overlapping_pairs, pair_sides
+from wayline.session import cut_lineage
+
+#: pairs of a frame up to which one task matches it whole
+LARGEST = 20_000
+#: pairs that one task takes, of as many frames as it needs
+BUCKET = 200_000
 
 
 def grow_matching(dets: Sequence, edges: dict) -> dict:
@@ -21,6 +28,7 @@ def grow_matching(dets: Sequence, edges: dict) -> dict:
     detection adds one truth or none.
     """
     held_by: dict = {}
+    owns: dict = {}
     gained: dict = {}
     for start in dets:
         came_from: dict = {}
@@ -38,18 +46,78 @@ def grow_matching(dets: Sequence, edges: dict) -> dict:
         if end is None:
             continue
         gained[start] = end
-        owns = {d: t for t, d in held_by.items()}
         t = end
         while True:
             d = came_from[t]
             before = owns.get(d)
-            held_by[t] = d
+            held_by[t], owns[d] = d, t
             if d == start:
                 break
             t = before
     return gained
 
 
+def matching_pairs(truths: DataFrame, detections: DataFrame, keys: Sequence[str], ident: str, min_iou: float, style: str, also: Sequence[str] = ()) -> DataFrame:
+    """Pairs that may be matched: keys, ``_d``, ``_t``, ``_score`` and the truths' columns ``also``."""
+    keys = list(keys)
+    a, b = pair_sides()
+    ca, cb = F.col("a_class_id"), F.col("b_class_id")
+    slim = [*keys, ident, "class_id", *C]
+    pairs = overlapping_pairs(detections.select(*slim, "score"), truths.select(*slim, *also), keys)
+    pairs = pairs.where(bx.match_iou(a, b, ca, cb, min_iou) if style == "iou" else bx.match_cover(a, b, ca, cb))
+    return pairs.select(
+        *keys,
+        F.col("a_" + ident).cast("bigint").alias("_d"),
+        F.col("b_" + ident).cast("bigint").alias("_t"),
+        F.col("a_score").cast("double").alias("_score"),
+        *[F.col("b_" + c).alias(c) for c in also],
+    )
+
+
+def solve_matching(edges: DataFrame, keys: Sequence[str], largest: int = LARGEST) -> DataFrame:
+    """Largest matching of each key in descending score: keys, ``_d`` and ``truth_id`` of the detections that are matched.
+
+    Keys of up to ``largest`` edges are solved many in a task. Those of larger
+    keys fall apart into connected groups first, and each is solved on its own,
+    so no task holds a crowded frame.
+    """
+    keys = list(keys)
+    edges = cut_lineage(edges)
+    types = dict(edges.dtypes)
+    schema = ", ".join([*[f"{k} {types[k]}" for k in keys], "_d bigint", "truth_id bigint"])
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        key = pdf.groupby(keys, sort=False, dropna=False).ngroup().to_numpy()
+        order = np.lexsort((pdf["_t"], pdf["_d"], -pdf["_score"], key))
+        pdf, key = pdf.iloc[order], key[order]
+        # detections and truths of different frames never meet, so all frames are grown as one
+        first: dict = {}
+        ends: dict = {}
+        for at, (k, d, t) in enumerate(zip(key.tolist(), pdf["_d"].tolist(), pdf["_t"].tolist(), strict=True)):
+            first.setdefault((k, d), at)
+            ends.setdefault((k, d), []).append((k, t))
+        gained = grow_matching(list(first), ends)
+        out = pdf[keys].iloc[[first[d] for d in gained]].reset_index(drop=True)
+        return out.assign(_d=[d for _, d in gained], truth_id=[t for _, t in gained.values()])
+
+    counts = edges.groupBy(*keys).agg(F.count("*").alias("_n"))
+    total, most = counts.agg(F.sum("_n"), F.max("_n")).first()
+    small, large = edges, None
+    if (most or 0) > largest:
+        crowded = cut_lineage(counts.where(F.col("_n") > largest).select(*keys))
+        small, large = edges.join(crowded, keys, "left_anti"), edges.join(crowded, keys, "left_semi")
+    tasks = max(1, -(-(total or 0) // BUCKET))
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(tasks))
+    gained = small.withColumn("_bucket", bucket).groupBy("_bucket").applyInPandas(solve, schema)
+    if large is None:
+        return gained
+    name = F.concat_ws(":", *[F.col(k).cast("string") for k in keys])
+    large = large.withColumns({"a": F.concat_ws(":", name, F.lit("d"), "_d"), "b": F.concat_ws(":", name, F.lit("t"), "_t")})
+    groups = clustering.connected_components(large)
+    large = large.join(groups, large["a"] == groups["node"]).select(*keys, "_d", "_t", "_score", "root")
+    return gained.unionByName(large.groupBy("root").applyInPandas(solve, schema))
+
+
 def match_detections(
     truths: DataFrame,
     detections: DataFrame,
@@ -62,38 +130,13 @@ def match_detections(
 ) -> DataFrame:
     """Match per frame in descending score: detection rows with d_matched, d_ignored and truth_id.
 
-    Overlapping pairs come from a tile join. They fall apart into small
-    connected groups, also inside a crowded frame; each group is matched on its
-    own, so no task holds a whole frame.
+    Overlapping pairs come from a tile join, see :func:`solve_matching` for what
+    is done with them.
     """
     keys = list(keys)
     a, b = pair_sides()
-    ca, cb = F.col("a_class_id"), F.col("b_class_id")
     slim = [*keys, ident, "class_id", *C]
-    pairs = overlapping_pairs(detections.select(*slim, "score"), truths.select(*slim), keys)
-    pairs = pairs.where(bx.match_iou(a, b, ca, cb, min_iou) if style == "iou" else bx.match_cover(a, b, ca, cb))
-    name = F.concat_ws(":", *[F.col(k).cast("string") for k in keys])
-    edges = pairs.select(
-        *keys,
-        F.col("a_" + ident).cast("bigint").alias("_d"),
-        F.col("b_" + ident).cast("bigint").alias("_t"),
-        F.col("a_score").cast("double").alias("_score"),
-        F.concat_ws(":", name, F.lit("d"), F.col("a_" + ident)).alias("a"),
-        F.concat_ws(":", name, F.lit("t"), F.col("b_" + ident)).alias("b"),
-    )
-    groups = clustering.connected_components(edges)
-    edges = edges.join(groups, edges["a"] == groups["node"]).select(*keys, "_d", "_t", "_score", "root")
-
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        order = pdf[["_d", "_score"]].drop_duplicates("_d").sort_values(["_score", "_d"], ascending=[False, True])
-        ends = pdf.sort_values("_t").groupby("_d")["_t"].apply(list).to_dict()
-        gained = grow_matching(order["_d"].tolist(), ends)
-        out = pdf[keys].iloc[:1].loc[[pdf.index[0]] * len(gained)].reset_index(drop=True)
-        return out.assign(_d=list(gained.keys()), truth_id=list(gained.values()))
-
-    types = dict(detections.dtypes)
-    schema = ", ".join([*[f"{k} {types[k]}" for k in keys], "_d bigint", "truth_id bigint"])
-    gained = edges.groupBy("root").applyInPandas(solve, schema).withColumnRenamed("_d", ident)
+    gained = solve_matching(matching_pairs(truths, detections, keys, ident, min_iou, style), keys).withColumnRenamed("_d", ident)
     out = detections.join(gained, [*keys, ident], "left")
     if ignore is None:
         out = out.withColumn("_ign", F.lit(False))
@@ -112,14 +155,21 @@ def match_detections(
 
 
 def recall_by_width(truths: DataFrame, detections: DataFrame, keys: Sequence[str], ident: str, bins: int = 14, floor_at: float = 20.0) -> DataFrame:
-    """Truths and recall per width bin, each bin matched against all detections; bin 0 is the whole list."""
-    sized = truths.withColumn("_w", bx.width(bx.corners()))
-    binned = equal_bins(sized, "_w", bins, floor_at=floor_at).where("_w >= _low").drop("_low", "_high", "_w")
-    every = truths.withColumn("bin", F.lit(0).cast("bigint"))
-    both = binned.select(*every.columns).unionByName(every)
-    spread = detections.join(both.select(*keys, "bin").distinct(), list(keys))
-    matched = match_detections(both, spread, [*keys, "bin"], ident).groupBy("bin").agg(F.sum("d_matched").alias("n_found"))
-    n = both.groupBy("bin").agg(F.count("*").alias("n_truths"))
+    """Truths and recall per width bin, each bin matched against all detections; bin 0 is the whole list.
+
+    Pairs are sought once; those of a bin are the ones with its truths.
+    """
+    keys = list(keys)
+    sized = equal_bins(truths.withColumn("_w", bx.width(bx.corners())), "_w", bins, floor_at=floor_at)
+    sized = sized.withColumn("bin", F.when(F.col("_w") >= F.col("_low"), F.col("bin"))).select(*truths.columns, "bin")
+
+    def by_bin(rows):
+        each = F.filter(F.array(F.lit(0).cast("bigint"), F.col("bin")), lambda x: x.isNotNull())
+        return rows.withColumn("bin", F.explode(each))
+
+    pairs = by_bin(matching_pairs(sized, detections, keys, ident, 0.5, "iou", ["bin"]))
+    matched = solve_matching(pairs, [*keys, "bin"]).groupBy("bin").agg(F.count("*").alias("n_found"))
+    n = by_bin(sized.select("bin")).groupBy("bin").agg(F.count("*").alias("n_truths"))
     return n.join(matched, "bin", "left").select(
         "bin", "n_truths", (F.coalesce("n_found", F.lit(0)) / F.col("n_truths")).alias("recall")
     )
