@@ -220,3 +220,19 @@ def test_nearest_within_few_targets_a_key(spark, few):
         few_only = spatial.nearest_within(src, tgt, ["k"], XYZ, 3.0, "t", few=few)
         # the cells' search is left for keys without a list, so their rows alone are copied to cells
         assert "array_min" in few_only._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("min_points", [1, 4])
+def test_small_keys_cluster_as_large_ones(spark, min_points):
+    """Keys of few points are compared whole, the others by cells, with the same clusters; other columns stay as they are."""
+    rng = random.Random(8)
+    rows = []
+    for key, n in enumerate([1, 2, 3, 30, 30, 60, 200]):
+        for _ in range(n):
+            rows.append((key, 1000 - len(rows) * 2 + (len(rows) % 7), rng.randrange(12) * 1.0, rng.uniform(0, 60), rng.randrange(3) * 0.7, None if len(rows) % 3 else len(rows)))
+    rows.append((3, 5000, float("nan"), 1.0, 1.0, 1))
+    df = spark.createDataFrame(rows, "key bigint, id bigint, x double, y double, z double, note int")
+    found = [clustering.density_clusters(df, ["key"], ["x", "y", "z"], "id", 2.5, min_points, few=few) for few in (0, 100, 256)]
+    want, *got = [sorted(tuple(r) for r in f.select("key", "id", "note", "cluster").collect()) if False else sorted(map(repr, f.select("key", "id", "note", "cluster").collect())) for f in found]
+    assert want and got == [want, want]
+    assert "Generate" not in found[2]._jdf.queryExecution().optimizedPlan().toString()

@@ -5,11 +5,17 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from wayline.operators import blocks, spatial
 from wayline.session import cut_lineage
 
+#: points of a key up to which it is compared whole, many keys in a task
+FEW = 256
+#: points that one task takes of such keys
+BUCKET = 50_000
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """``node`` and ``root`` (smallest node of its component) for every node on an edge.
@@ -42,11 +48,92 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots.select("node", F.col("node").alias("root")))
 
 
+def clusters_of_keys(ids: np.ndarray, places: np.ndarray, eps: float, min_points: int) -> tuple[np.ndarray, np.ndarray]:
+    """Density clustering of keys of as many points each: ``cluster`` and whether a point is in one.
+
+    ``ids`` is (keys, points), ``places`` (keys, points, axes). Labels spread
+    from core point to core point until none changes.
+    """
+    n = ids.shape[1]
+    d2 = 0.0
+    for c in range(places.shape[2]):
+        step = places[:, :, None, c] - places[:, None, :, c]
+        d2 = d2 + step * step
+    near = d2 <= eps * eps
+    core = near.sum(axis=2) >= min_points
+    order = np.argsort(ids, axis=1, kind="stable")
+    rank = np.empty(ids.shape, np.int32)
+    np.put_along_axis(rank, order, np.broadcast_to(np.arange(n, dtype=np.int32), ids.shape), axis=1)
+    label = np.where(core, rank, n)
+    while True:
+        spread = np.where(near, label[:, None, :], n).min(axis=2)
+        spread = np.where(core, spread, n)
+        # the label's own label: chains are halved, not walked
+        after = np.minimum(spread, np.take_along_axis(np.append(np.take_along_axis(spread, order, axis=1), np.full((len(ids), 1), n), axis=1), spread, axis=1))
+        if (after == label).all():
+            break
+        label = after
+    joined = np.where(core, label, np.where(near, label[:, None, :], n).min(axis=2))
+    named = np.take_along_axis(ids, np.take_along_axis(order, np.minimum(joined, n - 1), axis=1), axis=1)
+    return named, joined < n
+
+
+def _whole_keys(points: DataFrame, keys: Sequence[str], coords: Sequence[str], ident: str, eps: float, min_points: int, tasks: int) -> DataFrame:
+    """:func:`density_clusters` of keys of few points, many in a task."""
+    out = T.StructType([*points.schema.fields, T.StructField("cluster", points.schema[ident].dataType)])
+
+    def solve(table: pa.Table) -> pa.Table:
+        pdf = table.select([*keys, ident]).to_pandas()
+        key = pdf.groupby(list(keys), sort=False, dropna=False).ngroup().to_numpy()
+        ids = table.column(ident).to_numpy()
+        places = np.stack([table.column(c).cast(pa.float64()).to_numpy() for c in coords], axis=1)
+        order = np.argsort(key, kind="stable")
+        first = np.flatnonzero(np.r_[True, np.diff(key[order]) != 0])
+        sizes = np.diff(np.r_[first, len(key)])
+        cluster, inside = ids.copy(), np.zeros(len(ids), bool)
+        for n in np.unique(sizes):
+            starts = first[sizes == n]
+            step = max(1, (1 << 20) // int(n * n))
+            for at in range(0, len(starts), step):
+                rows = order[starts[at : at + step, None] + np.arange(n)]
+                cluster[rows], inside[rows] = clusters_of_keys(ids[rows], places[rows], eps, min_points)
+        named = pa.array(cluster, table.schema.field(ident).type)
+        return table.drop_columns(["_bucket"]).append_column("cluster", named).filter(pa.array(inside))
+
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(tasks))
+    usable = points.where(F.col(ident).isNotNull())
+    for c in [*keys, *coords]:
+        usable = usable.where(F.col(c).isNotNull())
+    return usable.withColumn("_bucket", bucket).groupBy("_bucket").applyInArrow(solve, out)
+
+
 def density_clusters(
-    points: DataFrame, keys: Sequence[str], coords: Sequence[str], ident: str, eps: float, min_points: int
+    points: DataFrame, keys: Sequence[str], coords: Sequence[str], ident: str, eps: float, min_points: int, few: int = FEW
 ) -> DataFrame:
     """Density clustering with noise dropped; ``cluster`` is the smallest id of a core point in it.
 
+    Keys of up to ``few`` points are compared whole, many in a task; those of
+    more points go by cells. Ids of such keys are whole numbers.
+    """
+    keys = list(keys)
+    if not keys or not few or not isinstance(points.schema[ident].dataType, T.IntegralType):
+        return _clusters_by_cells(points, keys, coords, ident, eps, min_points)
+    counts = points.groupBy(*keys).agg(F.count("*").alias("_n"))
+    total, most = counts.agg(F.sum("_n"), F.max("_n")).first()
+    tasks = max(1, -(-(total or 0) // BUCKET))
+    if (most or 0) <= few:
+        return _whole_keys(points, keys, coords, ident, eps, min_points, tasks)
+    crowded = cut_lineage(counts.where(F.col("_n") > few).select(*keys))
+    small = _whole_keys(points.join(crowded, keys, "left_anti").select(*points.columns), keys, coords, ident, eps, min_points, tasks)
+    large = points.join(crowded, keys, "left_semi").select(*points.columns)
+    return small.unionByName(_clusters_by_cells(large, keys, coords, ident, eps, min_points))
+
+
+def _clusters_by_cells(
+    points: DataFrame, keys: Sequence[str], coords: Sequence[str], ident: str, eps: float, min_points: int
+) -> DataFrame:
+    """:func:`density_clusters` of keys of any size.
+
     Cells are small enough that all points of one lie within ``eps``. A crowded
     cell (at least ``min_points``, and 16) is core as a whole and forms no pairs
     inside; only points of thinner cells look at single neighbours. Crowded
