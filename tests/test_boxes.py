@@ -3,12 +3,13 @@
 import random
 from itertools import permutations
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from wayline.functions import boxes as bx
 from wayline.operators import boxes as ops
-from wayline.operators import matching
+from wayline.operators import clustering, matching, spatial
 
 SCHEMA = "frame bigint, id bigint, x1 double, y1 double, x2 double, y2 double, score double, class_id int"
 
@@ -192,3 +193,33 @@ def test_recall_by_width_seeks_pairs_once(spark):
     finally:
         matching.overlapping_pairs = before
     assert seen == [["frame"]] and rows[0] == (12, 1.0) and sum(n for b, (n, _) in rows.items() if b) == 12
+
+
+def test_nearest_rows_against_brute_force():
+    rng = np.random.default_rng(3)
+    for n, m in ((5, 3), (400, 700), (1500, 900)):
+        source, target = (np.stack([rng.integers(0, 30, k) * 10.0, rng.uniform(0, 500, k), rng.integers(2, 9, k) * 10.0, rng.integers(2, 9, k) * 5.0], axis=1) for k in (n, m))
+        source[: n // 3] = target[rng.integers(0, m, n // 3)]
+        target[m // 2 : m // 2 + m // 5] = target[: m // 5]
+        target[-1, 0] = source[-1, 1] = np.nan
+        ids = rng.permutation(m)
+        at, d2 = spatial.nearest_rows(source, target, ids)
+        every = sum((source[:, None, c] - target[None, :, c]) ** 2 for c in range(4))
+        for k in range(n - 1):
+            want = min((every[k, j], ids[j], j) for j in range(m - 1))
+            assert (d2[k], at[k]) == (want[0], want[2])
+        assert at[-1] == -1
+
+
+@pytest.mark.parametrize("largest, part", [(0, 1), (3, 40), (200_000, 400)])
+def test_track_ids_however_frames_are_parted(spark, largest, part, monkeypatch):
+    """Chains cross the parts, crowded frames go by cells; ids are the same, and no box takes part in rounds over single links."""
+    rows = [r for r in some_boxes(9, 40, 6, spread=300) if r[1] % 7]
+    before = matching.link_frames
+    monkeypatch.setattr(matching, "link_frames", lambda places, keys: before(places, keys, largest))
+    seen = []
+    rounds = clustering.connected_components
+    monkeypatch.setattr(clustering, "connected_components", lambda e: seen.append(e.count()) or rounds(e))
+    d = matching.assign_track_ids(spark.createDataFrame(rows, SCHEMA).withColumn("seq", F.lit(1)), ["seq"], "frame", "id", idle=5, part=part)
+    assert {r.id: r.track_id for r in d.collect()} == brute_tracks(rows, 5)
+    assert part == 1 or sum(seen) < len(rows) / 2

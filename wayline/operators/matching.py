@@ -19,6 +19,11 @@ from wayline.session import cut_lineage
 LARGEST = 20_000
 #: pairs that one task takes, of as many frames as it needs
 BUCKET = 200_000
+#: boxes of a frame up to which one task searches it whole
+LARGEST_FRAME = 200_000
+#: boxes of the frames whose chains are followed together
+PART = 50_000
+PLACE = ["_cx", "_cy", "_w", "_h"]
 
 
 def grow_matching(dets: Sequence, edges: dict) -> dict:
@@ -175,42 +180,124 @@ def recall_by_width(truths: DataFrame, detections: DataFrame, keys: Sequence[str
     )
 
 
-def link_frames(boxes: DataFrame, keys: Sequence[str], frame: str, ident: str) -> DataFrame:
-    """Each box with the box of the frame before it continues (``prev``), null for a new one.
+def _places(boxes: DataFrame, keys: list[str], frame: str, ident: str) -> DataFrame:
+    """Keys, frame and id as whole numbers, centre and size."""
+    b = bx.corners()
+    (cx, cy), w, h = bx.centre(b), bx.width(b), bx.height(b)
+    return boxes.select(*keys, F.col(frame).cast("bigint").alias("_f"), F.col(ident).cast("bigint").alias("_i"), *[c.cast("double").alias(n) for c, n in zip((cx, cy, w, h), PLACE)])
+
+
+def _links_by_cells(now: DataFrame, old: DataFrame, keys: list[str]) -> DataFrame:
+    """:func:`link_frames` of frames that no task should hold."""
+    old = old.select(*keys, "_f", F.col("_i").alias("prev"), *PLACE)
+    near = spatial.nearest(now, old, [*keys, "_f"], PLACE[:2], 16384.0, "prev", levels=(128, 16, 1), extra=PLACE[2:])
+    best = near.groupBy(*keys, "_f", "prev").agg(F.min(F.struct("dist", (-F.col("_i")).alias("_neg"))).alias("_b"))
+    best = best.select(*keys, "_f", (-F.col("_b._neg")).alias("_i"), "prev")
+    return now.select(*keys, "_f", "_i").join(best, [*keys, "_f", "_i"], "left").select(*keys, "_f", "_i", F.coalesce("prev", F.lit(0)).alias("_p"), F.col("prev").isNotNull().alias("_linked"))
+
+
+def link_frames(places: DataFrame, keys: Sequence[str], largest: int = LARGEST_FRAME) -> DataFrame:
+    """Each box (``_f``, ``_i`` and place) with the box ``_p`` of the frame before it continues, if it is ``_linked`` to one.
 
     Nearest by centre and size; of several claimants of one box the nearest
-    keeps it (the later box on a tie), the others start anew.
+    keeps it (the later box on a tie), the others start anew. Frames of up to
+    ``largest`` boxes are searched whole, several in a task; the others by cells.
     """
     keys = list(keys)
-    b = bx.corners()
-    (cx, cy), w, h = bx.centre(b), bx.width(b), bx.height(b)
-    now = boxes.select(*keys, frame, ident, cx.alias("_cx"), cy.alias("_cy"), w.alias("_w"), h.alias("_h"))
-    old = now.select(*keys, (F.col(frame) + 1).alias(frame), F.col(ident).alias("prev"), "_cx", "_cy", "_w", "_h")
-    near = spatial.nearest(now, old, [*keys, frame], ["_cx", "_cy"], 16384.0, "prev", levels=(128, 16, 1), extra=["_w", "_h"])
-    best = near.groupBy(*keys, frame, "prev").agg(F.min(F.struct("dist", (-F.col(ident)).alias("_neg"))).alias("_b"))
-    return best.select(*keys, frame, (-F.col("_b._neg")).alias(ident), "prev")
+    types = dict(places.dtypes)
+    schema = ", ".join([*[f"{k} {types[k]}" for k in keys], "_f bigint, _i bigint, _p bigint, _linked boolean"])
+
+    def link(pdf: pd.DataFrame) -> pd.DataFrame:
+        code = pdf.groupby([*keys, "_f"], sort=False, dropna=False).ngroup().to_numpy()
+        old, ids, at = pdf["_old"].to_numpy(bool), pdf["_i"].to_numpy(), pdf[PLACE].to_numpy(float)
+        order = np.lexsort((old, code))
+        ends = np.flatnonzero(np.r_[np.diff(code[order]) != 0, True]) + 1
+        before, linked = np.zeros(len(pdf), np.int64), np.zeros(len(pdf), bool)
+        start = 0
+        for end in ends:
+            rows, start = order[start:end], end
+            new, was = rows[~old[rows]], rows[old[rows]]
+            if not len(new) or not len(was):
+                continue
+            to, d2 = spatial.nearest_rows(at[new], at[was], ids[was])
+            some = np.flatnonzero(to >= 0)
+            some = some[np.lexsort((-ids[new[some]], np.sqrt(d2[some]), ids[was[to[some]]]))]
+            prev = ids[was[to[some]]]
+            keeps = np.r_[True, prev[1:] != prev[:-1]] if len(some) else np.zeros(0, bool)
+            before[new[some[keeps]]], linked[new[some[keeps]]] = prev[keeps], True
+        return pdf[[*keys, "_f", "_i"]].assign(_p=before, _linked=linked)[~old]
+
+    counts = places.groupBy(*keys, "_f").agg(F.count("*").alias("_n"))
+    total, most = counts.agg(F.sum("_n"), F.max("_n")).first()
+    both = F.explode(F.array(F.lit(False), F.lit(True)))
+    rows = places.select(*places.columns, both.alias("_old")).withColumn("_f", F.col("_f") + F.col("_old").cast("int"))
+    large = None
+    if (most or 0) > largest:
+        crowded = counts.where(F.col("_n") > largest)
+        crowded = cut_lineage(crowded.select(*keys, "_f").unionByName(crowded.select(*keys, (F.col("_f") + 1).alias("_f"))).distinct())
+        large = rows.join(crowded, [*keys, "_f"], "left_semi")
+        rows = rows.join(crowded, [*keys, "_f"], "left_anti")
+        large = _links_by_cells(large.where("NOT _old").drop("_old"), large.where("_old").drop("_old"), keys)
+    bucket = F.pmod(F.xxhash64(*keys, "_f"), F.lit(max(1, -(-2 * (total or 0) // BUCKET))))
+    found = rows.withColumn("_bucket", bucket).groupBy("_bucket").applyInPandas(link, schema)
+    return found if large is None else found.unionByName(large)
 
 
-def assign_track_ids(boxes: DataFrame, keys: Sequence[str], frame: str, ident: str, idle: int = 50) -> DataFrame:
-    """Box rows with ``track_id``.
+def chain_starts(links: DataFrame, keys: Sequence[str], width: int) -> DataFrame:
+    """First frame ``_cf`` and box ``_ci`` of the chain of links that each box is on.
 
-    Linking and chaining run as joins over all frames. Only one row per chain
-    (first and last frame) goes through the sequential rule that hands out ids:
-    the lowest id unused for more than ``idle`` frames, else a new one.
+    Chains are followed within ``width`` frames first, several such parts in a
+    task; what goes from part to part is one link a box at their edges.
     """
     keys = list(keys)
-    links = link_frames(boxes, keys, frame, ident)
-    seq = F.concat_ws(":", *[F.col(k).cast("string") for k in keys]) if keys else F.lit("")
+    types = dict(links.dtypes)
+    schema = ", ".join([*[f"{k} {types[k]}" for k in keys], "_f bigint, _i bigint, _cf bigint, _ci bigint, _cp bigint, _open boolean"])
+
+    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.drop_duplicates([*keys, "_f", "_i"], ignore_index=True)
+        code = pdf.groupby(keys, sort=False, dropna=False).ngroup() if keys else 0
+        own = pd.DataFrame({"k": code, "f": pdf["_f"], "i": pdf["_i"], "at": np.arange(len(pdf))})
+        asked = pd.DataFrame({"k": code, "f": pdf["_f"] - 1, "i": pdf["_p"]})
+        at = asked.merge(own, "left", ["k", "f", "i"])["at"].to_numpy()
+        first = np.where(pdf["_linked"].to_numpy(bool) & ~np.isnan(at), np.nan_to_num(at), np.arange(len(pdf))).astype(np.int64)
+        while True:
+            after = first[first]
+            if (after == first).all():
+                break
+            first = after
+        start = pdf.iloc[first]
+        return pdf[[*keys, "_f", "_i"]].assign(_cf=start["_f"].to_numpy(), _ci=start["_i"].to_numpy(), _cp=start["_p"].to_numpy(), _open=start["_linked"].to_numpy())
+
+    tasks = max(1, int(links.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    bucket = F.pmod(F.xxhash64(*keys, F.floor(F.col("_f") / width)), F.lit(tasks * 8))
+    parts = cut_lineage(links.withColumn("_bucket", bucket).groupBy("_bucket").applyInPandas(walk, schema))
+    across = parts.where(F.col("_open") & (F.col("_f") == F.col("_cf")) & (F.col("_i") == F.col("_ci")))
+    if across.isEmpty():
+        return parts.drop("_cp", "_open")
 
     def node(f, i):
-        return F.struct(seq.alias("s"), f.cast("bigint").alias("f"), i.cast("bigint").alias("i"))
+        return F.struct(*keys, F.col(f).alias("f"), F.col(i).alias("i"))
+
+    ends = parts.select(*keys, F.col("_f").alias("_at"), F.col("_i").alias("_cp"), node("_cf", "_ci").alias("b"))
+    edges = across.select(*keys, (F.col("_cf") - 1).alias("_at"), "_cp", node("_cf", "_ci").alias("a")).join(ends, [*keys, "_at", "_cp"])
+    roots = clustering.connected_components(edges.select("a", "b"))
+    roots = roots.select(*[F.col("node")[k].alias(k) for k in keys], F.col("node.f").alias("_cf"), F.col("node.i").alias("_ci"), F.col("root.f").alias("_rf"), F.col("root.i").alias("_ri"))
+    return parts.join(roots, [*keys, "_cf", "_ci"], "left").select(*keys, "_f", "_i", F.coalesce("_rf", "_cf").alias("_cf"), F.coalesce("_ri", "_ci").alias("_ci"))
+
 
-    edges = links.select(node(F.col(frame), F.col(ident)).alias("a"), node(F.col(frame) - 1, F.col("prev")).alias("b"))
-    chains = clustering.connected_components(edges)
-    d = boxes.withColumn("_node", node(F.col(frame), F.col(ident)))
-    d = d.join(chains, d["_node"] == chains["node"], "left").withColumn("_chain", F.coalesce("root", "_node")).drop("root", "node", "_node")
-    spans = d.groupBy(*keys, "_chain").agg(F.min(frame).alias("start"), F.max(frame).alias("end"))
-    spans = spans.select(*keys, F.col("_chain.f").alias("_cf"), F.col("_chain.i").alias("_ci"), "start", "end")
+def assign_track_ids(boxes: DataFrame, keys: Sequence[str], frame: str, ident: str, idle: int = 50, part: int = PART) -> DataFrame:
+    """Box rows with ``track_id``.
+
+    Frames are linked and chains followed many frames in a task. Only one row per chain
+    (first and last frame) goes through the sequential rule that hands out ids:
+    the lowest id unused for more than ``idle`` frames, else a new one.
+    """
+    keys = list(keys)
+    places = _places(boxes, keys, frame, ident)
+    total, frames = places.groupBy(*keys, "_f").agg(F.count("*").alias("_n")).agg(F.sum("_n"), F.count("*")).first()
+    links = link_frames(places, keys)
+    d = cut_lineage(chain_starts(links, keys, max(1, part * frames // max(total or 0, 1))))
+    spans = d.groupBy(*keys, "_cf", "_ci").agg(F.min("_f").alias("start"), F.max("_f").alias("end"))
 
     def hand_out(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["start", "_ci"]).reset_index(drop=True)
@@ -228,5 +315,5 @@ def assign_track_ids(boxes: DataFrame, keys: Sequence[str], frame: str, ident: s
     types = dict(boxes.dtypes)
     schema = ", ".join([*[f"{k} {types[k]}" for k in keys], "_cf bigint", "_ci bigint", "track_id bigint"])
     ids = spans.groupBy(*keys).applyInPandas(hand_out, schema)
-    d = d.withColumns({"_cf": F.col("_chain.f"), "_ci": F.col("_chain.i")}).drop("_chain")
-    return d.join(ids, [*keys, "_cf", "_ci"]).drop("_cf", "_ci")
+    d = d.join(ids, [*keys, "_cf", "_ci"]).select(*keys, F.col("_f").alias(frame), F.col("_i").alias(ident), "track_id")
+    return boxes.join(d, [*keys, frame, ident])

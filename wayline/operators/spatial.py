@@ -11,6 +11,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from wayline.session import cut_lineage
@@ -124,6 +125,62 @@ def _nearest_in_cells(
     return source.join(best, [*keys, *coords])
 
 
+def _leaves(places: np.ndarray, most: int = 64) -> list[np.ndarray]:
+    """Rows of ``places`` in groups of up to ``most`` that lie together: halves along the widest axis, and again."""
+    out, todo = [], [np.arange(len(places))]
+    while todo:
+        rows = todo.pop()
+        if len(rows) <= most:
+            out.append(rows)
+            continue
+        inside = places[rows]
+        axis = int(np.argmax(inside.max(axis=0) - inside.min(axis=0)))
+        cut = np.argpartition(inside[:, axis], len(rows) // 2)
+        todo += [rows[cut[: len(rows) // 2]], rows[cut[len(rows) // 2 :]]]
+    return out
+
+
+def nearest_rows(source: np.ndarray, target: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row of the nearest target of each source row (-1 without any) and the squared distance; ties go to the smallest id.
+
+    Equal places are merged, and groups of sources look only at groups of
+    targets whose bounding boxes come as near as what was found in the nearest.
+    """
+    found, d2 = np.full(len(source), -1), np.full(len(source), np.inf)
+    order = np.flatnonzero(np.isfinite(target).all(axis=1))
+    asked = np.flatnonzero(np.isfinite(source).all(axis=1))
+    if not len(order) or not len(asked):
+        return found, d2
+    order = order[np.lexsort((order, ids[order], *target[order].T))]
+    order = order[np.r_[True, (np.diff(target[order], axis=0) != 0).any(axis=1)]]
+    order = order[np.argsort(ids[order], kind="stable")]
+    places = target[order]
+
+    def nearest_to(rows: np.ndarray, among: np.ndarray) -> None:
+        total = 0.0
+        for c in range(source.shape[1]):
+            step = source[rows, None, c] - places[None, among, c]
+            total = total + step * step
+        best = total.argmin(axis=1)
+        found[rows], d2[rows] = order[among[best]], total[np.arange(len(rows)), best]
+
+    if len(asked) * len(order) <= 1 << 14:
+        nearest_to(asked, np.arange(len(order)))
+        return found, d2
+    groups = _leaves(places)
+    low, high = (np.array([f(places[g], axis=0) for g in groups]) for f in (np.min, np.max))
+    for rows in _leaves(source[asked]):
+        rows = asked[rows]
+        inside = source[rows]
+        step = np.maximum(np.maximum(low - inside.max(axis=0), inside.min(axis=0) - high), 0.0)
+        gap = 0.0
+        for c in range(source.shape[1]):
+            gap = gap + step[:, c] * step[:, c]
+        nearest_to(rows, np.sort(groups[int(gap.argmin())]))
+        nearest_to(rows, np.sort(np.concatenate([groups[g] for g in np.flatnonzero(gap <= d2[rows].max())])))
+    return found, d2
+
+
 def usable(df: DataFrame, coords: Sequence[str]) -> DataFrame:
     """Rows whose coordinates are all finite numbers; null, nan and infinite ones have no place."""
     out = df
