@@ -1,7 +1,9 @@
 """Streams against their batch operators, over several triggers."""
 
 import random
+import time
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -125,3 +127,29 @@ def test_counts_since_a_trigger(spark, tmp_path, parts):
                 active = {x for u, _, x in mine if u // 1_000_000 * 1_000_000 == period and x != "control"}
                 want |= {(run, period, x): counts.get(x, 0) for x in active}
     assert {(r.run, r.period_us, r.source): r.n_since_trigger for r in out.where("run <> 'end'").collect()} == want
+
+
+def test_tracks_of_a_crowded_frame():
+    """Thousands of boxes a frame are linked in seconds, as by comparing all pairs."""
+    rng = np.random.default_rng(4)
+    frames = []
+    for f in range(3):
+        rows = np.zeros(4000, live.TRACK_ROW)
+        rows["frame"], rows["id"] = f, rng.permutation(4000)
+        rows["cx"], rows["cy"] = rng.integers(0, 97, 4000) * 10.0, rng.integers(0, 89, 4000) * 10.0
+        rows["w"], rows["h"] = 30.0, 20.0
+        frames.append(rows)
+    used, began = live.continue_tracks(frames[0], frames[0][:0], np.zeros(0, np.int64), 5), time.time()
+    assert list(frames[0]["track"]) == list(range(4000))
+    for before, new in zip(frames, frames[1:]):
+        used = live.continue_tracks(new, before, used, 5)
+    assert time.time() - began < 15
+    new, old = frames[2], frames[1]
+    d2 = (new["cx"][:, None] - old["cx"]) ** 2 + (new["cy"][:, None] - old["cy"]) ** 2
+    order = np.argsort(old["id"])
+    to = order[d2[:, order].argmin(axis=1)]
+    kept = {}
+    for n in np.lexsort((-new["id"], d2[np.arange(4000), to])):
+        kept.setdefault(int(to[n]), n)
+    assert all(new["track"][n] == old["track"][t] for t, n in kept.items())
+    assert len(set(new["track"].tolist())) == 4000 and len(used) == len(set(frames[1]["track"].tolist()) | set(new["track"].tolist()) | set(range(4000)))

@@ -10,10 +10,12 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 from uuid import uuid4
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from wayline.operators import spatial
 from wayline.session import ensure_checkpoint_dir
 
 DELAY = "10 seconds"
@@ -185,34 +187,30 @@ def sweep_stream(messages: DataFrame, key: str, is_start: Column, keep: Column,
     return d.groupBy(key).applyInPandasWithState(step, schema, SWEEP_STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
-TRACK_STATE = "frame bigint, boxes array<struct<id: bigint, cx: double, cy: double, w: double, h: double, track: bigint>>, used array<bigint>, waiting array<struct<frame: bigint, ms: bigint, id: bigint, cx: double, cy: double, w: double, h: double>>"
-
-
-def continue_tracks(frame: int, new: list[tuple], before_frame: int | None, before: list[tuple], used: list[int], idle: int) -> list[tuple]:
-    """Track ids of one frame's boxes (id, cx, cy, w, h), given the frame before; ``used`` is updated in place."""
-    linked: dict[int, int] = {}
-    if before and before_frame == frame - 1:
-        claims: dict[int, tuple] = {}
-        for n, b in enumerate(new):
-            best = min((sum((p - q) ** 2 for p, q in zip(b[1:5], o[1:5])), o[0], j) for j, o in enumerate(before))
-            mine = (best[0], -b[0], n)
-            if best[2] not in claims or mine < claims[best[2]]:
-                claims[best[2]] = mine
-        linked = {n: before[j][5] for j, (_, _, n) in claims.items()}
-    out = []
-    for n, b in enumerate(new):
-        if n in linked:
-            used[linked[n]] = frame
-    for n, b in enumerate(new):
-        track = linked.get(n)
-        if track is None:
-            track = next((j for j, u in enumerate(used) if frame - u > idle), None)
-            if track is None:
-                track = len(used)
-                used.append(frame)
-            used[track] = frame
-        out.append((*b, track))
-    return out
+TRACK_STATE = "frame bigint, boxes binary, used binary, waiting binary"
+#: rows of boxes as they are kept: whole numbers stay exact
+TRACK_ROW = np.dtype([("frame", "i8"), ("ms", "i8"), ("id", "i8"), ("cx", "f8"), ("cy", "f8"), ("w", "f8"), ("h", "f8"), ("track", "i8")])
+PLACE = ["cx", "cy", "w", "h"]
+
+
+def continue_tracks(new: np.ndarray, before: np.ndarray, used: np.ndarray, idle: int) -> np.ndarray:
+    """Set the track ids of one frame's boxes, given those of the frame before; returns the last use of each id."""
+    frame = new["frame"][0]
+    linked = np.zeros(len(new), bool)
+    if len(before) and before["frame"][0] == frame - 1:
+        to, d2 = spatial.nearest_rows(*[np.stack([x[c] for c in PLACE], axis=1) for x in (new, before)], before["id"])
+        some = np.flatnonzero(to >= 0)
+        some = some[np.lexsort((some, -new["id"][some], d2[some], to[some]))]
+        some = some[np.r_[True, np.diff(to[some]) != 0]] if len(some) else some
+        new["track"][some], linked[some] = before["track"][to[some]], True
+    used[new["track"][linked]] = frame
+    fresh = np.flatnonzero(~linked)
+    free = np.flatnonzero(frame - used > idle)[: len(fresh)]
+    more = len(fresh) - len(free)
+    new["track"][fresh] = np.r_[free, len(used) + np.arange(more)]
+    used = np.r_[used, np.full(more, frame)]
+    used[new["track"][fresh]] = frame
+    return used
 
 
 def track_stream(boxes: DataFrame, key: str, frame: str, ident: str, delay: str = DELAY, idle: int = 50) -> DataFrame:
@@ -230,31 +228,35 @@ def track_stream(boxes: DataFrame, key: str, frame: str, ident: str, delay: str
     key_type = dict(boxes.dtypes)[key]
 
     def step(k, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        done_frame, done, used, waiting = state.get if state.exists else (None, [], [], [])
-        done, used, rows = [tuple(x) for x in done], list(used), [tuple(x) for x in waiting]
+        _, done, used, waiting = state.get if state.exists else (None, b"", b"", b"")
+        done, used = np.frombuffer(done, TRACK_ROW), np.frombuffer(used, np.int64)
+        parts = [np.frombuffer(waiting, TRACK_ROW)]
         if not state.hasTimedOut:
             for pdf in batches:
-                rows.extend(pdf[["frame", "ms", "id", "cx", "cy", "w", "h"]].itertuples(index=False, name=None))
+                rows = np.zeros(len(pdf), TRACK_ROW)
+                for c in ("frame", "ms", "id", *PLACE):
+                    rows[c] = pdf[c].to_numpy()
+                parts.append(rows)
         mark = state.getCurrentWatermarkMs()
-        rows.sort()
-        out, later, i = [], [], 0
-        while i < len(rows):
-            j = i
-            while j < len(rows) and rows[j][0] == rows[i][0]:
-                j += 1
-            if max(r[1] for r in rows[i:j]) > mark:
-                later = rows[i:]
+        rows = np.concatenate(parts)
+        rows = rows[np.lexsort([rows[c] for c in ("h", "w", "cy", "cx", "id", "ms", "frame")])]
+        starts = np.flatnonzero(np.r_[True, np.diff(rows["frame"]) != 0]) if len(rows) else np.zeros(0, np.int64)
+        ends = np.r_[starts[1:], len(rows)].astype(np.int64)
+        out, settled = [], 0
+        for start, end in zip(starts, ends):
+            if rows["ms"][end - 1] > mark:
                 break
-            f = int(rows[i][0])
-            done = continue_tracks(f, [(int(r[2]), *map(float, r[3:])) for r in rows[i:j]], done_frame, done, used, idle)
-            done_frame = f
-            out += [(f, b[0], b[5]) for b in done]
-            i = j
-        state.update((done_frame, done, used, [(int(r[0]), int(r[1]), int(r[2]), *map(float, r[3:])) for r in later]))
-        if later:
-            state.setTimeoutTimestamp(max(int(later[0][1]) + 1, mark + 1))
+            new = rows[start:end].copy()
+            used = continue_tracks(new, done, used.copy(), idle)
+            done, settled = new, end
+            out.append(new)
+        later = rows[settled:]
+        state.update((int(done["frame"][0]) if len(done) else None, done.tobytes(), used.tobytes(), later.tobytes()))
+        if len(later):
+            state.setTimeoutTimestamp(max(int(later["ms"][0]) + 1, mark + 1))
         if out:
-            yield pd.DataFrame(out, columns=[frame, ident, "track_id"]).assign(**{key: k[0]})[[key, frame, ident, "track_id"]]
+            out = np.concatenate(out)
+            yield pd.DataFrame({key: [k[0]] * len(out), frame: out["frame"], ident: out["id"], "track_id": out["track"]})
 
     schema = f"{key} {key_type}, {frame} bigint, {ident} bigint, track_id bigint"
     return d.groupBy(key).applyInPandasWithState(step, schema, TRACK_STATE, "append", GroupStateTimeout.EventTimeTimeout)
