@@ -125,7 +125,7 @@ def _nearest_in_cells(
     return source.join(best, [*keys, *coords])
 
 
-def _leaves(places: np.ndarray, most: int = 64) -> list[np.ndarray]:
+def place_groups(places: np.ndarray, most: int = 64) -> list[np.ndarray]:
     """Rows of ``places`` in groups of up to ``most`` that lie together: halves along the widest axis, and again."""
     out, todo = [], [np.arange(len(places))]
     while todo:
@@ -167,9 +167,9 @@ def nearest_rows(source: np.ndarray, target: np.ndarray, ids: np.ndarray) -> tup
     if len(asked) * len(order) <= 1 << 14:
         nearest_to(asked, np.arange(len(order)))
         return found, d2
-    groups = _leaves(places)
+    groups = place_groups(places)
     low, high = (np.array([f(places[g], axis=0) for g in groups]) for f in (np.min, np.max))
-    for rows in _leaves(source[asked]):
+    for rows in place_groups(source[asked]):
         rows = asked[rows]
         inside = source[rows]
         step = np.maximum(np.maximum(low - inside.max(axis=0), inside.min(axis=0) - high), 0.0)

@@ -4,10 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from wayline.functions import geodesy, rotation
-from wayline.operators import blocks
+from wayline.operators import blocks, spatial
+from wayline.session import cut_lineage
+
+#: runs of one summary that meet so many of the other in a task
+ASKING, ASKED = 4096, 16_384
 
 POSE = ["lat", "lon", "height", "rot_x", "rot_y", "azimuth"]
 
@@ -130,70 +136,135 @@ def overlap_share(coords: Sequence[str], a: str, b: str) -> Column:
     return F.try_divide(2 * shared, volume_a + volume_b)
 
 
-def overlapping_traces(a: DataFrame, b: DataFrame, run: str, coords: Sequence[str], min_share: float) -> DataFrame:
-    """Pairs of runs of the two summaries with overlap share of at least ``min_share``: columns ``a_``, ``b_``, share.
+def _shares(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """:func:`overlap_share` of each box of ``left`` with each of ``right``; boxes are (box, axis, end)."""
+    shared = volume_a = volume_b = None
+    for c in range(left.shape[1]):
+        side = np.minimum(left[:, None, c, 1], right[None, :, c, 1]) - np.maximum(left[:, None, c, 0], right[None, :, c, 0])
+        side = np.maximum(side, 0.0)
+        own_a, own_b = left[:, c, 1] - left[:, c, 0], right[:, c, 1] - right[:, c, 0]
+        shared = side if shared is None else shared * side
+        volume_a = own_a if volume_a is None else volume_a * own_a
+        volume_b = own_b if volume_b is None else volume_b * own_b
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return 2 * shared / (volume_a[:, None] + volume_b[None, :])
+
+
+def _greatest_shares(low, high, least, most, lows, highs, leasts, mosts) -> np.ndarray:
+    """Bound on the share of any box of a group with any of each other group, from the groups' extents and volumes."""
+    shared = np.prod(np.maximum(np.minimum(high, highs) - np.maximum(low, lows), 0.0), axis=1)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        bound = 2 * shared / (least + leasts)
+        bound = np.minimum(bound, np.where(leasts > most, 2 * most / (most + leasts), 1.0))
+        bound = np.minimum(bound, np.where(least > mosts, 2 * mosts / (mosts + least), 1.0))
+    return np.where(np.isnan(bound), 1.0, bound) * (1 + 1e-9)
+
 
-    A share that large bounds how much the extents can differ, so a run only
-    looks at runs of a few size classes, in the cells its box touches.
+def best_boxes(left: np.ndarray, right: np.ndarray, allowed, min_share: float, strict: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Row of the best-overlapping box of ``right`` (the first of equals, -1 for none) for each of ``left``, and the share.
+
+    ``allowed`` says which of the pairs of two lists of rows count. Groups of
+    near boxes are gone through from the highest bound on; a group whose bound
+    lies below what every box of the other has found is left out.
     """
-    x, y = coords[0], coords[1]
-    span = F.greatest(F.col(f"{x}_max") - F.col(f"{x}_min"), F.col(f"{y}_max") - F.col(f"{y}_min"))
-    size_class = F.when(span > 0, F.ceil(F.log2(span))).otherwise(F.lit(-30)).cast("int")
-    import math
-
-    steps = math.ceil(math.log2(2.0 / min_share))
-
-    def prefixed(df, p):
-        return df.select(*[F.col(c).alias(p + c) for c in df.columns], size_class.alias("_class"))
-
-    def with_cells(df, p):
-        size = F.pow(F.lit(2.0), F.col("_class"))
-        for c in (x, y):
-            low, high = (F.floor(F.col(p + c + e) / size) for e in ("_min", "_max"))
-            df = df.withColumn(f"_cell_{c}", F.explode(F.sequence(low, high)))
-        return df
-
-    left = prefixed(a, "a_").withColumn("_class", F.explode(F.sequence(F.col("_class") - steps, F.col("_class") + steps)))
-    pairs = with_cells(left, "a_").join(with_cells(prefixed(b, "b_"), "b_"), ["_class", f"_cell_{x}", f"_cell_{y}"])
-    pairs = pairs.where(F.col("a_" + run) != F.col("b_" + run)).withColumn("share", overlap_share(coords, "a_", "b_"))
-    # a pair may share several cells; it counts in the cell of its overlap's lower corner
-    size = F.pow(F.lit(2.0), F.col("_class"))
-    for c in (x, y):
-        corner = F.floor(F.greatest(f"a_{c}_min", f"b_{c}_min") / size)
-        pairs = pairs.where(F.col(f"_cell_{c}") == corner)
-    return pairs.where(F.col("share") >= min_share).drop("_class", f"_cell_{x}", f"_cell_{y}")
-
-
-def same_direction(coords: Sequence[str]) -> Column:
-    """At most 90 degrees between the two directions."""
-    dot = None
-    for c in coords:
-        term = F.col(f"a_dir_{c}") * F.col(f"b_dir_{c}")
-        dot = term if dot is None else dot + term
-    return dot >= 0
+    best, at = np.full(len(left), -1.0), np.full(len(left), -1)
+    usable = np.flatnonzero(np.isfinite(right).all(axis=(1, 2)))
+    asked = np.flatnonzero(np.isfinite(left).all(axis=(1, 2)))
+    if not len(usable) or not len(asked):
+        return at, best
+
+    def volumes(boxes: np.ndarray) -> np.ndarray:
+        return np.prod(boxes[:, :, 1] - boxes[:, :, 0], axis=1)
+
+    def sums(boxes: np.ndarray) -> tuple:
+        size = volumes(boxes)
+        return boxes[:, :, 0].min(axis=0), boxes[:, :, 1].max(axis=0), size.min(), size.max()
+
+    groups = [usable[g] for g in spatial.place_groups(right[usable].reshape(len(usable), -1))]
+    bounds = [np.array(x) for x in zip(*[sums(right[g]) for g in groups])]
+    for rows in spatial.place_groups(left[asked].reshape(len(asked), -1)):
+        rows = asked[rows]
+        most = _greatest_shares(*sums(left[rows]), *bounds)
+        order = np.argsort(-most, kind="stable")
+        for start in range(0, len(order), 16):
+            if most[order[start]] < max(min_share, best[rows].min()):
+                break
+            some = np.sort(np.concatenate([groups[g] for g in order[start : start + 16]]))
+            share = _shares(left[rows], right[some])
+            ok = (share > min_share if strict else share >= min_share) & allowed(rows, some)
+            share = np.where(ok, share, -1.0)
+            first = share.argmax(axis=1)
+            top, where = share[np.arange(len(rows)), first], some[first]
+            better = (top > best[rows]) | ((top == best[rows]) & (top >= 0) & (where < at[rows]))
+            best[rows[better]], at[rows[better]] = top[better], where[better]
+    return at, best
+
+
+def best_partners(a: DataFrame, b: DataFrame, run: str, coords: Sequence[str], min_share: float, same_way: bool = False) -> DataFrame:
+    """For each run of ``a`` the other run of ``b`` with the largest overlap share, the smallest run among equals: ``a_run``, ``b_run``, ``share``, ``same``.
+
+    The share is at least ``min_share``; with ``same_way`` it is above it and only
+    runs in the same direction count. Each part of one summary meets each part
+    of the other in a task, which compares groups of near boxes; no pair of runs
+    is written.
+    """
+    ends = [c + e for c in coords for e in ("_min", "_max")]
+    ways = [f"dir_{c}" for c in coords]
+    columns = [run, *ends, *ways]
+    kind = dict(a.dtypes)[run]
+    schema = f"a_run {kind}, b_run {kind}, share double, same boolean"
+
+    def solve(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        right = right.sort_values(run, kind="stable")
+        names, others = left[run].to_numpy(), right[run].to_numpy()
+        boxes = [d[ends].to_numpy(float).reshape(len(d), len(coords), 2) for d in (left, right)]
+        towards, ways_of = (d[ways].to_numpy(float) for d in (left, right))
+
+        def alike(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+            dot = None
+            for c in range(len(coords)):
+                term = towards[i][..., c] * ways_of[j][..., c]
+                dot = term if dot is None else dot + term
+            return dot >= 0
+
+        def allowed(rows: np.ndarray, some: np.ndarray) -> np.ndarray:
+            ok = names[rows][:, None] != others[some][None, :]
+            return ok & alike(rows[:, None], some[None, :]) if same_way else ok
+
+        at, share = best_boxes(*boxes, allowed, min_share, same_way)
+        rows = np.flatnonzero(at >= 0)
+        return pd.DataFrame({"a_run": names[rows], "b_run": others[at[rows]], "share": share[rows], "same": alike(rows, at[rows])})
+
+    a, b = (cut_lineage(d.select(*columns).where(F.col(run).isNotNull())) for d in (a, b))
+    n, m = (max(1, -(-d.count() // part)) for d, part in ((a, ASKING), (b, ASKED)))
+    # a pair of parts takes far longer than its few bytes suggest, so tasks are not merged by size
+    tasks = max(n * m, int(a.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+    def spread(d: DataFrame, own: str, parts: int, other: str, others: int) -> DataFrame:
+        d = d.withColumn(own, F.pmod(F.xxhash64(run), F.lit(parts)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(others - 1))))
+        return d.repartition(tasks, "_pa", "_pb").groupBy("_pa", "_pb")
+
+    found = spread(a, "_pa", n, "_pb", m).cogroup(spread(b, "_pb", m, "_pa", n)).applyInPandas(solve, schema)
+    best = found.groupBy("a_run").agg(F.min(F.struct((-F.col("share")).alias("_less"), "b_run", "same")).alias("_m"))
+    return best.select("a_run", F.col("_m.b_run").alias("b_run"), (-F.col("_m._less")).alias("share"), F.col("_m.same").alias("same"))
 
 
 def best_overlaps(summaries: DataFrame, run: str, coords: Sequence[str], min_share: float = 0.25) -> DataFrame:
     """Run pairs (run1 < run2): each run with its best-overlapping other run, if that one goes the same way."""
-    pairs = overlapping_traces(summaries, summaries, run, coords, min_share).withColumn("_same", same_direction(coords))
     # largest share, then smallest run; run ids may be of any type that has an order
-    best = pairs.groupBy(F.col("a_" + run).alias("_a")).agg(F.min(F.struct((-F.col("share")).alias("_less"), F.col("b_" + run).alias("_b"), "_same")).alias("_m"))
-    best = best.where("_m._same").select(
-        F.least("_a", "_m._b").alias("run1"), F.greatest("_a", "_m._b").alias("run2"), (-F.col("_m._less")).alias("share")
-    )
-    return best.distinct()
+    best = best_partners(summaries, summaries, run, coords, min_share).where("same")
+    return best.select(F.least("a_run", "b_run").alias("run1"), F.greatest("a_run", "b_run").alias("run2"), "share").distinct()
 
 
 def propagate_labels(
     summaries: DataFrame, labels: DataFrame, run: str, coords: Sequence[str], label: str, min_share: float = 0.25
 ) -> DataFrame:
     """Label of the best-overlapping labelled run in the same direction for every unlabelled run, else ``none``."""
+    summaries = cut_lineage(summaries)
     open_ = summaries.join(labels, run, "left_anti")
     known = summaries.join(labels, run)
-    pairs = overlapping_traces(open_, known, run, coords, min_share).where((F.col("share") > min_share) & same_direction(coords))
-    best = pairs.groupBy(F.col("a_" + run).alias(run)).agg(
-        F.min_by("b_" + label, F.struct(-F.col("share"), F.col("b_" + run))).alias(label)
-    )
+    best = best_partners(open_, known, run, coords, min_share, same_way=True)
+    best = best.join(labels.withColumnRenamed(run, "b_run"), "b_run").select(F.col("a_run").alias(run), label)
     return open_.select(run).join(best, run, "left").withColumn(label, F.coalesce(label, F.lit("none")))
 
 
@@ -223,8 +294,6 @@ def apply_alignment(
 
 def alignment_score(source: DataFrame, target: DataFrame, keys: Sequence[str], coords: Sequence[str], target_id: str, tolerance: float = 2.0) -> DataFrame:
     """Mean and median distance of nearest centres per key, in space and with heights set to 0."""
-    from wayline.operators import spatial
-
     keys = list(keys)
     out = None
     for tag, flat in (("", False), ("_flat", True)):
