@@ -469,3 +469,24 @@ def test_calibration_turns_are_worked_out_once(spark):
     assert "SIN(" not in plan and "COS(" not in plan
     scores = {r["candidate"]: r["score"] for r in d.collect()}
     assert len(scores) == 27 and scores[13] == 3.0
+
+
+def test_small_scans_are_searched_together(spark):
+    """Many small scans at a time give the planes of one after the other, however scans are put together."""
+    rng = random.Random(12)
+    scans = [np.array(cluttered(k, [(1.5 * g, rng.randrange(6, 30)) for g in range(3)], rng.randrange(0, 40))) for k in range(60)]
+    scans += [np.zeros((0, 3)), np.zeros((5, 3)), np.zeros((20, 3)), np.arange(60.0).reshape(20, 3)]
+    each = [registration.search_planes(p, 0.05, 8, np.random.default_rng(k)) for k, p in enumerate(scans)]
+    both = registration.search_planes_together(scans, 0.05, 8, [np.random.default_rng(k) for k in range(len(scans))])
+    assert sum(map(len, each)) > 60
+    for one, other in zip(each, both):
+        assert [k for *_, k in one] == [k for *_, k in other]
+        for (n, c, e, _), (m, d, f, _) in zip(one, other):
+            assert np.allclose(n, m, atol=1e-7) and np.allclose(c, d, atol=1e-6) and e == pytest.approx(f, abs=1e-7)
+    rows = [(f"s{k}", i, *map(float, p)) for k, scan in enumerate(scans) for i, p in enumerate(scan)]
+    d = spark.createDataFrame(rows, "k string, id bigint, x double, y double, z double")
+    found = registration.find_planes(d, ["k"], "id", threshold=0.05, min_points=8)
+    assert "_bucket" in found._jdf.queryExecution().optimizedPlan().toString()
+    got = sorted((r.k, r.round, r.n_inliers) for r in found.collect())
+    again = sorted((r.k, r.round, r.n_inliers) for r in registration.find_planes(d.repartition(5), ["k"], "id", threshold=0.05, min_points=8).collect())
+    assert got == again and len(got) > 60

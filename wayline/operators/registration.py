@@ -151,6 +151,10 @@ DRAWS = 1024
 GROWN = 8
 #: scans of more points first rank draws by the points of their cell
 LARGE_SCAN = 4096
+#: points of a scan up to which it is searched together with others
+SMALL_SCAN = 256
+#: points of the scans that one call searches
+SCANS_POINTS = 10_000
 
 
 def _drawn_planes(p: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
@@ -214,6 +218,16 @@ def _grown(p: np.ndarray, normal: np.ndarray, centre: np.ndarray, threshold: flo
     return n, normal, centre
 
 
+def _taken(rest: np.ndarray, normal: np.ndarray, centre: np.ndarray, threshold: float) -> tuple[tuple[np.ndarray, np.ndarray, float, int], np.ndarray]:
+    """A found plane as it is given back, and the points it leaves."""
+    hit = np.abs((rest - centre) @ normal) < threshold
+    centre = rest[hit].mean(axis=0) - ((rest[hit].mean(axis=0) - centre) @ normal) * normal  # beside the points' mean, on the plane
+    hit = np.abs((rest - centre) @ normal) < threshold
+    normal = normal * (-1.0 if normal[2] < 0 else 1.0)
+    error = float(np.sqrt((((rest[hit] - centre) @ normal) ** 2).sum()) / hit.sum())
+    return (normal, centre, error, int(hit.sum())), rest[~hit]
+
+
 def search_planes(p: np.ndarray, threshold: float, min_points: int, rng: np.random.Generator, confidence: float = 0.9999, local_share: float = 0.35) -> list[tuple[np.ndarray, np.ndarray, float, int]]:
     """Planes of a scan one after the other: normal (up), mean point, root error over n, inliers among the points not yet explained.
 
@@ -240,14 +254,111 @@ def search_planes(p: np.ndarray, threshold: float, min_points: int, rng: np.rand
                     best, model = n, plane
         if model is None or best < min_points:
             break
-        normal, centre = model
-        hit = np.abs((rest - centre) @ normal) < threshold
-        centre = rest[hit].mean(axis=0) - ((rest[hit].mean(axis=0) - centre) @ normal) * normal  # beside the points' mean, on the plane
-        hit = np.abs((rest - centre) @ normal) < threshold
-        normal = normal * (-1.0 if normal[2] < 0 else 1.0)
-        error = float(np.sqrt((((rest[hit] - centre) @ normal) ** 2).sum()) / hit.sum())
-        found.append((normal, centre, error, int(hit.sum())))
-        rest = rest[~hit]
+        plane, rest = _taken(rest, *model, threshold)
+        found.append(plane)
+    return found
+
+
+def _drawn_together(p: np.ndarray, sizes: np.ndarray, rngs: list[np.random.Generator]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """:func:`_drawn_planes` of several small scans (scan, point, axis), padded behind their ``sizes``; and which draws span a plane."""
+    scans, most = p.shape[:2]
+    at = np.arange(most)
+    real = at < sizes[:, None]
+    low = np.where(real[:, :, None], p, np.inf).min(axis=1)
+    extent = np.maximum((np.where(real[:, :, None], p, -np.inf).max(axis=1) - low).max(axis=1), 1e-9)
+    each = -(-DRAWS // DRAW_LEVELS)
+    every = np.arange(scans)[:, None]
+    draws = []
+    for level in range(DRAW_LEVELS):
+        shift = np.array([rng.random(3) if level else np.zeros(3) for rng in rngs])
+        seen = np.array([rng.integers(n, size=each) for rng, n in zip(rngs, sizes.tolist(), strict=True)])
+        share = np.array([rng.random((each, 3)) for rng in rngs])
+        cell = np.floor((p - low[:, None]) / (extent / 2**level)[:, None, None] + shift[:, None]).astype(np.int64)
+        code = np.where(real, (cell[:, :, 0] * 1000 + cell[:, :, 1]) * 1000 + cell[:, :, 2], np.iinfo(np.int64).max)
+        order = np.argsort(code, axis=1, kind="stable")
+        new = np.ones(code.shape, bool)
+        new[:, 1:] = np.diff(np.take_along_axis(code, order, axis=1), axis=1) != 0
+        start = np.maximum.accumulate(np.where(new, at, 0), axis=1)
+        last = np.ones(code.shape, bool)
+        last[:, :-1] = new[:, 1:]
+        end = np.minimum.accumulate(np.where(last, at + 1, most)[:, ::-1], axis=1)[:, ::-1]
+        start, end = np.take_along_axis(start, seen, axis=1), np.take_along_axis(end, seen, axis=1)
+        picks = start[:, :, None] + np.floor(share * (end - start)[:, :, None]).astype(np.int64)
+        draws.append(order[every[:, :, None], picks])
+    picks = np.concatenate(draws, axis=1)
+    a, b, c = (p[every, picks[:, :, k]] for k in range(3))
+    u, v = b - a, c - a
+    normal = np.stack([u[..., 1] * v[..., 2] - u[..., 2] * v[..., 1], u[..., 2] * v[..., 0] - u[..., 0] * v[..., 2], u[..., 0] * v[..., 1] - u[..., 1] * v[..., 0]], axis=2)
+    length = np.sqrt((normal * normal).sum(axis=2))
+    good = length > 1e-12
+    normal = normal / np.where(good, length, 1.0)[:, :, None]
+    return normal, (normal * a).sum(axis=2), good
+
+
+def _grown_together(p: np.ndarray, real: np.ndarray, normal: np.ndarray, centre: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """:func:`_grown` of a plane each of several scans."""
+
+    def hits(rows: np.ndarray, normal: np.ndarray, centre: np.ndarray) -> np.ndarray:
+        return (np.abs(((p[rows] - centre[:, None]) * normal[:, None]).sum(axis=2)) < threshold) & real[rows]
+
+    todo = np.arange(len(p))
+    hit = hits(todo, normal, centre)
+    n, normal, centre = hit.sum(axis=1), normal.copy(), centre.copy()
+    while len(todo := todo[n[todo] >= 3]):
+        own = np.where(hit[todo, :, None], p[todo], 0.0)
+        middle = own.sum(axis=1) / n[todo, None]
+        own = np.where(hit[todo, :, None], p[todo] - middle[:, None], 0.0)
+        refit = np.linalg.eigh(own.transpose(0, 2, 1) @ own)[1][:, :, 0]
+        again = hits(todo, refit, middle)
+        gains = again.sum(axis=1) > n[todo]
+        todo = todo[gains]
+        hit[todo], normal[todo], centre[todo] = again[gains], refit[gains], middle[gains]
+        n[todo] = hit[todo].sum(axis=1)
+    return n, normal, centre
+
+
+def search_planes_together(scans: list[np.ndarray], threshold: float, min_points: int, rngs: list[np.random.Generator], confidence: float = 0.9999, local_share: float = 0.35) -> list[list[tuple[np.ndarray, np.ndarray, float, int]]]:
+    """:func:`search_planes` of many small scans: the same draws of each, worked out as further axes of the same steps."""
+    found: list[list] = [[] for _ in scans]
+    rest = list(scans)
+    best, tried, models = [0] * len(scans), [0] * len(scans), [None] * len(scans)
+    open_ = [k for k, q in enumerate(rest) if len(q) >= max(min_points, 3)]
+    while open_:
+        asked = []
+        for k in open_:
+            while True:
+                share = max(best[k], min_points) / len(rest[k]) * local_share**2 / DRAW_LEVELS
+                if tried[k] < np.log(1 - confidence) / np.log1p(-min(share, 0.999)):
+                    asked.append(k)
+                    break
+                if models[k] is None or best[k] < min_points:
+                    break
+                plane, rest[k] = _taken(rest[k], *models[k], threshold)
+                found[k].append(plane)
+                best[k], tried[k], models[k] = 0, 0, None
+                if len(rest[k]) < max(min_points, 3):
+                    break
+        open_ = asked
+        asked.sort(key=lambda k: len(rest[k]))
+        for start in range(0, len(asked), 16):
+            part = asked[start : start + 16]
+            sizes = np.array([len(rest[k]) for k in part])
+            p = np.zeros((len(part), sizes.max(), 3))
+            for row, k in enumerate(part):
+                p[row, : sizes[row]] = rest[k]
+            normal, offset, good = _drawn_together(p, sizes, [rngs[k] for k in part])
+            votes = np.stack([_votes(p[row, :n], normal[row], offset[row], threshold) for row, n in enumerate(sizes)])
+            top = np.argsort(-np.where(good, votes, -1), axis=1, kind="stable")[:, :GROWN]
+            row = np.repeat(np.arange(len(part)), top.shape[1])
+            col = top.reshape(-1)
+            row, col = row[good[row, col]], col[good[row, col]]
+            real = np.arange(p.shape[1]) < sizes[:, None]
+            n, grown, centre = _grown_together(p[row], real[row], normal[row, col], offset[row, col][:, None] * normal[row, col], threshold)
+            for k in part:
+                tried[k] += DRAWS
+            for r, count, direction, middle in zip(row.tolist(), n.tolist(), grown, centre, strict=True):
+                if count > best[part[r]]:
+                    best[part[r]], models[part[r]] = count, (direction, middle)
     return found
 
 
@@ -272,14 +383,35 @@ def find_planes(
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(ident, kind="stable")
-        head = pdf[keys].iloc[0].tolist()
-        rng = np.random.default_rng(zlib.crc32(repr((seed, [str(v) for v in head])).encode()))
-        planes = search_planes(pdf[XYZ].to_numpy(float), threshold, min_points, rng, **search)
-        return pd.DataFrame([[*head, r, *n, *c, e, k, abs(float(n @ gravity)) < least] for r, (n, c, e, k) in enumerate(planes)], columns=[*keys, *names])
+        key = pdf.groupby(keys, sort=False, dropna=False).ngroup().to_numpy()
+        order = np.argsort(key, kind="stable")
+        starts = np.flatnonzero(np.r_[True, np.diff(key[order]) != 0])
+        heads = pdf[keys].iloc[order[starts]].to_numpy().tolist()
+        scans = np.split(pdf[XYZ].to_numpy(float)[order], starts[1:])
+        rngs = [np.random.default_rng(zlib.crc32(repr((seed, [str(v) for v in head])).encode())) for head in heads]
+        if len(scans) == 1:
+            found = [search_planes(scans[0], threshold, min_points, rngs[0], **search)]
+        else:
+            found = search_planes_together(scans, threshold, min_points, rngs, **search)
+        rows = [[at, r, *n, *c, e, k, abs(float(n @ gravity)) < least] for at, planes in enumerate(found) for r, (n, c, e, k) in enumerate(planes)]
+        out = pd.DataFrame(rows, columns=["_at", *names])
+        own = pdf[keys].iloc[order[starts]].iloc[out["_at"].to_numpy(np.int64)].reset_index(drop=True)
+        return pd.concat([own, out[names]], axis=1)
 
     # the search takes far longer than its few bytes suggest, so its tasks are not merged by size
-    scans = spatial.usable(points.select(*keys, ident, *XYZ), XYZ).repartition(int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
-    return scans.groupBy(*keys).applyInPandas(solve, schema)
+    tasks = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    scans = spatial.usable(points.select(*keys, ident, *XYZ), XYZ)
+    counts = scans.groupBy(*keys).agg(F.count("*").alias("_n"))
+    total, most = counts.agg(F.sum("_n"), F.max("_n")).first()
+    small, large = scans, None
+    if (most or 0) > SMALL_SCAN:
+        wide = cut_lineage(counts.where(F.col("_n") > SMALL_SCAN).select(*keys))
+        same = [scans[k].eqNullSafe(F.col(f"_w_{k}")) for k in keys]
+        wide = wide.select(*[F.col(k).alias(f"_w_{k}") for k in keys])
+        small, large = scans.join(wide, same, "left_anti"), scans.join(wide, same, "left_semi")
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(max(1, -(-(total or 0) // SCANS_POINTS))))
+    found = small.withColumn("_bucket", bucket).repartition(tasks, "_bucket").groupBy("_bucket").applyInPandas(solve, schema)
+    return found if large is None else found.unionByName(large.repartition(tasks, *keys).groupBy(*keys).applyInPandas(solve, schema))
 
 
 def support_planes(
