@@ -66,3 +66,22 @@ def test_stages_on_an_empty_table(spark, documents):
     docs = documents([])
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, "").count() == 0
+
+
+def test_stages_hand_few_texts_at_a_time_to_python(spark):
+    """Whole texts go to Python workers in small batches; a lower number that the user sets stays."""
+    from wayline.llm import common, language, packing, quality, similar
+
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    docs = spark.createDataFrame([(i, f"word{i} " * 30, "en") for i in range(4)], "doc_id long, text string, lang string")
+    stages = [lambda: quality.keep_good(docs), lambda: language.keep_known(docs, None), lambda: similar.keep_one(docs), lambda: packing.pack_documents(docs)]
+    try:
+        for stage in stages:
+            spark.conf.unset(name)
+            stage()
+            assert int(spark.conf.get(name)) == common.BATCH_TEXTS
+            spark.conf.set(name, "7")
+            stage()
+            assert spark.conf.get(name) == "7"
+    finally:
+        spark.conf.unset(name)

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from wayline.session import cut_lineage, ensure_checkpoint_dir
 
-__all__ = ["cut_lineage", "ensure_checkpoint_dir", "free_name", "sized_join", "WORDS"]
+__all__ = ["cut_lineage", "ensure_checkpoint_dir", "free_name", "sized_join", "small_batches", "WORDS"]
 
 #: pattern between words in the sense of the contracts: ASCII space and \t \n \v \f \r
 WORDS = r"[\x20\x09-\x0D]+"
@@ -14,6 +14,21 @@ WORDS = r"[\x20\x09-\x0D]+"
 #: tables of at most so many rows may be broadcast once they have been counted
 BROADCAST_ROWS = 100_000
 
+#: whole texts that go to a Python worker at a time; Spark's own number of rows is meant for short ones
+BATCH_TEXTS = 1_000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Let at most :data:`BATCH_TEXTS` rows go to Python workers at a time, for the rest of the session.
+
+    A batch of texts lies in the executor's direct memory, in its queue of rows
+    and, as strings and as arrays, in the worker. A lower number that is set stays.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name, "10000"))
+    if now <= 0 or now > BATCH_TEXTS:
+        spark.conf.set(name, str(BATCH_TEXTS))
+
 
 def free_name(df: DataFrame, base: str) -> str:
     """A column name that ``df`` does not have yet, whatever its case."""

@@ -18,7 +18,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from wayline.llm.common import cut_lineage, free_name, sized_join
+from wayline.llm.common import cut_lineage, free_name, sized_join, small_batches
 
 #: bytes of a training block
 BLOCK = 64
@@ -306,6 +306,7 @@ def predict_languages(docs: DataFrame, net: Network | None, ident: str = "doc_id
 
 def keep_known(docs: DataFrame, net: Network | None, text: str = "text", least: float = 0.5) -> DataFrame:
     """The rows whose language is known with a score of ``least`` or more, with all their columns."""
+    small_batches(docs.sparkSession)
     p = free_name(docs, "_language")
     kept = docs.withColumn(p, language(F.col(text), net))
     return kept.where((F.col(f"{p}.lang_pred") != UNKNOWN) & (F.col(f"{p}.score") >= least)).drop(p)

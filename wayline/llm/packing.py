@@ -18,7 +18,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from wayline.llm.common import cut_lineage
+from wayline.llm.common import cut_lineage, small_batches
 from wayline.llm.tokencount import byte_letters, tokenizer_path
 
 LENGTH = 4096
@@ -165,4 +165,5 @@ def pack(cut: DataFrame, length: int = LENGTH, group_tokens: int = 8_000_000, se
 
 def pack_documents(docs: DataFrame, length: int = LENGTH, **kind) -> DataFrame:
     """Tokenise, cut and pack whole documents; see :func:`pieces` and :func:`pack`."""
+    small_batches(docs.sparkSession)
     return pack(pieces(docs, length=length, **kind), length)

@@ -10,7 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from wayline.llm.common import free_name
+from wayline.llm.common import free_name, small_batches
 
 SPACE = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
@@ -156,5 +156,6 @@ def quality_report(docs: DataFrame, ident: str = "doc_id", text: str = "text", *
 
 def keep_good(docs: DataFrame, text: str = "text", **rules) -> DataFrame:
     """The rows of ``docs`` whose text passes the rules, with all their columns."""
+    small_batches(docs.sparkSession)
     q = free_name(docs, "_quality")
     return docs.withColumn(q, quality(F.col(text), **rules)).where(F.col(f"{q}.kept")).drop(q)

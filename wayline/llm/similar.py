@@ -16,7 +16,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from wayline.llm.common import cut_lineage, free_name, sized_join
+from wayline.llm.common import cut_lineage, free_name, sized_join, small_batches
 from wayline.llm.simhash import link_components, shingle_hashes, trie_pairs
 
 #: forests a text stands in; texts of similarity 0.8 share none with a chance of 0.2 to this power
@@ -250,6 +250,7 @@ def similar_groups(docs: DataFrame, ident: str, text: str, size: int = 5, simila
     ``most`` is the number of differing bits up to which a pair is a candidate:
     ten are expected at a similarity of 0.8, more come by chance in short texts.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(ident).alias("id"), F.col(text).alias("text")).withColumn("hash", F.xxhash64("text"))
     prints = cut_lineage(rows.select("id", "hash", signature(F.col("text"), size).alias("s")).select("id", "hash", F.xxhash64("s.fp", "s.mins", "s.sketch").alias("leaf"), "s.*"))
     leaves = cut_lineage(prints.groupBy("leaf").agg(*[F.first(c).alias(c) for c in ("fp", "mins", "sketch", "size")], F.min("hash").alias("hash")))
