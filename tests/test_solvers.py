@@ -288,6 +288,29 @@ def test_planes_are_found_among_outliers(spark):
     assert again.n_inliers == r.n_inliers and again.nx == pytest.approx(r.nx, abs=1e-12)
 
 
+def test_planes_of_many_keys_are_drawn_together(spark, monkeypatch):
+    rng = random.Random(8)
+    rows = [(k, i, *p) for k in range(40) for i, p in enumerate(tilted(rng, rng.randint(4, 30), 0.02))]
+    rows += [(7, 900 + i, rng.uniform(-5, 5), rng.uniform(-5, 5), rng.uniform(3, 6)) for i in range(90)] + [(50, i, 1.0, 1.0, 1.0) for i in range(20)]
+    d = spark.createDataFrame(rows, "k bigint, id bigint, x double, y double, z double").repartition(3)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")  # keys go on over several batches
+    try:
+        small = registration.ransac_planes(d, ["k"], "id", 0.05, up=(0.0, 0.0, 1.0), max_tilt_deg=30.0)
+        plan = small._jdf.queryExecution().executedPlan().toString()
+        assert "min_by" not in plan and plan.count("Exchange") == 1
+        got = {r.k: r for r in small.collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    for limit in (0, 50):  # all keys by partial aggregates, and the crowded one only
+        monkeypatch.setattr(registration, "SMALL_KEY", limit)
+        want = {r.k: r for r in registration.ransac_planes(d, ["k"], "id", 0.05, up=(0.0, 0.0, 1.0), max_tilt_deg=30.0).collect()}
+        assert got.keys() == want.keys() and 20 < len(got) < 41 and 7 in got
+        for k, r in got.items():
+            assert (r.n_fit, r.n_inliers) == (want[k].n_fit, want[k].n_inliers)
+            assert list(r)[1:7] == pytest.approx(list(want[k])[1:7], abs=1e-9) and r.error == pytest.approx(want[k].error, abs=1e-6)
+
+
 def test_objects_stand_on_the_support_plane(spark):
     rng = random.Random(6)
     ground = [(rng.uniform(-10, 10), rng.uniform(-10, 10), rng.gauss(0, 0.01)) for _ in range(400)]

@@ -7,6 +7,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from wayline.operators import spatial
@@ -62,6 +63,16 @@ def _three_by_three(df: DataFrame, keys: Sequence[str], fields: Sequence[str], s
     return df.select(*keys, *fields).mapInPandas(run, schema)
 
 
+def _plane_of_sums(v: np.ndarray) -> np.ndarray:
+    """Normal (up) and root error of planes from the sums of products of their points' offsets."""
+    m = np.empty((len(v), 3, 3))
+    for k, (i, j) in enumerate((i, j) for i in range(3) for j in range(i, 3)):
+        m[:, i, j] = m[:, j, i] = v[:, k]
+    values, vectors = np.linalg.eigh(m)
+    n = vectors[:, :, 0] * np.where(vectors[:, 2:3, 0] < 0, -1.0, 1.0)
+    return np.column_stack([n, np.sqrt(np.maximum(values[:, 0], 0.0))])
+
+
 def fit_planes(points: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Least-squares plane per key: normal (up), mean point, root error over n, n."""
     keys = list(keys)
@@ -70,30 +81,132 @@ def fit_planes(points: DataFrame, keys: Sequence[str]) -> DataFrame:
     pairs = [(i, j) for i in range(3) for j in range(i, 3)]
     sums = d.groupBy(*keys).agg(*[F.sum(F.col(f"_d{XYZ[i]}") * F.col(f"_d{XYZ[j]}")).alias(f"_s{i}{j}") for i, j in pairs])
 
-    def solve(v):
-        m = np.empty((len(v), 3, 3))
-        for k, (i, j) in enumerate(pairs):
-            m[:, i, j] = m[:, j, i] = v[:, k]
-        values, vectors = np.linalg.eigh(m)
-        n = vectors[:, :, 0] * np.where(vectors[:, 2:3, 0] < 0, -1.0, 1.0)
-        return np.column_stack([n, np.sqrt(np.maximum(values[:, 0], 0.0))])
-
-    normal = _three_by_three(sums, keys, [f"_s{i}{j}" for i, j in pairs], solve, ["nx", "ny", "nz", "_root"])
+    normal = _three_by_three(sums, keys, [f"_s{i}{j}" for i, j in pairs], _plane_of_sums, ["nx", "ny", "nz", "_root"])
     out = normal.join(centre, keys)
     return out.withColumn("error", F.col("_root") / F.col("n_fit")).drop("_root")
 
 
+#: points of a key up to which its planes are sought together with other keys
+SMALL_KEY = 10_000
+
+
+def _drawn_rows(hashes: np.ndarray, starts: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """The row of the smallest hash of each group."""
+    least = np.flatnonzero(hashes == np.minimum.reduceat(hashes, starts)[group])
+    return least[np.searchsorted(least, starts)]
+
+
+def best_planes(
+    p: np.ndarray, starts: np.ndarray, hashes: Sequence[np.ndarray], threshold: float, min_points: int,
+    up: Sequence[float] | None = None, least: float = 0.0,
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of many groups of points, one behind the other, the best three-point plane, refitted to its inliers.
+
+    ``hashes`` holds three columns a try. Returns which groups have a plane, and
+    their normals, mean points with the errors, and inliers.
+    """
+    size = np.diff(np.r_[starts, len(p)])
+    group = np.repeat(np.arange(len(starts)), size)
+    most, hit = np.zeros(len(starts), np.int64), np.zeros(len(p), bool)
+    for t in range(0, len(hashes), 3):
+        a, b, c = (p[_drawn_rows(h, starts, group)] for h in hashes[t : t + 3])
+        u, v = b - a, c - a
+        normal = np.stack([u[:, 1] * v[:, 2] - u[:, 2] * v[:, 1], u[:, 2] * v[:, 0] - u[:, 0] * v[:, 2], u[:, 0] * v[:, 1] - u[:, 1] * v[:, 0]], axis=1)
+        length = np.sqrt(normal[:, 0] * normal[:, 0] + normal[:, 1] * normal[:, 1] + normal[:, 2] * normal[:, 2])
+        good = length > 1e-12
+        normal = normal / np.where(good, length, 1.0)[:, None]
+        if up is not None:
+            good &= np.abs(normal[:, 0] * up[0] + normal[:, 1] * up[1] + normal[:, 2] * up[2]) >= least
+        parts = (p - a[group]) * normal[group]
+        near = (np.abs(parts[:, 0] + parts[:, 1] + parts[:, 2]) < threshold) & good[group]
+        votes = np.add.reduceat(near.astype(np.int64), starts)
+        more = votes > most
+        most[more] = votes[more]
+        hit = np.where(more[group], near, hit)
+    found = (size >= min_points) & (most >= min(min_points, 3))
+    with np.errstate(invalid="ignore", divide="ignore"):
+        centre = np.add.reduceat(np.where(hit[:, None], p, 0.0), starts) / most[:, None]
+    d = np.where(hit[:, None], p - centre[group], 0.0)
+    sums = np.stack([np.add.reduceat(d[:, i] * d[:, j], starts) for i in range(3) for j in range(i, 3)], axis=1)[found]
+    fit = _plane_of_sums(sums)
+    return found, fit[:, :3], np.column_stack([centre[found], fit[:, 3] / most[found]]), most[found]
+
+
+def _small_ransac_planes(
+    points: DataFrame, keys: Sequence[str], ident: str, threshold: float, tries: int, min_points: int,
+    up: tuple[float, float, float] | None, max_tilt_deg: float | None, seed: int,
+) -> DataFrame:
+    """:func:`ransac_planes` of keys of at most ``SMALL_KEY`` points: rows come sorted by key, and those of many keys are worked out together."""
+    keys = list(keys)
+    types = dict(points.dtypes)
+    slots = [f"_h{i}_{j}" for i in range(tries) for j in range(3)]
+    out = ["nx", "ny", "nz", "px", "py", "pz"]
+    schema = ", ".join([*[f"{k} {types[k]}" for k in keys], *[f"{n} double" for n in out], "n_fit bigint, error double, n_inliers bigint"])
+    tilted = up is not None and max_tilt_deg is not None
+    least = float(np.cos(np.radians(max_tilt_deg))) if tilted else 0.0
+
+    def planes(rows: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
+        p = np.column_stack([rows.column(c).cast(pa.float64()).to_numpy() for c in XYZ])
+        hashes = [rows.column(h).to_numpy() for h in slots]
+        found, normal, centre, n = best_planes(p, starts, hashes, threshold, min_points, up if tilted else None, least)
+        own = rows.select(keys).take(pa.array(starts[found]))
+        numbers = [*normal.T, *centre[:, :3].T, n, centre[:, 3], n]
+        arrays = [*[own.column(k).combine_chunks() for k in keys], *[pa.array(x) for x in numbers]]
+        return pa.RecordBatch.from_arrays(arrays, names=[*keys, *out, "n_fit", "error", "n_inliers"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = None  # the last key so far, which may go on in the next batch
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            rows = rows if kept is None else pa.concat_tables([kept, rows]).combine_chunks()
+            if not rows.num_rows:
+                continue
+            new = np.r_[True, np.zeros(rows.num_rows - 1, bool)]
+            for k in keys:
+                code = rows.column(k).combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy()
+                new[1:] |= np.diff(code) != 0
+            starts = np.flatnonzero(new)
+            if len(starts) > 1:
+                yield planes(rows.slice(0, int(starts[-1])), starts[:-1])
+            kept = rows.slice(int(starts[-1]))
+        if kept is not None:
+            yield planes(kept, np.zeros(1, np.int64))
+
+    rows = points.select(*keys, ident, *XYZ).repartition(*keys).sortWithinPartitions(*keys, ident, *XYZ)
+    rows = rows.select(*keys, *XYZ, *[F.xxhash64(F.lit(seed), F.lit(i), F.lit(j), *keys, ident).alias(f"_h{i}_{j}") for i in range(tries) for j in range(3)])
+    return rows.mapInArrow(run, schema)
+
+
 def ransac_planes(
     points: DataFrame, keys: Sequence[str], ident: str, threshold: float = 0.05, tries: int = 10, min_points: int = 10,
     up: tuple[float, float, float] | None = None, max_tilt_deg: float | None = None, seed: int = 0,
-) -> DataFrame:
+    within: tuple[DataFrame, Sequence[str]] | None = None,
+) -> DataFrame:
     """Best of ``tries`` three-point planes per key, refitted to its inliers.
 
     The three points of a try are those with the smallest hash of (id, try,
-    slot), found by partial aggregation, so the draw is the same on every run
-    and no group is gathered. Keys with too few points or inliers drop out.
+    slot), so the draw is the same on every run. Keys of few points are worked
+    out many together; of larger ones no group is gathered. ``within`` names a
+    table and some of the keys whose rows there are at least a key's points, and
+    spares counting ``points``. Keys with too few points or inliers drop out.
     """
     keys = list(keys)
+    sized, by = within or (points, keys)
+    by = list(by)
+    wide = cut_lineage(sized.groupBy(*by).agg(F.count("*").alias("_n")).where(F.col("_n") > SMALL_KEY).select(*[F.col(k).alias(f"_w_{k}") for k in by]))
+    if wide.isEmpty():
+        return _small_ransac_planes(points, keys, ident, threshold, tries, min_points, up, max_tilt_deg, seed)
+    same = [points[k].eqNullSafe(F.col(f"_w_{k}")) for k in by]
+    few = _small_ransac_planes(points.join(wide, same, "left_anti"), keys, ident, threshold, tries, min_points, up, max_tilt_deg, seed)
+    return few.unionByName(_large_ransac_planes(points.join(wide, same, "left_semi"), keys, ident, threshold, tries, min_points, up, max_tilt_deg, seed))
+
+
+def _large_ransac_planes(
+    points: DataFrame, keys: Sequence[str], ident: str, threshold: float, tries: int, min_points: int,
+    up: tuple[float, float, float] | None, max_tilt_deg: float | None, seed: int,
+) -> DataFrame:
+    """:func:`ransac_planes` of keys of any size: draws and votes are partial aggregates."""
+    keys = list(keys)
 
     def draw(i, j):
         return F.min_by(F.struct(*XYZ), F.xxhash64(F.lit(seed), F.lit(i), F.lit(j), *keys, ident)).alias(f"_p{i}_{j}")
@@ -122,7 +235,8 @@ def ransac_planes(
     best = votes.groupBy(*keys).agg(F.max(F.struct("n_inliers", (-F.col("_i")).alias("_neg"))).alias("_b"))
     best = best.select(*keys, (-F.col("_b._neg")).alias("_i"), F.col("_b.n_inliers").alias("n_inliers")).where(F.col("n_inliers") >= min(min_points, 3))
     inliers = points.join(best.join(models, [*keys, "_i"]), keys).where(F.abs(off) < threshold)
-    return fit_planes(inliers.select(*keys, *XYZ), keys).join(best.drop("_i"), keys)
+    planes = fit_planes(inliers.select(*keys, *XYZ), keys).join(best.drop("_i"), keys)
+    return planes.select(*keys, *[f"n{c}" for c in XYZ], *[f"p{c}" for c in XYZ], "n_fit", "error", "n_inliers")
 
 
 def ground_planes(
@@ -140,7 +254,7 @@ def ground_planes(
         side = sum(((F.col(c) - F.col(f"c_{c}")) * F.col(f"c_l{c}") for c in "yz"), (F.col("x") - F.col("c_x")) * F.col("c_lx"))
         near = near.where((side < F.col("c_y_left")) & (side > F.col("c_y_right")))
     near = near.select(*keys, F.col(f"c_{pose}").alias(pose), ident, *XYZ)
-    return ransac_planes(near, [*keys, pose], ident, threshold, tries, min_points)
+    return ransac_planes(near, [*keys, pose], ident, threshold, tries, min_points, within=(ground, keys))
 
 
 #: three points are drawn from cells of so many sizes, each half of the one before
