@@ -4,6 +4,7 @@ import random
 import time
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -105,6 +106,54 @@ def test_can_objects_do_not_depend_on_triggers(spark, tmp_path, parts):
     assert got == sorted(want) and len(want) > 10
 
 
+class KeyState:
+    """A key's state in a list, its calls counted."""
+
+    def __init__(self):
+        self.value, self.mark, self.wake, self.calls, self.hasTimedOut = None, 0, None, 0, False
+
+    exists = property(lambda self: self.value is not None)
+
+    @property
+    def get(self):
+        self.calls += 1
+        return self.value
+
+    def update(self, value):
+        self.value, self.calls = value, self.calls + 1
+
+    def remove(self):
+        self.value, self.calls = None, self.calls + 1
+
+    def setTimeoutTimestamp(self, at):
+        assert at >= max(self.mark, 1)
+        self.wake = at
+
+    def getCurrentWatermarkMs(self):
+        return self.mark
+
+
+def test_a_call_reads_and_writes_the_state_of_a_key_once():
+    rows = sorted((t, i, ident, data) for _, t, i, ident, data in can_rows(9, 1500, step=1000, runs=("a",)))
+    machine = ordered._Objects("run string", 300_000)
+    state, got = KeyState(), []
+    for at in [*range(0, 1500, 40), None]:  # the last call is a timeout
+        state.calls = 0
+        batch = [pd.DataFrame(rows[at : at + 40], columns=["t", "ord", "can_id", "data"])] if at is not None else []
+        state.hasTimedOut, state.mark = at is None, (max(rows[at][0] // 1000 - 1, 0) if at is not None else rows[-1][0] // 1000 + 301)
+        if at is None:
+            assert state.wake < state.mark
+        for out in machine.take(("a",), iter(batch), state):
+            got += list(zip(out["header_time"], out["unit"], out["a"], out["b"], out["c"]))
+        assert state.calls <= 2
+    want, stretch = [], []
+    for r in [*rows, None]:
+        if stretch and (r is None or r[0] - stretch[-1][0] > 300_000):
+            want, stretch = want + brute_objects(stretch), []
+        stretch.append(r)
+    assert sorted(got) == sorted(want) and len(want) > 5 and not state.exists
+
+
 @pytest.mark.parametrize("parts", [1, 4])
 def test_counts_since_a_trigger(spark, tmp_path, parts):
     rng = random.Random(6)

@@ -1,17 +1,21 @@
 """State machines over arriving rows that are taken in order of time.
 
-Rows wait in a list in the state until the watermark has passed them, so what
-comes out does not depend on how the input falls into triggers. New rows are
-appended to that list; only a timer, set for the earliest one, reads it.
+Rows wait in the state until the watermark has passed them, so what comes out
+does not depend on how the input falls into triggers. A key's state is two packed
+values, read and written once a call; a call to the state store for every
+variable costs more than the work on a key's few rows.
 """
 
 from __future__ import annotations
 
+import pickle
+from bisect import bisect_right
 from collections.abc import Iterator, Sequence
+from typing import Any
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from wayline.functions import can
 from wayline.streaming.live import DELAY
@@ -19,91 +23,67 @@ from wayline.streaming.live import DELAY
 Row = tuple
 
 
-class InOrder(StatefulProcessor):
+class InOrder:
     """Hands the rows of a key to :meth:`step` by their first field, a time in microseconds.
 
-    ``row`` is the schema of a row and ``out`` names the key column and the
-    fields of the results. Subclasses keep their own state.
+    ``row`` names the fields of a row, the time first; ``out`` is the schema of
+    the results, the key column first. The rows that wait are bounded by the
+    watermark's delay.
     """
 
-    def __init__(self, row: str, out: Sequence[str]) -> None:
-        self.row, self.out = row, list(out)
-        self.fields = [part.split()[0] for part in row.split(", ")]
+    def __init__(self, row: Sequence[str], out: str) -> None:
+        self.row, self.out = list(row), out
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.waiting = handle.getListState("waiting", self.row)
-        self.prepare(handle)
-
-    def prepare(self, handle: StatefulProcessorHandle) -> None:
-        """Make the subclass's own state variables."""
-
-    def step(self, rows: list[Row], mark_us: int) -> tuple[list[tuple], int | None]:
-        """Results of the rows up to the watermark, and when to be called again without further rows."""
+    def step(self, rows: list[Row], mark_us: int, own: Any) -> tuple[list[tuple], Any, int | None]:
+        """Results of the rows up to the watermark, what the machine keeps (None: nothing), and when to be called again without further rows."""
         raise NotImplementedError
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        first = None
-        for pdf in rows:
-            if len(pdf):
-                self.waiting.appendList([_plain(r) for r in pdf[self.fields].itertuples(index=False, name=None)])
-                t = int(pdf[self.fields[0]].min())
-                first = t if first is None else min(first, t)
-        if first is not None:
-            self._wake(first, timerValues)
-        return iter(())
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        mark = timerValues.getCurrentWatermarkInMs() * 1000
-        rows = sorted(_plain(r) for r in self.waiting.get()) if self.waiting.exists() else []
-        cut = next((i for i, r in enumerate(rows) if r[0] > mark), len(rows))
-        out, again = self.step(rows[:cut], mark)
-        if cut < len(rows):
-            if cut:
-                self.waiting.put(rows[cut:])
-            self._wake(rows[cut][0], timerValues)
-        elif rows:
-            self.waiting.clear()
-        if again is not None:
-            self._wake(again, timerValues)
+    def take(self, key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        waiting, own = (pickle.loads(v) for v in state.get) if state.exists else ([], None)
+        if not state.hasTimedOut:
+            for pdf in batches:
+                waiting.extend(zip(*(pdf[c].tolist() for c in self.row), strict=True))
+        mark = state.getCurrentWatermarkMs()
+        waiting.sort()
+        cut = bisect_right(waiting, mark * 1000, key=lambda r: r[0])
+        out, own, again = self.step(waiting[:cut], mark * 1000, own)
+        later = waiting[cut:]
+        if not later and own is None:
+            if state.exists:
+                state.remove()
+        else:
+            state.update((pickle.dumps(later), pickle.dumps(own)))
+            wake = [t for t in (later[0][0] if later else None, again) if t is not None]
+            if wake:  # called once the watermark is beyond this time, and so has reached the row's
+                state.setTimeoutTimestamp(max(-(-min(wake) // 1000) - 1, mark, 1))
         if out:
-            yield pd.DataFrame([(key[0], *r) for r in out], columns=self.out)
+            yield pd.DataFrame([(key[0], *r) for r in out], columns=[part.split()[0] for part in self.out.split(", ")])
 
-    def _wake(self, t_us: int, timerValues) -> None:
-        at = max(t_us // 1000 + 1, timerValues.getCurrentWatermarkInMs() + 1)
-        if at not in {t for t in self.handle.listTimers()}:
-            self.handle.registerTimer(at)
+    def over(self, rows: DataFrame, key: str) -> DataFrame:
+        """Results of arriving rows, each key on its own."""
 
+        def run(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+            return self.take(k, batches, state)
 
-def _plain(row: Sequence) -> Row:
-    return tuple(bytes(v) if isinstance(v, bytearray | bytes) else v.item() if hasattr(v, "item") else v for v in row)
+        return rows.groupBy(key).applyInPandasWithState(run, self.out, "waiting binary, own binary", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 class _Objects(InOrder):
     """Members of the open group wait in a list until the next header or silence ends it."""
 
     def __init__(self, key: str, idle_us: int) -> None:
-        super().__init__("t bigint, ord bigint, can_id int, data binary", [key, "header_time", "unit", "a", "b", "c"])
+        super().__init__(["t", "ord", "can_id", "data"], f"{key}, header_time bigint, unit bigint, a binary, b binary, c binary")
         self.idle_us = idle_us
 
-    def prepare(self, handle: StatefulProcessorHandle) -> None:
-        self.open = handle.getValueState("open", "header_time bigint, announced int, last_us bigint")
-        self.members = handle.getListState("members", "data binary")
-
-    def step(self, rows: list[Row], mark_us: int) -> tuple[list[tuple], int | None]:
-        header, announced, last = self.open.get() if self.open.exists() else (None, 0, None)
+    def step(self, rows: list[Row], mark_us: int, own: Any) -> tuple[list[tuple], Any, int | None]:
+        header, announced, last, members = own or (None, 0, None, [])
         out: list[tuple] = []
-        new: list[tuple] = []  # members that are not in the state yet
 
         def finish() -> None:
             nonlocal header
-            if header is not None:
-                frames = [bytes(m[0]) for m in self.members.get()] if self.members.exists() else []
-                frames += [m[0] for m in new]
-                if len(frames) % 3 == 0:
-                    out.extend((header, i // 3, *frames[i : i + 3]) for i in range(0, len(frames), 3))
-                self.members.clear()
-                new.clear()
+            if header is not None and len(members) % 3 == 0:
+                out.extend((header, i // 3, *members[i : i + 3]) for i in range(0, len(members), 3))
+            members.clear()
             header = None
 
         for t, _, ident, data in rows:
@@ -113,18 +93,14 @@ class _Objects(InOrder):
                 finish()
                 header, announced = t, data[0]
             elif header is not None and can.OBJECT_FIRST_ID <= ident < can.OBJECT_FIRST_ID + 3 * announced:
-                new.append((data,))
+                members.append(data)
             last = t
         silent = last is not None and mark_us - last > self.idle_us
         if silent:
             finish()
-        if new:
-            self.members.appendList(new)
         if header is None:
-            self.open.clear()
-            return out, None
-        self.open.update((header, announced, last))
-        return out, last + self.idle_us + 1000
+            return out, None, None
+        return out, (header, announced, last, members), last + self.idle_us + 1000
 
 
 def object_stream(frames: DataFrame, key: str, order: str, delay: str = DELAY, idle_ms: int = 1000) -> DataFrame:
@@ -139,9 +115,7 @@ def object_stream(frames: DataFrame, key: str, order: str, delay: str = DELAY, i
     rows = frames.withWatermark("ts", delay).select(
         key, "ts", F.unix_micros("ts").alias("t"), F.col(order).cast("bigint").alias("ord"), F.col("can_id").cast("int").alias("can_id"), "data"
     )
-    units = rows.groupBy(key).transformWithStateInPandas(
-        _Objects(key, idle_ms * 1000), f"{key} {key_type}, header_time bigint, unit bigint, a binary, b binary, c binary", "Append", "EventTime"
-    )
+    units = _Objects(f"{key} {key_type}", idle_ms * 1000).over(rows, key)
     fields = can.decode_object(F.col("a"), F.col("b"), F.col("c"))
     return units.select(key, "header_time", "unit", *[c.alias(n) for n, c in fields.items()])
 
@@ -150,16 +124,11 @@ class _Counts(InOrder):
     """Messages of each source since the last trigger, reported per period."""
 
     def __init__(self, key: str, period_us: int) -> None:
-        super().__init__("t bigint, ord bigint, source string, trigger boolean", [key, "period_us", "source", "n_since_trigger"])
+        super().__init__(["t", "ord", "source", "trigger"], f"{key}, period_us bigint, source string, n_since_trigger bigint")
         self.period_us = period_us
 
-    def prepare(self, handle: StatefulProcessorHandle) -> None:
-        self.counts = handle.getMapState("counts", "source string", "n bigint")
-        self.period = handle.getMapState("period", "source string", "start bigint")
-
-    def step(self, rows: list[Row], mark_us: int) -> tuple[list[tuple], int | None]:
-        counts = {k[0]: v[0] for k, v in self.counts.iterator()} if self.counts.exists() else {}
-        active = {k[0]: v[0] for k, v in self.period.iterator()} if self.period.exists() else {}
+    def step(self, rows: list[Row], mark_us: int, own: Any) -> tuple[list[tuple], Any, int | None]:
+        counts, active = own or ({}, {})
         out: list[tuple] = []
 
         def report(until: int) -> None:
@@ -177,14 +146,8 @@ class _Counts(InOrder):
                 counts[source] = counts.get(source, 0) + 1
                 active[source] = start
         report(mark_us)
-        for state, now in ((self.counts, counts), (self.period, active)):
-            old = {k[0]: v[0] for k, v in state.iterator()} if state.exists() else {}
-            for source in old.keys() - now.keys():
-                state.removeKey((source,))
-            for source, value in now.items():
-                if old.get(source) != value:
-                    state.updateValue((source,), (value,))
-        return out, min(active.values()) + self.period_us if active else None
+        kept = (counts, active) if counts or active else None
+        return out, kept, min(active.values()) + self.period_us if active else None
 
 
 def counts_since_trigger(
@@ -201,6 +164,4 @@ def counts_since_trigger(
         key, "ts", F.unix_micros("ts").alias("t"), F.col(order).cast("bigint").alias("ord"), F.col(source).cast("string").alias("source"),
         F.coalesce(is_trigger, F.lit(False)).alias("trigger"),
     )
-    return rows.groupBy(key).transformWithStateInPandas(
-        _Counts(key, every_ms * 1000), f"{key} {key_type}, period_us bigint, source string, n_since_trigger bigint", "Append", "EventTime"
-    )
+    return _Counts(f"{key} {key_type}", every_ms * 1000).over(rows, key)
