@@ -173,6 +173,24 @@ def test_downsample_and_split(spark):
     assert {r.id for r in voxels.split_static(d, known, 1.0, static=False).collect()} == {3}
 
 
+def test_nearest_of_few_targets_forms_no_pair_rows(spark, monkeypatch):
+    rng = random.Random(12)
+    a = [(k, i, float(rng.randrange(40)), float(rng.randrange(40))) for k in range(12) for i in range(60)]
+    b = [(k, j, float(rng.randrange(40)), float(rng.randrange(40))) for k in range(12) for j in range(5 * k)]  # key 0 has none
+    source = spark.createDataFrame(a, "k bigint, i bigint, x double, y double")
+    target = spark.createDataFrame(b, "k bigint, t bigint, x double, y double")
+    plans, cut = [], spatial.cut_lineage
+    monkeypatch.setattr(spatial, "cut_lineage", lambda d: (plans.append(d._jdf.queryExecution().optimizedPlan().toString()), cut(d))[1])
+    got = {(r.k, r.i): (r.t, r.dist) for r in spatial.nearest(source, target, ["k"], ["x", "y"], 8.0, "t").collect()}
+    assert any("_d2" in p for p in plans) and not any("min(struct(_d2" in p for p in plans)
+    want = {}
+    for k, i, x, y in a:
+        near = [((x - u) ** 2 + (y - v) ** 2, t) for q, t, u, v in b if q == k]
+        if near:
+            want[(k, i)] = (min(near)[1], math.sqrt(min(near)[0]))
+    assert got == want
+
+
 def test_nearest_has_no_limit(spark):
     rng = random.Random(8)
     a = [(i % 3, i, rng.uniform(-1, 1) * 10 ** rng.randrange(0, 9), rng.uniform(-50, 50)) for i in range(120)]

@@ -207,14 +207,15 @@ def nearest(
     extent = targets.groupBy(*keys).agg(F.count("*").alias("_n"), *[f(c).alias(n + c) for c in full for f, n in ((F.min, "_lo_"), (F.max, "_hi_"))])
     places = usable(source.select(*every).distinct(), full)
     places = cut_lineage(places.join(extent, keys) if keys else places.crossJoin(F.broadcast(extent)))  # one row without keys
-    t_names = [f"_t_{c}" for c in full]
-    named = targets.select(*keys, target_id, *[F.col(c).alias(t) for c, t in zip(full, t_names)])
     found, crowded = None, places
     if keys:
-        d2 = dist2([F.col(c) for c in full], [F.col(t) for t in t_names])
-        pairs = places.where(F.col("_n") <= few).select(*every).join(named, keys)
-        best = pairs.groupBy(*every).agg(F.min(F.struct(d2.alias("_d2"), F.col(target_id))).alias("_b"))
-        found = cut_lineage(best.select(*every, F.col("_b")[target_id].alias(target_id), F.sqrt("_b._d2").alias("dist")))
+        # a list beside each place: pairs as rows would have to be sorted to find the nearest
+        listed = targets.join(extent.where(F.col("_n") <= few).select(*keys), keys, "left_semi")
+        lists = listed.groupBy(*keys).agg(F.collect_list(F.struct(target_id, *full)).alias("_few"))
+        asked = places.where(F.col("_n") <= few).select(*every).join(lists.hint("shuffle_merge"), keys)
+        d2 = F.transform("_few", lambda t: F.struct(dist2([F.col(c) for c in full], [t[c] for c in full]).alias("_d2"), t[target_id].alias("_t")))
+        best = asked.select(*every, F.array_min(d2).alias("_b"))
+        found = cut_lineage(best.select(*every, F.col("_b._t").alias(target_id), F.sqrt("_b._d2").alias("dist")))
         crowded = places.where(F.col("_n") > few)
     farthest = dist2([F.greatest(F.abs(F.col(c) - F.col("_lo_" + c)), F.abs(F.col(c) - F.col("_hi_" + c))) for c in full], [F.lit(0.0)] * len(full))
     reach, limit = float(first), crowded.agg(F.max(F.sqrt(farthest))).first()[0]
