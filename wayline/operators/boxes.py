@@ -412,5 +412,9 @@ def depth_from_sideways(boxes: DataFrame, segments: DataFrame, frame: str, box:
 
 
 def image_order(boxes: DataFrame, image: str) -> DataFrame:
-    """Sort by image prefix, then image number."""
-    return boxes.orderBy(text.image_prefix(F.col(image)), text.image_number(F.col(image)))
+    """Sort by image prefix, then image number.
+
+    Both are columns of their own, as a sort works its expressions out again in every comparison.
+    """
+    d = boxes.withColumns({"_prefix": text.image_prefix(F.col(image)), "_number": text.image_number(F.col(image))})
+    return d.orderBy("_prefix", "_number").drop("_prefix", "_number")
