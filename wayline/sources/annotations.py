@@ -8,6 +8,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from wayline import schemas
 
+#: fields of a box in the order of plain texts; the corners are always there
+_RECT = {"x1": "double", "y1": "double", "x2": "double", "y2": "double", "score": "double", "scale": "double", "classID": "int", "track_id": "int"}
+#: fields that have another name as a column
+RECT_NAMES = {"classID": "class_id"}
+
+
 def parse_lines(lines: DataFrame, text: str = "value") -> DataFrame:
     """``"name@frame": (x1, y1, x2, y2):score/silhouette, ...;`` to one row per box.
 
@@ -56,14 +62,42 @@ def explode_annotations(documents: DataFrame, annotation: str) -> DataFrame:
     """Rows per box from annotation structs; images without boxes keep one row."""
     a = F.col(annotation)
     d = documents.select("*", a["image"]["name"].alias("image"), F.coalesce(a["image"]["frameNr"], F.lit(-1)).alias("frame"), F.posexplode_outer(a["annorect"]).alias("box_no", "_r"))
-    names = {"x1": "x1", "y1": "y1", "x2": "x2", "y2": "y2", "score": "score", "scale": "scale", "classID": "class_id", "track_id": "track_id"}
-    return d.select(*[c for c in documents.columns if c != annotation], "image", "frame", "box_no", *[F.col("_r")[k].alias(v) for k, v in names.items()])
+    return d.select(*[c for c in documents.columns if c != annotation], "image", "frame", "box_no", *[F.col("_r")[k].alias(RECT_NAMES.get(k, k)) for k in _RECT])
+
+
+_WHOLE, _DOUBLE = r"-?\d{1,9}", r"-?\d{1,15}(?:\.\d{1,17})?(?:E-?\d{1,2})?"
+#: texts without blanks, attributes, entities or foreign elements, as trackers write them
+_PLAIN = (
+    r"<annotation><image><name>[^<>&\s]+</name><frameNr>-?\d{1,18}</frameNr></image>(?:<annorect>"
+    + "".join(f"(?:<{n}>{_DOUBLE if t == 'double' else _WHOLE}</{n}>){'' if n[0] in 'xy' else '?'}" for n, t in _RECT.items())
+    + r"</annorect>)++</annotation>"
+)
+
+
+def _between(piece: Column, name: str) -> Column:
+    """Text of the element ``name``, null without one."""
+    inner = F.substring_index(F.substring_index(piece, f"</{name}>", 1), f"<{name}>", -1)
+    return F.when(piece.contains(f"<{name}>"), inner)
 
 
 def parse_xml(texts: DataFrame, text: str = "value") -> DataFrame:
-    """One ``<annotation>`` element per row of text."""
-    d = texts.withColumn("_a", F.from_xml(F.col(text), F.lit(schemas.ANNOTATION_XML), {"rowTag": "annotation"})).drop(text)
-    return explode_annotations(d, "_a")
+    """One ``<annotation>`` element per row of text.
+
+    Plain texts are cut at their tags; only the others go through an XML reader, which is slow to start for every text.
+    """
+    t, plain = F.col(text), F.col("_plain")
+    d = texts.withColumn("_plain", F.coalesce(t.rlike(rf"\A{_PLAIN}\z"), F.lit(False)))
+    d = d.withColumn("_a", F.when(~plain, F.from_xml(t, F.lit(schemas.ANNOTATION_XML), {"rowTag": "annotation"})))
+    head, pieces = F.substring_index(t, "</image>", 1), F.split(t, "<annorect>")
+    rect = dict(d.select(F.col("_a.annorect")[0].alias("r")).dtypes)["r"]
+    cut = F.transform(F.slice(pieces, F.lit(2), F.size(pieces) - 1), lambda p: F.struct(p.alias("p"), F.lit(None).cast(rect).alias("r")))
+    read = F.transform("_a.annorect", lambda r: F.struct(F.lit(None).cast("string").alias("p"), r.alias("r")))
+    name = F.when(plain, _between(head, "name")).otherwise(F.col("_a.image.name"))
+    frame = F.when(plain, _between(head, "frameNr").cast("bigint")).otherwise(F.col("_a.image.frameNr"))
+    rest = [c for c in texts.columns if c != text]
+    d = d.select(*rest, "_plain", name.alias("image"), F.coalesce(frame, F.lit(-1)).alias("frame"), F.posexplode_outer(F.when(plain, cut).otherwise(read)).alias("box_no", "_b"))
+    fields = {n: F.when(plain, _between(F.col("_b.p"), n).cast(t)).otherwise(F.col("_b.r")[n]) for n, t in _RECT.items()}
+    return d.select(*rest, "image", "frame", "box_no", *[f.alias(RECT_NAMES.get(n, n)) for n, f in fields.items()])
 
 
 def read_xml(spark: SparkSession, path: str) -> DataFrame:
