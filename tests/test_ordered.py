@@ -120,6 +120,26 @@ def test_smoothing_fold_matches_the_recursion(spark):
         assert got[i] == pytest.approx(mix, rel=1e-14)
 
 
+def test_points_across_a_pose_meet_it_by_wide_blocks(spark):
+    rng = random.Random(14)
+    poses = [("r", i, rng.uniform(-90, 90), rng.uniform(-20, 20), 0.0, 0.6, 0.8, 0.0) for i in range(40)]
+    pts = [("r", rng.choice(["left", "right"]), i, rng.uniform(-90, 90), rng.uniform(-20, 20), rng.uniform(-1, 1)) for i in range(300)]
+    p = spark.createDataFrame(poses, "run string, pose bigint, x double, y double, z double, sx double, sy double, sz double")
+    q = spark.createDataFrame(pts, "run string, side string, idx bigint, x double, y double, z double")
+    d = lanes.across_hits(p, q, ["run"], "pose", "idx", 30.0, 2.0)
+    best = {}
+    for _, pose, x, y, z, sx, sy, sz in poses:
+        for _, side, i, u, v, w in pts:
+            a, b, c = u - x, v - y, w - z
+            off = ((b * sz - c * sy) ** 2 + (c * sx - a * sz) ** 2 + (a * sy - b * sx) ** 2) ** 0.5
+            if abs(a) < 30 and off <= 2:
+                best[pose, side] = min(best.get((pose, side), (9.0, 0)), (off, i))
+    assert {(r.pose, r.side): r.idx for r in d.collect()} == {k: i for k, (_, i) in best.items()} and len(best) > 20
+    plan = d._jdf.queryExecution().optimizedPlan().toString()
+    copies = next(line for line in plan.splitlines() if "Generate explode(sequence(" in line)
+    assert "/ 60" in copies or "/ cast(60" in copies  # a block of 60 cells, no column of single cells
+
+
 def test_running_sums_over_all_rows(spark):
     rng = random.Random(8)
     rows = [(rng.random(), rng.randrange(10)) for _ in range(5000)]

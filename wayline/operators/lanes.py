@@ -138,11 +138,15 @@ def across_hits(
     pts = points.withColumns({"_cx": F.floor(F.col("x") / F.lit(cell)), "_cy": F.floor(F.col("y") / F.lit(cell))})
     cells = pts.select(*keys, "side", "_cx", "_cy").distinct()
     p = poses.select(*keys, pose, *[F.col(c).alias("p" + c) for c in XYZ], "sx", "sy", "sz")
-    p = p.withColumn("_cx", F.explode(F.sequence(F.floor((F.col("px") - along) / F.lit(cell)), F.floor((F.col("px") + along) / F.lit(cell)))))
+    # poses and cells meet by blocks as wide as the reach: a row a column of cells would copy a pose many times
+    wide = max(1, math.ceil(2 * along / cell))
+    p = p.withColumns({"_lo": F.floor((F.col("px") - along) / F.lit(cell)), "_hi": F.floor((F.col("px") + along) / F.lit(cell))})
+    p = p.withColumn("_bx", F.explode(F.sequence(F.floor(F.col("_lo") / wide), F.floor(F.col("_hi") / wide))))
     flat = F.sqrt(F.col("sx") * F.col("sx") + F.col("sy") * F.col("sy"))
     mid_x, mid_y = (F.col("_cx") + 0.5) * cell - F.col("px"), (F.col("_cy") + 0.5) * cell - F.col("py")
     off = F.abs(mid_x * F.col("sy") - mid_y * F.col("sx"))
-    crossed = p.join(cells, [*keys, "_cx"]).where(off <= flat * (limit + cell * 0.7072))
+    met = p.join(cells.withColumn("_bx", F.floor(F.col("_cx") / wide)), [*keys, "_bx"]).where(F.col("_cx").between(F.col("_lo"), F.col("_hi")))
+    crossed = met.where(off <= flat * (limit + cell * 0.7072)).drop("_bx", "_lo", "_hi")
     near = crossed.join(pts, [*keys, "side", "_cx", "_cy"])
     rel = [F.col(c) - F.col("p" + c) for c in XYZ]
     dist = rotation.norm(rotation.cross(rel, [F.col("sx"), F.col("sy"), F.col("sz")]))
