@@ -494,6 +494,21 @@ def test_calibration_turns_are_worked_out_once(spark):
     assert len(scores) == 27 and scores[13] == 3.0
 
 
+def test_calibration_counts_are_not_broadcast(spark):
+    """Points that look few to the planner become 27 times as many pixels, which the driver must not collect."""
+    rows = [(i % 3, i % 50 - 25.0, i % 35 - 17.0, 20.0 + i % 11) for i in range(500)]
+    points = spark.createDataFrame(rows, "cam int, x double, y double, z double")
+    edges = spark.createDataFrame([(c, u, v, float(u % 7)) for c in range(3) for u in range(10, 300) for v in range(5, 170, 3)], "cam int, u long, v long, strength double")
+    d = registration.score_calibration(points, edges, ["cam"], (120.0, 120.0), (160.0, 90.3), (320, 180))
+    plan = d._jdf.queryExecution().executedPlan().toString()
+    assert not [line for line in plan.splitlines() if "BroadcastHashJoin" in line and "u#" in line]
+    want = 0.0
+    for _, x, y, z in rows:
+        u, v = round(120.0 * x / z + 160.0), round(120.0 * y / z + 90.3)
+        want += float(u % 7) if 10 <= u < 300 and 5 <= v < 170 and (v - 5) % 3 == 0 else 0.0
+    assert {r["candidate"]: r["score"] for r in d.collect()}[13] == want > 0
+
+
 def test_small_scans_are_searched_together(spark):
     """Many small scans at a time give the planes of one after the other, however scans are put together."""
     rng = random.Random(12)

@@ -667,9 +667,10 @@ def score_calibration(
     d = d.withColumns({f"_p{c}": v for c, v in zip(XYZ, p)}).where("_pz > 0")
     d = d.withColumns({n: F.rint(f * F.col(f"_p{c}") / F.col("_pz") + o).cast("bigint") for n, f, c, o in zip(("u", "v"), focal, "xy", centre)})
     d = d.where((F.col("u") > margin) & (F.col("v") > margin) & (F.col("u") < image[0] - margin) & (F.col("v") < image[1] - margin))
-    # points that fall on one pixel are counted before the join
+    # points that fall on one pixel are counted before the join; the planner does not see that each
+    # became 27 rows, so without the hint it takes their counts for a small side and collects them in the driver
     d = d.groupBy(*keys, "candidate", "u", "v").agg(F.count("*").alias("_n"))
-    scores = d.join(edges, [*keys, "u", "v"]).groupBy("candidate").agg(F.sum(F.col("_n") * F.col("strength")).alias("score"))
+    scores = d.join(edges.hint("shuffle_merge"), [*keys, "u", "v"]).groupBy("candidate").agg(F.sum(F.col("_n") * F.col("strength")).alias("score"))
     every = points.sparkSession.range(len(turns)).select(F.col("id").cast("int").alias("candidate"))
     scores = every.join(scores, "candidate", "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
     unchanged = turns.index((0, 0, 0))
