@@ -497,8 +497,8 @@ def test_calibration_turns_are_worked_out_once(spark):
 def test_calibration_counts_are_not_broadcast(spark):
     """Points that look few to the planner become 27 times as many pixels, which the driver must not collect."""
     rows = [(i % 3, i % 50 - 25.0, i % 35 - 17.0, 20.0 + i % 11) for i in range(500)]
-    points = spark.createDataFrame(rows, "cam int, x double, y double, z double")
-    edges = spark.createDataFrame([(c, u, v, float(u % 7)) for c in range(3) for u in range(10, 300) for v in range(5, 170, 3)], "cam int, u long, v long, strength double")
+    points = spark.range(500).selectExpr("id % 3 AS cam", "id % 50 - 25.0D AS x", "id % 35 - 17.0D AS y", "20.0D + id % 11 AS z")
+    edges = spark.createDataFrame([(c, u, v, float(u % 7)) for c in range(3) for u in range(10, 300) for v in range(5, 170, 3)], "cam long, u long, v long, strength double")
     d = registration.score_calibration(points, edges, ["cam"], (120.0, 120.0), (160.0, 90.3), (320, 180))
     plan = d._jdf.queryExecution().executedPlan().toString()
     assert not [line for line in plan.splitlines() if "BroadcastHashJoin" in line and "u#" in line]
