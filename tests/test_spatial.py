@@ -254,3 +254,38 @@ def test_small_keys_cluster_as_large_ones(spark, min_points):
     want, *got = [sorted(tuple(r) for r in f.select("key", "id", "note", "cluster").collect()) if False else sorted(map(repr, f.select("key", "id", "note", "cluster").collect())) for f in found]
     assert want and got == [want, want]
     assert "Generate" not in found[2]._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("same_way", [False, True])
+def test_best_overlaps_of_alike_runs_form_few_pairs(spark, same_way, monkeypatch):
+    """Runs whose boxes are all alike, some equal, some without extent: every best pair, and few others."""
+    from wayline.operators import trace
+
+    monkeypatch.setattr(trace, "GROUP", 8)
+    rng = random.Random(6)
+    rows = []
+    for i in range(500):
+        lo, hi = [rng.expovariate(0.7) for _ in XYZ], [100 - rng.expovariate(0.7) for _ in XYZ]
+        if i % 90 == 0:
+            hi = lo
+        if i % 50 == 1:
+            lo, hi = [5000 + v for v in lo], [5000 + v for v in hi]
+        if 300 <= i < 400:
+            lo, hi = [1.0] * 3, [95.0] * 3
+        way = [None] * 3 if i % 90 == 0 else [rng.uniform(-1, 1) for _ in XYZ]
+        rows.append((f"r{i}", *[v for pair in zip(lo, hi) for v in pair], *way))
+    rows.append(("nan", *[float("nan")] * 6, 1.0, 0.0, 0.0))
+    names = ["run", *[c + e for c in XYZ for e in ("_min", "_max")], *[f"dir_{c}" for c in XYZ]]
+    df = spark.createDataFrame(rows, "run string, " + ", ".join(f"{n} double" for n in names[1:]))
+    likely = trace.likely_best(df, df, "run", XYZ, 0.25, same_way)
+
+    def best(pairs):
+        found = pairs.groupBy("a_run").agg(F.min_by(F.struct("b_run", "share"), F.struct(-F.col("share"), "b_run")).alias("m"))
+        return {r.a_run: tuple(r.m) for r in found.collect()}
+
+    a, b = (df.where("run <> 'nan'").select(*[F.col(c).alias(p + c) for c in names]) for p in ("a_", "b_"))
+    every = a.join(b, F.col("a_run") != F.col("b_run")).withColumn("share", trace.overlap_share(XYZ, "a_", "b_"))
+    every = every.where(trace.same_direction(XYZ) & (F.col("share") > 0.25) if same_way else F.col("share") >= 0.25)
+    want = best(every)
+    assert best(likely) == want and len(want) > 450
+    assert likely.count() < every.count() / 10

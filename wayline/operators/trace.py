@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+import numpy as np
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from wayline.functions import geodesy, rotation
-from wayline.operators import blocks
+from wayline.operators import blocks, spatial
+from wayline.session import cut_lineage
 
 POSE = ["lat", "lon", "height", "rot_x", "rot_y", "azimuth"]
 
@@ -130,38 +133,109 @@ def overlap_share(coords: Sequence[str], a: str, b: str) -> Column:
     return F.try_divide(2 * shared, volume_a + volume_b)
 
 
-def overlapping_traces(a: DataFrame, b: DataFrame, run: str, coords: Sequence[str], min_share: float) -> DataFrame:
-    """Pairs of runs of the two summaries with overlap share of at least ``min_share``: columns ``a_``, ``b_``, share.
+#: runs that are compared as one group
+GROUP = 64
+#: boxes that settle where groups are cut, and how many of them a group has at least
+CUT_FROM, CUT_LEAST = 65_536, 8
 
-    A share that large bounds how much the extents can differ, so a run only
-    looks at runs of a few size classes, in the cells its box touches.
+
+def _box_cuts(boxes: np.ndarray, depth: int) -> tuple[list[int], list[float]]:
+    """Field and value of the cuts of a tree over boxes (box, lower and upper end by axis); node n goes on in 2 n + 1 and 2 n + 2.
+
+    Cut is at the median of the field that differs most, measured by its axis' mean length.
     """
-    x, y = coords[0], coords[1]
-    span = F.greatest(F.col(f"{x}_max") - F.col(f"{x}_min"), F.col(f"{y}_max") - F.col(f"{y}_min"))
-    size_class = F.when(span > 0, F.ceil(F.log2(span))).otherwise(F.lit(-30)).cast("int")
-    import math
-
-    steps = math.ceil(math.log2(2.0 / min_share))
-
-    def prefixed(df, p):
-        return df.select(*[F.col(c).alias(p + c) for c in df.columns], size_class.alias("_class"))
-
-    def with_cells(df, p):
-        size = F.pow(F.lit(2.0), F.col("_class"))
-        for c in (x, y):
-            low, high = (F.floor(F.col(p + c + e) / size) for e in ("_min", "_max"))
-            df = df.withColumn(f"_cell_{c}", F.explode(F.sequence(low, high)))
-        return df
-
-    left = prefixed(a, "a_").withColumn("_class", F.explode(F.sequence(F.col("_class") - steps, F.col("_class") + steps)))
-    pairs = with_cells(left, "a_").join(with_cells(prefixed(b, "b_"), "b_"), ["_class", f"_cell_{x}", f"_cell_{y}"])
-    pairs = pairs.where(F.col("a_" + run) != F.col("b_" + run)).withColumn("share", overlap_share(coords, "a_", "b_"))
-    # a pair may share several cells; it counts in the cell of its overlap's lower corner
-    size = F.pow(F.lit(2.0), F.col("_class"))
-    for c in (x, y):
-        corner = F.floor(F.greatest(f"a_{c}_min", f"b_{c}_min") / size)
-        pairs = pairs.where(F.col(f"_cell_{c}") == corner)
-    return pairs.where(F.col("share") >= min_share).drop("_class", f"_cell_{x}", f"_cell_{y}")
+    fields, cuts, level = [], [], [np.arange(len(boxes))]
+    for _ in range(depth):
+        below = []
+        for rows in level:
+            own, field, cut = boxes[rows], 0, 0.0
+            if len(own):
+                length = np.repeat((own[:, 1::2] - own[:, ::2]).mean(axis=0), 2)
+                field = int(np.argmax((own.max(axis=0) - own.min(axis=0)) / np.where(length > 0, length, 1.0)))
+                cut = float(np.median(own[:, field]))
+            beyond = own[:, field] > cut
+            fields.append(field)
+            cuts.append(cut)
+            below += [rows[~beyond], rows[beyond]]
+        level = below
+    return fields, cuts
+
+
+def _box_group(ends: Sequence[str], fields: Sequence[int], cuts: Sequence[float], depth: int) -> Column:
+    """The group of a box by the cuts."""
+    if not depth:
+        return F.lit(0)
+
+    def constants(values, kind):  # one text is quicker to hand over than thousands of literals
+        return F.split(F.lit(",".join(map(repr, values))), ",").cast(f"array<{kind}>")
+
+    box, by, at = F.array(*ends), constants(fields, "int"), constants(cuts, "double")
+    return F.aggregate(
+        F.sequence(F.lit(1), F.lit(depth)), F.lit(0), lambda n, _: 2 * n + 1 + F.when(F.get(box, F.get(by, n)) > F.get(at, n), 1).otherwise(0)
+    )
+
+
+def _volume(coords: Sequence[str], prefix: str = "") -> Column:
+    volume = None
+    for c in coords:
+        side = F.col(prefix + c + "_max") - F.col(prefix + c + "_min")
+        volume = side if volume is None else volume * side
+    return volume
+
+
+def _greatest_share(coords: Sequence[str]) -> Column:
+    """Bound on the share of box ``a_`` with any box of a group: of its extent (``g_``) and least and greatest volume."""
+    shared = None
+    for c in coords:
+        side = F.greatest(F.least("a_" + c + "_max", "g_" + c + "_max") - F.greatest("a_" + c + "_min", "g_" + c + "_min"), F.lit(0.0))
+        shared = side if shared is None else shared * side
+    own = _volume(coords, "a_")
+    # the shared volume is at most either box's, so the share grows with the other's volume up to ``own`` and falls beyond
+    shared = F.least(shared, own, "g_most")
+    return F.try_divide(2 * shared, own + F.greatest(F.col("g_least"), shared)) * (1 + 1e-9)
+
+
+def likely_best(a: DataFrame, b: DataFrame, run: str, coords: Sequence[str], min_share: float, same_way: bool = False) -> DataFrame:
+    """Pairs of runs of the two summaries with all that can be the best of a run of ``a``: columns ``a_``, ``b_``, share.
+
+    The share is at least ``min_share``, with ``same_way`` above it and only for
+    runs in the same direction. The best is the one of largest share, then
+    smallest run. A run first meets the runs of ``b`` in its own group of alike boxes, then
+    those of the groups in which, by their extents, a share as large as the
+    best there is possible; lesser pairs are left out before anything is
+    sorted. Of equal boxes of ``b`` the two smallest runs are kept, as one may be
+    the run itself. Boxes with ends that are not finite have no pair.
+    """
+    ends = [c + e for c in coords for e in ("_min", "_max")]
+    ways = [f"dir_{c}" for c in coords]
+    a = cut_lineage(spatial.usable(a.select(run, *ends, *ways), ends))
+    alike = W.partitionBy(*ends, *(ways if same_way else ())).orderBy(run)
+    b = spatial.usable(b, ends).where(F.col(run).isNotNull()).withColumn("_nth", F.row_number().over(alike)).where("_nth <= 2").drop("_nth")
+    b = cut_lineage(b)
+    some = b.orderBy(F.xxhash64(run)).limit(CUT_FROM).select(*ends).toPandas().to_numpy(float)
+    depth = max(0, math.ceil(math.log2(max(b.count(), 1) / GROUP)))
+    depth = min(depth, int(math.log2(max(len(some) // CUT_LEAST, 1))))
+    group = _box_group(ends, *_box_cuts(some, depth), depth)
+    a, b = (d.select(*[F.col(c).alias(p + c) for c in d.columns], group.alias("_group")) for p, d in (("a_", a), ("b_", b)))
+
+    # pairs take far longer than the few bytes of their runs suggest, so tasks are not merged by size
+    tasks = int(a.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def pairs(asked: DataFrame, least: Column) -> DataFrame:
+        # the runs of b wait in memory, so the pairs of a group are formed without a sort
+        d = asked.repartition(tasks, "_group").join(b.repartition(tasks, "_group").hint("shuffle_hash"), "_group").where(F.col("a_" + run) != F.col("b_" + run))
+        d = d.withColumn("share", overlap_share(coords, "a_", "b_")).where(F.col("share") >= least)
+        return d.where((F.col("share") > min_share) & same_direction(coords)) if same_way else d
+
+    extents = b.groupBy("_group").agg(
+        *[f("b_" + c + e).alias("g_" + c + e) for c in coords for f, e in ((F.min, "_min"), (F.max, "_max"))],
+        F.min(_volume(coords, "b_")).alias("g_least"), F.max(_volume(coords, "b_")).alias("g_most"),
+    )
+    near = pairs(a, F.lit(min_share)).groupBy("a_" + run).agg(F.max("share").alias("_least"))
+    asked = a.drop("_group").join(near, "a_" + run, "left").withColumn("_least", F.coalesce("_least", F.lit(min_share))).repartition(tasks, "a_" + run)
+    # one row a group, of which there are at most CUT_FROM / CUT_LEAST
+    asked = asked.join(F.broadcast(extents), _greatest_share(coords) >= F.col("_least"))
+    return pairs(asked.drop(*[c for c in extents.columns if c != "_group"]), F.col("_least")).drop("_group", "_least")
 
 
 def same_direction(coords: Sequence[str]) -> Column:
@@ -174,23 +248,25 @@ def same_direction(coords: Sequence[str]) -> Column:
 
 
 def best_overlaps(summaries: DataFrame, run: str, coords: Sequence[str], min_share: float = 0.25) -> DataFrame:
-    """Run pairs (run1 < run2): each run with its best-overlapping other run, if that one goes the same way."""
-    pairs = overlapping_traces(summaries, summaries, run, coords, min_share).withColumn("_same", same_direction(coords))
+    """Run pairs (run1 < run2): each run with its best-overlapping other run, if that one goes the same way; written when this is called."""
+    summaries = cut_lineage(summaries)
+    pairs = likely_best(summaries, summaries, run, coords, min_share).withColumn("_same", same_direction(coords))
     # largest share, then smallest run; run ids may be of any type that has an order
     best = pairs.groupBy(F.col("a_" + run).alias("_a")).agg(F.min(F.struct((-F.col("share")).alias("_less"), F.col("b_" + run).alias("_b"), "_same")).alias("_m"))
     best = best.where("_m._same").select(
         F.least("_a", "_m._b").alias("run1"), F.greatest("_a", "_m._b").alias("run2"), (-F.col("_m._less")).alias("share")
     )
-    return best.distinct()
+    return cut_lineage(best.distinct())
 
 
 def propagate_labels(
     summaries: DataFrame, labels: DataFrame, run: str, coords: Sequence[str], label: str, min_share: float = 0.25
 ) -> DataFrame:
     """Label of the best-overlapping labelled run in the same direction for every unlabelled run, else ``none``."""
+    summaries = cut_lineage(summaries)
     open_ = summaries.join(labels, run, "left_anti")
     known = summaries.join(labels, run)
-    pairs = overlapping_traces(open_, known, run, coords, min_share).where((F.col("share") > min_share) & same_direction(coords))
+    pairs = likely_best(open_, known, run, coords, min_share, same_way=True)
     best = pairs.groupBy(F.col("a_" + run).alias(run)).agg(
         F.min_by("b_" + label, F.struct(-F.col("share"), F.col("b_" + run))).alias(label)
     )
@@ -223,8 +299,6 @@ def apply_alignment(
 
 def alignment_score(source: DataFrame, target: DataFrame, keys: Sequence[str], coords: Sequence[str], target_id: str, tolerance: float = 2.0) -> DataFrame:
     """Mean and median distance of nearest centres per key, in space and with heights set to 0."""
-    from wayline.operators import spatial
-
     keys = list(keys)
     out = None
     for tag, flat in (("", False), ("_flat", True)):
