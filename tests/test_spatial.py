@@ -289,3 +289,16 @@ def test_best_overlaps_of_alike_runs_form_few_pairs(spark, same_way, monkeypatch
     want = best(every)
     assert best(likely) == want and len(want) > 450
     assert likely.count() < every.count() / 10
+
+
+def test_best_overlaps_are_written_once(spark):
+    """What is joined to the pairs several times does not compare the runs anew each time."""
+    from wayline.operators import trace
+
+    rows = [(f"r{i}", i * 0.1, 10.0 + i, 0.0, 10.0, 0.0, 5.0, 1.0, 0.0, 0.0) for i in range(6)]
+    names = [*[c + e for c in XYZ for e in ("_min", "_max")], *[f"dir_{c}" for c in XYZ]]
+    d = spark.createDataFrame(rows, "run string, " + ", ".join(f"{n} double" for n in names))
+    pairs = trace.best_overlaps(d, "run", XYZ)
+    assert pairs.count() == 5
+    plan = pairs._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Aggregate" not in plan
