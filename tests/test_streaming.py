@@ -202,3 +202,69 @@ def test_tracks_of_a_crowded_frame():
         kept.setdefault(int(to[n]), n)
     assert all(new["track"][n] == old["track"][t] for t, n in kept.items())
     assert len(set(new["track"].tolist())) == 4000 and len(used) == len(set(frames[1]["track"].tolist()) | set(new["track"].tolist()) | set(range(4000)))
+
+
+class _Store:
+    """What a state machine asks of its handle, kept in dictionaries."""
+
+    def __init__(self):
+        self.one, self.many, self.timers, self.largest = {}, {}, [], 0
+
+    def getValueState(self, name, schema):  # noqa: N802
+        store = self
+
+        class Value:
+            exists = staticmethod(lambda: name in store.one)
+            get = staticmethod(lambda: store.one[name])
+            update = staticmethod(lambda value: store.one.__setitem__(name, value))
+
+        return Value
+
+    def getMapState(self, name, key, value):  # noqa: N802
+        store = self
+
+        def put(key, value):
+            store.many[key] = value
+            store.largest = max(store.largest, len(value[0]))
+
+        class Map:
+            getValue = staticmethod(lambda key: store.many[key])  # noqa: N815
+            updateValue = staticmethod(put)  # noqa: N815
+            removeKey = staticmethod(lambda key: store.many.pop(key))  # noqa: N815
+
+        return Map
+
+    def registerTimer(self, at):  # noqa: N802
+        self.timers.append(at)
+
+
+@pytest.mark.parametrize("marks", [[0, 10**9], [0, 20_500, 10**9], [10**9]])
+def test_waiting_boxes_are_kept_frame_by_frame(monkeypatch, marks):
+    """However many rows a trigger brings, no value of the state and no result holds more than a frame and the rows of a call."""
+    monkeypatch.setattr(live, "HELD", 300)
+    rng = np.random.default_rng(3)
+    frames = np.sort(rng.integers(0, 40, 6000))
+    rows = np.zeros(6000, live.TRACK_ROW)
+    rows["frame"], rows["ms"], rows["id"] = frames, frames * 1000 + rng.integers(0, 1000, 6000), rng.permutation(6000)
+    for c in live.PLACE:
+        rows[c] = rng.integers(0, 500, 6000)
+    want, done, used = {}, rows[:0], np.zeros(0, np.int64)
+    for f in range(40):
+        new = rows[rows["frame"] == f]
+        new = new[np.lexsort((new["id"], new["ms"]))]
+        used = live.continue_tracks(new, done, used.copy(), 3)
+        want |= dict(zip(new["id"].tolist(), new["track"].tolist()))
+        done = new
+    table = pd.DataFrame({c: rows[c] for c in ("frame", "ms", "id", *live.PLACE)}).sample(frac=1, random_state=1)
+    store, machine, got = _Store(), live._Tracks("seq", "frame", "id", 3), []
+    machine.init(store)
+    for n, mark in enumerate(marks):
+        times = type("Times", (), {"getCurrentWatermarkInMs": staticmethod(lambda mark=mark: mark)})
+        batches = (table.iloc[at : at + 100] for at in range(0, 6000, 100))
+        got += list(machine.handleInputRows((7,), batches, times) if n == 0 else machine.handleExpiredTimer((7,), times, None))
+        waiting = len(np.frombuffer(store.one["kept"][2], live.WAITING))
+        assert waiting == (40 if mark == 0 else 20 if mark < 10**9 else 0) and bool(store.many) == bool(waiting)
+        assert not waiting or store.timers[-1] > mark
+    assert store.largest <= 400 * live.TRACK_ROW.itemsize
+    assert max(map(len, got)) <= 300 + max(np.bincount(frames)) and all(set(g["seq"]) == {7} for g in got)
+    assert {i: t for g in got for i, t in zip(g["id"], g["track_id"])} == want

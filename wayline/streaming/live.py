@@ -14,6 +14,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 
 from wayline.operators import spatial
 from wayline.session import ensure_checkpoint_dir
@@ -33,6 +34,8 @@ def stream_table(spark: SparkSession, folder: str, pattern: str, schema: str, fi
 
 STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: MB a store gathers before it writes; the default of 64, a few times over in each store that is open, is much of an executor
+STORE_BUFFER = "spark.sql.streaming.stateStore.rocksdb.writeBufferSizeMB", "16"
 
 
 def run_available(stream: DataFrame, mode: str, spark: SparkSession, latest_only: bool = False, state_store: str | None = None) -> DataFrame:
@@ -41,17 +44,23 @@ def run_available(stream: DataFrame, mode: str, spark: SparkSession, latest_only
     Batches go to a folder of their own each, so a repeated batch replaces
     itself. ``latest_only`` returns the last batch (complete mode).
     ``state_store`` names the provider of this stream's state; state machines
-    with timers need :data:`ROCKSDB`, which also keeps state out of the heap.
+    with timers and named state need :data:`ROCKSDB` and get it by default, which
+    also keeps state out of the heap.
     """
+    if state_store is None and "TransformWithState" in stream._jdf.queryExecution().analyzed().toString():
+        state_store = ROCKSDB
     root = f"{ensure_checkpoint_dir(spark)}/stream-{uuid4().hex}"
     schema = stream.schema
 
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{root}/out/batch={number}")
 
-    before = spark.conf.get(STATE_STORE, None)
-    if state_store:
-        spark.conf.set(STATE_STORE, state_store)
+    settings = {STATE_STORE: state_store} if state_store else {}
+    if state_store == ROCKSDB:
+        settings[STORE_BUFFER[0]] = spark.conf.get(*STORE_BUFFER)
+    before = {name: spark.conf.get(name, None) for name in settings}
+    for name, value in settings.items():
+        spark.conf.set(name, value)
     try:
         query = (
             stream.writeStream.outputMode(mode)
@@ -62,10 +71,11 @@ def run_available(stream: DataFrame, mode: str, spark: SparkSession, latest_only
         )
         query.awaitTermination()
     finally:
-        if state_store and before is not None:
-            spark.conf.set(STATE_STORE, before)
-        elif state_store:
-            spark.conf.unset(STATE_STORE)
+        for name, value in before.items():
+            if value is not None:
+                spark.conf.set(name, value)
+            else:
+                spark.conf.unset(name)
     if query.exception() is not None:
         raise query.exception()
     out = spark.read.schema(T.StructType([*schema.fields, T.StructField("batch", T.LongType())])).parquet(f"{root}/out")
@@ -187,10 +197,13 @@ def sweep_stream(messages: DataFrame, key: str, is_start: Column, keep: Column,
     return d.groupBy(key).applyInPandasWithState(step, schema, SWEEP_STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
-TRACK_STATE = "frame bigint, boxes binary, used binary, waiting binary"
 #: rows of boxes as they are kept: whole numbers stay exact
 TRACK_ROW = np.dtype([("frame", "i8"), ("ms", "i8"), ("id", "i8"), ("cx", "f8"), ("cy", "f8"), ("w", "f8"), ("h", "f8"), ("track", "i8")])
 PLACE = ["cx", "cy", "w", "h"]
+#: what is known of a frame that waits: first and last time of its boxes, and in how many parts they are kept
+WAITING = np.dtype([("frame", "i8"), ("first", "i8"), ("last", "i8"), ("parts", "i8")])
+#: rows that a call holds before it puts them away, or hands them on
+HELD = 1 << 18
 
 
 def continue_tracks(new: np.ndarray, before: np.ndarray, used: np.ndarray, idle: int) -> np.ndarray:
@@ -213,12 +226,84 @@ def continue_tracks(new: np.ndarray, before: np.ndarray, used: np.ndarray, idle:
     return used
 
 
+class _Tracks(StatefulProcessor):
+    """Boxes of a sequence wait in the state store, frame by frame, so a call holds one frame and ``HELD`` rows, however many wait."""
+
+    def __init__(self, key: str, frame: str, ident: str, idle: int) -> None:
+        self.key, self.frame, self.ident, self.idle = key, frame, ident, idle
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.kept = handle.getValueState("kept", "boxes binary, used binary, waiting binary")
+        self.boxes = handle.getMapState("boxes", "frame bigint, part bigint", "rows binary")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        done, used, waiting = self._read()
+        parts: list[np.ndarray] = []
+        for pdf in rows:
+            new = np.zeros(len(pdf), TRACK_ROW)
+            for c in ("frame", "ms", "id", *PLACE):
+                new[c] = pdf[c].to_numpy()
+            parts.append(new)
+            if sum(map(len, parts)) >= HELD:
+                self._put_away(np.concatenate(parts), waiting)
+                parts = []
+        if parts:
+            self._put_away(np.concatenate(parts), waiting)
+        yield from self._settle(key, done, used, waiting, timerValues.getCurrentWatermarkInMs())
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        yield from self._settle(key, *self._read(), timerValues.getCurrentWatermarkInMs())
+
+    def _read(self) -> tuple[np.ndarray, np.ndarray, dict[int, tuple[int, int, int]]]:
+        done, used, waiting = self.kept.get() if self.kept.exists() else (b"", b"", b"")
+        frames = np.frombuffer(waiting, WAITING).tolist()
+        return np.frombuffer(done, TRACK_ROW), np.frombuffer(used, np.int64), {f: tuple(rest) for f, *rest in frames}
+
+    def _put_away(self, rows: np.ndarray, waiting: dict[int, tuple[int, int, int]]) -> None:
+        rows = rows[np.argsort(rows["frame"], kind="stable")]
+        for own in np.split(rows, np.flatnonzero(np.diff(rows["frame"]) != 0) + 1):
+            if len(own):
+                frame, first, last = (int(v) for v in (own["frame"][0], own["ms"].min(), own["ms"].max()))
+                before = waiting.get(frame, (first, last, 0))
+                self.boxes.updateValue((frame, before[2]), (own.tobytes(),))
+                waiting[frame] = min(first, before[0]), max(last, before[1]), before[2] + 1
+
+    def _settle(self, key: tuple, done: np.ndarray, used: np.ndarray, waiting: dict[int, tuple[int, int, int]], mark: int) -> Iterator[pd.DataFrame]:
+        """Frames in their order, as far as the watermark has passed them."""
+        out: list[np.ndarray] = []
+        for frame in sorted(waiting):
+            if waiting[frame][1] > mark:
+                break
+            parts = range(waiting.pop(frame)[2])
+            new = np.concatenate([np.frombuffer(self.boxes.getValue((frame, part))[0], TRACK_ROW) for part in parts])
+            for part in parts:
+                self.boxes.removeKey((frame, part))
+            new = new[np.lexsort([new[c] for c in ("h", "w", "cy", "cx", "id", "ms")])]
+            used = continue_tracks(new, done, used.copy(), self.idle)
+            done = new
+            out.append(new)
+            if sum(map(len, out)) >= HELD:
+                yield self._found(key, out)
+                out = []
+        left = np.array([(frame, *rest) for frame, rest in sorted(waiting.items())], WAITING)
+        self.kept.update((done.tobytes(), used.tobytes(), left.tobytes()))
+        if len(left):  # called once the watermark is beyond this time
+            self.handle.registerTimer(max(int(left["first"][0]) + 1, mark + 1) + 1)
+        if out:
+            yield self._found(key, out)
+
+    def _found(self, key: tuple, frames: list[np.ndarray]) -> pd.DataFrame:
+        rows = np.concatenate(frames)
+        return pd.DataFrame({self.key: [key[0]] * len(rows), self.frame: rows["frame"], self.ident: rows["id"], "track_id": rows["track"]})
+
+
 def track_stream(boxes: DataFrame, key: str, frame: str, ident: str, delay: str = DELAY, idle: int = 50) -> DataFrame:
     """Track ids per sequence on an arriving stream of boxes (x1, y1, x2, y2, ts).
 
     ``ts`` rises with the frame. A frame is settled when the watermark passes
     it; the state holds the last settled frame, the last use of each id and the
-    boxes still waiting.
+    boxes still waiting, each frame's under its own name. Needs the state store :data:`ROCKSDB`.
     """
     d = boxes.withWatermark("ts", delay).select(
         key, "ts", F.unix_millis("ts").alias("ms"), F.col(frame).cast("bigint").alias("frame"), F.col(ident).cast("bigint").alias("id"),
@@ -227,36 +312,5 @@ def track_stream(boxes: DataFrame, key: str, frame: str, ident: str, delay: str
     )
     key_type = dict(boxes.dtypes)[key]
 
-    def step(k, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        _, done, used, waiting = state.get if state.exists else (None, b"", b"", b"")
-        done, used = np.frombuffer(done, TRACK_ROW), np.frombuffer(used, np.int64)
-        parts = [np.frombuffer(waiting, TRACK_ROW)]
-        if not state.hasTimedOut:
-            for pdf in batches:
-                rows = np.zeros(len(pdf), TRACK_ROW)
-                for c in ("frame", "ms", "id", *PLACE):
-                    rows[c] = pdf[c].to_numpy()
-                parts.append(rows)
-        mark = state.getCurrentWatermarkMs()
-        rows = np.concatenate(parts)
-        rows = rows[np.lexsort([rows[c] for c in ("h", "w", "cy", "cx", "id", "ms", "frame")])]
-        starts = np.flatnonzero(np.r_[True, np.diff(rows["frame"]) != 0]) if len(rows) else np.zeros(0, np.int64)
-        ends = np.r_[starts[1:], len(rows)].astype(np.int64)
-        out, settled = [], 0
-        for start, end in zip(starts, ends):
-            if rows["ms"][end - 1] > mark:
-                break
-            new = rows[start:end].copy()
-            used = continue_tracks(new, done, used.copy(), idle)
-            done, settled = new, end
-            out.append(new)
-        later = rows[settled:]
-        state.update((int(done["frame"][0]) if len(done) else None, done.tobytes(), used.tobytes(), later.tobytes()))
-        if len(later):
-            state.setTimeoutTimestamp(max(int(later["ms"][0]) + 1, mark + 1))
-        if out:
-            out = np.concatenate(out)
-            yield pd.DataFrame({key: [k[0]] * len(out), frame: out["frame"], ident: out["id"], "track_id": out["track"]})
-
     schema = f"{key} {key_type}, {frame} bigint, {ident} bigint, track_id bigint"
-    return d.groupBy(key).applyInPandasWithState(step, schema, TRACK_STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    return d.groupBy(key).transformWithStateInPandas(_Tracks(key, frame, ident, idle), schema, "append", "eventTime")
